@@ -40,10 +40,14 @@ def money_sum(c: Column | str, where: Column | None = None) -> Column:
 
 
 def mean(c: Column | str, places: int | None = 2) -> Column:
-    """Average through one exact sum and one double division."""
+    """Average of a whole-number or money column, divided in decimals.
+
+    A double quotient of an inexact double sum can fall on the wrong side of a
+    rounding tie. Fourteen decimal places are kept before the one rounding.
+    """
     c = col(c)
-    value = F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
-    return value if places is None else F.round(value, places)
+    value = F.sum(c).cast("decimal(28,4)") / F.nullif(F.count(c), F.lit(0))
+    return (value if places is None else F.round(value, places)).cast("double")
 
 
 def ratio_or_zero(a: Column, b: Column) -> Column:

@@ -16,8 +16,14 @@ from holdfast.operators.ordered import running_totals
 from holdfast.operators.quantiles import quantiles
 
 
-def confusion(df: DataFrame, thresholds: Sequence[float], y: str = "y", p: str = "p") -> DataFrame:
-    """Counts and threshold metrics, one row per threshold, in one aggregate."""
+def confusion(df: DataFrame, thresholds: Sequence[float] | dict[str, float], y: str = "y",
+              p: str = "p") -> DataFrame:
+    """Counts and threshold metrics, one row per threshold, in one aggregate.
+
+    Named thresholds ({policy: value}) also carry their name.
+    """
+    policies = list(thresholds) if isinstance(thresholds, dict) else None
+    thresholds = list(thresholds.values()) if policies else list(thresholds)
     hit, real = [F.col(p) >= float(t) for t in thresholds], F.col(y) == 1
     counts = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -28,6 +34,7 @@ def confusion(df: DataFrame, thresholds: Sequence[float], y: str = "y", p: str =
     rows = F.array(
         *[
             F.struct(
+                *([F.lit(policies[i]).alias("policy")] if policies else []),
                 F.lit(float(t)).alias("threshold"), F.col("n"), F.col("positives"),
                 F.col(f"hit{i}").alias("hit"), F.col(f"tp{i}").alias("tp"),
             )
@@ -37,7 +44,7 @@ def confusion(df: DataFrame, thresholds: Sequence[float], y: str = "y", p: str =
     tp, fp = F.col("tp"), F.col("hit") - F.col("tp")
     fn, tn = F.col("positives") - F.col("tp"), F.col("n") - F.col("positives") - F.col("hit") + F.col("tp")
     return counts.select(F.inline(rows)).select(
-        "threshold", tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
+        *(["policy"] if policies else []), "threshold", tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
         F.try_divide((tp + tn).cast("double"), F.col("n")).alias("accuracy"),
         ratio_or_zero(tp, F.col("hit")).alias("precision"),
         ratio_or_zero(tp, F.col("positives")).alias("recall"),
@@ -80,7 +87,7 @@ def brier(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("brier_score"))
 
 
-def evaluate(df: DataFrame, thresholds: Sequence[float], y: str = "y", p: str = "p",
+def evaluate(df: DataFrame, thresholds: Sequence[float] | dict[str, float], y: str = "y", p: str = "p",
              splits=None) -> DataFrame:
     """All metrics, one row per threshold. Ranking metrics repeat per row."""
     def only(metric: DataFrame):
@@ -99,10 +106,8 @@ def evaluation_table(models: dict[str, tuple[DataFrame, float]], splits=None) ->
     """Each model at 0.50 and at its own cost threshold."""
     out = None
     for name, (df, cost_threshold) in models.items():
-        rows = evaluate(df, [0.5, cost_threshold], splits=splits).select(
-            F.lit(name).alias("model"), "*"
-        )
-        # The two policies keep their order even when the thresholds coincide.
+        policies = {"default": 0.5, "cost": cost_threshold}
+        rows = evaluate(df, policies, splits=splits).select(F.lit(name).alias("model"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -118,7 +118,7 @@ def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
     rows = df.count()
     model = LogisticRegression(
         labelCol="y", featuresCol="features", weightCol="weight", regParam=1.0 / (c * rows),
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8,
+        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
     )
     stages = [*encoder_stages(roles, scale=True), model]
     return Classifier(Pipeline(stages=stages).fit(balanced_weights(with_inputs(df, roles))), roles)
@@ -140,10 +140,11 @@ def fit_calibrator(out_of_fold: DataFrame) -> IsotonicRegressionModel:
     ).fit(points)
 
 
-def run_parallel(jobs: Sequence[Callable[[], object]]) -> list:
+def run_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
     """A few independent fits at a time; Spark shares the executors."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=MAX_PARALLEL_FITS) as pool:
-        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        futures = [pool.submit(inherit(job)) for job in jobs]
         return [f.result() for f in futures]
 
 
@@ -160,8 +161,9 @@ def fit_calibrated(df: DataFrame, roles: Roles, params: dict | None = None,
             return fold_model.raw_probability(parted.where(F.col("fold") == i)).select("y", "p")
 
         base, *scored = run_parallel(
+            df.sparkSession,
             [lambda: fit_boosted(parted, roles, params, seed)]
-            + [lambda i=i: held_out(i) for i in range(folds)]
+            + [lambda i=i: held_out(i) for i in range(folds)],
         )
         pooled = scored[0]
         for part in scored[1:]:
@@ -185,7 +187,7 @@ def candidate_results(fit: DataFrame, valid: DataFrame, roles: Roles,
         row = evaluate(scored, [0.5]).select("accuracy", "roc_auc").first()
         return i, row["accuracy"], row["roc_auc"]
 
-    rows = run_parallel([lambda i=i: assess(i) for i in range(len(candidates))])
+    rows = run_parallel(fit.sparkSession, [lambda i=i: assess(i) for i in range(len(candidates))])
     return fit.sparkSession.createDataFrame(
         rows, "candidate int, accuracy double, roc_auc double"
     )

@@ -47,5 +47,6 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequenc
     for i, prob in enumerate(probs):
         rank = F.lit(float(prob)) * (F.col("n") - 1)
         part = rank - F.floor(rank)
-        points.append(F.col(f"_lo{i}") * (1 - part) + F.col(f"_hi{i}") * part)
+        # This form returns the value itself when both neighbours are equal.
+        points.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part)
     return picked.select(*within, "low", "high", "n", F.array(*points).alias("q"))

@@ -10,7 +10,7 @@ from holdfast.functions.cleaning import clean
 from holdfast.functions.risk import contact_tier
 from holdfast.operators.models import Classifier
 from holdfast.plans.scoring import score_columns
-from holdfast.schema import RAW
+from holdfast.schema import RAW, RAW_ROLES
 from holdfast.sources.versioned import VersionedTable
 
 
@@ -29,7 +29,10 @@ def predict(records: DataFrame, model: Classifier, scored_at: str,
 
     Every step works row by row, so no state and no watermark is needed.
     """
-    scored = model.probability(clean(records, model.roles))
+    cleaned = clean(records, RAW_ROLES)
+    if model.roles.key not in cleaned.columns:
+        cleaned = cleaned.withColumnsRenamed(K.RAW_TO_TABLE)
+    scored = model.probability(cleaned)
     return score_columns(
         scored, threshold, scored_at, model.roles, extra={"tier": contact_tier("p", threshold)}
     )
