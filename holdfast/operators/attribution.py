@@ -16,15 +16,13 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from holdfast.operators.kernels import explain_rows, explain_totals
 from holdfast.operators.models import Classifier
 from holdfast.session import scratch_path
 
-_ROWS_PER_BLOCK = 256
-
 
 @dataclass
 class LeafTables:
@@ -113,48 +111,18 @@ def leaf_tables(spark: SparkSession, model: Classifier) -> LeafTables:
     return LeafTables(groups, expected)
 
 
-def explain_block(x: np.ndarray, tables: LeafTables) -> np.ndarray:
-    """Shapley values, rows by features."""
-    phi = np.zeros(x.shape)
-    for features, low, high, table in tables.groups:
-        leaves, k = features.shape
-        values = x[:, features]
-        hits = (values > low) & (values <= high)
-        mask = (hits * (1 << np.arange(k))).sum(axis=2)
-        part = table[np.arange(leaves), mask].reshape(len(x), leaves * k)
-        flat = features.reshape(-1)
-        for f in np.unique(flat):
-            phi[:, f] += part[:, flat == f].sum(axis=1)
-    return phi
-
-
-def _blocks(batch: pd.DataFrame, tables: LeafTables):
-    x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, 0))
-    for start in range(0, len(batch), _ROWS_PER_BLOCK):
-        yield start, explain_block(x[start:start + _ROWS_PER_BLOCK], tables)
-
-
 def tree_attribution(df: DataFrame, model: Classifier) -> DataFrame:
     """(key, feature, value, phi) for every row and feature.
 
     Per row the phi sum to its log-odds less the expected log-odds. They
     explain the trees, not the calibrated probability.
     """
-    tables, names, key = leaf_tables(df.sparkSession, model), model.names, model.roles.key
-    shipped = df.sparkSession.sparkContext.broadcast(tables)
+    names, key = model.names, model.roles.key
+    tables = leaf_tables(df.sparkSession, model)
+    shipped = df.sparkSession.sparkContext.broadcast(tables.groups)
 
     def explain(batches):
-        for batch in batches:
-            for start, phi in _blocks(batch, shipped.value):
-                rows = batch.iloc[start:start + len(phi)]
-                yield pd.DataFrame(
-                    {
-                        key: np.repeat(rows[key].to_numpy(), len(names)),
-                        "feature": np.tile(names, len(phi)),
-                        "value": np.stack(rows["x"].to_numpy()).reshape(-1),
-                        "phi": phi.reshape(-1),
-                    }
-                )
+        return explain_rows(batches, shipped.value, names, key)
 
     rows = model.features(df).select(key, vector_to_array("features").alias("x"))
     return rows.mapInPandas(explain, f"`{key}` string, feature string, value double, phi double")
@@ -165,15 +133,12 @@ def global_attribution(df: DataFrame, model: Classifier) -> DataFrame:
 
     Each batch sends one partial sum per feature, never its rows.
     """
-    tables, names = leaf_tables(df.sparkSession, model), model.names
-    shipped = df.sparkSession.sparkContext.broadcast(tables)
+    names = model.names
+    tables = leaf_tables(df.sparkSession, model)
+    shipped = df.sparkSession.sparkContext.broadcast(tables.groups)
 
     def partial(batches):
-        for batch in batches:
-            for _, phi in _blocks(batch, shipped.value):
-                yield pd.DataFrame(
-                    {"feature": names, "total": np.abs(phi).sum(axis=0), "n": len(phi)}
-                )
+        return explain_totals(batches, shipped.value, names)
 
     rows = model.features(df).select(vector_to_array("features").alias("x"))
     sums = rows.mapInPandas(partial, "feature string, total double, n bigint")

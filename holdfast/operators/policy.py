@@ -72,7 +72,8 @@ def grid_curve(df: DataFrame, offer: Offer = Offer(), y: str = "y", p: str = "p"
         + F.when(score >= (guess + 1) / float(GRID), 1).otherwise(0)
         - F.when(score < guess / float(GRID), 1).otherwise(0)
     )
-    cell = F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(GRID), cell)), F.lit(-1))
+    # NULL first: greatest and least would skip it.
+    cell = F.greatest(F.lit(-1), F.least(F.lit(GRID), F.coalesce(cell, F.lit(-1))))
     real = F.col(y) == 1
     cells = df.groupBy(cell.cast("int").alias("cell")).agg(
         F.count_if(real).alias("pos"),

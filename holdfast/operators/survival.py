@@ -6,10 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from holdfast.operators.kernels import hazard_terms
 from holdfast.operators.ordered import accumulate, running_totals, split_points
 
 Z_95 = 1.959963984540054
@@ -76,13 +76,13 @@ def median_survival(curve: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> tuple[DataFrame, list[str]]:
     """Indicator columns, the alphabetically first level left out.
 
-    The levels come from one small distinct per column.
+    The levels of all columns come from one aggregate.
     """
+    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
     names: list[str] = []
     new: dict[str, Column] = {}
     for c in columns:
-        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
-        for level in levels[1 if drop_first else 0:]:
+        for level in found[c][1 if drop_first else 0:]:
             name = f"{c}_{level}"
             new[name] = F.when(F.col(c) == level, 1).otherwise(0)
             names.append(name)
@@ -91,23 +91,7 @@ def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> t
 
 # --- proportional hazards ---------------------------------------------------
 
-_TIE_CHUNK = 1 << 16
-_TIE_SUMS = ("log_sum", "inv", "inv_u", "inv2", "inv2_u", "inv2_uu")
-
-
-def _tie_sums(batches):
-    """Sums over u = l / d for l in [lo, hi) of log(a - u b) and of u^j / (a - u b)^i."""
-    for batch in batches:
-        out = []
-        for time, d, a, b, lo, hi in zip(
-            batch["time"], batch["d"], batch["a"], batch["b"], batch["lo"], batch["hi"]
-        ):
-            u = np.arange(lo, hi, dtype="float64") / d
-            left = a - u * b
-            inv = 1.0 / left
-            out.append((time, np.log(left).sum(), inv.sum(), (inv * u).sum(),
-                        (inv**2).sum(), (inv**2 * u).sum(), (inv**2 * u**2).sum()))
-        yield pd.DataFrame(out, columns=["time", *_TIE_SUMS])
+TIE_CHUNK = 1 << 16
 
 
 class HazardFit:
@@ -143,64 +127,58 @@ class HazardFit:
         self.splits = split_points(self.rows, F.col("time")) if splits is None else splits
 
     def _sums(self, beta: np.ndarray) -> DataFrame:
-        x = [F.col(f"x{i}") - float(self.centre[i]) for i in range(self.k)]
+        """Per event time: sums over the risk set (``run_*``) and over the tie (``t*``)."""
+        k = self.k
         margin = F.lit(0.0)
-        for i in range(self.k):
-            margin = margin + x[i] * float(beta[i])
-        e = F.col("w") * F.exp(margin)
-        hit = F.col("hit")
-        terms = {"s": e}
-        terms |= {f"s{i}": e * x[i] for i in range(self.k)}
-        terms |= {f"s{i}_{j}": e * x[i] * x[j] for i in range(self.k) for j in range(i, self.k)}
-        aggs = {n: F.sum(c) for n, c in terms.items()}
-        aggs |= {f"t{n}": F.sum(F.when(hit, c).otherwise(0.0)) for n, c in terms.items()}
-        aggs["d"] = F.sum(F.when(hit, F.col("w")).otherwise(0))
-        aggs["m"] = F.sum(F.when(hit, F.col("w") * margin).otherwise(0.0))
-        aggs |= {f"g{i}": F.sum(F.when(hit, F.col("w") * x[i]).otherwise(0.0)) for i in range(self.k)}
-        by_time = self.rows.groupBy("time").agg(*[c.alias(n) for n, c in aggs.items()])
+        for i in range(k):
+            margin = margin + F.col(f"x{i}") * float(beta[i])
+        weighed = self.rows.withColumns(
+            {f"x{i}": F.col(f"x{i}") - float(self.centre[i]) for i in range(k)}
+        ).withColumn("m", margin).withColumn("e", F.col("w") * F.exp("m"))
+
+        c = F.col
+        terms = {"s": c("e")}
+        terms |= {f"s{i}": c("e") * c(f"x{i}") for i in range(k)}
+        terms |= {f"s{i}_{j}": c("e") * c(f"x{i}") * c(f"x{j}") for i in range(k) for j in range(i, k)}
+        plain = {"d": c("w"), "m": c("w") * c("m")} | {f"g{i}": c("w") * c(f"x{i}") for i in range(k)}
+        sums = {n: F.sum(v) for n, v in (terms | plain).items()}
+        halves = weighed.groupBy("time", "hit").agg(*[v.alias(n) for n, v in sums.items()])
+        # Two rows per time from here on.
+        by_time = halves.groupBy("time").agg(
+            *[F.sum(n).alias(n) for n in terms],
+            *[F.coalesce(F.sum(F.when(c("hit"), c(n))), F.lit(0.0)).alias(f"t{n}") for n in terms],
+            F.coalesce(F.sum(F.when(c("hit"), c("d"))), F.lit(0)).alias("d"),
+            *[F.coalesce(F.sum(F.when(c("hit"), c(n))), F.lit(0.0)).alias(n) for n in plain if n != "d"],
+        )
         return accumulate(by_time, "time", list(terms), descending=True, splits=self.splits).where(
             "d > 0"
         )
 
     def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood, gradient and information at ``beta``."""
+        k = self.k
+        one = F.lit(1).cast("bigint")
+        starts = F.sequence(0 * one, F.col("d") - 1, TIE_CHUNK * one)
         table = self._sums(beta)
-        chunks = table.select(
-            "time", F.col("d").cast("double").alias("d"), F.col("run_s").alias("a"),
-            F.col("ts").alias("b"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, F.lit(_TIE_CHUNK).cast("bigint"))).alias("lo"),
-        ).withColumn("hi", F.least(F.col("lo") + _TIE_CHUNK, F.col("d").cast("bigint")))
-        ties = (
+        chunks = table.select("*", F.explode(starts).alias("lo")).withColumn(
+            "hi", F.least(F.col("lo") + TIE_CHUNK, F.col("d"))
+        )
+        names = ["ll", *[f"u{i}" for i in range(k)],
+                 *[f"h{i}_{j}" for i in range(k) for j in range(i, k)]]
+        row = (
             chunks.repartition("time", "lo")
-            .mapInPandas(_tie_sums, "time " + self.rows.schema["time"].dataType.simpleString()
-                         + ", " + ", ".join(f"{n} double" for n in _TIE_SUMS))
-            .groupBy("time")
-            .agg(*[F.sum(n).alias(n) for n in _TIE_SUMS])
+            .mapInPandas(lambda batches: hazard_terms(batches, k),
+                         ", ".join(f"{n} double" for n in names))
+            .agg(*[F.sum(n).alias(n) for n in names])
+            .first()
         )
-        full = table.join(ties, "time")
-        c = F.col
-        grad = [
-            F.sum(c(f"g{i}") - (c(f"run_s{i}") * c("inv") - c(f"ts{i}") * c("inv_u"))).alias(f"u{i}")
-            for i in range(self.k)
-        ]
-
-        def second(i, j):
-            ai, aj, bi, bj = (c(f"run_s{i}"), c(f"run_s{j}"), c(f"ts{i}"), c(f"ts{j}"))
-            return F.sum(
-                c(f"run_s{i}_{j}") * c("inv") - c(f"ts{i}_{j}") * c("inv_u")
-                - (ai * aj * c("inv2") - (ai * bj + aj * bi) * c("inv2_u") + bi * bj * c("inv2_uu"))
-            ).alias(f"h{i}_{j}")
-
-        pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
-        row = full.agg(
-            F.sum(c("m") - c("log_sum")).alias("ll"), *grad, *[second(i, j) for i, j in pairs]
-        ).first()
         if row["ll"] is None:
             raise ValueError("no events to fit a hazard on")
-        info = np.zeros((self.k, self.k))
-        for i, j in pairs:
-            info[i, j] = info[j, i] = row[f"h{i}_{j}"]
-        return row["ll"], np.array([row[f"u{i}"] for i in range(self.k)]), info
+        info = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                info[i, j] = info[j, i] = row[f"h{i}_{j}"]
+        return row["ll"], np.array([row[f"u{i}"] for i in range(k)]), info
 
     def fit(self) -> np.ndarray:
         beta = np.zeros(self.k)

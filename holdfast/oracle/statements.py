@@ -103,7 +103,7 @@ def stmt(body: str, extra: str = "") -> str:
 
 def rnd(x: str, places: int) -> str:
     """Half away from zero on a decimal that shows the double's short form."""
-    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,12)), {places}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,{max(12, places + 6)})), {places}) AS DOUBLE)"
 
 
 def rate(flag: str = CHURNED, places: int = 2) -> str:
