@@ -9,97 +9,132 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions.numeric import ratio_or_zero
 from holdfast.operators.ordered import running_totals
 from holdfast.operators.quantiles import quantiles
 
 
-def confusion(df: DataFrame, thresholds: Sequence[float] | dict[str, float], y: str = "y",
-              p: str = "p") -> DataFrame:
-    """Counts and threshold metrics, one row per threshold, in one aggregate.
+Thresholds = Sequence[float] | dict[str, float]
 
-    Named thresholds ({policy: value}) also carry their name.
-    """
-    policies = list(thresholds) if isinstance(thresholds, dict) else None
-    thresholds = list(thresholds.values()) if policies else list(thresholds)
-    hit, real = [F.col(p) >= float(t) for t in thresholds], F.col(y) == 1
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(real).alias("positives"),
-        *[F.count_if(h).alias(f"hit{i}") for i, h in enumerate(hit)],
-        *[F.count_if(h & real).alias(f"tp{i}") for i, h in enumerate(hit)],
+
+def _by_score(df: DataFrame, y: str, p: str, splits) -> DataFrame:
+    """One row per distinct score, with totals over that score and all above."""
+    positive = F.col(y) == 1
+    return running_totals(
+        df, p, {"pos": F.count_if(positive), "neg": F.count_if(~positive)},
+        descending=True, splits=splits,
     )
+
+
+# Aggregates over the frame above. Pair counts stay whole numbers in decimals.
+
+def _auc() -> Column:
+    """Chance that a positive outranks a negative, ties counting half."""
+    pos, pairs = F.col("pos").cast("decimal(38,0)"), F.sum("pos").cast("double") * F.sum("neg")
+    lost = F.sum(pos * (2 * F.col("run_neg") - F.col("neg"))).cast("double") / 2
+    return (pairs - lost) / F.nullif(pairs, F.lit(0.0))
+
+
+def _average_precision() -> Column:
+    """Sum over distinct scores, best first, of recall gained times precision."""
+    seen = (F.col("run_pos") + F.col("run_neg")).cast("double")
+    gained = F.sum(F.col("pos") * (F.col("run_pos") / seen))
+    return gained / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))
+
+
+def _brier(p: str) -> Column:
+    miss = F.col("pos") * F.pow(1 - F.col(p), F.lit(2)) + F.col("neg") * F.pow(F.col(p), F.lit(2))
+    return F.sum(miss) / F.nullif(F.sum(F.col("pos") + F.col("neg")).cast("double"), F.lit(0.0))
+
+
+def _matrix_columns() -> list[Column]:
+    """The 2x2 matrix and its metrics from n, positives, hit and tp."""
+    tp, fp = F.col("tp"), F.col("hit") - F.col("tp")
+    fn = F.col("positives") - tp
+    tn = F.col("n") - F.col("positives") - fp
+    return [
+        tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
+        F.try_divide((tp + tn).cast("double"), F.col("n")).alias("accuracy"),
+        ratio_or_zero(tp, F.col("hit")).alias("precision"),
+        ratio_or_zero(tp, F.col("positives")).alias("recall"),
+    ]
+
+
+def _per_threshold(counted: DataFrame, thresholds: Thresholds, extra: Sequence[str] = ()) -> DataFrame:
+    """Turn the one row of ``counted`` (hit0, tp0, hit1, ...) into one per threshold."""
+    named = isinstance(thresholds, dict)
+    names, values = (thresholds.keys(), thresholds.values()) if named else ((), thresholds)
+    names = list(names)
     rows = F.array(
         *[
             F.struct(
-                *([F.lit(policies[i]).alias("policy")] if policies else []),
-                F.lit(float(t)).alias("threshold"), F.col("n"), F.col("positives"),
-                F.col(f"hit{i}").alias("hit"), F.col(f"tp{i}").alias("tp"),
+                *([F.lit(names[i]).alias("policy")] if named else []),
+                F.lit(float(t)).alias("threshold"),
+                *[F.coalesce(c, F.lit(0)).alias(n) for n, c in (
+                    ("n", F.col("n")), ("positives", F.col("positives")),
+                    ("hit", F.col(f"hit{i}")), ("tp", F.col(f"tp{i}")))],
+                *[F.col(c) for c in extra],
             )
-            for i, t in enumerate(thresholds)
+            for i, t in enumerate(values)
         ]
     )
-    tp, fp = F.col("tp"), F.col("hit") - F.col("tp")
-    fn, tn = F.col("positives") - F.col("tp"), F.col("n") - F.col("positives") - F.col("hit") + F.col("tp")
-    return counts.select(F.inline(rows)).select(
-        *(["policy"] if policies else []), "threshold", tn.alias("tn"), fp.alias("fp"), fn.alias("fn"), tp.alias("tp"),
-        F.try_divide((tp + tn).cast("double"), F.col("n")).alias("accuracy"),
-        ratio_or_zero(tp, F.col("hit")).alias("precision"),
-        ratio_or_zero(tp, F.col("positives")).alias("recall"),
+    return counted.select(F.inline(rows)).select(
+        *(["policy"] if named else []), "threshold", *_matrix_columns(), *extra
     )
 
 
-def _by_score(df: DataFrame, y: str, p: str, splits, descending: bool) -> DataFrame:
-    return running_totals(
-        df, p,
-        {"pos": F.count_if(F.col(y) == 1), "all": F.count(F.lit(1))},
-        descending=descending, splits=splits,
-    )
+def _values(thresholds: Thresholds) -> list[float]:
+    return [float(t) for t in (thresholds.values() if isinstance(thresholds, dict) else thresholds)]
 
 
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p", splits=None) -> DataFrame:
-    """Chance that a positive outranks a negative, ties counting half.
+def confusion(df: DataFrame, thresholds: Thresholds, y: str = "y", p: str = "p") -> DataFrame:
+    """Counts and threshold metrics, one row per threshold, in one aggregate.
 
-    NULL when a class is absent.
+    Named thresholds ({policy: value}) also carry their name.
     """
-    ranked = _by_score(df, y, p, splits, descending=False)
-    neg = F.col("all") - F.col("pos")
-    neg_below = F.col("run_all") - F.col("run_pos") - neg
-    # Halved at the end, so the sum stays in integers until it is very large.
-    wins = F.sum(F.col("pos").cast("decimal(38,0)") * (2 * neg_below + neg))
-    pairs = F.sum("pos").cast("double") * F.sum(neg).cast("double")
-    return ranked.agg((wins.cast("double") / 2 / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    real = F.col(y) == 1
+    hits = [F.col(p) >= t for t in _values(thresholds)]
+    return _per_threshold(
+        df.agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(real).alias("positives"),
+            *[F.count_if(h).alias(f"hit{i}") for i, h in enumerate(hits)],
+            *[F.count_if(h & real).alias(f"tp{i}") for i, h in enumerate(hits)],
+        ),
+        thresholds,
+    )
+
+
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p", splits=None) -> DataFrame:
+    """NULL when a class is absent."""
+    return _by_score(df, y, p, splits).agg(_auc().alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p", splits=None) -> DataFrame:
-    """Sum over distinct scores, best first, of recall gained times precision."""
-    ranked = _by_score(df, y, p, splits, descending=True)
-    total = F.sum("pos").cast("double")
-    step = F.sum(
-        F.col("pos") * (F.col("run_pos").cast("double") / F.col("run_all"))
-    )
-    return ranked.agg((step / F.nullif(total, F.lit(0.0))).alias("avg_precision"))
+    return _by_score(df, y, p, splits).agg(_average_precision().alias("avg_precision"))
 
 
 def brier(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("brier_score"))
 
 
-def evaluate(df: DataFrame, thresholds: Sequence[float] | dict[str, float], y: str = "y", p: str = "p",
+def evaluate(df: DataFrame, thresholds: Thresholds, y: str = "y", p: str = "p",
              splits=None) -> DataFrame:
-    """All metrics, one row per threshold. Ranking metrics repeat per row."""
-    def only(metric: DataFrame):
-        return metric.scalar()
-
-    return confusion(df, thresholds, y, p).withColumns(
-        {
-            "roc_auc": only(roc_auc(df, y, p, splits)),
-            "avg_precision": only(average_precision(df, y, p, splits)),
-            "brier_score": only(brier(df, y, p)),
-        }
+    """All metrics, one row per threshold, from one collapse to distinct scores.
+
+    Ranking metrics do not depend on the threshold and repeat per row.
+    """
+    hits = [F.col(p) >= t for t in _values(thresholds)]
+    both = F.col("pos") + F.col("neg")
+    counted = _by_score(df, y, p, splits).agg(
+        F.sum(both).alias("n"), F.sum("pos").alias("positives"),
+        *[F.sum(F.when(h, both)).alias(f"hit{i}") for i, h in enumerate(hits)],
+        *[F.sum(F.when(h, F.col("pos"))).alias(f"tp{i}") for i, h in enumerate(hits)],
+        _auc().alias("roc_auc"), _average_precision().alias("avg_precision"),
+        _brier(p).alias("brier_score"),
     )
+    return _per_threshold(counted, thresholds, ("roc_auc", "avg_precision", "brier_score"))
 
 
 def evaluation_table(models: dict[str, tuple[DataFrame, float]], splits=None) -> DataFrame:

@@ -97,15 +97,14 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
     return Classifier(Pipeline(stages=stages).fit(with_inputs(df, roles)), roles)
 
 
-def balanced_weights(df: DataFrame, y: str = "y") -> DataFrame:
-    """Each class gets half of the total weight."""
-    counts = df.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos"))
-    ).scalar()
-    n, pos = counts["n"].cast("double"), counts["pos"]
-    return df.withColumn(
-        "weight", F.when(F.col(y) == 1, n / (2 * pos)).otherwise(n / (2 * (counts["n"] - pos)))
-    )
+def balanced_weights(df: DataFrame, y: str = "y") -> tuple[DataFrame, int]:
+    """The frame with a ``weight`` that gives each class half of the total, and
+    its row count. Two counts reach the driver."""
+    n, pos = df.agg(F.count(F.lit(1)), F.count_if(F.col(y) == 1)).first()
+    if pos in (0, n):
+        raise ValueError("both classes are needed")
+    weight = F.when(F.col(y) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
+    return df.withColumn("weight", weight), n
 
 
 def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
@@ -115,13 +114,13 @@ def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
     The total weight equals the row count, so the penalty 1/(C n) reproduces an
     objective of C times the summed loss plus half the squared norm.
     """
-    rows = df.count()
+    weighted, rows = balanced_weights(df)
     model = LogisticRegression(
         labelCol="y", featuresCol="features", weightCol="weight", regParam=1.0 / (c * rows),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
     )
     stages = [*encoder_stages(roles, scale=True), model]
-    return Classifier(Pipeline(stages=stages).fit(balanced_weights(with_inputs(df, roles))), roles)
+    return Classifier(Pipeline(stages=stages).fit(with_inputs(weighted, roles)), roles)
 
 
 def fit_calibrator(out_of_fold: DataFrame) -> IsotonicRegressionModel:

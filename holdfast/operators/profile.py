@@ -10,103 +10,96 @@ from holdfast.functions.cleaning import label_flag
 from holdfast.operators.quantiles import quantiles
 
 
+QUARTILES = ("q1", "median", "q3")
+
+
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: count, missing, distinct, most frequent, moments,
     quartiles and range.
 
-    Exact form: the table is unpivoted and collapsed to (column, value, n), so
-    columns with few values shrink before the shuffle. The approximate form
-    never shuffles values and keeps one bounded sketch per column.
+    Counts and moments are one aggregate without a shuffle. Distinct values, the
+    most frequent one and quartiles come from the exact number of rows per
+    (column, value); columns with few values shrink before that shuffle. The
+    approximate form takes them from bounded sketches in the same aggregate,
+    and leaves the most frequent value out.
     """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    text = [f.name for f in df.schema.fields if f.name not in numeric]
+    text = [c for c in df.columns if c not in numeric]
+    moments = _moments(df, numeric, approximate)
     if approximate:
-        return _profile_sketch(df, numeric, text)
-
-    cells = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                         F.lit(c in numeric).alias("is_numeric"),
-                         F.col(c).cast("string").alias("v"),
-                         (F.col(c).cast("double") if c in numeric
-                          else F.lit(None).cast("double")).alias("x"))
-                for i, c in enumerate(df.columns)
-            ]
-        )
-    )
-    counts = (
-        df.select(cells)
-        .groupBy("position", "column_name", "is_numeric", "v", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    known = F.col("v").isNotNull()
-    n_known = F.sum(F.when(known, F.col("n")))
-    # Most frequent value; the smallest text wins a tie.
-    top = F.min(F.when(known, F.struct((-F.col("n")).alias("less"), F.col("v").alias("v"))))
-    base = counts.groupBy("position", "column_name", "is_numeric").agg(
-        F.coalesce(n_known, F.lit(0)).alias("present"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing"),
-        F.count_if(known).alias("distinct_values"),
-        top.alias("_top"),
-        F.sum(F.col("x") * F.col("n")).alias("_s"),
-    )
-    numbers = counts.where("is_numeric and x is not null")
-    means = base.where("is_numeric and present > 0").select(
-        "column_name", (F.col("_s") / F.col("present")).alias("avg_value")
-    )
-    # Deviations from the mean, so large values do not cancel. One row per column.
-    spread = (
-        numbers.join(F.broadcast(means), "column_name")
-        .groupBy("column_name", "avg_value")
-        .agg(
-            F.sum(F.col("n") * F.pow(F.col("x") - F.col("avg_value"), F.lit(2))).alias("_ss"),
-            F.sum("n").alias("_n"),
-        )
-        .select(
-            "column_name", "avg_value",
-            F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))).alias("std_value"),
-        )
-    )
-    box = quantiles(numbers, "x", [0.25, 0.5, 0.75], ["column_name"], splits=None, weight="n")
-    return (
-        base.join(spread, "column_name", "left")
-        .join(box.drop("n"), "column_name", "left")
-        .select(
-            "position", "column_name", "present", "missing", "distinct_values",
-            F.when(~F.col("is_numeric"), F.col("_top.v")).alias("top_value"),
-            F.when(~F.col("is_numeric"), -F.col("_top.less")).alias("top_count"),
-            F.round("avg_value", 6).alias("avg_value"),
-            F.round("std_value", 6).alias("std_value"),
-            F.col("low").alias("min_value"),
-            *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))],
-            F.col("high").alias("max_value"),
-        )
+        return moments
+    parts = [_text_values(df, text)] if text else []
+    if numeric:
+        parts.append(_numeric_values(df, numeric))
+    values = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # One row per column on both sides.
+    return moments.join(values, "column_name", "left").select(
+        "position", "column_name", "present", "missing",
+        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
+        "top_value", "top_count", "avg_value", "std_value", "min_value", "q1", "median", "q3",
+        "max_value",
     )
 
 
-def _profile_sketch(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
-    """One aggregate without a shuffle of values; distinct counts and quartiles
-    are approximate, and the most frequent value is not reported."""
+def _moments(df: DataFrame, numeric: Sequence[str], approximate: bool) -> DataFrame:
     rows = []
     for i, c in enumerate(df.columns):
         x = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+        sketches = []
+        if approximate:
+            q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+            sketches = [F.approx_count_distinct(c).alias("distinct_values"),
+                        *[q[j].alias(n) for j, n in enumerate(QUARTILES)]]
         rows.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c).alias("column_name"),
                 F.count(c).alias("present"), F.count_if(F.col(c).isNull()).alias("missing"),
-                F.approx_count_distinct(c).alias("distinct_values"),
                 F.round(F.avg(x), 6).alias("avg_value"),
                 F.round(F.stddev_samp(x), 6).alias("std_value"),
-                F.min(x).alias("min_value"),
-                *[q[j].alias(n) for j, n in enumerate(("q1", "median", "q3"))],
-                F.max(x).alias("max_value"),
+                F.min(x).alias("min_value"), F.max(x).alias("max_value"), *sketches,
             )
         )
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
+def _value_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """(column_name, v, n) for the known values of all columns, in one scan."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("v")) for c in columns]
+    )
+    return (
+        df.select(F.inline(cells))
+        .where("v is not null")
+        .groupBy("column_name", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _text_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    # Most frequent value; the smallest text wins a tie.
+    top = F.min(F.struct((-F.col("n")).alias("less"), F.col("v").alias("v"))).alias("top")
+    return (
+        _value_counts(df, columns, "string")
+        .groupBy("column_name")
+        .agg(F.count(F.lit(1)).alias("distinct_values"), top)
+        .select(
+            "column_name", "distinct_values", F.col("top.v").alias("top_value"),
+            (-F.col("top.less")).alias("top_count"),
+            *[F.lit(None).cast("double").alias(q) for q in QUARTILES],
+        )
+    )
+
+
+def _numeric_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    counts = _value_counts(df, columns, "double")
+    box = quantiles(counts, "v", [0.25, 0.5, 0.75], ["column_name"], splits=None, weight="n")
+    return box.select(
+        "column_name", "distinct_values",
+        F.lit(None).cast("string").alias("top_value"), F.lit(None).cast("bigint").alias("top_count"),
+        *[F.round(F.col("q")[i], 6).alias(q) for i, q in enumerate(QUARTILES)],
+    )
+
+
 def most_missing(df: DataFrame, rows: int = 5) -> DataFrame:
     """The columns with most NULLs, in one scan."""
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

@@ -11,7 +11,7 @@ from holdfast.operators.ordered import running_totals
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequence[str] = (),
               splits: Sequence[float] | None = (), weight: str | None = None) -> DataFrame:
-    """Per group: ``low``, ``high``, ``n`` and the array ``q`` of quantiles.
+    """Per group: ``low``, ``high``, ``n``, ``distinct_values`` and the quantiles ``q``.
 
     A quantile is read at rank prob * (n - 1), linearly between the two
     neighbouring values. NULLs are left out. ``splits`` as in running_totals:
@@ -41,7 +41,8 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequenc
             value_at(F.ceil(rank)).alias(f"_hi{i}"),
         ]
     picked = ranked.groupBy(*within).agg(
-        F.min("_v").alias("low"), F.max("_v").alias("high"), F.max("n").alias("n"), *picks
+        F.min("_v").alias("low"), F.max("_v").alias("high"), F.max("n").alias("n"),
+        F.count(F.lit(1)).alias("distinct_values"), *picks
     )
     points = []
     for i, prob in enumerate(probs):
@@ -49,4 +50,4 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequenc
         part = rank - F.floor(rank)
         # This form returns the value itself when both neighbours are equal.
         points.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part)
-    return picked.select(*within, "low", "high", "n", F.array(*points).alias("q"))
+    return picked.select(*within, "low", "high", "n", "distinct_values", F.array(*points).alias("q"))

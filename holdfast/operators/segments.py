@@ -6,6 +6,8 @@ or scans its input twice.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast import constants as K
@@ -25,6 +27,12 @@ def _rate(name: str = "churn_rate_pct") -> Column:
     return rate_pct(_churned()).alias(name)
 
 
+def _exactly(value: float) -> Column:
+    """A bound as a decimal: compared with a double, a money column would be
+    cast row by row and the filter would not reach the scan."""
+    return F.lit(Decimal(str(value)))
+
+
 def overall(customers: DataFrame) -> DataFrame:
     lost = F.when(_churned(), F.col("monthly_charges")).otherwise(F.lit(0))
     return customers.agg(
@@ -156,7 +164,7 @@ def by_bundle_depth(customers: DataFrame) -> DataFrame:
 
 def high_bill_by_contract(customers: DataFrame, above: float = 80) -> DataFrame:
     return (
-        customers.where(F.col("monthly_charges") > above)
+        customers.where(F.col("monthly_charges") > _exactly(above))
         .groupBy("contract")
         .agg(_count("high_bill_customers"), _rate())
         .orderBy(F.desc_nulls_first("churn_rate_pct"), "contract")
@@ -192,8 +200,8 @@ def high_value_at_risk(scores: DataFrame, charges_above: float = 90.0,
     """Unlimited sorted report: write it, do not collect it."""
     return (
         scores.where(
-            (F.col("monthly_charges") > charges_above)
-            & (F.col("churn_probability") >= probability_from)
+            (F.col("monthly_charges") > _exactly(charges_above))
+            & (F.col("churn_probability") >= _exactly(probability_from))
         )
         .orderBy(F.desc("monthly_charges"), F.desc("churn_probability"), "customer_id")
         .select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast import constants as K
 from holdfast.functions.numeric import (
-    band_order, banded, mean, money_sum, rate_pct, ratio_or_zero, share,
+    band_order, banded, exact_sum, mean, money_sum, rate_pct, ratio_or_zero, share,
 )
 from holdfast.operators.quantiles import quantiles
 
@@ -36,10 +36,10 @@ def customer_view(customers: DataFrame, scores: DataFrame, key: str = "customer_
     )
 
 
-def _head(customers_name: str = "total_customers") -> list[Column]:
+def _head() -> list[Column]:
     churned = F.col("churn") == "Yes"
     return [
-        F.count(F.lit(1)).alias(customers_name),
+        F.count(F.lit(1)).alias("total_customers"),
         F.count_if(churned).alias("churned_customers"),
         rate_pct(churned).alias("observed_churn_rate_pct"),
     ]
@@ -182,17 +182,28 @@ def charge_quartiles(customers: DataFrame, approximate: bool = False) -> DataFra
 def slicer_rollup(view: DataFrame) -> DataFrame:
     """Every combination of the three report slicers, each sliced or left open.
 
-    A grouping bit of 1 means the slicer is open ("all").
+    Rows are collapsed to the finest combination before the cube, which would
+    otherwise copy every customer eight times. A grouping bit of 1 means the
+    slicer is open ("all").
     """
     slicers = ["senior_citizen", "payment_method", "tenure_band"]
+    finest = view.groupBy(*slicers).agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(F.col("churn") == "Yes").alias("churned_customers"),
+        F.count_if(F.col("is_high_risk") == 1).alias("high_risk_customers"),
+        exact_sum("revenue_at_risk").alias("revenue_at_risk"),
+        exact_sum("clv_at_risk").alias("clv_at_risk"),
+    )
+    counts = ("customers", "churned_customers", "high_risk_customers")
+    rate = 100.0 * F.col("churned_customers") / F.col("customers")
     return (
-        view.cube(*slicers)
+        finest.cube(*slicers)
         .agg(
             F.grouping_id().cast("int").alias("open_slicers"),
-            *_head("customers"),
-            F.count_if(F.col("is_high_risk") == 1).alias("high_risk_customers"),
+            *[F.sum(c).alias(c) for c in counts],
             *_exposure(),
         )
+        .withColumn("observed_churn_rate_pct", F.round(rate, 2))
     )
 
 

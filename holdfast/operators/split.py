@@ -1,8 +1,8 @@
 """Stratified parts of exact size, decided by a hash of the key.
 
-The parts are cut out of the hash order of each class. Three small jobs find
-the cut keys (class totals; which hash bucket each cut falls in; the cut row in
-that bucket). Assigning rows is then a comparison with a few literals: no
+The parts are cut out of the hash order of each class. Two scans of key and
+label find the cut keys (counts per hash bucket, which also say in which bucket
+a cut falls; then the cut row in that bucket). Assigning rows is then a comparison with a few literals: no
 shuffle, the same answer on every run and after any lost executor.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from holdfast import constants as K
@@ -96,43 +97,49 @@ def find_cuts(df: DataFrame, label: str, key: str, quotas: Quotas, seed: int = K
         F.shiftright(h, 64 - BUCKET_BITS).alias("b"),
     )
     buckets = rows.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"))
-    totals = sorted(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect())
-    shares = quotas([n for _, n in totals])
-
-    # (class, position of the last row of a part), numbered from one
-    wanted = []
-    for (value, n), sizes in zip(totals, shares):
-        upto = 0
-        for size in sizes[:-1]:
-            upto += size
-            wanted.append((value, upto, n))
-    inner = [(v, at) for v, at, n in wanted if at > 0]
-    found = {}
-    if inner:
-        upto = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        cum = buckets.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
-        hit = F.lit(False)
-        for value, at in inner:
-            hit = hit | ((F.col("c") == value) & (F.col("lo") < at) & (F.col("hi") >= at))
-        contested = cum.where(hit).select("c", "b", "lo").collect()
-
-        low = F.lit(None).cast("bigint")
-        for r in contested:
-            low = F.when((F.col("c") == r["c"]) & (F.col("b") == r["b"]), r["lo"]).otherwise(low)
-        # A contested bucket is one 65,536th of a class.
-        near = rows.withColumn("lo", low).where(F.col("lo").isNotNull())
-        place = F.row_number().over(Window.partitionBy("c", "b").orderBy("h", "k")) + F.col("lo")
-        last = F.lit(False)
-        for value, at in inner:
-            last = last | ((F.col("c") == value) & (F.col("at") == at))
-        for r in near.withColumn("at", place).where(last).collect():
-            found[(r["c"], r["at"])] = (r["h"], r["k"])
+    # At most 2^BUCKET_BITS rows per class; kept so that one scan fills it.
+    buckets = buckets.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        totals = sorted(map(tuple, buckets.groupBy("c").agg(F.sum("n")).collect()))
+        # (class, number of the last row of a part) for each part but the last
+        wanted = []
+        for (value, _), sizes in zip(totals, quotas([n for _, n in totals])):
+            upto = 0
+            for size in sizes[:-1]:
+                upto += size
+                wanted.append((value, upto))
+        inner = [w for w in wanted if w[1] > 0]
+        found = _cut_rows(rows, buckets, inner) if inner else {}
+    finally:
+        buckets.unpersist()
     by_class = {value: [] for value, _ in totals}
-    for value, at, _ in wanted:
-        by_class[value].append(found.get((value, at)))
+    for cut in wanted:
+        by_class[cut[0]].append(found.get(cut))
     return Cuts(label, key, seed, by_class)
 
 
+def _cut_rows(rows: DataFrame, buckets: DataFrame, wanted: list[tuple]) -> dict:
+    """The (hash, key) standing at each wanted place of its class's hash order."""
+    upto = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    ends = buckets.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
+    holds = F.lit(False)
+    for value, place in wanted:
+        holds = holds | ((F.col("c") == value) & (F.col("lo") < place) & (F.col("hi") >= place))
+    contested = ends.where(holds).select("c", "b", "lo").collect()
+
+    before = F.lit(None).cast("bigint")
+    for r in contested:
+        before = F.when((F.col("c") == r["c"]) & (F.col("b") == r["b"]), r["lo"]).otherwise(before)
+    # A contested bucket is about one 65,536th of a class.
+    near = rows.withColumn("lo", before).where(F.col("lo").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("c", "b").orderBy("h", "k"))
+    last = F.lit(False)
+    for value, place in wanted:
+        last = last | ((F.col("c") == value) & (F.col("place") == place))
+    cut = near.withColumn("place", rank + F.col("lo")).where(last).collect()
+    return {(r["c"], r["place"]): (r["h"], r["k"]) for r in cut}
+
+
 def assign_parts(df: DataFrame, label: str, key: str, quotas: Quotas, seed: int = K.SEED,
                  name: str = "part") -> DataFrame:
     return df.withColumn(name, find_cuts(df, label, key, quotas, seed).part())

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.functions.cleaning import to_table
-from holdfast.operators.keyed import cascade
 from holdfast.operators.semantic import contract_summary, customer_view, kpis
 from holdfast.schema import CUSTOMERS, SCORES
 from holdfast.sources.files import publish_views, read_clean
@@ -26,8 +25,9 @@ def load_customers(spark: SparkSession, raw_path: str, root: str) -> int:
 
 
 def semantic_views(customers: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
-    """The three views by name. Scores without a customer do not appear."""
-    view = customer_view(customers, cascade(scores, customers, "customer_id"))
+    """The three views by name. Customers lead the join, so a score whose
+    customer is gone does not appear."""
+    view = customer_view(customers, scores)
     return {
         "v_customer_churn_analytics": view,
         "v_churn_bi_kpis": kpis(view),

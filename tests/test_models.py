@@ -83,7 +83,7 @@ def test_saved_model_scores_alike(spark, boosted, frame, tmp_path):
 
 def test_logistic_fit_is_stationary(frame):
     """The gradient of C * weighted loss + |b|^2 / 2 vanishes at the fit."""
-    weighted = models.balanced_weights(design.with_inputs(frame, TABLE_ROLES))
+    weighted, _ = models.balanced_weights(design.with_inputs(frame, TABLE_ROLES))
     totals = {r.y: r.w for r in weighted.groupBy("y").agg(F.sum("weight").alias("w")).collect()}
     assert totals[0] == pytest.approx(totals[1]) and sum(totals.values()) == pytest.approx(frame.count())
     model = models.fit_logistic(frame, TABLE_ROLES)
