@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+    ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
+    VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from holdfast.functions.features import add_behaviour
@@ -21,9 +23,14 @@ def with_inputs(df: DataFrame, roles: Roles) -> DataFrame:
     return wide.withColumns({c: F.col(c).cast("double") for c in roles.numeric})
 
 
-def encoder_stages(roles: Roles, scale: bool) -> list:
+def encoder_stages(roles: Roles, scale_rows: int | None = None) -> list:
     """Unseen and missing levels fall in an extra slot that is then dropped, so
-    they become all zeros."""
+    they become all zeros.
+
+    ``scale_rows`` is the number of rows fitted on; with it the numerics are
+    scaled by their population deviation. The scaler divides by the n - 1
+    deviation, which one more factor makes up for.
+    """
     cats = list(roles.categorical)
     index, onehot = [f"{c}__ix" for c in cats], [f"{c}__oh" for c in cats]
     stages = [
@@ -31,19 +38,21 @@ def encoder_stages(roles: Roles, scale: bool) -> list:
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True),
     ]
-    if scale:
-        stages += [
-            VectorAssembler(inputCols=list(roles.numeric), outputCol="_numeric"),
-            StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True, withStd=True),
-            VectorAssembler(inputCols=[*onehot, "_scaled"], outputCol="features"),
-        ]
-    else:
-        stages.append(VectorAssembler(inputCols=[*onehot, *roles.numeric], outputCol="features"))
-    return stages
+    if scale_rows is None:
+        return [*stages, VectorAssembler(inputCols=[*onehot, *roles.numeric], outputCol="features")]
+    factor = (scale_rows / (scale_rows - 1)) ** 0.5 if scale_rows > 1 else 1.0
+    return [
+        *stages,
+        VectorAssembler(inputCols=list(roles.numeric), outputCol="_numeric"),
+        StandardScaler(inputCol="_numeric", outputCol="_sample", withMean=True, withStd=True),
+        ElementwiseProduct(inputCol="_sample", outputCol="scaled",
+                           scalingVec=Vectors.dense([factor] * len(roles.numeric))),
+        VectorAssembler(inputCols=[*onehot, "scaled"], outputCol="features"),
+    ]
 
 
-def fit_encoder(df: DataFrame, roles: Roles, scale: bool = False) -> PipelineModel:
-    return Pipeline(stages=encoder_stages(roles, scale)).fit(df)
+def fit_encoder(df: DataFrame, roles: Roles, scale_rows: int | None = None) -> PipelineModel:
+    return Pipeline(stages=encoder_stages(roles, scale_rows)).fit(df)
 
 
 def column_names(model: PipelineModel, roles: Roles) -> list[str]:
@@ -63,11 +72,6 @@ def long_form(encoded: DataFrame, names: Sequence[str], key: str) -> DataFrame:
     )
 
 
-def rescale_to_population(n: int) -> float:
-    """The scaler divides by the n - 1 deviation; multiply by this for n."""
-    return ((n - 1) / n) ** 0.5 if n else 1.0
-
-
 def design_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     rows = with_inputs(df, roles)
     model = fit_encoder(rows, roles)
@@ -75,23 +79,8 @@ def design_matrix(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def scaled_numerics(df: DataFrame, roles: Roles) -> DataFrame:
-    """Numerics less their mean over their population deviation, in long form.
-
-    A constant column stays at zero.
-    """
-    x = {c: F.col(c) for c in roles.numeric}
+    """Key and scaled numerics as the linear model sees them."""
     rows = with_inputs(df, roles)
-    stats = rows.agg(
-        F.struct(*[F.avg(v).alias(f"m_{c}") for c, v in x.items()],
-                 *[F.stddev_pop(v).alias(f"s_{c}") for c, v in x.items()])
-    ).scalar()
-    scaled = rows.withColumn("_s", stats)
-    return scaled.select(
-        roles.key,
-        *[
-            F.coalesce(
-                F.try_divide(v - F.col(f"_s.m_{c}"), F.col(f"_s.s_{c}")), F.lit(0.0)
-            ).alias(c)
-            for c, v in x.items()
-        ],
-    )
+    scaled = fit_encoder(rows, roles, rows.count()).transform(rows)
+    x = vector_to_array("scaled")
+    return scaled.select(roles.key, *[x[i].alias(c) for i, c in enumerate(roles.numeric)])

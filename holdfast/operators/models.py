@@ -93,7 +93,7 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
         featureSubsetStrategy=str(v["column_sample"]), minInstancesPerNode=v["min_rows"],
         minInfoGain=v["min_gain"], maxBins=v.get("bins", 64), seed=seed, checkpointInterval=10,
     )
-    stages = [*encoder_stages(roles, scale=False), trees]
+    stages = [*encoder_stages(roles), trees]
     return Classifier(Pipeline(stages=stages).fit(with_inputs(df, roles)), roles)
 
 
@@ -119,7 +119,7 @@ def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
         labelCol="y", featuresCol="features", weightCol="weight", regParam=1.0 / (c * rows),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
     )
-    stages = [*encoder_stages(roles, scale=True), model]
+    stages = [*encoder_stages(roles, rows), model]
     return Classifier(Pipeline(stages=stages).fit(with_inputs(weighted, roles)), roles)
 
 

@@ -58,6 +58,13 @@ def running_totals(
     return accumulate(keyed, order, list(sums), within, descending, splits)
 
 
+def join_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach one row per group to the group's rows; a NULL key is a group too."""
+    renamed = per_group.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys]
+    return rows.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def accumulate(keyed: DataFrame, order: str, names: Sequence[str], within: Sequence[str] = (),
                descending: bool = False, splits: Sequence[float] = (),
                how: str = "sum") -> DataFrame:
@@ -82,8 +89,10 @@ def accumulate(keyed: DataFrame, order: str, names: Sequence[str], within: Seque
         return keyed.select("*", *[fold(n).over(frame).alias(f"run_{n}") for n in names])
 
     ranged = Bucketizer(
-        splits=[-_INF, *splits, _INF], inputCol="_pos", outputCol="_range"
+        splits=[-_INF, *splits, _INF], inputCol="_pos", outputCol="_range", handleInvalid="keep"
     ).transform(keyed.withColumn("_pos", F.col(order).cast("double"))).drop("_pos")
+    # A NULL key sorts below all others, a NaN above; so must their ranges.
+    ranged = ranged.withColumn("_range", F.when(F.col(order).isNull(), -1.0).otherwise(F.col("_range")))
     inside = up_to_here(along(order, *within, "_range"))
     earlier = along("_range", *within).rowsBetween(Window.unboundedPreceding, -1)
     # One row per (within, range).
@@ -97,6 +106,6 @@ def accumulate(keyed: DataFrame, order: str, names: Sequence[str], within: Seque
         here, offset = fold(n).over(inside), F.coalesce(F.col(f"_o_{n}"), F.lit(neutral))
         return here + offset if how == "sum" else here * offset
 
-    return ranged.join(offsets, [*within, "_range"]).select(
+    return join_groups(ranged, offsets, [*within, "_range"]).select(
         *keyed.columns, *[combined(n).alias(f"run_{n}") for n in names]
     )

@@ -38,7 +38,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
         "top_value", "top_count", "avg_value", "std_value", "min_value", "q1", "median", "q3",
         "max_value",
-    )
+    ).orderBy("position")
 
 
 def _moments(df: DataFrame, numeric: Sequence[str], approximate: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.operators.ordered import running_totals
+from holdfast.operators.ordered import join_groups, running_totals
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequence[str] = (),
@@ -26,7 +26,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequenc
     total = counted.groupBy(*within).agg(F.sum("_n").alias("n"))
     # Few rows: one per group. Without groups it is a single scalar.
     if within:
-        ranked = counted.join(total, within)
+        ranked = join_groups(counted, total, within)
     else:
         ranked = counted.withColumn("n", total.select("n").scalar())
 

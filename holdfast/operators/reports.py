@@ -106,3 +106,15 @@ def score_summary(scores: DataFrame) -> DataFrame:
             "revenue_exposure"
         ),
     )
+
+
+def workbook_tables(customers: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
+    """The data behind the workbook's sheets, by sheet."""
+    return {
+        "contract_summary": contract_workbook(customers, scores),
+        "risk_summary": risk_workbook(scores),
+        "customer_scores": scores.withColumn("contract", F.trim("contract")),
+        "source_data": customers.withColumns(
+            {"churn": title_text("churn"), "contract": F.trim("contract")}
+        ),
+    }

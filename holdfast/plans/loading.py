@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.functions.cleaning import to_table
+from holdfast.operators.reports import workbook_tables
 from holdfast.operators.semantic import contract_summary, customer_view, kpis
 from holdfast.schema import CUSTOMERS, SCORES
-from holdfast.sources.files import publish_views, read_clean
+from holdfast.sources.files import publish_views, read_clean, save_bucketed
 from holdfast.sources.versioned import VersionedTable
 
 
@@ -24,6 +25,19 @@ def load_customers(spark: SparkSession, raw_path: str, root: str) -> int:
     return customer_table(spark, root).upsert(to_table(read_clean(spark, raw_path)))
 
 
+def create_tables(spark: SparkSession, database: str, buckets: int = 200) -> None:
+    """Empty catalog tables for customers and scores, bucketed alike on their
+    key; tables that exist are left alone."""
+    for name, schema in (("customers", CUSTOMERS), ("churn_scores", SCORES)):
+        if not spark.catalog.tableExists(f"{database}.{name}"):
+            save_bucketed(spark.createDataFrame([], schema), f"{database}.{name}", "customer_id", buckets)
+
+
+def write_workbook(customers: DataFrame, scores: DataFrame, path: str) -> None:
+    for sheet, table in workbook_tables(customers, scores).items():
+        table.write.mode("overwrite").parquet(f"{path}/{sheet}")
+
+
 def semantic_views(customers: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
     """The three views by name. Customers lead the join, so a score whose
     customer is gone does not appear."""

@@ -96,3 +96,15 @@ def test_approximate_profile_is_close(spark, sf):
         assert (r.present, r.missing) == (exact[r.column_name].present, exact[r.column_name].missing)
         if r.median is not None:
             assert r.median == pytest.approx(exact[r.column_name].median, rel=0.05)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_groups_and_keys_are_kept(spark, descending):
+    rows = [(None, 1, 1), (None, 2, 2), ("a", None, 4), ("a", 5, 8)]
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    plain, ranged = (
+        sorted(map(repr, running_totals(df, "k", {"v": F.sum("v")}, ["g"], descending, splits).collect()))
+        for splits in ((), (1.5,)))
+    assert plain == ranged and len(plain) == 4
+    q = quantiles(df, "k", [0.5], ["g"])
+    assert {r.g: r.q[0] for r in q.collect()} == {None: 1.5, "a": 5.0}

@@ -121,3 +121,13 @@ def test_no_events(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (2, 0, 0.0)], "tenure int, event int, a double")
     with pytest.raises(ValueError):
         hazard_ratios(df, "tenure", "event", ["a"])
+
+
+def test_survival_job_tables(spark, sf):
+    from holdfast.plans.catalog import customers
+    from holdfast.plans.lifetimes import survival_analysis
+
+    tables = survival_analysis(customers(spark, sf))
+    assert set(tables) == {"curve_overall", "curve_by_contract", "median_survival", "hazard_ratios"}
+    assert tables["median_survival"].count() == 3 and tables["hazard_ratios"].count() == 5
+    assert "lower" in tables["curve_overall"].columns

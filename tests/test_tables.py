@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from conftest import PEOPLE, ROWS
 from holdfast.operators.keyed import KeyConflict, constraint_report
 from holdfast.plans import catalog
-from holdfast.plans.loading import customer_table, load_customers, open_views, score_table
+from holdfast.__main__ import main
+from holdfast.plans.loading import create_tables, customer_table, load_customers, open_views, score_table
 from holdfast.plans.scoring import publish_scores
 from holdfast.schema import CUSTOMERS, SCORES
 from holdfast.sources import files
@@ -159,3 +160,37 @@ def test_constraint_report_finds_what_is_wrong(spark):
            for r in constraint_report(customers, scores).collect() if r.violations}
     assert bad == {("customers", "width", "contract"): 1, ("customers", "unique", "customer_id"): 1,
                    ("churn_scores", "references", "customer_id"): 1}
+
+
+def test_created_tables_are_left_alone(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS fresh LOCATION '{tmp_path}/fresh'")
+    try:
+        create_tables(spark, "fresh", 2)
+        spark.createDataFrame([("a",) + (None,) * 10], SCORES).write.insertInto("fresh.churn_scores")
+        create_tables(spark, "fresh", 2)
+        assert spark.table("fresh.churn_scores").count() == 1
+        assert [f.dataType for f in spark.table("fresh.customers").schema] == [f.dataType for f in CUSTOMERS]
+    finally:
+        spark.sql("DROP DATABASE fresh CASCADE")
+
+
+def test_money_that_does_not_fit_raises(spark):
+    from pyspark.errors import ArithmeticException
+
+    from holdfast.plans.scoring import score_columns
+
+    df = spark.createDataFrame([("a", 1, "x", 1e9, 0.5)],
+                               "customer_id string, tenure int, contract string, monthly_charges double, p double")
+    with pytest.raises(ArithmeticException):
+        score_columns(df, 0.5, "2024-01-01 00:00:00").collect()
+
+
+def test_jobs_from_file_to_workbook(spark, raw_file, tmp_path):
+    root, out = str(tmp_path / "db"), str(tmp_path / "out")
+    main(["load", "--raw", raw_file, "--root", root], spark)
+    main(["workbook", "--root", root, "--out", out], spark)
+    assert spark.read.parquet(f"{out}/source_data").count() == 5
+    summary = spark.read.parquet(f"{out}/contract_summary").orderBy("position").collect()
+    assert [(r.contract, r.source_customers, r.scored_customers) for r in summary] == [
+        ("Month-to-month", 3, 0), ("One year", 1, 0), ("Two year", 1, 0)]
+    assert {r.customers for r in spark.read.parquet(f"{out}/risk_summary").collect()} == {0}
