@@ -16,7 +16,6 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.operators.kernels import explain_rows, explain_totals
@@ -33,15 +32,10 @@ class LeafTables:
 
 
 def _interval(split, left: bool) -> tuple[float, float]:
-    """The values a split sends to one side, as (low, high]."""
-    if split["numCategories"] == -1:
-        cut = split["leftCategoriesOrThreshold"][0]
-        return (-np.inf, cut) if left else (cut, np.inf)
-    if split["numCategories"] != 2:
-        raise ValueError("only numeric and 0/1 features are supported")
-    sent = {int(v) for v in split["leftCategoriesOrThreshold"]}
-    zero_side = (0 in sent) == left
-    return (-np.inf, 0.5) if zero_side else (0.5, np.inf)
+    """The values a split sends to one side, as (low, high]. The design has no
+    nominal columns, so every split is a threshold."""
+    cut = split["leftCategoriesOrThreshold"][0]
+    return (-np.inf, cut) if left else (cut, np.inf)
 
 
 def _leaves(nodes: dict[int, object], scale: float):
@@ -85,14 +79,14 @@ def leaf_tables(spark: SparkSession, model: Classifier) -> LeafTables:
     """Tables from the node rows the model writer saves. Bounded by the model:
     trees times leaves, whatever the data size."""
     path = scratch_path(spark, "trees")
-    model.trees.write().overwrite().save(path)
+    model.model.write().overwrite().save(path)
     nodes: dict[int, dict[int, object]] = {}
     for row in spark.read.parquet(f"{path}/data").collect():
         nodes.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
     by_length: dict[int, list] = {}
     expected = 0.0
     # Log-odds are twice the boosted sum.
-    for tree, weight in enumerate(model.trees.treeWeights):
+    for tree, weight in enumerate(model.model.treeWeights):
         for value, path_ in _leaves(nodes[tree], 2.0 * weight):
             shares = [s for _, _, s in path_.values()]
             expected += value * float(np.prod(shares))
@@ -124,8 +118,7 @@ def tree_attribution(df: DataFrame, model: Classifier) -> DataFrame:
     def explain(batches):
         return explain_rows(batches, shipped.value, names, key)
 
-    rows = model.features(df).select(key, vector_to_array("features").alias("x"))
-    return rows.mapInPandas(explain, f"`{key}` string, feature string, value double, phi double")
+    return model.encoded(df).mapInPandas(explain, f"`{key}` string, feature string, value double, phi double")
 
 
 def global_attribution(df: DataFrame, model: Classifier) -> DataFrame:
@@ -140,8 +133,7 @@ def global_attribution(df: DataFrame, model: Classifier) -> DataFrame:
     def partial(batches):
         return explain_totals(batches, shipped.value, names)
 
-    rows = model.features(df).select(vector_to_array("features").alias("x"))
-    sums = rows.mapInPandas(partial, "feature string, total double, n bigint")
+    sums = model.encoded(df).select("x").mapInPandas(partial, "feature string, total double, n bigint")
     return rank_features(
         sums.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("mean_absolute_attribution"))
     )

@@ -1,17 +1,17 @@
-"""The design matrix: one-hot categories, then numerics, with column names."""
+"""The design matrix: one-hot categories, then numerics, with column names.
+
+A fitted design is a list of levels, and a mean and deviation per numeric
+column if it scales. It encodes with plain column expressions, which stay in
+generated code; one conversion at the end makes the vector Spark ML wants.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (
-    ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel,
-    VectorAssembler,
-)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.functions.features import add_behaviour
 from holdfast.schema import Roles
@@ -23,64 +23,80 @@ def with_inputs(df: DataFrame, roles: Roles) -> DataFrame:
     return wide.withColumns({c: F.col(c).cast("double") for c in roles.numeric})
 
 
-def encoder_stages(roles: Roles, scale_rows: int | None = None) -> list:
-    """Unseen and missing levels fall in an extra slot that is then dropped, so
-    they become all zeros.
-
-    ``scale_rows`` is the number of rows fitted on; with it the numerics are
-    scaled by their population deviation. The scaler divides by the n - 1
-    deviation, which one more factor makes up for.
-    """
-    cats = list(roles.categorical)
-    index, onehot = [f"{c}__ix" for c in cats], [f"{c}__oh" for c in cats]
-    stages = [
-        StringIndexer(inputCols=cats, outputCols=index, handleInvalid="keep",
-                      stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True),
-    ]
-    if scale_rows is None:
-        return [*stages, VectorAssembler(inputCols=[*onehot, *roles.numeric], outputCol="features")]
-    factor = (scale_rows / (scale_rows - 1)) ** 0.5 if scale_rows > 1 else 1.0
-    return [
-        *stages,
-        VectorAssembler(inputCols=list(roles.numeric), outputCol="_numeric"),
-        StandardScaler(inputCol="_numeric", outputCol="_sample", withMean=True, withStd=True),
-        ElementwiseProduct(inputCol="_sample", outputCol="scaled",
-                           scalingVec=Vectors.dense([factor] * len(roles.numeric))),
-        VectorAssembler(inputCols=[*onehot, "scaled"], outputCol="features"),
-    ]
-
-
-def fit_encoder(df: DataFrame, roles: Roles, scale_rows: int | None = None) -> PipelineModel:
-    return Pipeline(stages=encoder_stages(roles, scale_rows)).fit(df)
-
-
-def column_names(model: PipelineModel, roles: Roles) -> list[str]:
-    """Names of the feature vector's positions: <column>_<level>, then numerics."""
-    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
-    levels = indexer.labelsArray
-    return [f"{c}_{lv}" for c, ls in zip(roles.categorical, levels) for lv in ls] + list(roles.numeric)
-
-
-def long_form(encoded: DataFrame, names: Sequence[str], key: str) -> DataFrame:
-    """(key, feature, value) rows of the feature vector."""
-    return encoded.select(
-        key, F.posexplode(vector_to_array("features")).alias("_pos", "value")
-    ).select(
-        key, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_pos") + 1).alias("feature"),
-        "value",
+@dataclass(frozen=True)
+class Design:
+    roles: Roles
+    levels: dict[str, list[str]]
+    scale: dict[str, tuple[float, float]] | None = None
+
+    @property
+    def names(self) -> list[str]:
+        """<column>_<level> for the categories, then the numerics."""
+        hot = [f"{c}_{lv}" for c in self.roles.categorical for lv in self.levels[c]]
+        return hot + list(self.roles.numeric)
+
+    def numeric(self, c: str) -> Column:
+        """A numeric input, scaled if the design scales; a missing one raises."""
+        x = F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} is missing: clean the rows first")))
+        if self.scale is None:
+            return x
+        mean, deviation = self.scale[c]
+        return (x - mean) / deviation
+
+    def row(self) -> Column:
+        """The encoded row as an array. Unseen and missing levels are all zeros."""
+        hot = [
+            F.when(F.col(c) == lv, 1.0).otherwise(0.0)
+            for c in self.roles.categorical for lv in self.levels[c]
+        ]
+        return F.array(*hot, *[self.numeric(c) for c in self.roles.numeric])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The frame and its ``features``; ``df`` has the inputs."""
+        return df.withColumn("features", array_to_vector(self.row()))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        text = json.dumps({"levels": self.levels, "scale": self.scale})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, roles: Roles) -> Design:
+        return cls(roles, **json.loads(spark.read.text(path).first()[0]))
+
+
+def fit_design(df: DataFrame, roles: Roles, scale: bool = False) -> Design:
+    """Levels in alphabetical order, and population mean and deviation of the
+    numerics if asked for, from one aggregate. A constant column scales by 1."""
+    cats, nums = roles.categorical, roles.numeric
+    moments = [f(c).alias(f"{f.__name__}_{c}") for c in nums for f in (F.avg, F.stddev_pop)]
+    found = df.agg(
+        *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cats],
+        *(moments if scale else []),
+    ).first()
+    levels = {c: list(found[c]) for c in cats}
+    if not scale:
+        return Design(roles, levels)
+    return Design(
+        roles, levels,
+        {c: (found[f"avg_{c}"] or 0.0, found[f"stddev_pop_{c}"] or 1.0) for c in nums},
     )
 
 
+def long_form(rows: DataFrame, design: Design) -> DataFrame:
+    """(key, feature, value) for every row and column of the design."""
+    names = F.array(*[F.lit(n) for n in design.names])
+    return rows.select(
+        design.roles.key, F.explode(F.arrays_zip(names.alias("feature"), design.row().alias("value"))).alias("cell")
+    ).select(design.roles.key, "cell.feature", "cell.value")
+
+
 def design_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     rows = with_inputs(df, roles)
-    model = fit_encoder(rows, roles)
-    return long_form(model.transform(rows), column_names(model, roles), roles.key)
+    return long_form(rows, fit_design(rows, roles))
 
 
 def scaled_numerics(df: DataFrame, roles: Roles) -> DataFrame:
     """Key and scaled numerics as the linear model sees them."""
     rows = with_inputs(df, roles)
-    scaled = fit_encoder(rows, roles, rows.count()).transform(rows)
-    x = vector_to_array("scaled")
-    return scaled.select(roles.key, *[x[i].alias(c) for i, c in enumerate(roles.numeric)])
+    design = fit_design(rows, roles, scale=True)
+    return rows.select(roles.key, *[design.numeric(c).alias(c) for c in roles.numeric])

@@ -7,17 +7,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast import constants as K
 from holdfast.functions.cleaning import label_flag
-from holdfast.operators.design import column_names, encoder_stages, with_inputs
+from holdfast.operators.design import Design, fit_design, with_inputs
 from holdfast.operators.split import assign_parts, fold_quotas
 from holdfast.schema import Roles
 from holdfast.session import ensure_checkpoint_dir
@@ -32,49 +31,53 @@ def with_label(df: DataFrame, roles: Roles) -> DataFrame:
 
 @dataclass
 class Classifier:
-    """A fitted pipeline, and the calibrator of its probabilities if it has one."""
+    """A fitted design and model, and the calibrator of the probabilities if any."""
 
-    pipeline: PipelineModel
-    roles: Roles
+    design: Design
+    model: GBTClassificationModel | LogisticRegressionModel
     calibrator: IsotonicRegressionModel | None = None
 
+    @property
+    def roles(self) -> Roles:
+        return self.design.roles
+
+    @property
+    def names(self) -> list[str]:
+        return self.design.names
+
     def raw_probability(self, df: DataFrame) -> DataFrame:
         """The frame with the uncalibrated probability ``p``."""
-        scored = self.pipeline.transform(with_inputs(df, self.roles))
-        return df_with(scored, df.columns, vector_to_array("probability")[1])
+        scored = self.model.transform(self.design.transform(with_inputs(df, self.roles)))
+        return _with_p(scored, df.columns, vector_to_array("probability")[1])
 
     def probability(self, df: DataFrame) -> DataFrame:
         raw = self.raw_probability(df)
         if self.calibrator is None:
             return raw
         out = self.calibrator.transform(raw.withColumnRenamed("p", "raw_p"))
-        return df_with(out, df.columns, F.col("calibrated"))
+        return _with_p(out, df.columns, F.col("calibrated"))
 
-    def features(self, df: DataFrame) -> DataFrame:
-        """The frame with its feature vector, without running the classifier."""
-        encoder = PipelineModel(self.pipeline.stages[:-1])
-        return encoder.transform(with_inputs(df, self.roles))
-
-    @property
-    def names(self) -> list[str]:
-        return column_names(self.pipeline, self.roles)
-
-    @property
-    def trees(self) -> GBTClassificationModel:
-        return self.pipeline.stages[-1]
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """The key and the encoded row ``x``."""
+        return with_inputs(df, self.roles).select(self.roles.key, self.design.row().alias("x"))
 
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.design.save(spark, f"{path}/design")
+        self.model.write().overwrite().save(f"{path}/model")
         if self.calibrator is not None:
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, roles: Roles, calibrated: bool = True) -> Classifier:
-        calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if calibrated else None
-        return cls(PipelineModel.load(f"{path}/pipeline"), roles, calibrator)
+    def load(cls, spark: SparkSession, path: str, roles: Roles, kind: str = "boosted") -> Classifier:
+        """``kind`` is 'boosted' (with a calibrator), 'uncalibrated' or 'logistic'."""
+        reader = LogisticRegressionModel if kind == "logistic" else GBTClassificationModel
+        calibrator = None
+        if kind == "boosted":
+            calibrator = IsotonicRegressionModel.load(f"{path}/calibrator")
+        return cls(Design.load(spark, f"{path}/design", roles), reader.load(f"{path}/model"), calibrator)
 
 
-def df_with(scored: DataFrame, columns: Sequence[str], p) -> DataFrame:
+def _with_p(scored: DataFrame, columns: Sequence[str], p: Column) -> DataFrame:
     return scored.select(*columns, p.alias("p"))
 
 
@@ -93,8 +96,9 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
         featureSubsetStrategy=str(v["column_sample"]), minInstancesPerNode=v["min_rows"],
         minInfoGain=v["min_gain"], maxBins=v.get("bins", 64), seed=seed, checkpointInterval=10,
     )
-    stages = [*encoder_stages(roles), trees]
-    return Classifier(Pipeline(stages=stages).fit(with_inputs(df, roles)), roles)
+    rows = with_inputs(df, roles)
+    design = fit_design(rows, roles)
+    return Classifier(design, trees.fit(design.transform(rows).select("y", "features")))
 
 
 def balanced_weights(df: DataFrame, y: str = "y") -> tuple[DataFrame, int]:
@@ -119,8 +123,9 @@ def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
         labelCol="y", featuresCol="features", weightCol="weight", regParam=1.0 / (c * rows),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
     )
-    stages = [*encoder_stages(roles, rows), model]
-    return Classifier(Pipeline(stages=stages).fit(with_inputs(weighted, roles)), roles)
+    inputs = with_inputs(weighted, roles)
+    design = fit_design(inputs, roles, scale=True)
+    return Classifier(design, model.fit(design.transform(inputs).select("y", "weight", "features")))
 
 
 def fit_calibrator(out_of_fold: DataFrame) -> IsotonicRegressionModel:

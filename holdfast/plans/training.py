@@ -39,8 +39,9 @@ class TrainingRun:
 
     def save(self, path: str, run_id: str) -> None:
         """The models, and the run's small results as tables keyed by run id."""
-        self.model.save(f"{path}/models/{run_id}/{BOOSTED}")
-        self.baseline.save(f"{path}/models/{run_id}/{LOGISTIC}")
+        spark = self.dataset.sparkSession
+        self.model.save(spark, f"{path}/models/{run_id}/{BOOSTED}")
+        self.baseline.save(spark, f"{path}/models/{run_id}/{LOGISTIC}")
         for name in ("candidates", "thresholds", "evaluation", "financial", "misses",
                      "attribution", "dataset"):
             write_record(getattr(self, name), f"{path}/{name}", run_id)

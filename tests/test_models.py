@@ -29,24 +29,35 @@ def boosted(frame):
 
 def test_design_of_the_four_customers(people):
     rows = design.with_inputs(clean(people), RAW_ROLES)
-    model = design.fit_encoder(rows, RAW_ROLES)
-    names = design.column_names(model, RAW_ROLES)
-    out = model.transform(rows).select(vector_to_array("features").alias("x")).collect()
-    assert len(out) == 4 and all(len(r.x) == len(names) for r in out)
-    assert "Contract_Month-to-month" in names and names[-1] == "has_internet_bundle"
+    fitted = design.fit_design(rows, RAW_ROLES)
+    out = rows.select(fitted.row().alias("x")).collect()
+    assert len(out) == 4 and all(len(r.x) == len(fitted.names) for r in out)
+    assert "Contract_Month-to-month" in fitted.names and fitted.names[-1] == "has_internet_bundle"
 
 
-def test_unseen_and_missing_levels_are_all_zeros(spark, people):
+def test_unseen_and_missing_levels_are_all_zeros(people):
     rows = design.with_inputs(clean(people), RAW_ROLES)
-    model = design.fit_encoder(rows, RAW_ROLES)
-    names = design.column_names(model, RAW_ROLES)
-    contract = [i for i, n in enumerate(names) if n.startswith("Contract_")]
+    fitted = design.fit_design(rows, RAW_ROLES)
+    contract = [i for i, n in enumerate(fitted.names) if n.startswith("Contract_")]
     for odd in ("Weekly", None):
-        row = model.transform(rows.limit(1).withColumn("Contract", F.lit(odd).cast("string")))
-        x = row.select(vector_to_array("features")).first()[0]
+        row = rows.limit(1).withColumn("Contract", F.lit(odd).cast("string"))
+        x = row.select(fitted.row()).first()[0]
         assert [x[i] for i in contract] == [0, 0, 0]
 
 
+def test_missing_number_raises(people):
+    rows = design.with_inputs(clean(people), RAW_ROLES)
+    fitted = design.fit_design(rows, RAW_ROLES)
+    with pytest.raises(Exception, match="clean the rows first"):
+        rows.withColumn("tenure", F.lit(None).cast("double")).select(fitted.row()).collect()
+
+
+def test_constant_column_scales_to_zero(people):
+    rows = design.with_inputs(clean(people), RAW_ROLES).withColumn("tenure", F.lit(7.0))
+    fitted = design.fit_design(rows, RAW_ROLES, scale=True)
+    assert [r[0] for r in rows.select(fitted.numeric("tenure")).collect()] == [0, 0, 0, 0]
+
+
 def test_fifty_one_columns(spark, sf):
     long = catalog.q_design_matrix(spark, sf)
     assert long.select("feature").distinct().count() == 51
@@ -75,8 +86,8 @@ def test_calibrated_pipeline_on_replicated_customers(spark, people):
 
 
 def test_saved_model_scores_alike(spark, boosted, frame, tmp_path):
-    boosted.save(str(tmp_path))
-    again = models.Classifier.load(spark, str(tmp_path), TABLE_ROLES, calibrated=False)
+    boosted.save(spark, str(tmp_path))
+    again = models.Classifier.load(spark, str(tmp_path), TABLE_ROLES, "uncalibrated")
     before, after = (m.probability(frame).orderBy("customer_id").select("p").collect() for m in (boosted, again))
     assert before == after and again.names == boosted.names
 
@@ -87,8 +98,8 @@ def test_logistic_fit_is_stationary(frame):
     totals = {r.y: r.w for r in weighted.groupBy("y").agg(F.sum("weight").alias("w")).collect()}
     assert totals[0] == pytest.approx(totals[1]) and sum(totals.values()) == pytest.approx(frame.count())
     model = models.fit_logistic(frame, TABLE_ROLES)
-    fitted = model.pipeline.stages[-1]
-    rows = model.pipeline.transform(weighted).select(
+    fitted = model.model
+    rows = fitted.transform(model.design.transform(weighted)).select(
         vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"), "y", "weight").collect()
     x = np.array([r.x for r in rows])
     slope = x.T @ np.array([r.weight * (r.p - r.y) for r in rows]) + fitted.coefficients.toArray()
@@ -129,21 +140,19 @@ def test_attributions_add_up_to_the_log_odds(spark, boosted, frame):
 def test_attribution_against_all_coalitions(spark, boosted, frame):
     """Per tree and row, by walking the tree for every coalition."""
     path = f"{catalog.scratch_path(spark, 'test')}"
-    boosted.trees.save(path)
+    boosted.model.save(path)
     nodes = {}
     for r in spark.read.parquet(f"{path}/data").collect():
         nodes.setdefault(r.treeID, {})[r.nodeData.id] = r.nodeData
-    row = boosted.features(frame).orderBy("customer_id").select(vector_to_array("features").alias("x")).first().x
+    row = boosted.encoded(frame).orderBy("customer_id").first().x
 
     def walk(tree, node, x, known):
         n = nodes[tree][node]
         if n.leftChild < 0:
             return n.prediction
         s = n.split
-        if s.numCategories == -1:
-            left = x[s.featureIndex] <= s.leftCategoriesOrThreshold[0]
-        else:
-            left = x[s.featureIndex] in s.leftCategoriesOrThreshold
+        assert s.numCategories == -1
+        left = x[s.featureIndex] <= s.leftCategoriesOrThreshold[0]
         if s.featureIndex in known:
             return walk(tree, n.leftChild if left else n.rightChild, x, known)
         return sum(walk(tree, c, x, known) * nodes[tree][c].rawCount for c in (n.leftChild, n.rightChild)) / n.rawCount
@@ -151,7 +160,7 @@ def test_attribution_against_all_coalitions(spark, boosted, frame):
     got = kernels.explain_block(np.array([row]), leaf_tables(spark, boosted).groups)[0]
     used = sorted({n.split.featureIndex for t in nodes.values() for n in t.values() if n.leftChild >= 0})
     want = np.zeros(len(row))
-    for tree, weight in enumerate(boosted.trees.treeWeights):
+    for tree, weight in enumerate(boosted.model.treeWeights):
         mine = sorted({n.split.featureIndex for n in nodes[tree].values() if n.leftChild >= 0})
         for f in mine:
             rest = [g for g in mine if g != f]
