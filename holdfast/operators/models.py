@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from holdfast import constants as K
 from holdfast.functions.cleaning import label_flag
 from holdfast.operators.design import Design, fit_design, with_inputs
+from holdfast.operators.evaluate import evaluate
 from holdfast.operators.split import assign_parts, fold_quotas
 from holdfast.schema import Roles
 from holdfast.session import ensure_checkpoint_dir
 
 SCORE_GRID = 1_000_000
-MAX_PARALLEL_FITS = 4
+PARALLEL_FITS = 4
 
 
 def with_label(df: DataFrame, roles: Roles) -> DataFrame:
@@ -137,17 +138,26 @@ def fit_calibrator(out_of_fold: DataFrame) -> IsotonicRegressionModel:
     points = (
         out_of_fold.groupBy((F.round(F.col("p") * SCORE_GRID) / SCORE_GRID).alias("raw_p"))
         .agg(F.avg("y").alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return IsotonicRegression(
-        featuresCol="raw_p", labelCol="rate", weightCol="w", predictionCol="calibrated",
-        isotonic=True,
-    ).fit(points)
+    try:
+        return IsotonicRegression(
+            featuresCol="raw_p", labelCol="rate", weightCol="w", predictionCol="calibrated",
+            isotonic=True,
+        ).fit(points)
+    finally:
+        points.unpersist()
 
 
 def run_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
-    """A few independent fits at a time; Spark shares the executors."""
+    """A few independent fits at a time; Spark shares the executors.
+
+    Each fit caches its own encoded rows. Where one fills the cluster's memory,
+    set spark.holdfast.parallelFits to 1.
+    """
     inherit = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(max_workers=MAX_PARALLEL_FITS) as pool:
+    workers = int(spark.conf.get("spark.holdfast.parallelFits", str(PARALLEL_FITS)))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
         futures = [pool.submit(inherit(job)) for job in jobs]
         return [f.result() for f in futures]
 
@@ -182,13 +192,13 @@ def candidate_results(fit: DataFrame, valid: DataFrame, roles: Roles,
                       candidates: Iterable[dict] = K.BOOSTING_CANDIDATES,
                       seed: int = K.SEED) -> DataFrame:
     """Validation accuracy at 0.50 and ranking quality, one row per candidate."""
-    from holdfast.operators.evaluate import evaluate
-
     candidates = list(candidates)
 
     def assess(i: int):
-        scored = fit_boosted(fit, roles, candidates[i], seed).raw_probability(valid)
+        model = fit_boosted(fit, roles, candidates[i], seed)
+        scored = model.raw_probability(valid).select("y", "p").persist(StorageLevel.MEMORY_AND_DISK)
         row = evaluate(scored, [0.5]).select("accuracy", "roc_auc").first()
+        scored.unpersist()
         return i, row["accuracy"], row["roc_auc"]
 
     rows = run_parallel(fit.sparkSession, [lambda i=i: assess(i) for i in range(len(candidates))])

@@ -65,7 +65,11 @@ class VersionedTable:
         log = self.spark.read.schema(self.schema).parquet(
             *[f"{self._delta_root(version)}/{d}" for d in deltas]
         )
-        return latest_per_key(base.unionByName(log), self.key, self.order)
+        # Only customers the log names are compared; the rest of the table is
+        # passed through, without a shuffle while the log is small.
+        known = base.join(log.select(self.key), self.key, "left_semi").select(*base.columns)
+        newest = latest_per_key(log.unionByName(known), self.key, self.order)
+        return merge_rows(base, newest, self.key)
 
     def _publish(self, rows: DataFrame) -> None:
         target = self._version_path(self.version() + 1)
@@ -74,14 +78,18 @@ class VersionedTable:
     def replace(self, rows: DataFrame) -> None:
         self._publish(rows)
 
-    def upsert(self, staged: DataFrame, on_duplicate: str = "error") -> int:
-        """Insert new keys, overwrite known ones; returns the staged row count.
+    def upsert(self, rows: DataFrame, on_duplicate: str = "error") -> int:
+        """Insert new keys, overwrite known ones; returns the incoming row count.
 
         ``on_duplicate='error'`` refuses a batch that holds a key twice,
-        ``'latest'`` keeps the row with the greatest order column.
+        ``'latest'`` keeps the row with the greatest order column. The batch is
+        staged as Parquet first: it is computed once, and the check and the
+        anti-join then read its key column only.
         """
-        staged = conform(staged, self.schema)
-        rows, most = staged.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).agg(
+        staging = f"{self.root}/staging"
+        conform(rows, self.schema).write.mode("overwrite").parquet(staging)
+        staged = self.spark.read.schema(self.schema).parquet(staging)
+        count, most = staged.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).agg(
             F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
         ).first()
         if on_duplicate == "latest":
@@ -89,7 +97,7 @@ class VersionedTable:
         elif most > 1:
             raise KeyConflict(f"a key occurs more than once in one batch ({self.key})")
         self._publish(merge_rows(self.read(), staged, self.key))
-        return rows
+        return count
 
     def append_delta(self, rows: DataFrame, batch_id: int) -> None:
         """Add one batch; writing the same batch id again replaces it."""

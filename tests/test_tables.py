@@ -100,9 +100,13 @@ def test_delta_replay_and_compaction(spark, sf, tmp_path):
         "scored_at", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
     table.append_delta(later, 0)
     table.append_delta(later, 0)
+    # A row older than the table's own does not win.
+    table.append_delta(scores.where("risk_level = 'Low'").withColumn(
+        "scored_at", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")), 1)
     before = sorted(map(repr, table.read().collect()))
     assert len(before) == scores.count()
     assert table.read().where("year(scored_at) = 2025").count() == later.count()
+    assert table.read().where("year(scored_at) = 2020").count() == 0
     table.compact()
     assert sorted(map(repr, table.read().collect())) == before
     assert table.version() == 2
