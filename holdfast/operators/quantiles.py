@@ -10,12 +10,12 @@ from holdfast.operators.ordered import join_groups, running_totals
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], within: Sequence[str] = (),
-              splits: Sequence[float] | None = (), weight: str | None = None) -> DataFrame:
+              splits: Sequence[float] | None = None, weight: str | None = None) -> DataFrame:
     """Per group: ``low``, ``high``, ``n``, ``distinct_values`` and the quantiles ``q``.
 
     A quantile is read at rank prob * (n - 1), linearly between the two
     neighbouring values. NULLs are left out. ``splits`` as in running_totals:
-    pass ``None`` for values without a small domain.
+    ``()`` is for values of a small domain.
     """
     within = list(within)
     rows = F.sum(weight) if weight else F.count(F.lit(1))

@@ -32,12 +32,13 @@ def _risk_table(df: DataFrame, duration: str, event: str, within: Sequence[str],
 
 def kaplan_meier(df: DataFrame, duration: str = "tenure", event: str = "event",
                  within: Sequence[str] = (), weight: str | None = None,
-                 band: bool = False, splits: Sequence[float] = ()) -> DataFrame:
+                 band: bool = False, splits: Sequence[float] | None = None) -> DataFrame:
     """Survival after each distinct time, per stratum.
 
     Rows collapse to distinct times before anything is ordered, so a stratum
-    with most of the rows is no larger than one with few. Durations in whole
-    months or days are few; pass ``splits=None`` for any others.
+    with most of the rows is no larger than one with few. Durations known to be
+    few (capped months, days of a calendar) may pass ``splits=()``, which saves
+    the look at how many there are.
     """
     within = list(within)
     if splits is None:
@@ -107,7 +108,7 @@ class HazardFit:
 
     def __init__(self, df: DataFrame, duration: str, event: str, covariates: Sequence[str],
                  max_iter: int = 50, tolerance: float = 1e-9,
-                 splits: Sequence[float] | None = ()):
+                 splits: Sequence[float] | None = None):
         self.names = list(covariates)
         self.k = len(self.names)
         self.max_iter, self.tolerance = max_iter, tolerance

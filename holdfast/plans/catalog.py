@@ -205,6 +205,7 @@ def q_dummies(spark, sf_dir):
 
 
 def q_calibration_curve(spark, sf_dir):
+    # Scores of four places: at most 10,001 values.
     return evaluate.calibration_curve(evaluation(spark, sf_dir), splits=())
 
 
@@ -233,14 +234,17 @@ def q_score_columns(spark, sf_dir):
 def q_survival(within=(), band=False):
     def run(spark, sf_dir):
         c = customers(spark, sf_dir).withColumn("event", label_flag("churn"))
-        return rounded(survival.kaplan_meier(c, "tenure", "event", within, band=band), 9)
+        # Tenure is capped at 72 months, so its values are few.
+        return rounded(survival.kaplan_meier(c, "tenure", "event", within, band=band, splits=()), 9)
 
     return run
 
 
 def q_km_median(spark, sf_dir):
     c = customers(spark, sf_dir).withColumn("event", label_flag("churn"))
-    return survival.median_survival(survival.kaplan_meier(c, within=["contract"]), ["contract"])
+    return survival.median_survival(
+        survival.kaplan_meier(c, within=["contract"], splits=()), ["contract"]
+    )
 
 
 def q_km_reorder(spark, sf_dir):

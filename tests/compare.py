@@ -49,3 +49,7 @@ def kinds(con, df, sql):
              for f in df.schema.fields}
     duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     return spark, duck
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()

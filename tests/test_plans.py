@@ -2,24 +2,9 @@
 
 import re
 
-import pytest
-
-import __spark_entry__ as driver
+from compare import plan
 from holdfast.plans import catalog
 
-QUERIES = driver.queries()
-RELATIONAL = sorted(set(driver.oracle_sql()))
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", RELATIONAL)
-def test_no_cartesian_product(spark, sf, name):
-    text = plan(QUERIES[name](spark, sf))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
 
 def test_missing_services_scans_its_input_once(spark, sf):
     table = catalog.presented(catalog.customers(spark, sf))

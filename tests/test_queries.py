@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
-from compare import connect, duck_rows, kinds, spark_rows
+from compare import connect, duck_rows, kinds, plan, spark_rows
 
 QUERIES, CHECKS = driver.queries(), driver.oracle_sql()
 # Run by the tests of their own module; here they would only repeat the fits.
@@ -26,6 +26,8 @@ def test_matches_sql(spark, sf, con, name):
     assert spark_rows(df) == duck_rows(con, CHECKS[name])
     ours, theirs = kinds(con, df, CHECKS[name])
     assert ours == theirs
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_entry(spark):
