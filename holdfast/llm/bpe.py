@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -82,8 +82,15 @@ class Vocabulary:
 
 
 def encode(docs: DataFrame, text: str, vocabulary: Vocabulary, keep: Sequence[str] = (),
-           into: str = "ids", chunk_chars: int = CHUNK_CHARS, buckets: int = BUCKETS) -> DataFrame:
-    """``keep`` columns and the token ids of the whole text, as ``array<int>``."""
+           into: str = "ids", chunk_chars: int = CHUNK_CHARS, buckets: int = BUCKETS,
+           finish: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]] | None = None,
+           schema: T.StructType | str | None = None) -> DataFrame:
+    """``keep`` columns and the token ids of the whole text, as ``array<int>``.
+
+    ``finish()`` gives a function of such batches whose result, of the given
+    ``schema``, is returned in their place: what is derived from the ids then
+    needs no pass of its own.
+    """
     kept = [c for c in keep if c.lower() != into.lower()]
     slim = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)],
                        quoted(text).cast("string").alias("text"))
@@ -92,14 +99,18 @@ def encode(docs: DataFrame, text: str, vocabulary: Vocabulary, keep: Sequence[st
         chunks.repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(_encoder(vocabulary), ROWS)
     )
-    schema = T.StructType([
+    lay_out = _assembler(len(kept), buckets, [*kept, into])
+    own = T.StructType([
         *[T.StructField(c, docs.schema[c].dataType) for c in kept],
         T.StructField(into, T.ArrayType(T.IntegerType())),
     ])
-    return (
-        coded.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-        .mapInArrow(_assembler(len(kept), buckets, [f.name for f in schema.fields]), schema)
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = finish() if finish else None
+        for batch in lay_out(batches):
+            yield done(batch) if done else batch
+
+    return coded.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, schema or own)
 
 
 def decode(encoded: DataFrame, ids: str, vocabulary: Vocabulary, into: str = "decoded") -> DataFrame:
@@ -129,9 +140,9 @@ def token_text(lists: pa.ListArray, tokens: pa.Array) -> list[bytes | None]:
     known = pa.compute.fill_null(known, False)
     found = tokens.take(pa.compute.if_else(known, flat, pa.scalar(None, flat.type)))
     missing = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])
-    sizes = pa.compute.fill_null(pa.compute.binary_length(found), 0)
-    ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)])
-    data = b"".join(pa.compute.fill_null(found, b"").to_pylist()) if len(found) else b""
+    filled = pa.compute.fill_null(found, b"")
+    ends = np.frombuffer(filled.buffers()[1], np.int32)[filled.offset:filled.offset + len(filled) + 1] if len(filled) else [0]
+    data = memoryview(filled.buffers()[2] or b"") if len(filled) else b""
     out: list[bytes | None] = []
     at = 0
     for length in pa.compute.list_value_length(lists).to_pylist():
@@ -139,7 +150,7 @@ def token_text(lists: pa.ListArray, tokens: pa.Array) -> list[bytes | None]:
             out.append(None)
             continue
         whole = missing[at + length] == missing[at]
-        out.append(data[ends[at]:ends[at + length]] if whole else None)
+        out.append(bytes(data[ends[at]:ends[at + length]]) if whole else None)
         at += length
     return out
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -72,28 +71,29 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokens_digest(encoded: DataFrame, vocabulary: bpe.Vocabulary) -> DataFrame:
-    """Digests of the ids, and of the bytes that decoding them gives back."""
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Digests of each text's ids, and of the bytes that decoding them gives back."""
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+    def finish():
+        tokens = vocabulary.token_bytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(1), batch.column(2).to_pylist()
+        def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column(1)
+            texts = bpe.token_text(ids, tokens)
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)
-            parts = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-            yield pa.record_batch({
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            return pa.record_batch({
                 "doc_id": batch.column(0), "n_tokens": pa.array(sizes, pa.int64()),
-                "ids_sha256": pa.array([sha256(p.tobytes()).hexdigest() for p in parts], pa.string()),
+                "ids_sha256": pa.array([sha256(p).hexdigest() for p in parts], pa.string()),
                 "decoded_sha256": pa.array([sha256(t).hexdigest() for t in texts], pa.string()),
             })
 
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), "ids", vocabulary)
-    return decoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        return digests
 
-
-def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return tokens_digest(bpe.encode(docs, "text", vocabulary, keep=["doc_id"]), vocabulary)
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode(docs, "text", vocabulary, keep=["doc_id"], finish=finish, schema=schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
