@@ -114,8 +114,9 @@ def mix(docs: DataFrame, key: str, text: str, levels: Sequence[tuple[str, Column
     names = [n for n, _ in levels]
     kept = without(docs, ["n_tokens", "copies"])
     own = {c.lower() for c in kept}
+    # Inside, the input's columns go by number, so that no name is in the way.
     rows = docs.select(
-        *[quoted(c) for c in kept],
+        *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)],
         *[F.coalesce(e.cast("string"), F.lit("")).alias(f"__l{i}") for i, (_, e) in enumerate(levels)],
         word_count(quoted(text).cast("string")).alias("__n"),
         F.coalesce(quoted(key).cast("string"), F.lit("")).alias("__key"),
@@ -170,6 +171,7 @@ def mix(docs: DataFrame, key: str, text: str, levels: Sequence[tuple[str, Column
         .join(taken, [*in_leaf(at, [f"t_{c}" for c in q]), F.col("__key") == F.col("k")], "left")
         .withColumn("copies", (F.col("whole") + F.when(partial, 1).otherwise(0)).cast("bigint"))
         .where("copies > 0")
-        .select(*[quoted(c) for c in kept], *[F.col(a).alias(n) for a, n in zip(at, names) if n.lower() not in own],
+        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
+                *[F.col(a).alias(n) for a, n in zip(at, names) if n.lower() not in own],
                 F.col("__n").alias("n_tokens"), "copies")
     )

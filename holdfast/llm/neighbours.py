@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from holdfast.llm.common import finite_vectors, matrix, padded, staged, whole_groups
 
 PART = 4096
+HOME = 16_384           # nodes that are refined together, so that they share what they fetch
 MOST_PIVOTS = 2048      # of one partition; the sample they come from is bounded by it
 PARTITIONS = 8
 DEGREE = 32
@@ -74,15 +75,16 @@ def singles(column, width: int) -> np.ndarray:
 # --- first lists -----------------------------------------------------------
 
 def parted(nodes: DataFrame, width: int, seed: int) -> tuple[DataFrame, np.ndarray]:
-    """(z, part, id, v): each node's part in each rough partition; the pivots of partition 0."""
+    """(z, part, id, v): each node's home (z = 0) and its part in each rough
+    partition; and a bounded sample of nodes, the pivots among them."""
     count = nodes.count()
-    pivots = min(MOST_PIVOTS, max(1, count // PART))
-    wanted = pivots * PARTITIONS
+    sizes = [HOME] + [PART] * PARTITIONS
+    pivots = [min(MOST_PIVOTS, max(1, count // size)) for size in sizes]
     # The smallest hashes are a sample of a fixed size.
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(wanted, 64)).select("v").collect()
+    sample = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sum(pivots), 64)).select("v").collect()
     table = np.array([r[0] for r in sample], np.float32).reshape(-1, width)
-    sets = [table[z * pivots:(z + 1) * pivots] for z in range(PARTITIONS)]
-    sets = [s if len(s) else table[:pivots] for s in sets]
+    ends = np.cumsum([0, *pivots])
+    sets = [table[a:b] if b <= len(table) else table[:1] for a, b in zip(ends, ends[1:])]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +99,12 @@ def parted(nodes: DataFrame, width: int, seed: int) -> tuple[DataFrame, np.ndarr
                 })
 
     rough = staged(nodes.mapInArrow(assign, "z int, pivot int, id bigint, v binary"), "parts")
-    sizes = rough.groupBy("z", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    split = F.pmod(F.xxhash64("id", "z"), F.ceil(F.col("n") / F.lit(PART)))
-    return rough.join(sizes, ["z", "pivot"]).select(
+    found = rough.groupBy("z", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    most = F.when(F.col("z") == 0, HOME).otherwise(PART)
+    split = F.pmod(F.xxhash64("id", "z"), F.ceil(F.col("n") / most))
+    return rough.join(found, ["z", "pivot"]).select(
         "z", F.concat_ws("-", "pivot", split).alias("part"), "id", "v"
-    ), table[:max(wanted, 64)]
+    ), table
 
 
 def first_lists(parts: DataFrame, width: int, degree: int) -> DataFrame:
@@ -285,7 +288,7 @@ def neighbour_graph(nodes: DataFrame, width: int, degree: int = DEGREE, rounds:
     parts, pivots = parted(nodes, width, seed)
     parts = staged(parts, "parts")
     homes = parts.where("z = 0").drop("z")
-    graph = staged(first_lists(parts, width, degree), "graph")
+    graph = staged(first_lists(parts.where("z > 0"), width, degree), "graph")
     for _ in range(rounds):
         after = staged(descend(graph, homes, width, degree), "graph")
         changed, edges = after.agg(

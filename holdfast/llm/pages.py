@@ -69,6 +69,8 @@ ENDED_BY = {  # an element that an opening tag ends, and what that search stops
     "body": (("head",), ()),
 }
 NEVER = frozenset("head nav footer aside form dialog button menu input label datalist".split())
+# Elements that may hold an article; "" is the page itself.
+HOLDERS = frozenset(("", *"html body main section article div center table tbody tr td".split()))
 # What pages call their parts that are no main text.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs "
@@ -141,14 +143,14 @@ def parse(source: str) -> Page:
                 page.runs[-1].order = order
                 continue
             page.runs.append(Run(piece, block, top.path, top.shut, top.article, top.main, top.linked,
-                                 tuple(o.number for o in stack), order))
+                                 _holders(stack), order))
             continue
         if m[3] is None:
             continue
         name = m[3].lower()
         if name == "br":
             page.runs.append(Run(" ", block, stack[-1].path, stack[-1].shut, stack[-1].article, stack[-1].main,
-                                 stack[-1].linked, tuple(o.number for o in stack), order))
+                                 stack[-1].linked, _holders(stack), order))
             continue
         if name in BLOCK:
             block += 1
@@ -180,6 +182,10 @@ def parse(source: str) -> Page:
     return page
 
 
+def _holders(stack: list[_Open]) -> tuple[int, ...]:
+    return tuple(o.number for o in stack if o.name in HOLDERS)
+
+
 def _end(stack: list[_Open], names: tuple[str, ...], stops: tuple[str, ...]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name in stops:
@@ -329,14 +335,16 @@ def _blocks(runs: list[Run]) -> str:
 def extract(pages: DataFrame, url: str, html: str, into: str = "text") -> DataFrame:
     """All columns but the source, and the page's main text."""
     kept = without(pages, [html, into])
+    # Inside, the input's columns go by number, so that no name is in the way.
+    numbered = [f"c{i}" for i in range(len(kept))]
     rows = pages.select(
-        *[quoted(c) for c in kept], host_of(url).alias("__host"),
+        *[quoted(c).alias(n) for c, n in zip(kept, numbered)], host_of(url).alias("__host"),
         F.coalesce(quoted(html).cast("string"), F.lit("")).alias("__html"),
     )
     found = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
     # A few numbers for each host; Spark sends them to the pages if they measure small.
     joined = rows.join(found, F.col("__host") == F.col("host"), "left").select(
-        *[quoted(c) for c in kept], F.col("template").alias("__template"), F.col("__html")
+        *numbered, F.col("template").alias("__template"), F.col("__html")
     )
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(into, T.StringType())])
 

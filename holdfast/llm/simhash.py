@@ -114,7 +114,7 @@ def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, seg
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each linked node can reach.
+    """(node, root): the smallest node that each other linked node can reach.
 
     Large-star and small-star rounds; about the logarithm of the longest chain.
     A star's centre keeps one row for each member, so a component that holds a
