@@ -24,6 +24,12 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, purpose: str, most_rows: int) -> DataFrame:
+    """A staged frame, sent to every task if it has at most ``most_rows`` rows."""
+    held = staged(df, purpose)
+    return F.broadcast(held) if held.count() <= most_rows else held
+
+
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     """The columns of a frame, less those an operator is about to write."""
     gone = {n.lower() for n in names}

@@ -30,9 +30,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from holdfast.llm.common import quoted, staged, without
+from holdfast.llm.common import quoted, sized, staged, without
 
 SLOT_DIGITS = 3  # hexadecimal: 4,096 slots
+MOST_SENT = 200_000  # rows of a table of leaves or edge slots that is sent to every task
 WORD = r"[^\x20\x09-\x0D]+"
 BIG = "decimal(18,0)"  # a product with a bigint then fits 38 digits
 
@@ -140,6 +141,7 @@ def mix(docs: DataFrame, key: str, text: str, levels: Sequence[tuple[str, Column
         return [F.col(a) == F.col(b) for a, b in zip(left, right)]
 
     q = [f"q{i}" for i in range(len(names))]
+    quota = sized(quota, "quota", MOST_SENT)
     ordered = slim.join(quota, in_leaf(at, q)).withColumn(
         "place", place(seed, F.col("whole") + 1, F.col("__key"))
     ).withColumn("slot", F.substring("place", 1, SLOT_DIGITS))
@@ -148,9 +150,9 @@ def mix(docs: DataFrame, key: str, text: str, levels: Sequence[tuple[str, Column
     edges = sums.withColumn("to", F.sum("n").over(running)).where("to > rest").groupBy(*q).agg(
         F.min(F.struct("slot", (F.col("rest") - F.col("to") + F.col("n")).alias("left"))).alias("edge")
     ).select(*[F.col(c).alias(f"e_{c}") for c in q], F.col("edge.slot").alias("edge"), F.col("edge.left").alias("left"))
-    plan = quota.join(edges, in_leaf(q, [f"e_{c}" for c in q]), "left").select(
-        *q, "whole", "rest", "share", "edge", "left"
-    )
+    plan = sized(quota.join(edges, in_leaf(q, [f"e_{c}" for c in q]), "left").select(
+        *q, "whole", "rest", "edge", "left"
+    ), "plan", MOST_SENT)
     last = (
         slim.join(plan.where("rest > 0 and edge is not null"), in_leaf(at, q))
         .withColumn("place", place(seed, F.col("whole") + 1, F.col("__key")))
@@ -158,11 +160,11 @@ def mix(docs: DataFrame, key: str, text: str, levels: Sequence[tuple[str, Column
         .groupBy(*q, "place", F.col("__key").alias("k")).agg(F.sum("__n").alias("n"), F.max("left").alias("left"))
     )
     inside = Window.partitionBy(*q).orderBy("place", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = last.withColumn("to", F.sum("n").over(inside)).where("to <= left").select(
+    taken = sized(last.withColumn("to", F.sum("n").over(inside)).where("to <= left").select(
         *[F.col(c).alias(f"t_{c}") for c in q], "k", F.lit(True).alias("taken")
-    )
+    ), "taken", MOST_SENT)
     slot = F.substring(place(seed, F.col("whole") + 1, F.col("__key")), 1, SLOT_DIGITS)
-    # Texts stay where they are as long as Spark finds the leaves and the edge slots small.
+    # Texts stay where they are while the leaves and the edge slots are few enough to be sent.
     partial = (F.col("rest") > 0) & (
         F.col("edge").isNull() | (slot < F.col("edge")) | ((slot == F.col("edge")) & F.coalesce("taken", F.lit(False)))
     )
