@@ -40,10 +40,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from holdfast.llm.common import quoted, slices, without
+from holdfast.llm.common import quoted, sized, slices, staged, without
 
 LEAST_PAGES = 3
 SURE_PAGES = 8
+MOST_SENT = 200_000  # hosts whose templates are sent to every task
 BATCH_BYTES = 2_000_000
 
 MARKUP = re.compile(
@@ -232,6 +233,8 @@ def templates(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"), F.sum(F.col("vec").cast("decimal(20,0)")).alias("vec"),
         F.sum("place").alias("places"), F.max("is_text").alias("is_text"),
     )
+    # Tokens of one or two pages, by far the most, end here.
+    per_token = staged(per_token.where(f"token is null or pages >= {LEAST_PAGES}"), "tokens")
     pages = per_token.where("token is null").select(F.col("host").alias("h"), F.col("pages").alias("all"))
     common = per_token.where(f"token is not null and pages >= {LEAST_PAGES}").join(
         pages.where(f"all >= {LEAST_PAGES}"), F.col("host") == F.col("h")
@@ -342,7 +345,8 @@ def extract(pages: DataFrame, url: str, html: str, into: str = "text") -> DataFr
         F.coalesce(quoted(html).cast("string"), F.lit("")).alias("__html"),
     )
     found = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    # A few numbers for each host; Spark sends them to the pages if they measure small.
+    # A few numbers for each host, sent to the pages while the hosts are few.
+    found = sized(found, "templates", MOST_SENT)
     joined = rows.join(found, F.col("__host") == F.col("host"), "left").select(
         *numbered, F.col("template").alias("__template"), F.col("__html")
     )
