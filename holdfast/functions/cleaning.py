@@ -28,7 +28,8 @@ def title_text(c: Column | str) -> Column:
 
 
 def flag_to_text(c: Column | str) -> Column:
-    return F.when(col(c) == 1, "Yes").otherwise("No")
+    """Yes for 1 or Yes, in any case or padding, as a number or as text."""
+    return F.when(F.lower(F.trim(col(c).cast("string"))).isin("1", "yes"), "Yes").otherwise("No")
 
 
 def text_to_flag(c: Column | str) -> Column:
@@ -46,7 +47,7 @@ def clean(raw: DataFrame, roles: Roles = RAW_ROLES, senior: str = "SeniorCitizen
         if roles.monthly in out.columns and roles.tenure in out.columns:
             known = F.coalesce(known, (F.col(roles.monthly) * F.col(roles.tenure)).cast(MONEY))
         out = out.withColumn(roles.total, known)
-    if senior in out.columns and not isinstance(out.schema[senior].dataType, T.StringType):
+    if senior in out.columns:
         out = out.withColumn(senior, flag_to_text(senior))
     return out
 

@@ -22,7 +22,6 @@ from holdfast.operators.split import assign_parts, fold_quotas
 from holdfast.schema import Roles
 from holdfast.session import ensure_checkpoint_dir
 
-SCORE_GRID = 1_000_000
 PARALLEL_FITS = 4
 
 
@@ -132,11 +131,10 @@ def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
 def fit_calibrator(out_of_fold: DataFrame) -> IsotonicRegressionModel:
     """Monotone map from raw probability to observed rate.
 
-    Scores are pooled on a grid of a millionth first, so the single-task end of
-    the isotonic fit sees a bounded number of points whatever the data size.
+    Rows of equal scores are pooled first, which leaves the fit as it is.
     """
     points = (
-        out_of_fold.groupBy((F.round(F.col("p") * SCORE_GRID) / SCORE_GRID).alias("raw_p"))
+        out_of_fold.groupBy(F.col("p").alias("raw_p"))
         .agg(F.avg("y").alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )

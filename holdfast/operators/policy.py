@@ -102,7 +102,10 @@ def grid_curve(df: DataFrame, offer: Offer = Offer(), y: str = "y", p: str = "p"
 
 
 def _cells(first: float, last: float, step: float) -> list[int]:
-    """Thresholds as hundredths; steps finer than that fall on the same ones."""
+    """Thresholds as hundredths; a step that is no whole number of them is refused."""
+    hundredths = step * GRID
+    if round(hundredths) < 1 or abs(hundredths - round(hundredths)) > 1e-9:
+        raise ValueError(f"thresholds are hundredths; a step of {step} is none")
     n = int(round((last - first) / step))
     return sorted({round(round(first + i * step, 2) * GRID) for i in range(n + 1)})
 

@@ -120,7 +120,8 @@ def rate_by(customers: DataFrame, key: str, label: str = "churn") -> DataFrame:
 
 def charge_histogram(customers: DataFrame, value: str = "monthly_charges", bins: int = 12,
                      label: str = "churn", labels: Sequence[str] = ("No", "Yes")) -> DataFrame:
-    """Equal-width right-closed bins by label, one column per label.
+    """Equal-width right-closed bins by label, one column per label and one for
+    whatever else stands there. Labels are compared in any case or padding.
 
     The bin is one plus the inner edges below the value, which needs no
     division and puts the minimum in the first bin and equal values in one bin.
@@ -137,10 +138,13 @@ def charge_histogram(customers: DataFrame, value: str = "monthly_charges", bins:
     for i in range(1, bins):
         index = index + F.when(x > edge(i), 1).otherwise(0)
     binned = customers.where(F.col(value).isNotNull()).withColumn("_extent", extent)
+    known = F.lit("other")
+    for v in labels:
+        known = F.when(F.lower(F.trim(label)) == v.lower(), v).otherwise(known)
     # The edges are the same for every row; they ride along as grouping keys.
-    table = binned.groupBy(index.alias("bin"), lo.alias("_lo"), hi.alias("_hi")).pivot(
-        label, list(labels)
-    ).agg(F.count(F.lit(1)))
+    table = binned.withColumn("_label", known).groupBy(
+        index.alias("bin"), lo.alias("_lo"), hi.alias("_hi")
+    ).pivot("_label", [*labels, "other"]).agg(F.count(F.lit(1)))
     width = (F.col("_hi") - F.col("_lo")) / bins
     lower = F.col("_lo") + (F.col("bin") - 1) * width
     first_lower = F.col("_lo") - 0.001 * (F.col("_hi") - F.col("_lo"))
@@ -149,5 +153,5 @@ def charge_histogram(customers: DataFrame, value: str = "monthly_charges", bins:
         "bin",
         F.round(F.when(F.col("bin") == 1, first_lower).otherwise(lower), 6).alias("lower_edge"),
         F.round(upper, 6).alias("upper_edge"),
-        *[F.coalesce(F.col(v), F.lit(0)).alias(f"n_{v.lower()}") for v in labels],
+        *[F.coalesce(F.col(v), F.lit(0)).alias(f"n_{v.lower()}") for v in (*labels, "other")],
     ).orderBy("bin")

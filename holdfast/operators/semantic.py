@@ -117,13 +117,15 @@ def by_tenure_band(view: DataFrame) -> DataFrame:
 
 def support_heatmap(view: DataFrame) -> DataFrame:
     """Churn rate and customers: one row per support state, a column pair per
-    internet service. The pivot values are the fixed domain, so no extra job
-    looks them up."""
-    cells = view.groupBy("tech_support").pivot("internet_service", list(K.INTERNET_DOMAIN)).agg(
+    internet service and one for any other value. The pivot values are the fixed
+    domain, so no extra job looks them up."""
+    known = F.col("internet_service").isin(*K.INTERNET_DOMAIN)
+    named = view.withColumn("_service", F.when(known, F.col("internet_service")).otherwise("other"))
+    cells = named.groupBy("tech_support").pivot("_service", [*K.INTERNET_DOMAIN, "other"]).agg(
         F.round(share(F.col("churn_flag") == 1), 6).alias("rate"),
         F.count(F.lit(1)).alias("customers"),
     )
-    names = {"DSL": "dsl", "Fiber optic": "fiber", "No": "none"}
+    names = {"DSL": "dsl", "Fiber optic": "fiber", "No": "none", "other": "other"}
     return cells.select(
         "tech_support",
         *[

@@ -13,18 +13,20 @@ SERVICES = " + ".join(
     f"CAST({c} = 'Yes' AS INT)" for c in K.SERVICE_COLUMNS if c != "internet_service"
 )
 
+OTHER_SERVICE = "internet_service IS NULL OR internet_service NOT IN ('DSL', 'Fiber optic', 'No')"
+
 ADAPTERS = """
 ref AS (SELECT MAX(o_orderdate) AS ref_ts FROM orders),
 ord AS (SELECT o_custkey, MIN(o_orderdate) AS f, MAX(o_orderdate) AS l, COUNT(*) AS n
         FROM orders GROUP BY o_custkey),
 base AS (
-  SELECT c_custkey AS k, c_nationkey AS nk, n,
-    LEAST(72, (YEAR(l)-YEAR(f))*12 + MONTH(l)-MONTH(f)) AS tenure,
+  SELECT c_custkey AS k, c_nationkey AS nk, COALESCE(n, 0) AS n,
+    CASE WHEN l IS NULL THEN 0 ELSE LEAST(72, (YEAR(l)-YEAR(f))*12 + MONTH(l)-MONTH(f)) END AS tenure,
     CAST(1825 + FLOOR(ABS(c_acctbal)*100) % 10050 AS BIGINT) AS cents,
     CASE WHEN l < ref_ts - INTERVAL '6' MONTH THEN 'Yes' ELSE 'No' END AS churn,
     CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'DSL' WHEN 'BUILDING' THEN 'DSL'
       WHEN 'FURNITURE' THEN 'No' ELSE 'Fiber optic' END AS internet
-  FROM customer JOIN ord ON c_custkey = o_custkey CROSS JOIN ref),
+  FROM customer LEFT JOIN ord ON c_custkey = o_custkey CROSS JOIN ref),
 subscribers AS (
   SELECT 'C' || CAST(k AS VARCHAR) AS customer_id,
    CASE WHEN k % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
@@ -223,7 +225,9 @@ def _reports() -> dict[str, str]:
         "support_heatmap": grouped("tech_support", ", ".join(
             f"{rnd(f'AVG(churn_flag) FILTER (WHERE internet_service = {v!r})', 6)} AS {n}_rate, "
             f"COUNT(*) FILTER (WHERE internet_service = {v!r}) AS {n}_customers"
-            for v, n in (("DSL", "dsl"), ("Fiber optic", "fiber"), ("No", "none"))), "full_view"),
+            for v, n in (("DSL", "dsl"), ("Fiber optic", "fiber"), ("No", "none")))
+            + f", {rnd('AVG(churn_flag) FILTER (WHERE ' + OTHER_SERVICE + ')', 6)} AS other_rate, "
+            f"COUNT(*) FILTER (WHERE {OTHER_SERVICE}) AS other_customers", "full_view"),
         "slicer_rollup": stmt(
             "SELECT senior_citizen, payment_method, tenure_band, "
             "CAST(GROUPING(senior_citizen, payment_method, tenure_band) AS INT) AS open_slicers, "
@@ -267,7 +271,8 @@ def _reports() -> dict[str, str]:
             + rnd("CASE WHEN bin = 1 THEN lo - 0.001 * (hi - lo) ELSE lo + (bin - 1) * ((hi - lo) / 12) END", 6)
             + " AS lower_edge, " + rnd("CASE WHEN bin = 12 THEN hi ELSE lo + bin * ((hi - lo) / 12) END", 6)
             + " AS upper_edge, COUNT(*) FILTER (WHERE churn = 'No') AS n_no, "
-            "COUNT(*) FILTER (WHERE churn = 'Yes') AS n_yes FROM ("
+            "COUNT(*) FILTER (WHERE churn = 'Yes') AS n_yes, "
+            "COUNT(*) FILTER (WHERE churn IS NULL OR churn NOT IN ('No', 'Yes')) AS n_other FROM ("
             "SELECT churn, lo, hi, 1 + " + " + ".join(f"CAST(x > lo + {i} * ((hi - lo) / 12) AS INT)" for i in range(1, 12)) + " AS bin FROM ("
             "SELECT churn, CAST(monthly_charges AS DOUBLE) AS x, CAST(MIN(monthly_charges) OVER () AS DOUBLE) AS lo, "
             "CAST(MAX(monthly_charges) OVER () AS DOUBLE) AS hi FROM subscribers) a) b GROUP BY bin, lo, hi"),

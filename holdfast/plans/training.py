@@ -45,6 +45,10 @@ class TrainingRun:
         for name in ("candidates", "thresholds", "evaluation", "financial", "misses",
                      "attribution", "dataset"):
             write_record(getattr(self, name), f"{path}/{name}", run_id)
+        chosen = [(name, float(value)) for name, value in sorted(self.params.items())]
+        write_record(
+            spark.createDataFrame(chosen, "parameter string, value double"), f"{path}/parameters", run_id
+        )
 
 
 def saved_threshold(spark: SparkSession, path: str, run_id: str,
@@ -56,8 +60,10 @@ def saved_threshold(spark: SparkSession, path: str, run_id: str,
         rows = spark.read.parquet(f"{path}/thresholds")
     except AnalysisException:
         return K.DEFAULT_THRESHOLD
-    row = rows.where((F.col("run_id") == run_id) & (F.col("model") == model)).first()
-    return K.DEFAULT_THRESHOLD if row is None else row["threshold"]
+    found = rows.where((F.col("run_id") == run_id) & (F.col("model") == model)).take(2)
+    if len(found) > 1:
+        raise ValueError(f"run {run_id} has more than one threshold for {model}")
+    return found[0]["threshold"] if found else K.DEFAULT_THRESHOLD
 
 
 def split_frame(df: DataFrame, roles: Roles, seed: int = K.SEED) -> DataFrame:

@@ -48,12 +48,13 @@ SCORES = T.StructType(
     ]
 )
 
-# The raw file: total charges may be blank text, so it is read as text.
+# The raw file: total charges may be blank text and the senior flag 0/1 or
+# Yes/No, so both are read as text.
 RAW = T.StructType(
     [
         T.StructField(
             raw,
-            {"senior_citizen": _INT, "tenure": _INT, "monthly_charges": MONEY}.get(
+            {"tenure": _INT, "monthly_charges": MONEY}.get(
                 table, _TEXT
             ),
         )

@@ -56,8 +56,11 @@ def export_scores(scores: DataFrame, path: str, fmt: str = "csv",
 
 
 def write_record(df: DataFrame, path: str, run_id: str) -> None:
-    """Append one run's small result (metrics, threshold, attribution)."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """One run's small result (metrics, threshold, attribution), in place of an
+    earlier one of the same id. Other runs' results stay."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run_id").parquet(path)
 
 
 def read_record(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -49,9 +49,10 @@ def derive_subscribers(customer: DataFrame, orders: DataFrame) -> DataFrame:
         .when(segment == SEGMENTS[2], "No")
         .otherwise("Fiber optic")
     )
-    base = customer.join(history, "c_custkey").withColumns(
+    # A customer without orders is a subscriber of tenure 0 who has not left.
+    base = customer.join(history, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumns(
         {
-            "tenure": F.least(F.lit(72), months).cast("int"),
+            "tenure": F.when(last.isNull(), 0).otherwise(F.least(F.lit(72), months)).cast("int"),
             "cents": cents,
             "internet_service": internet,
         }

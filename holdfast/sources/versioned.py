@@ -3,7 +3,7 @@
 A bulk load writes the merged table as a new version folder. A version counts
 once its ``_SUCCESS`` marker exists, so readers never see half a write and a
 failed job leaves the old version in force. A stream writes small delta
-folders, one per batch id, which readers fold in by key; ``compact`` merges
+folders, one per stream and batch id, which readers fold in by key; ``compact`` merges
 them into the next version. One writer at a time.
 """
 
@@ -17,7 +17,7 @@ from holdfast.operators.keyed import KeyConflict, latest_per_key, merge_rows
 from holdfast.sources.files import conform
 
 _VERSION = re.compile(r"v(\d{8})$")
-_DELTA = re.compile(r"batch=(\d+)$")
+_DELTA = re.compile(r"batch-(\d+)$")
 
 
 class VersionedTable:
@@ -99,10 +99,10 @@ class VersionedTable:
         self._publish(merge_rows(self.read(), staged, self.key))
         return count
 
-    def append_delta(self, rows: DataFrame, batch_id: int) -> None:
-        """Add one batch; writing the same batch id again replaces it."""
+    def append_delta(self, rows: DataFrame, batch_id: int, stream: str | None = None) -> None:
+        """Add one batch; the same batch id of the same stream replaces it."""
         conform(rows, self.schema).write.mode("overwrite").parquet(
-            f"{self._delta_root(self.version())}/batch={batch_id}"
+            f"{self._delta_root(self.version())}/{stream or 'rows'}-batch-{batch_id}"
         )
 
     def compact(self) -> None:

@@ -19,7 +19,11 @@ def arriving_records(spark: SparkSession, path: str, fmt: str = "csv",
     """A stream over a folder of raw files with the declared schema."""
     reader = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # Columns go by the header's names, as in the batch reader.
+        reader = (
+            reader.option("header", True).option("enforceSchema", False)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        )
     return reader.format(fmt).load(path)
 
 
@@ -47,7 +51,10 @@ def start_scoring(records: DataFrame, model: Classifier, table: VersionedTable,
     per customer, so a restart changes nothing.
     """
     def publish(batch: DataFrame, batch_id: int) -> None:
-        table.append_delta(predict(batch, model, scored_at, threshold), batch_id)
+        # The query's id stays the same over restarts of one checkpoint, and no
+        # other stream has it.
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table.append_delta(predict(batch, model, scored_at, threshold), batch_id, query)
 
     writer = records.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if available_now:

@@ -188,3 +188,10 @@ def test_linear_attribution_by_hand(spark):
     df = spark.createDataFrame([(1.0, 0.0), (3.0, 0.0)], "a double, b double")
     got = linear_attribution(df, {"a": (F.col("a"), 2.0), "b": (F.col("b"), 5.0)}).collect()
     assert [(r.feature, r.mean_absolute_attribution) for r in got] == [("a", 2.0), ("b", 0.0)]
+
+
+def test_calibrator_does_not_round(spark):
+    """Scores a fraction of a millionth apart stay apart."""
+    near = [(0, 0.1000001)] * 50 + [(1, 0.1000003)] * 50
+    fitted = models.fit_calibrator(spark.createDataFrame(near, "y int, p double"))
+    assert list(fitted.predictions) == [0.0, 1.0]

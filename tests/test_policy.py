@@ -88,3 +88,9 @@ def test_partitioning_does_not_matter(cases):
     offer = Offer(cost=10.0, success=0.5)
     one, many = (best_threshold(cases.repartition(n), offer).first() for n in (1, 7))
     assert one == many
+
+
+def test_a_finer_step_is_refused(spark):
+    df = spark.createDataFrame([(1, 0.5, 10.0)], "y int, p double, monthly_charges double")
+    with pytest.raises(ValueError, match="hundredths"):
+        threshold_curve(df, step=0.005)

@@ -10,6 +10,7 @@ from holdfast.plans.loading import create_tables, customer_table, load_customers
 from holdfast.plans.scoring import publish_scores
 from holdfast.schema import CUSTOMERS, SCORES
 from holdfast.sources import files
+from holdfast.sources.versioned import VersionedTable
 
 
 @pytest.fixture()
@@ -198,3 +199,21 @@ def test_jobs_from_file_to_workbook(spark, raw_file, tmp_path):
     assert [(r.contract, r.source_customers, r.scored_customers) for r in summary] == [
         ("Month-to-month", 3, 0), ("One year", 1, 0), ("Two year", 1, 0)]
     assert {r.customers for r in spark.read.parquet(f"{out}/risk_summary").collect()} == {0}
+
+
+def test_streams_keep_apart(spark, tmp_path):
+    """Batch 0 of one stream does not replace batch 0 of another."""
+    schema = "customer_id string, scored_at int"
+    kind = spark.createDataFrame([], schema).schema
+    table = VersionedTable(spark, str(tmp_path), kind, "customer_id", "scored_at")
+    table.append_delta(spark.createDataFrame([("a", 1), ("b", 1)], schema), 0, "one")
+    table.append_delta(spark.createDataFrame([("c", 1)], schema), 0, "two")
+    table.append_delta(spark.createDataFrame([("c", 2)], schema), 0, "two")
+    assert sorted(tuple(r) for r in table.read().collect()) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def test_a_repeated_run_replaces_its_record(spark, tmp_path):
+    for value, run in ((7, "x"), (33, "x"), (5, "y")):
+        files.write_record(spark.createDataFrame([(value,)], "v int"), str(tmp_path / "r"), run)
+    assert [r["v"] for r in files.read_record(spark, str(tmp_path / "r"), "x").collect()] == [33]
+    assert [r["v"] for r in files.read_record(spark, str(tmp_path / "r"), "y").collect()] == [5]
