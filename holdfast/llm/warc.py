@@ -111,7 +111,9 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, wi
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))
-    ranges = files.select("path", F.explode(starts).alias("start")).repartition("path", "start")
+    # A stated number: to Spark the ranges are a few small rows, which it would put into one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = files.select("path", F.explode(starts).alias("start")).repartition(tasks, "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
