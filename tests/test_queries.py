@@ -4,8 +4,11 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import connect, duck_rows, kinds, plan, spark_rows
+from holdfast.oracle.statements import statements
+from holdfast.plans.catalog import QUERIES
 
-QUERIES, CHECKS = driver.queries(), driver.oracle_sql()
+# The corpus operators, where present, have tests of their own.
+CHECKS = statements()
 # Run by the tests of their own module; here they would only repeat the fits.
 FITTED = {"cox_ratios", "train_gbt", "train_lr", "calibrate", "select_model", "train_run",
           "score_batch", "tree_attribution", "global_attribution", "score_stream"}
@@ -18,6 +21,8 @@ def con(sf):
 
 def test_every_check_has_its_query():
     assert set(CHECKS) | FITTED == set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(CHECKS) <= set(driver.oracle_sql())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
