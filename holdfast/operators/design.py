@@ -8,6 +8,7 @@ generated code; one conversion at the end makes the vector Spark ML wants.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -17,6 +18,18 @@ from holdfast.functions.features import add_behaviour
 from holdfast.schema import Roles
 
 
+MOST_LEVELS = 10_000
+
+
+def refuse_wide(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise, with the column's name, if a category has more than about
+    ``MOST_LEVELS`` levels: an id or free text, whose levels must not be gathered."""
+    found = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    wide = [c for c in columns if found[c] > MOST_LEVELS]
+    if wide:
+        raise ValueError(f"more than {MOST_LEVELS} levels: {', '.join(wide)}")
+
+
 def with_inputs(df: DataFrame, roles: Roles) -> DataFrame:
     """Derived features added and numerics as doubles. Input: a cleaned frame."""
     wide = add_behaviour(df, roles)
@@ -68,6 +81,7 @@ def fit_design(df: DataFrame, roles: Roles, scale: bool = False) -> Design:
     """Levels in alphabetical order, and population mean and deviation of the
     numerics if asked for, from one aggregate. A constant column scales by 1."""
     cats, nums = roles.categorical, roles.numeric
+    refuse_wide(df, cats)
     moments = [f(c).alias(f"{f.__name__}_{c}") for c in nums for f in (F.avg, F.stddev_pop)]
     found = df.agg(
         *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cats],

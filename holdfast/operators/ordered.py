@@ -16,22 +16,26 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 4096
+SKETCH = 10_000
 _INF = float("inf")
 
 
-def split_points(df: DataFrame, order: Column, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+def split_points(df: DataFrame, order: Column, rows_per_range: int = ROWS_PER_RANGE,
+                 within: Sequence[str] = ()) -> list[float]:
     """Cut points for an order key: none if its distinct values fit one range.
 
-    One scan without a shuffle; the sketches hold a bounded number of values.
+    The look at their number is one scan without a shuffle. Cuts are percentiles
+    over distinct (within, key) rows, which is what a range's window works on, so
+    a key that holds most of the rows weighs no more than any other.
     """
-    key = order.cast("double")
-    distinct = df.agg(F.approx_count_distinct(key)).first()[0]
-    ranges = min(MAX_RANGES, -(-distinct // rows_per_range))
+    keys = df.select(*within, order.cast("double").alias("_key"))
+    counted = F.struct(*within, "_key") if within else F.col("_key")
+    distinct = keys.agg(F.approx_count_distinct(counted)).first()[0]
+    ranges = -(-distinct // rows_per_range)
     if ranges <= 1:
         return []
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, steps, 100 * ranges)).first()[0]
+    cuts = keys.distinct().agg(F.percentile_approx("_key", steps, max(SKETCH, 10 * ranges))).first()[0]
     return sorted(set(cuts or []))
 
 
@@ -52,7 +56,7 @@ def running_totals(
     split points from the data.
     """
     if splits is None:
-        splits = split_points(df, F.col(order), rows_per_range)
+        splits = split_points(df, F.col(order), rows_per_range, within)
     within = list(within)
     keyed = df.groupBy(*within, order).agg(*[c.alias(n) for n, c in sums.items()])
     return accumulate(keyed, order, list(sums), within, descending, splits)
@@ -78,7 +82,7 @@ def accumulate(keyed: DataFrame, order: str, names: Sequence[str], within: Seque
     def along(column: str, *group: str):
         direction = F.col(column).desc() if descending else F.col(column).asc()
         # Without groups every row carries the same constant key: callers get
-        # here only with rows bounded by a domain or by MAX_RANGES.
+        # here only with rows bounded by a domain or one for each range.
         return Window.partitionBy(*(group or [F.lit(0)])).orderBy(direction)
 
     def up_to_here(window):

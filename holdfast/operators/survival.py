@@ -9,6 +9,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from holdfast.operators.design import refuse_wide
 from holdfast.operators.kernels import hazard_terms
 from holdfast.operators.ordered import accumulate, running_totals, split_points
 
@@ -42,7 +43,7 @@ def kaplan_meier(df: DataFrame, duration: str = "tenure", event: str = "event",
     """
     within = list(within)
     if splits is None:
-        splits = split_points(df, F.col(duration))
+        splits = split_points(df, F.col(duration), within=within)
     table = _risk_table(df, duration, event, within, weight, splits)
     d, n = F.col("events").cast("double"), F.col("at_risk").cast("double")
     table = table.withColumns(
@@ -79,6 +80,7 @@ def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> t
 
     The levels of all columns come from one aggregate.
     """
+    refuse_wide(df, columns)
     found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
     names: list[str] = []
     new: dict[str, Column] = {}

@@ -312,6 +312,17 @@ def _reports() -> dict[str, str]:
 
 # --- cleaning, features, keyed merges --------------------------------------
 
+def _scored_by_given(where: str = "") -> str:
+    """The score table of the given logistic model."""
+    return (
+        "SELECT customer_id, tenure, contract, m AS monthly_charges, round_even(raw_p * 10000, 0) / 10000 AS churn_probability, "
+        "CASE WHEN raw_p <= 0.3 THEN 'Low' WHEN raw_p <= 0.6 THEN 'Medium' ELSE 'High' END AS risk_level, "
+        "CAST(raw_p >= 0.5 AS INT) AS is_high_risk, round_even(raw_p * m * 100, 0) / 100 AS revenue_at_risk, "
+        f"round_even(m * {FACTOR}::DOUBLE * 100, 0) / 100 AS clv_estimate, "
+        f"round_even(raw_p * (m * {FACTOR}::DOUBLE) * 100, 0) / 100 AS clv_at_risk, "
+        f"TIMESTAMP '2024-01-01 00:00:00' AS scored_at FROM scored {where}")
+
+
 def _rows() -> dict[str, str]:
     numeric = ("monthly_charges", "total_charges")
     predictors = [c for c in TABLE_COLUMNS if c not in ("customer_id", "churn")]
@@ -349,6 +360,8 @@ def _rows() -> dict[str, str]:
             f"round_even(p * (m * {FACTOR}::DOUBLE) * 100, 0) / 100 AS clv_at_risk, "
             "TIMESTAMP '2024-01-01 00:00:00' AS scored_at "
             "FROM (SELECT *, CAST(monthly_charges AS DOUBLE) AS m FROM evals) q"),
+        "score_batch": stmt(_scored_by_given("WHERE churn = 'No'")),
+        "score_stream": stmt(_scored_by_given()),
     }
     checks = []
 

@@ -59,6 +59,14 @@ def test_few_keys_need_no_ranges(spark):
     assert len(split_points(df, F.col("k"), rows_per_range=2)) >= 2
 
 
+def test_a_hot_key_does_not_draw_the_cuts(spark):
+    hot = spark.range(100_000).select(F.lit(0.0).alias("k"))
+    df = hot.union(spark.range(1, 2001).select(F.col("id").cast("double")))
+    cuts = [float("-inf"), *split_points(df, F.col("k"), rows_per_range=200), float("inf")]
+    held = [sum(a <= k < b for k in range(2001)) for a, b in zip(cuts, cuts[1:])]
+    assert sum(held) == 2001 and max(held) <= 400
+
+
 @pytest.mark.parametrize("splits", [(), None])
 def test_quantiles_interpolate(spark, splits):
     rng = np.random.default_rng(3)

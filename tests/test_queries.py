@@ -11,7 +11,7 @@ from holdfast.plans.catalog import QUERIES
 CHECKS = statements()
 # Run by the tests of their own module; here they would only repeat the fits.
 FITTED = {"cox_ratios", "train_gbt", "train_lr", "calibrate", "select_model", "train_run",
-          "score_batch", "tree_attribution", "global_attribution", "score_stream"}
+          "tree_attribution", "global_attribution"}
 
 
 @pytest.fixture(scope="module")

@@ -131,3 +131,9 @@ def test_survival_job_tables(spark, sf):
     assert set(tables) == {"curve_overall", "curve_by_contract", "median_survival", "hazard_ratios"}
     assert tables["median_survival"].count() == 3 and tables["hazard_ratios"].count() == 5
     assert "lower" in tables["curve_overall"].columns
+
+
+def test_an_id_is_no_category(spark):
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("code"))
+    with pytest.raises(ValueError, match="code"):
+        dummies(df, ["code"])
