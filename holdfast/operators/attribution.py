@@ -3,117 +3,82 @@
 Trees: exact Shapley values of the path-dependent tree game. A leaf is reached
 when every feature on its path falls in an interval; a feature left out of the
 coalition passes with the share of training rows that did. The game of one leaf
-is a product over its few features, so its Shapley values depend only on which
-intervals a row hits. They are tabulated once per leaf, and explaining a row is
-a table look-up, done on Arrow batches where the rows are.
+is a product over its few features, so the sum over coalitions is the integral of
+a polynomial, which a few points give exactly. What a leaf needs grows with the
+length of its path, and rows are explained on Arrow batches where they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from holdfast.operators.given import GivenTrees
 from holdfast.operators.kernels import explain_rows, explain_totals
 from holdfast.operators.models import Classifier
+from holdfast.operators.trees import Path, grown, paths
 from holdfast.session import scratch_path
 
+MOST_BYTES = 1 << 28    # of leaves that are sent to every task
+
 
 @dataclass
-class LeafTables:
-    """Per path length k: features, open-closed intervals and Shapley tables."""
+class LeafGames:
+    """Per path length k: features, open-closed intervals and shares (leaves by k), and values."""
 
-    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    groups: list[tuple[np.ndarray, ...]]
     expected: float
 
 
-def _interval(split, left: bool) -> tuple[float, float]:
-    """The values a split sends to one side, as (low, high]. The design has no
-    nominal columns, so every split is a threshold."""
-    cut = split["leftCategoriesOrThreshold"][0]
-    return (-np.inf, cut) if left else (cut, np.inf)
-
-
-def _leaves(nodes: dict[int, object], scale: float):
-    """(value, {feature: (low, high, share)}) of each leaf."""
-    stack = [(nodes[0], {})]
-    while stack:
-        node, path = stack.pop()
-        if node["leftChild"] < 0:
-            yield scale * node["prediction"], path
-            continue
-        feature = node["split"]["featureIndex"]
-        for child, left in ((nodes[node["leftChild"]], True), (nodes[node["rightChild"]], False)):
-            low, high = _interval(node["split"], left)
-            old = path.get(feature, (-np.inf, np.inf, 1.0))
-            passed = child["rawCount"] / node["rawCount"] if node["rawCount"] else 0.0
-            here = (max(old[0], low), min(old[1], high), old[2] * passed)
-            stack.append((child, {**path, feature: here}))
-
-
-def _shapley_table(value: float, shares: Sequence[float]) -> np.ndarray:
-    """Row b holds the values of the k features when those in bitmask b are hit."""
-    k = len(shares)
-    table = np.zeros((1 << k, k))
-    for mask in range(1 << k):
-        hit = [(mask >> j) & 1 for j in range(k)]
-        for j in range(k):
-            others = [i for i in range(k) if i != j]
-            total = 0.0
-            for size in range(k):
-                weight = factorial(size) * factorial(k - size - 1) / factorial(k)
-                for inside in combinations(others, size):
-                    term = 1.0
-                    for i in others:
-                        term *= hit[i] if i in inside else shares[i]
-                    total += weight * term
-            table[mask, j] = value * (hit[j] - shares[j]) * total
-    return table
-
-
-def leaf_tables(spark: SparkSession, model: Classifier) -> LeafTables:
-    """Tables from the node rows the model writer saves. Bounded by the model:
-    trees times leaves, whatever the data size."""
-    path = scratch_path(spark, "trees")
-    model.model.write().overwrite().save(path)
+def _leaves(spark: SparkSession, model: Classifier | GivenTrees) -> Iterator[tuple[float, Path]]:
+    if isinstance(model, GivenTrees):
+        for tree in model.trees:
+            yield from paths(tree)
+        return
+    saved = scratch_path(spark, "trees")
+    model.model.write().overwrite().save(saved)
     nodes: dict[int, dict[int, object]] = {}
-    for row in spark.read.parquet(f"{path}/data").collect():
+    for row in spark.read.parquet(f"{saved}/data").collect():
         nodes.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
-    by_length: dict[int, list] = {}
-    expected = 0.0
     # Log-odds are twice the boosted sum.
     for tree, weight in enumerate(model.model.treeWeights):
-        for value, path_ in _leaves(nodes[tree], 2.0 * weight):
-            shares = [s for _, _, s in path_.values()]
-            expected += value * float(np.prod(shares))
-            if path_:
-                by_length.setdefault(len(path_), []).append((value, path_))
+        yield from paths(grown(nodes[tree]), 2.0 * weight)
+
+
+def leaf_games(spark: SparkSession, model: Classifier | GivenTrees) -> LeafGames:
+    """The leaves of all trees. Bounded by the model, whatever the data size; a
+    model with more than ``MOST_BYTES`` of leaves is refused."""
+    by_length: dict[int, list] = {}
+    expected = 0.0
+    for value, path in _leaves(spark, model):
+        expected += value * float(np.prod([s for _, _, s in path.values()]))
+        if path:
+            by_length.setdefault(len(path), []).append((value, path))
     groups = []
     for _, leaves in sorted(by_length.items()):
-        groups.append(
-            (
-                np.array([list(p) for _, p in leaves]),
-                np.array([[v[0] for v in p.values()] for _, p in leaves]),
-                np.array([[v[1] for v in p.values()] for _, p in leaves]),
-                np.array([_shapley_table(v, [s[2] for s in p.values()]) for v, p in leaves]),
-            )
-        )
-    return LeafTables(groups, expected)
-
-
-def tree_attribution(df: DataFrame, model: Classifier) -> DataFrame:
+        bounds = np.array([list(p.values()) for _, p in leaves])
+        groups.append((
+            np.array([list(p) for _, p in leaves]), bounds[:, :, 0], bounds[:, :, 1], bounds[:, :, 2],
+            np.array([v for v, _ in leaves]),
+        ))
+    size = sum(a.nbytes for g in groups for a in g)
+    if size > MOST_BYTES:
+        raise ValueError(f"the model's leaves take {size} bytes, more than {MOST_BYTES} to send to every task")
+    return LeafGames(groups, expected)
+
+
+def tree_attribution(df: DataFrame, model: Classifier | GivenTrees) -> DataFrame:
     """(key, feature, value, phi) for every row and feature.
 
     Per row the phi sum to its log-odds less the expected log-odds. They
     explain the trees, not the calibrated probability.
     """
     names, key = model.names, model.roles.key
-    tables = leaf_tables(df.sparkSession, model)
-    shipped = df.sparkSession.sparkContext.broadcast(tables.groups)
+    games = leaf_games(df.sparkSession, model)
+    shipped = df.sparkSession.sparkContext.broadcast(games.groups)
 
     def explain(batches):
         return explain_rows(batches, shipped.value, names, key)
@@ -121,14 +86,14 @@ def tree_attribution(df: DataFrame, model: Classifier) -> DataFrame:
     return model.encoded(df).mapInPandas(explain, f"`{key}` string, feature string, value double, phi double")
 
 
-def global_attribution(df: DataFrame, model: Classifier) -> DataFrame:
+def global_attribution(df: DataFrame, model: Classifier | GivenTrees) -> DataFrame:
     """Mean absolute attribution per feature over all rows, largest first.
 
     Each batch sends one partial sum per feature, never its rows.
     """
     names = model.names
-    tables = leaf_tables(df.sparkSession, model)
-    shipped = df.sparkSession.sparkContext.broadcast(tables.groups)
+    games = leaf_games(df.sparkSession, model)
+    shipped = df.sparkSession.sparkContext.broadcast(games.groups)
 
     def partial(batches):
         return explain_totals(batches, shipped.value, names)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from holdfast.operators.trees import Split
 from holdfast.schema import TABLE_ROLES, Roles
 
 
@@ -38,3 +39,29 @@ class GivenLogistic:
     def probability(self, df: DataFrame) -> DataFrame:
         """The frame with the probability ``p``."""
         return df.select(*df.columns, (1 / (1 + F.exp(-self.margin()))).alias("p"))
+
+
+@dataclass(frozen=True)
+class GivenTrees:
+    """A written-down ensemble: the margin is the sum of the leaves a row reaches.
+
+    ``inputs`` names the features and gives each as an SQL expression; splits
+    refer to them by position. A NULL input is an error, as in a fitted design.
+    It offers what attribution asks of a fitted classifier.
+    """
+
+    inputs: dict[str, str]
+    trees: tuple[Split | float, ...]
+    roles: Roles = TABLE_ROLES
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.inputs)
+
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """The key and the encoded row ``x``."""
+        def number(name: str, x: str) -> Column:
+            missing = F.raise_error(F.lit(f"{name} is missing; clean the rows first")).cast("double")
+            return F.coalesce(F.expr(x).cast("double"), missing)
+
+        return df.select(self.roles.key, F.array(*[number(n, x) for n, x in self.inputs.items()]).alias("x"))

@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_BLOCK = 256
+CELLS_PER_STEP = 1 << 19
 
 
 def hazard_terms(batches, k):
@@ -52,18 +53,38 @@ def hazard_terms(batches, k):
         yield pd.DataFrame([total], columns=names)
 
 
+def leaf_values(hits, shares, values):
+    """Shapley values, rows by leaves by path features, of leaves of one path length k.
+
+    The weighted sum over coalitions is the integral over t from 0 to 1 of the
+    other features' product of (1 - t) share + t hit. Its degree is k - 1, so
+    Gauss-Legendre is exact on half as many points.
+    """
+    points, weights = np.polynomial.legendre.leggauss((shares.shape[1] + 1) // 2)
+    total = np.zeros(hits.shape)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        factor = shares + t * (hits - shares)
+        before, after = np.ones(hits.shape), np.ones(hits.shape)
+        before[..., 1:] = np.cumprod(factor[..., :-1], axis=2)
+        after[..., :-1] = np.cumprod(factor[..., :0:-1], axis=2)[..., ::-1]
+        total += w * before * after
+    return values[:, None] * (hits - shares) * total
+
+
 def explain_block(x, groups):
-    """Attributions, rows by features, from leaf tables grouped by path length."""
+    """Attributions, rows by features, from leaves grouped by path length."""
     phi = np.zeros(x.shape)
-    for features, low, high, table in groups:
-        leaves, k = features.shape
-        values = x[:, features]
-        hits = (values > low) & (values <= high)
-        mask = (hits * (1 << np.arange(k))).sum(axis=2)
-        part = table[np.arange(leaves), mask].reshape(len(x), leaves * k)
-        flat = features.reshape(-1)
-        for f in np.unique(flat):
-            phi[:, f] += part[:, flat == f].sum(axis=1)
+    for features, low, high, shares, values in groups:
+        step = max(1, CELLS_PER_STEP // (len(x) * features.shape[1]))
+        for at in range(0, len(features), step):
+            cut = slice(at, at + step)
+            seen = x[:, features[cut]]
+            hits = ((seen > low[cut]) & (seen <= high[cut])).astype(float)
+            part = leaf_values(hits, shares[cut], values[cut]).reshape(len(x), -1)
+            flat = features[cut].reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            used, starts = np.unique(flat[order], return_index=True)
+            phi[:, used] += np.add.reduceat(part[:, order], starts, axis=1)
     return phi
 
 

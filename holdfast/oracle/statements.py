@@ -7,6 +7,9 @@ exactly between two roundings goes the same way in both engines.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
 from holdfast import constants as K
 
 SERVICES = " + ".join(
@@ -533,9 +536,58 @@ def _evaluation() -> dict[str, str]:
             ("tenure", "tenure", "-0.04::DOUBLE"), ("monthly_charges", "monthly_charges", "0.02::DOUBLE"),
             ("contract_month_to_month", "CAST(contract = 'Month-to-month' AS INT)", "1.0::DOUBLE"),
             ("contract_two_year", "CAST(contract = 'Two year' AS INT)", "-1.0::DOUBLE"))))
+    shares = " UNION ALL ".join(
+        f"SELECT customer_id, '{name}' AS feature, ({x})::DOUBLE AS value, "
+        f"{' + '.join(_shapley(tree, x) for tree in GIVEN_TREES)} AS phi FROM subscribers"
+        for name, x in TREE_INPUTS.items())
+    out["tree_attribution"] = stmt(f"SELECT customer_id, feature, value, {rnd('phi', 9)} AS phi FROM ({shares}) q")
+    out["global_attribution"] = stmt(
+        f"SELECT feature, {rnd('AVG(ABS(phi))', 6)} AS mean_absolute_attribution FROM ({shares}) q GROUP BY feature")
     return out
 
 
+TREE_INPUTS = {
+    "tenure": "tenure", "monthly_charges": "monthly_charges",
+    "month_to_month": "CAST(contract = 'Month-to-month' AS INT)",
+    "fiber": "CAST(internet_service = 'Fiber optic' AS INT)",
+}
+_T, _M, _C, _F = TREE_INPUTS.values()
+# A leaf, or (input, cut, share that goes left, left, right).
+GIVEN_TREES = (
+    (_T, 12, 0.4, (_M, 70, 0.5, 0.3, 0.9), -0.4),
+    (_C, 0.5, 0.4, -0.5, (_T, 24, 0.6, 0.8, (_F, 0.5, 0.7, 0.1, 0.5))),
+    (_T, 30, 0.6, (_T, 6, 0.2, 0.6, (_M, 50, 0.3, 0.0, 0.2)), (_M, 90, 0.8, -0.6, -0.1)),
+)
+
+
+def _worth(tree, known) -> str:
+    """What a tree gives on average if only some inputs are known."""
+    if not isinstance(tree, tuple):
+        return f"({tree}::DOUBLE)"
+    x, cut, share, left, right = tree
+    left, right = _worth(left, known), _worth(right, known)
+    if x in known:
+        return f"(CASE WHEN {x} <= {cut} THEN {left} ELSE {right} END)"
+    return f"({share}::DOUBLE * {left} + (1 - {share}::DOUBLE) * {right})"
+
+
+def _inputs(tree) -> set[str]:
+    return {tree[0]} | _inputs(tree[3]) | _inputs(tree[4]) if isinstance(tree, tuple) else set()
+
+
+def _shapley(tree, x: str) -> str:
+    """The mean gain of knowing x, over all orders in which inputs become known."""
+    others = sorted(_inputs(tree) - {x})
+    if x not in _inputs(tree):
+        return "0::DOUBLE"
+    terms = []
+    for size in range(len(others) + 1):
+        weight = factorial(size) * factorial(len(others) - size) / factorial(len(others) + 1)
+        for known in combinations(others, size):
+            terms.append(f"{weight!r}::DOUBLE * ({_worth(tree, {*known, x})} - {_worth(tree, known)})")
+    return "(" + " + ".join(terms) + ")"
+
+
 # --- survival --------------------------------------------------------------
 
 def _risk(source: str, stratum: str = "") -> str:

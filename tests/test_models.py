@@ -7,9 +7,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from holdfast.functions.cleaning import clean
-from holdfast.operators import design, kernels, models
+from holdfast.operators import attribution, design, kernels, models
 from holdfast.operators.attribution import (
-    _shapley_table, global_attribution, leaf_tables, linear_attribution, top_features, tree_attribution,
+    global_attribution, leaf_games, linear_attribution, top_features, tree_attribution,
 )
 from holdfast.plans import catalog
 from holdfast.schema import RAW_ROLES, TABLE_ROLES
@@ -112,29 +112,61 @@ def test_candidates_are_compared_on_validation_rows(frame):
     assert sorted(r.candidate for r in results.collect()) == [0, 1]
 
 
-def test_shapley_table_of_one_leaf():
+def test_values_of_one_leaf():
     shares, value = [0.3, 0.6, 0.9], 2.0
-    table = _shapley_table(value, shares)
-    for mask in range(8):
-        hit = [(mask >> j) & 1 for j in range(3)]
+    for hit in itertools.product([0.0, 1.0], repeat=3):
 
         def worth(coalition):
             return value * math.prod(hit[i] if i in coalition else shares[i] for i in range(3))
 
+        got = kernels.leaf_values(np.array([[hit]]), np.array([shares]), np.array([value]))[0, 0]
         for j in range(3):
             orders = list(itertools.permutations(range(3)))
             mine = sum(worth(set(o[:o.index(j) + 1])) - worth(set(o[:o.index(j)])) for o in orders) / len(orders)
-            assert table[mask, j] == pytest.approx(mine)
+            assert got[j] == pytest.approx(mine)
+
+
+def test_values_of_long_paths_add_up():
+    """Twelve features: what all of them change is the leaf's value less its expected one."""
+    rng = np.random.default_rng(3)
+    shares, values = rng.uniform(0, 1, (40, 12)), rng.normal(size=40)
+    hits = (rng.uniform(size=(9, 40, 12)) < 0.9).astype(float)
+    sums = kernels.leaf_values(hits, shares, values).sum(2)
+    assert sums == pytest.approx(values * (hits.prod(2) - shares.prod(1)))
+
+
+def test_block_in_steps_is_the_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(20, 6))
+    features = np.array([rng.permutation(6)[:3] for _ in range(50)])
+    low = rng.uniform(0, 0.5, (50, 3))
+    groups = [(features, low, low + 0.5, rng.uniform(size=(50, 3)), rng.normal(size=50))]
+    whole = kernels.explain_block(x, groups)
+    monkeypatch.setattr(kernels, "CELLS_PER_STEP", 200)
+    assert kernels.explain_block(x, groups) == pytest.approx(whole)
+
+
+def test_model_with_too_many_leaves_is_refused(spark, boosted, monkeypatch):
+    monkeypatch.setattr(attribution, "MOST_BYTES", 8)
+    with pytest.raises(ValueError, match="leaves"):
+        leaf_games(spark, boosted)
+
+
+def test_given_trees_refuse_a_missing_input(spark):
+    rows = spark.createDataFrame([("a", 1, None, "One year", "DSL")],
+                                 "customer_id string, tenure int, monthly_charges double, contract string, internet_service string")
+    with pytest.raises(Exception, match="clean the rows first"):
+        catalog.GIVEN_TREES.encoded(rows).collect()
 
 
 def test_attributions_add_up_to_the_log_odds(spark, boosted, frame):
-    tables = leaf_tables(spark, boosted)
+    games = leaf_games(spark, boosted)
     sums = tree_attribution(frame, boosted).groupBy("customer_id").agg(F.sum("phi").alias("s"))
     both = sums.join(boosted.probability(frame), "customer_id").select(
         "s", F.log(F.col("p") / (1 - F.col("p"))).alias("odds")).collect()
     assert len(both) == frame.count()
     for r in both:
-        assert r.s + tables.expected == pytest.approx(r.odds, abs=1e-9)
+        assert r.s + games.expected == pytest.approx(r.odds, abs=1e-9)
 
 
 def test_attribution_against_all_coalitions(spark, boosted, frame):
@@ -157,7 +189,7 @@ def test_attribution_against_all_coalitions(spark, boosted, frame):
             return walk(tree, n.leftChild if left else n.rightChild, x, known)
         return sum(walk(tree, c, x, known) * nodes[tree][c].rawCount for c in (n.leftChild, n.rightChild)) / n.rawCount
 
-    got = kernels.explain_block(np.array([row]), leaf_tables(spark, boosted).groups)[0]
+    got = kernels.explain_block(np.array([row]), leaf_games(spark, boosted).groups)[0]
     used = sorted({n.split.featureIndex for t in nodes.values() for n in t.values() if n.leftChild >= 0})
     want = np.zeros(len(row))
     for tree, weight in enumerate(boosted.model.treeWeights):

@@ -10,8 +10,7 @@ from holdfast.plans.catalog import QUERIES
 # The corpus operators, where present, have tests of their own.
 CHECKS = statements()
 # Run by the tests of their own module; here they would only repeat the fits.
-FITTED = {"cox_ratios", "train_gbt", "train_lr", "calibrate", "select_model", "train_run",
-          "tree_attribution", "global_attribution"}
+FITTED = {"cox_ratios", "train_gbt", "train_lr", "calibrate", "select_model", "train_run"}
 
 
 @pytest.fixture(scope="module")
