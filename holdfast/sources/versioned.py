@@ -1,23 +1,50 @@
 """Keyed tables on plain Parquet: whole versions plus an append-only delta log.
 
-A bulk load writes the merged table as a new version folder. A version counts
-once its ``_SUCCESS`` marker exists, so readers never see half a write and a
-failed job leaves the old version in force. A stream writes small delta
-folders, one per stream and batch id, which readers fold in by key; ``compact`` merges
-them into the next version. One writer at a time.
+A bulk load writes the merged table to a folder of its own and then commits it: a
+small file named by the version's number, which can be made once only, names the
+folder and the deltas folded into it. Readers go by the newest commit, so they
+never see half a write, and a failed job leaves the old version in force. Of two
+writers that start from one version the second gets ``VersionConflict``; upserts
+and compactions then start again from the new version.
+
+A stream writes small delta folders, one per stream and batch id. Readers fold in,
+by key, every finished delta that the version they read doesn't name, so a delta
+that lands while a version is written stays in the log until the next one.
+``compact`` folds the log into a new version, ``vacuum`` removes what no kept
+version needs. The table reaches the file system through the session's JVM.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.operators.keyed import KeyConflict, latest_per_key, merge_rows
 from holdfast.sources.files import conform
 
-_VERSION = re.compile(r"v(\d{8})$")
-_DELTA = re.compile(r"batch-(\d+)$")
+_VERSION = re.compile(r"v(\d{8})-")
+_DELTA = re.compile(r"batch-(\d+)")
+ATTEMPTS = 5
+
+
+class VersionConflict(RuntimeError):
+    """Another writer committed a version in the meantime."""
+
+
+@dataclass(frozen=True)
+class Commit:
+    """A version's number, its folder, the deltas in it, and the next free number."""
+
+    number: int
+    folder: str | None
+    folded: frozenset[str]
+    next: int
 
 
 class VersionedTable:
@@ -26,57 +53,109 @@ class VersionedTable:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self.key, self.order = key, order
 
-    def _children(self, folder: str) -> list[str]:
-        """Finished sub-folders of ``folder``."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = []
-        for status in fs.listStatus(path):
-            child = status.getPath()
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(child, "_SUCCESS")
-            if status.isDirectory() and fs.exists(marker):
-                done.append(child.getName())
-        return done
+    # --- files -------------------------------------------------------------
+
+    def _at(self, path: str):
+        """The file system and the path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, pattern: str) -> list[str]:
+        """Names below the root that fit a glob, in one call."""
+        fs, path = self._at(pattern)
+        return [s.getPath().getName() for s in fs.globStatus(path) or []]
+
+    def _text(self, path: str) -> str:
+        fs, path = self._at(path)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _remove(self, path: str) -> None:
+        fs, path = self._at(path)
+        fs.delete(path, True)
+
+    def _deltas(self) -> set[str]:
+        """Names of the finished delta folders."""
+        fs, path = self._at("deltas/*/_SUCCESS")
+        return {s.getPath().getParent().getName() for s in fs.globStatus(path) or []}
+
+    # --- commits -----------------------------------------------------------
+
+    def _numbers(self) -> list[int]:
+        return sorted((int(n) for n in self._names("commits/*") if n.isdigit()), reverse=True)
+
+    def _commit(self, number: int, next_: int) -> Commit | None:
+        text = self._text(f"commits/{number:08d}")
+        if not text:  # its writer died
+            return None
+        held = json.loads(text)
+        return Commit(number, held["folder"], frozenset(held["folded"]), next_)
+
+    def _head(self) -> Commit:
+        numbers = self._numbers()
+        free = max(numbers, default=0) + 1
+        for number in numbers:
+            found = self._commit(number, free)
+            if found is not None:
+                return found
+        return Commit(0, None, frozenset(), free)
 
     def version(self) -> int:
-        found = [int(m[1]) for m in map(_VERSION.search, self._children(f"{self.root}/versions")) if m]
-        return max(found, default=0)
-
-    def _base(self, version: int) -> DataFrame:
-        if version == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._version_path(version))
-
-    def _version_path(self, version: int) -> str:
-        return f"{self.root}/versions/v{version:08d}"
-
-    def _delta_root(self, version: int) -> str:
-        return f"{self.root}/deltas/v{version:08d}"
-
-    def read(self) -> DataFrame:
-        """The current rows: the newest version with its deltas folded in."""
-        version = self.version()
-        base = self._base(version)
-        deltas = [d for d in self._children(self._delta_root(version)) if _DELTA.search(d)]
+        return self._head().number
+
+    def _publish(self, rows: DataFrame, head: Commit, folded: set[str]) -> None:
+        """Write rows that were made from ``head``, and commit them if it still is the newest."""
+        folder = f"v{head.next:08d}-{uuid4().hex[:12]}"
+        conform(rows, self.schema).write.parquet(f"{self.root}/versions/{folder}")
+        fs, path = self._at(f"commits/{head.next:08d}")
+        if self._head().next != head.next:
+            raise VersionConflict(f"version {head.next} is another writer's")
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError as error:
+            if fs.exists(path):
+                raise VersionConflict(f"version {head.next} is another writer's") from error
+            raise
+        stream.write(bytearray(json.dumps({"folder": folder, "folded": sorted(folded)}).encode()))
+        stream.close()
+
+    def _retried(self, attempt: Callable[[], None]) -> None:
+        for left in reversed(range(ATTEMPTS)):
+            try:
+                return attempt()
+            except VersionConflict:
+                if not left:
+                    raise
+
+    # --- rows --------------------------------------------------------------
+
+    def _rows(self, head: Commit, deltas: set[str]) -> DataFrame:
+        """A version with some deltas folded in."""
+        if head.folder is None:
+            base = self.spark.createDataFrame([], self.schema)
+        else:
+            base = self.spark.read.schema(self.schema).parquet(f"{self.root}/versions/{head.folder}")
         if not deltas:
             return base
-        log = self.spark.read.schema(self.schema).parquet(
-            *[f"{self._delta_root(version)}/{d}" for d in deltas]
-        )
+        log = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/deltas/{d}" for d in sorted(deltas)])
         # Only customers the log names are compared; the rest of the table is
         # passed through, without a shuffle while the log is small.
         known = base.join(log.select(self.key), self.key, "left_semi").select(*base.columns)
         newest = latest_per_key(log.unionByName(known), self.key, self.order)
         return merge_rows(base, newest, self.key)
 
-    def _publish(self, rows: DataFrame) -> None:
-        target = self._version_path(self.version() + 1)
-        conform(rows, self.schema).write.mode("overwrite").parquet(target)
+    def read(self) -> DataFrame:
+        """The current rows: the newest version with its open deltas folded in."""
+        head = self._head()
+        return self._rows(head, self._deltas() - head.folded)
 
     def replace(self, rows: DataFrame) -> None:
-        self._publish(rows)
+        """These rows and no others; deltas that are there already no longer count."""
+        head = self._head()
+        self._publish(rows, head, self._deltas())
 
     def upsert(self, rows: DataFrame, on_duplicate: str = "error") -> int:
         """Insert new keys, overwrite known ones; returns the incoming row count.
@@ -86,24 +165,69 @@ class VersionedTable:
         staged as Parquet first: it is computed once, and the check and the
         anti-join then read its key column only.
         """
-        staging = f"{self.root}/staging"
-        conform(rows, self.schema).write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.schema(self.schema).parquet(staging)
-        count, most = staged.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).agg(
-            F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
-        ).first()
-        if on_duplicate == "latest":
-            staged = latest_per_key(staged, self.key, self.order)
-        elif most > 1:
-            raise KeyConflict(f"a key occurs more than once in one batch ({self.key})")
-        self._publish(merge_rows(self.read(), staged, self.key))
-        return count
+        staging = f"staging/{uuid4().hex}"
+        conform(rows, self.schema).write.parquet(f"{self.root}/{staging}")
+        try:
+            staged = self.spark.read.schema(self.schema).parquet(f"{self.root}/{staging}")
+            count, most = staged.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).agg(
+                F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
+            ).first()
+            if on_duplicate == "latest":
+                staged = latest_per_key(staged, self.key, self.order)
+            elif most > 1:
+                raise KeyConflict(f"a key occurs more than once in one batch ({self.key})")
+
+            def attempt() -> None:
+                head, deltas = self._head(), self._deltas()
+                self._publish(merge_rows(self._rows(head, deltas - head.folded), staged, self.key), head, deltas)
+
+            self._retried(attempt)
+            return count
+        finally:
+            self._remove(staging)
 
     def append_delta(self, rows: DataFrame, batch_id: int, stream: str | None = None) -> None:
-        """Add one batch; the same batch id of the same stream replaces it."""
-        conform(rows, self.schema).write.mode("overwrite").parquet(
-            f"{self._delta_root(self.version())}/{stream or 'rows'}-batch-{batch_id}"
-        )
+        """Add one batch; the same batch id of the same stream replaces it.
+
+        A batch that a version already holds is added anew: readers keep the
+        newest row by key, so a replay changes nothing.
+        """
+        name, head = f"{stream or 'rows'}-batch-{batch_id}", self._head()
+        if name in head.folded:
+            name = f"{name}-after-{head.number}"
+        conform(rows, self.schema).write.mode("overwrite").parquet(f"{self.root}/deltas/{name}")
 
     def compact(self) -> None:
-        self._publish(self.read())
+        """Fold the open deltas into a new version, if there are any."""
+
+        def attempt() -> None:
+            head, deltas = self._head(), self._deltas()
+            if deltas - head.folded:
+                self._publish(self._rows(head, deltas - head.folded), head, deltas)
+
+        self._retried(attempt)
+
+    def open_deltas(self) -> int:
+        return len(self._deltas() - self._head().folded)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove versions older than the newest ``keep``, and deltas that all kept ones hold.
+
+        A query that still reads a removed version fails; ``keep`` is for how
+        many publishes a reader may take.
+        """
+        numbers = self._numbers()
+        kept = [c for c in (self._commit(n, 0) for n in numbers) if c is not None][:max(keep, 1)]
+        if not kept:
+            return
+        oldest = kept[-1]
+        for name in self._names("versions/*"):
+            found = _VERSION.match(name)
+            if found and int(found[1]) < oldest.number:
+                self._remove(f"versions/{name}")
+        for number in numbers:
+            if number < oldest.number:
+                self._remove(f"commits/{number:08d}")
+        for name in self._deltas() & oldest.folded:
+            if _DELTA.search(name):
+                self._remove(f"deltas/{name}")

@@ -13,6 +13,8 @@ from holdfast.plans.scoring import score_columns
 from holdfast.schema import RAW, RAW_ROLES
 from holdfast.sources.versioned import VersionedTable
 
+MOST_DELTAS = 100
+
 
 def arriving_records(spark: SparkSession, path: str, fmt: str = "csv",
                      files_per_batch: int = 64) -> DataFrame:
@@ -44,17 +46,21 @@ def predict(records: DataFrame, model: Classifier, scored_at: str,
 
 def start_scoring(records: DataFrame, model: Classifier, table: VersionedTable, scored_at: str,
                   checkpoint: str, threshold: float = K.DEFAULT_THRESHOLD,
-                  available_now: bool = False) -> StreamingQuery:
+                  available_now: bool = False, most_deltas: int = MOST_DELTAS) -> StreamingQuery:
     """Append each micro-batch to the table's delta log.
 
     A replayed batch overwrites its own folder, and readers keep the newest row
-    per customer, so a restart changes nothing.
+    per customer, so a restart changes nothing. A log of ``most_deltas`` folders
+    is folded into a new version; other writers of the table go on meanwhile.
     """
     def publish(batch: DataFrame, batch_id: int) -> None:
         # The query's id stays the same over restarts of one checkpoint, and no
         # other stream has it.
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         table.append_delta(predict(batch, model, scored_at, threshold), batch_id, query)
+        if table.open_deltas() >= most_deltas:
+            table.compact()
+            table.vacuum()
 
     writer = records.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if available_now:

@@ -10,7 +10,8 @@ from holdfast.plans.loading import create_tables, customer_table, load_customers
 from holdfast.plans.scoring import publish_scores
 from holdfast.schema import CUSTOMERS, SCORES
 from holdfast.sources import files
-from holdfast.sources.versioned import VersionedTable
+from holdfast.sources.versioned import VersionConflict, VersionedTable
+from holdfast.streaming import live
 
 
 @pytest.fixture()
@@ -217,3 +218,104 @@ def test_a_repeated_run_replaces_its_record(spark, tmp_path):
         files.write_record(spark.createDataFrame([(value,)], "v int"), str(tmp_path / "r"), run)
     assert [r["v"] for r in files.read_record(spark, str(tmp_path / "r"), "x").collect()] == [33]
     assert [r["v"] for r in files.read_record(spark, str(tmp_path / "r"), "y").collect()] == [5]
+
+
+@pytest.fixture()
+def keyed(spark, tmp_path):
+    """A table of letters with a number that says which row is newer."""
+    schema = "customer_id string, scored_at int"
+    kind = spark.createDataFrame([], schema).schema
+
+    class Keyed(VersionedTable):
+        def rows(self, *pairs):
+            return spark.createDataFrame(list(pairs), schema)
+
+        def held(self):
+            return sorted(tuple(r) for r in self.read().collect())
+
+    return Keyed(spark, str(tmp_path), kind, "customer_id", "scored_at")
+
+
+def test_a_delta_that_lands_during_a_publish_stays(keyed):
+    keyed.replace(keyed.rows(("a", 1)))
+    keyed.append_delta(keyed.rows(("b", 1)), 0, "s")
+    publish = keyed._publish
+
+    def late(rows, head, folded):
+        keyed.append_delta(keyed.rows(("c", 1)), 1, "s")
+        publish(rows, head, folded)
+
+    keyed._publish = late
+    keyed.compact()
+    assert keyed.version() == 2 and keyed.open_deltas() == 1
+    assert keyed.held() == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_the_second_of_two_publishers_starts_again(keyed):
+    keyed.replace(keyed.rows(("a", 1)))
+    publish, others = keyed._publish, [("b", 5)]
+
+    def contested(rows, head, folded):
+        if others:
+            other = VersionedTable(keyed.spark, keyed.root, keyed.schema, keyed.key, keyed.order)
+            other.upsert(keyed.rows(others.pop()))
+        publish(rows, head, folded)
+
+    keyed._publish = contested
+    assert keyed.upsert(keyed.rows(("c", 2))) == 1
+    assert keyed.version() == 3 and keyed.held() == [("a", 1), ("b", 5), ("c", 2)]
+    with pytest.raises(VersionConflict):
+        others.append(("d", 1))
+        keyed.replace(keyed.rows(("z", 1)))
+    assert keyed.held() == [("a", 1), ("b", 5), ("c", 2), ("d", 1)]
+
+
+def test_a_batch_replayed_after_compaction_counts_once(keyed):
+    keyed.append_delta(keyed.rows(("a", 1), ("b", 1)), 0)
+    keyed.compact()
+    keyed.append_delta(keyed.rows(("a", 1), ("b", 1)), 0)
+    assert keyed.held() == [("a", 1), ("b", 1)]
+    # A new stream that counts its batches from 0 again loses nothing.
+    keyed.append_delta(keyed.rows(("c", 1), ("a", 9)), 0)
+    assert keyed.held() == [("a", 9), ("b", 1), ("c", 1)]
+
+
+def test_a_commit_without_content_is_passed_over(keyed, tmp_path):
+    keyed.replace(keyed.rows(("a", 1)))
+    (tmp_path / "commits" / "00000002").write_text("")
+    assert keyed.version() == 1 and keyed.held() == [("a", 1)]
+    keyed.upsert(keyed.rows(("b", 1)))
+    assert keyed.version() == 3 and keyed.held() == [("a", 1), ("b", 1)]
+
+
+def test_vacuum_leaves_what_kept_versions_need(keyed, tmp_path):
+    for batch in range(3):
+        keyed.append_delta(keyed.rows((f"k{batch}", 1)), batch, "s")
+        keyed.compact()
+    keyed.append_delta(keyed.rows(("k3", 1)), 3, "s")
+    before = keyed.held()
+    keyed.vacuum(keep=2)
+    keyed.vacuum(keep=2)
+    assert keyed.held() == before and keyed.version() == 3 and keyed.open_deltas() == 1
+    assert len(list((tmp_path / "versions").iterdir())) == 2
+    assert sorted(p.name for p in (tmp_path / "deltas").iterdir()) == ["s-batch-2", "s-batch-3"]
+    keyed.compact()
+    assert keyed.held() == before and keyed.open_deltas() == 0
+
+
+def test_nothing_to_compact_makes_no_version(keyed):
+    keyed.compact()
+    keyed.vacuum()
+    assert keyed.version() == 0 and keyed.held() == []
+
+
+def test_a_stream_folds_its_log(spark, sf, tmp_path):
+    records = catalog.raw_records(spark, sf).repartition(3)
+    records.write.option("header", True).csv(str(tmp_path / "in"))
+    table = score_table(spark, str(tmp_path / "db"))
+    stream = live.start_scoring(
+        live.arriving_records(spark, str(tmp_path / "in"), files_per_batch=1), catalog.GIVEN, table,
+        "2024-01-01 00:00:00", str(tmp_path / "checkpoint"), available_now=True, most_deltas=2)
+    stream.awaitTermination()
+    assert table.version() == 1 and table.open_deltas() == 1
+    assert table.read().count() == records.count()
