@@ -418,17 +418,23 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int
     found = found.union(queries.select(F.col("id"), "node")).distinct()
     # Of a node's ids, the k + 1 smallest are all that a query can return.
     names = members.select("node", "id", F.row_number().over(Window.partitionBy("node").orderBy("id")).alias("at"))
-    names = names.where(F.col("at") <= k + 1).select("node", F.col("id").alias("vec_id"))
+    names = names.where(F.col("at") <= k + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     scored = (
         found.join(members.select(F.col("id").alias("node"), F.col("x").alias("y")), "node")
         .join(queries.select(F.col("id").alias("q"), "x"), "q")
         .select("q", "node", product.alias("score"))
     )
+    # Nodes behind k ids and the query's own can't give any more, so a query's
+    # rows stay a few times k where vectors have many copies.
+    nearer = Window.partitionBy("q").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("q", "score")
+    ahead = F.sum(F.size("ids")).over(nearer) - F.sum(F.size("ids")).over(level)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        scored.join(names, "node").where("vec_id <> q")
-        .select(F.col("q").alias("query_id"), "vec_id", "score")
+        scored.join(names, "node").withColumn("ahead", ahead).where(F.col("ahead") <= k)
+        .select(F.col("q").alias("query_id"), F.explode("ids").alias("vec_id"), "score")
+        .where("vec_id <> query_id")
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
