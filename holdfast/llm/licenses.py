@@ -33,7 +33,10 @@ LEAST = 0.8
 BATCH_BYTES = 2_000_000
 SHARED = 0.5  # part of a line's bigrams that must be some template's for the line to join a stretch
 WORD = re.compile(r"[a-z0-9]+")
-COPYRIGHT = re.compile(r"^\W*(copyright|\(c\)|©).*$", re.I | re.M)
+# Lines that name an owner, not those of a wrapped licence text that begin with "copyright notice" or an item (c).
+COPYRIGHT = re.compile(
+    r"^[^\w\n]*(?:copyright(?!\W*$|\W+(?:notices?|holders?|owners?|and|or|laws?|licen[cs]es?|interests?|statements?)\b)"
+    r"|\(c\)\W*(?:copyright|\d{4})|©).*$", re.I | re.M)
 
 # Public licence texts and the notices that stand for them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -80,29 +83,155 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         following disclaimer in the documentation and/or other materials provided with the distribution.
         THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
         WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
-        PARTICULAR PURPOSE ARE DISCLAIMED.""",
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+        DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
+    ),
+    "BSD-3-Clause": (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+        DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
-        your option) any later version.
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
         This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
         implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
         for more details.
         You should have received a copy of the GNU General Public License along with this program. If not, see
         <https://www.gnu.org/licenses/>.""",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
+        for more details.
+        You should have received a copy of the GNU General Public License along with this program; if not, write to
+        the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
-        General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
-        your option) any later version.""",
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
+        for more details.
+        You should have received a copy of the GNU General Public License along with this program; if not, write to
+        the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
+        for more details.
+        You should have received a copy of the GNU General Public License along with this program; if not, see
+        <https://www.gnu.org/licenses/>.""",
+    ),
+    "LGPL-2.1": (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+        (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to
+        the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+        (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library; if not, see
+        <https://www.gnu.org/licenses/>.""",
+    ),
+    "LGPL-3.0": (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this program. If not, see
+        <https://www.gnu.org/licenses/>.""",
+        """This library is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library. If not, see
+        <https://www.gnu.org/licenses/>.""",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this program; if not, write to
+        the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+        """This library is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+        for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to
+        the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    ),
+    "AGPL-3.0": (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License
+        for more details.
+        You should have received a copy of the GNU Affero General Public License along with this program. If not, see
+        <https://www.gnu.org/licenses/>.""",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License
+        for more details.
+        You should have received a copy of the GNU Affero General Public License along with this program; if not, write to
+        the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
     ),
     "MPL-2.0": (
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
         was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     ),
+    "EPL-1.0": (
+        """All rights reserved. This program and the accompanying materials are made available under the terms of the
+        Eclipse Public License v1.0 which accompanies this distribution, and is available at
+        http://www.eclipse.org/legal/epl-v10.html""",
+    ),
+    "EPL-2.0": (
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.
+        SPDX-License-Identifier: EPL-2.0""",
+    ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -122,7 +251,17 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": (
         """This is free and unencumbered software released into the public domain.
         Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
-        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+        copyright interest in the software to the public domain. We make this dedication for the benefit of the public
+        at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+        TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.
+        For more information, please refer to <https://unlicense.org>""",
     ),
 }
 
