@@ -1,20 +1,24 @@
 """Licence scans: Dice coefficient over word bigrams, pruned by size.
 
 Templates are normalised (lower-cased words and numbers, copyright lines left
-out) into sets of word bigrams. Compared with them are each line of a text, each
-stretch of adjacent lines that share many bigrams with templates, and the whole
-text. Two sets of a and b bigrams have a Dice coefficient of at most
-2 min(a, b) / (a + b), so only templates of sizes from a t / (2 - t) to
-a (2 - t) / t are candidates; of these an index by bigram names the ones that share
-any. A part of the text is reported for the template it matches best, with
-offsets in code points.
+out) into sets of word bigrams. Two sets of a and b bigrams have a Dice
+coefficient of at most 2 min(a, b) / (a + b), so only windows of a template's size
+times t / (2 - t) to (2 - t) / t can match it, and they share at least the lower
+of these numbers with it. An index by bigram names the templates of which a text
+has so many; for these, windows slide over the text's words, whatever its lines
+are, from one shared bigram to another. A window is no longer in words than its
+template's bound.
+
+Of all windows that reach the coefficient, the one whose shared bigrams exceed
+what the coefficient asks for by most is reported, and the words before and after it
+are searched in the same way, so findings don't overlap. Offsets are code points,
+from the first word to the punctuation behind the last.
 
 The work is a narrow pass over whole texts; the templates are code, not data.
 
 Rows: each finding is a row. A NULL or empty text has none; repeated rows repeat
-theirs; a NULL key stays. Templates that match equally well: the first by name.
-A part inside another part with the same licence is reported only with the part
-that matches better, the longer one if equal.
+theirs; a NULL key stays. Windows that match equally well: the longer one, then the
+first, then the first licence by name. A template of one word is found as a line of it.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
@@ -31,8 +36,10 @@ from holdfast.llm.common import quoted, slices
 
 LEAST = 0.8
 BATCH_BYTES = 2_000_000
-SHARED = 0.5  # part of a line's bigrams that must be some template's for the line to join a stretch
+STARTS = 64  # windows that are compared at once
 WORD = re.compile(r"[a-z0-9]+")
+PLACED = re.compile(r"[A-Za-z0-9]+")
+AFTER = re.compile(r"[^\w\s]*")
 # Lines that name an owner, not those of a wrapped licence text that begin with "copyright notice" or an item (c).
 COPYRIGHT = re.compile(
     r"^[^\w\n]*(?:copyright(?!\W*$|\W+(?:notices?|holders?|owners?|and|or|laws?|licen[cs]es?|interests?|statements?)\b)"
@@ -275,14 +282,16 @@ def bigrams(text: str) -> set[tuple[str, str]]:
 class Matcher:
     def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST):
         self.least = least
-        forms = sorted(((len(b), name, b) for name, texts in templates.items() for b in map(bigrams, texts)),
-                       key=lambda f: f[:2])
+        forms = sorted(((len(b), name, b, len(WORD.findall(t.lower()))) for name, texts in templates.items()
+                        for t in texts for b in [bigrams(t)]), key=lambda f: f[:2])
         self.sizes, self.names = [f[0] for f in forms], [f[1] for f in forms]
         self.index: dict[tuple[str, str], list[int]] = {}
-        for i, (_, _, pairs) in enumerate(forms):
+        for i, (_, _, pairs, _) in enumerate(forms):
             for pair in pairs:
                 self.index.setdefault(pair, []).append(i)
-        self.most = self._bounds(self.sizes[-1])[1] if forms else 0
+        self.pairs = [f[2] for f in forms]
+        self.longest = [int(self._bounds(f[3])[1] + 1e-9) for f in forms]
+        self.one_word = any(second == "" for _, second in self.index)
 
     def _bounds(self, size: int) -> tuple[float, float]:
         return size * self.least / (2 - self.least), size * (2 - self.least) / self.least
@@ -304,38 +313,95 @@ class Matcher:
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, licence, coefficient) of the text's parts that match, in order."""
-        found, stretch, at = [], [], 0
-
-        def close():
-            if len(stretch) > 1:
-                start, end = stretch[0][0], stretch[-1][1]
-                found.append((start, end, self.best(bigrams(text[start:end]))))
-            stretch.clear()
+        found = self._lines_of_one_word(text) if self.one_word else []
+        plain = COPYRIGHT.sub(lambda m: " " * len(m[0]), text)
+        words = WORD.findall(plain.lower())
+        shared: Counter[int] = Counter()
+        for pair in set(zip(words, words[1:])) & self.index.keys():
+            shared.update(self.index[pair])
+        able = [i for i, n in sorted(shared.items()) if n >= self._bounds(self.sizes[i])[0] - 1e-9]
+        if able:
+            spans = [m.span() for m in PLACED.finditer(plain)]
+            words = [plain[a:b].lower() for a, b in spans]
+            for first, last, i, dice in self._windows(words, able):
+                end = AFTER.match(text, spans[last + 1][1]).end()
+                found.append((spans[first][0], end, self.names[i], dice))
+        return sorted(found)
 
+    def _lines_of_one_word(self, text: str) -> list[tuple[int, int, str, float]]:
+        found, at = [], 0
         for line in text.split("\n"):
             pairs = bigrams(line)
-            if pairs:
-                mine = len(pairs & self.index.keys())
-                if mine:
-                    found.append((at, at + len(line), self.best(pairs)))
-                if mine >= SHARED * len(pairs):
-                    stretch.append((at, at + len(line)))
-                else:
-                    close()
+            match = self.best(pairs) if any(second == "" for _, second in pairs) else None
+            if match:
+                found.append((at, at + len(line), *match))
             at += len(line) + 1
-        close()
-        if "\n" in text and len(text) < 40 * self.most:
-            whole = bigrams(text)
-            if len(whole) <= self.most:
-                found.append((0, len(text), self.best(whole)))
-        parts = sorted(((s, e, *b) for s, e, b in found if b), key=lambda p: (-p[3], p[0] - p[1], p[0]))
-        kept: list[tuple[int, int, str, float]] = []
-        for part in parts:
-            inside = any(k[2] == part[2] and (k[0] <= part[0] and part[1] <= k[1] or part[0] <= k[0] and k[1] <= part[1])
-                         for k in kept)
-            if not inside:
-                kept.append(part)
-        return sorted(kept)
+        return found
+
+    def _windows(self, words: list[str], able: list[int]) -> list[tuple[int, int, int, float]]:
+        """(first bigram, last bigram, template, coefficient) of the best windows that don't overlap."""
+        pairs = list(zip(words, words[1:]))
+        before, last = np.empty(len(pairs), np.int64), {}
+        for at, pair in enumerate(pairs):
+            before[at] = last.get(pair, -1)
+            last[pair] = at
+        hits = {i: np.fromiter((pair in self.pairs[i] for pair in pairs), bool, len(pairs)) for i in able}
+        kept, open_ = [], [(0, len(pairs), self._all_best(before, hits, 0, len(pairs), {}))]
+        while open_:
+            low, high, best = open_.pop()
+            if not best:
+                continue
+            i = min(best, key=lambda i: (best[i][:3], self.names[i]))
+            _, size, first, dice = best[i]
+            end = first - size
+            kept.append((first, end - 1, i, dice))
+            # A window that takes words [first, end] leaves bigrams without any of them.
+            for a, b in ((low, first - 1), (end + 1, high)):
+                if a < b:
+                    open_.append((a, b, self._all_best(before, hits, a, b, best)))
+        return kept
+
+    def _all_best(self, before: np.ndarray, hits: dict[int, np.ndarray], low: int, high: int,
+                  known: dict[int, tuple]) -> dict[int, tuple]:
+        """The best window of each template among the bigrams from low to high."""
+        out = {}
+        for i, hit in hits.items():
+            if i in known and low <= known[i][2] and known[i][2] - known[i][1] <= high:
+                out[i] = known[i]  # the best of more words
+                continue
+            best = self._best_window(before, hit, low, high, self.sizes[i], self.longest[i])
+            if best:
+                out[i] = best
+        return out
+
+    def _best_window(self, before: np.ndarray, hit: np.ndarray, low: int, high: int, size: int,
+                     longest: int) -> tuple | None:
+        """(-surplus, -length, first, coefficient) of the best window for a template."""
+        places = low + np.flatnonzero(hit[low:high])
+        need = int(np.ceil(self._bounds(size)[0] - 1e-9))
+        within = np.searchsorted(places, places + longest) - np.arange(len(places))
+        starts = places[within >= need]
+        best = None
+        steps = np.arange(longest)
+        for at in range(0, len(starts), STARTS):
+            first = starts[at:at + STARTS, None]
+            where = np.minimum(first + steps, high - 1)
+            # In a window from ``first``, a bigram counts where it stands first.
+            fresh = (before[where] < first) & (first + steps < high)
+            m = np.cumsum(fresh, 1, dtype=np.int32)
+            n = np.cumsum(fresh & hit[where], 1, dtype=np.int32)
+            # Rounded, so that equal surpluses are equal; only ends on a shared bigram count.
+            surplus = np.where(hit[where] & (first + steps < high), np.round(2 * n - self.least * (m + size), 9), -np.inf)
+            end = surplus.shape[1] - 1 - surplus[:, ::-1].argmax(1)
+            rows = np.arange(len(end))
+            top = surplus[rows, end]
+            row = np.lexsort((first[:, 0], -end, -top))[0]
+            if top[row] >= -1e-9:
+                e = end[row]
+                dice = float(2 * n[row, e] / (m[row, e] + size))
+                key = (-float(top[row]), -int(e) - 1, int(first[row, 0]), dice)
+                best = min(best, key) if best else key
+        return best
 
 
 def scan_licenses(docs: DataFrame, key: str, text: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,

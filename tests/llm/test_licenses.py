@@ -1,8 +1,12 @@
 """Whole licence texts and notices, as other projects have them, each by its own name."""
 
+import itertools
+import textwrap
+
+import numpy as np
 import pytest
 
-from holdfast.llm.licenses import Matcher
+from holdfast.llm.licenses import TEMPLATES, Matcher, bigrams
 
 BSD_START = """Copyright (c) 2016, Some Body
 All rights reserved.
@@ -102,3 +106,55 @@ def test_whole_texts_give_their_own_name(name):
         assert {f[2] for f in found} == {name}
         # What is found reaches to the text's end.
         assert max(f[1] for f in found) >= len(text.rstrip()) - 40
+
+
+def wrapped(text, width):
+    return textwrap.fill(" ".join(text.split()), width)
+
+
+WHOLE = {name: max(texts, key=len) for name, texts in TEMPLATES.items() if len(max(texts, key=len)) > 300}
+
+
+@pytest.mark.parametrize("width", [40, 78, 10**6])
+def test_licences_that_follow_each_other_are_found(width):
+    matcher = Matcher()
+    for a, b in itertools.permutations(["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "Unlicense"], 2):
+        first, second = wrapped(WHOLE[a], width), wrapped(WHOLE[b], width)
+        for between in ("\n\nCopyright (c) 2020 Nobody\n\n", "\n", " "):
+            found = matcher.scan(first + between + second)
+            assert [f[2] for f in found] == [a, b], (a, b, between)
+            assert found[0][:2] == (0, len(first)) and found[1][:2] == (len(first + between), len(first + between + second))
+
+
+def test_notices_inside_longer_lines():
+    prose = "These are words of a file that lists what it is made of and by whom, "
+    text = prose + "Licensed under the MIT License. " + prose + " ".join(WHOLE["ISC"].split()) + " " + prose
+    found = Matcher().scan(text)
+    assert [(text[s:e][:13], n) for s, e, n, _ in found] == [("Licensed unde", "MIT"), ("Permission to", "ISC")]
+    assert all(d == 1 for *_, d in found)
+
+
+def test_windows_equal_brute_force():
+    """The first finding's surplus is the best of all windows of all templates."""
+    rng = np.random.default_rng(7)
+    words = "alpha beta gamma delta".split()
+    templates = {"A": ("alpha beta gamma delta alpha gamma",), "B": ("delta delta beta alpha beta",)}
+    matcher = Matcher(templates)
+    forms = [(n, bigrams(t[0]), len(t[0].split())) for n, t in templates.items()]
+    for _ in range(300):
+        text = list(rng.choice(words, 14))
+        all_ = [(round(2 * len(p & b) - 0.8 * (len(p) + len(b)), 9), e - s)
+                for _, b, size in forms for s in range(14) for e in range(s + 2, min(14, s + 1 + int(size * 1.5)) + 1)
+                for p in [bigrams(" ".join(text[s:e]))]]
+        best = max(all_)
+        found = matcher.scan(" ".join(text))
+        assert bool(found) == (best[0] >= 0)
+        if found:
+            got = []
+            for s, e, name, dice in found:
+                part = bigrams(" ".join(text)[s:e])
+                b = next(f[1] for f in forms if f[0] == name)
+                assert dice == pytest.approx(2 * len(part & b) / (len(part) + len(b))) and dice >= 0.8
+                got.append(round(2 * len(part & b) - 0.8 * (len(part) + len(b)), 9))
+            assert max(got) == best[0]
+            assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
