@@ -13,9 +13,10 @@
 3. *Slots.* Whatever runs of text the template does not hold are slots. A text
    that stands on every page of a host with ``SURE_PAGES`` or more is template
    text. Of the slots, those inside the article (or the main element, or where a
-   page has neither, the smallest element with most of the prose) are the main
+   page has neither, the smallest element that holds all of the prose) are the main
    text, without navigation, headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles and reader comments inside it.
+   scripts, styles and reader comments inside it. Prose is what stands in paragraphs,
+   headings, items and the like, and any other block of more than one sign that is no link.
 
 If a template leaves a page without any text, its pages are copies of each
 other, and the article's text stays.
@@ -72,6 +73,7 @@ ENDED_BY = {  # an element that an opening tag ends, and what that search stops
 NEVER = frozenset("head nav footer aside form dialog button menu input label datalist".split())
 # Elements that may hold an article; "" is the page itself.
 HOLDERS = frozenset(("", *"html body main section article div center table tbody tr td".split()))
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption address summary".split())
 # What pages call their parts that are no main text.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs "
@@ -93,6 +95,7 @@ class Run:
     article: bool
     main: bool
     linked: bool
+    prose: bool      # inside an element that is made for text
     holders: tuple[int, ...]
     order: int
 
@@ -112,6 +115,7 @@ class _Open:
     article: bool
     main: bool
     linked: bool
+    prose: bool
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -132,7 +136,7 @@ def _is_part(name: str, given: dict[str, str], within: bool) -> bool:
 
 
 def parse(source: str) -> Page:
-    page, stack, block, order, made = Page(), [_Open("", "", 0, False, False, False, False)], 0, 0, 1
+    page, stack, block, order, made = Page(), [_Open("", "", 0, False, False, False, False, False)], 0, 0, 1
     for m in MARKUP.finditer(source):
         order += 1
         piece = m[0]
@@ -144,14 +148,14 @@ def parse(source: str) -> Page:
                 page.runs[-1].order = order
                 continue
             page.runs.append(Run(piece, block, top.path, top.shut, top.article, top.main, top.linked,
-                                 _holders(stack), order))
+                                 top.prose, _holders(stack), order))
             continue
         if m[3] is None:
             continue
         name = m[3].lower()
         if name == "br":
             page.runs.append(Run(" ", block, stack[-1].path, stack[-1].shut, stack[-1].article, stack[-1].main,
-                                 stack[-1].linked, _holders(stack), order))
+                                 stack[-1].linked, stack[-1].prose, _holders(stack), order))
             continue
         if name in BLOCK:
             block += 1
@@ -177,7 +181,7 @@ def parse(source: str) -> Page:
             name, path, made, shut, top.article or name == "article" and not shut,
             top.main or name == "main" or given.get("role", "").lower() == "main"
             or given.get("itemprop", "").lower() == "articlebody",
-            top.linked or name == "a",
+            top.linked or name == "a", top.prose or name in PROSE,
         ))
         made += 1
     return page
@@ -312,18 +316,17 @@ def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
 
 
 def _prose(runs: list[Run]) -> list[Run]:
-    """The runs in the smallest element that holds three fifths of the unlinked text."""
-    weight: dict[int, int] = {}
-    total = 0
+    """The runs in the smallest element that holds all prose."""
+    signs: dict[int, int] = {}
     for run in runs:
-        size = 0 if run.linked else len(run.text.strip())
-        total += size
-        for number in run.holders:
-            weight[number] = weight.get(number, 0) + size
-    if not total:
+        if not run.linked:
+            signs[run.block] = signs.get(run.block, 0) + len(plain(run.text))
+    free = [r for r in runs if not r.linked and r.text.strip()]
+    prose = [r for r in free if r.prose or signs[r.block] > 1] or free
+    if not prose:
         return runs
     # Elements are numbered as they open, so of nested ones the last is innermost.
-    holder = max(n for n, size in weight.items() if 5 * size >= 3 * total)
+    holder = max(set(prose[0].holders).intersection(*(r.holders for r in prose)))
     return [r for r in runs if holder in r.holders]
 
 
