@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,7 +51,7 @@ BATCH_BYTES = 2_000_000
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|canvas|object|math|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|[^<]++|<", re.S | re.I)
@@ -70,7 +71,10 @@ ENDED_BY = {  # an element that an opening tag ends, and what that search stops
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
-NEVER = frozenset("head nav footer aside form dialog button menu input label datalist".split())
+# Elements whose content is no markup; one that is not closed holds nothing.
+RAW = frozenset("iframe textarea title".split())
+DRAWN = frozenset("svg template select annotation annotation-xml".split())  # no text of the page; nor if not closed
+NEVER = RAW | DRAWN | frozenset("head nav footer aside form dialog button menu input label datalist".split())
 # Elements that may hold an article; "" is the page itself.
 HOLDERS = frozenset(("", *"html body main section article div center table tbody tr td".split()))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption address summary".split())
@@ -116,6 +120,7 @@ class _Open:
     main: bool
     linked: bool
     prose: bool
+    drawn: bool      # inside an element that is none of the page's text, whose blocks part nothing
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -136,8 +141,11 @@ def _is_part(name: str, given: dict[str, str], within: bool) -> bool:
 
 
 def parse(source: str) -> Page:
-    page, stack, block, order, made = Page(), [_Open("", "", 0, False, False, False, False, False)], 0, 0, 1
-    for m in MARKUP.finditer(source):
+    page, stack, block, order, made = Page(), [_Open("", "", 0, False, False, False, False, False, False)], 0, 0, 1
+    at, last = 0, {}
+    while at < len(source):
+        m = MARKUP.match(source, at)
+        at = m.end()
         order += 1
         piece = m[0]
         if piece[0] != "<" or piece == "<":
@@ -157,16 +165,20 @@ def parse(source: str) -> Page:
             page.runs.append(Run(" ", block, stack[-1].path, stack[-1].shut, stack[-1].article, stack[-1].main,
                                  stack[-1].linked, stack[-1].prose, _holders(stack), order))
             continue
-        if name in BLOCK:
-            block += 1
         if m[2]:
+            within = stack[-1].drawn
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
+                    within = stack[i].drawn
                     del stack[i:]
                     break
+            block += name in BLOCK and not within
             continue
+        if name in ENDS_P and name != "hr" and stack[-1].drawn:
+            _end(stack, ("svg", "select"), ("foreignobject", "template"))
+        block += name in BLOCK and not stack[-1].drawn
         if name in ENDS_P:
-            _end(stack, ("p",), ("table", "td", "th", "article", "section", "div", "li", "body", "blockquote"))
+            _end(stack, ("p",), ("template", "object", "table", "td", "th", "article", "section", "div", "li", "body", "blockquote"))
         if name in ENDED_BY:
             _end(stack, *ENDED_BY[name])
         given = _attributes(m[4]) if m[4] and m[4].strip("/ ") else {}
@@ -175,18 +187,31 @@ def parse(source: str) -> Page:
         page.tags.append((path, order))
         if name in VOID or m[4].endswith("/") and name not in BLOCK:
             continue
+        if name in RAW or name in DRAWN:
+            if name not in last:
+                last[name] = _closings(source, name)
+            if not last[name] or last[name][-1][0] < at:
+                continue
+            if name in RAW:
+                at = last[name][bisect_left(last[name], (at, at))][1]
+                continue
         within = top.article or top.main
         shut = top.shut or _is_part(name, given, within)
         stack.append(_Open(
             name, path, made, shut, top.article or name == "article" and not shut,
             top.main or name == "main" or given.get("role", "").lower() == "main"
             or given.get("itemprop", "").lower() == "articlebody",
-            top.linked or name == "a", top.prose or name in PROSE,
+            top.linked or name == "a", top.prose or name in PROSE, top.drawn or name in DRAWN,
         ))
         made += 1
     return page
 
 
+def _closings(source: str, name: str) -> list[tuple[int, int]]:
+    """Where the closing tags of a name stand."""
+    return [m.span() for m in re.finditer(rf"</{name}(?=[\s/>])[^>]*+>", source, re.I)]
+
+
 def _holders(stack: list[_Open]) -> tuple[int, ...]:
     return tuple(o.number for o in stack if o.name in HOLDERS)
 

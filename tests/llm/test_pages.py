@@ -24,3 +24,30 @@ def test_short_paragraphs_and_headings_stay():
 
 def test_scripts_without_blanks_are_prose():
     assert pages.main_text(f"<div>{FIRST}</div><div>短い文章。</div>") == f"{FIRST.strip()}\n短い文章。"
+
+
+@pytest.mark.parametrize("odd", [
+    '<svg class="i"/>', "<math/>", "<object>", "<canvas/>", "<iframe>", "<textarea>", "<title>", "<select>", "<template>",
+    "<noscript>", "<svg><title>a <b</title></svg>", "<svg><path d='m0'/><text>drawn</text></svg>",
+    "<iframe src=x><p>not shown</p></iframe>", "<select><option>a<option>b</select>", "<template><p>no</p></template>",
+])
+def test_odd_elements_hide_nothing_else(odd):
+    page = f"<article><p>One {odd} two</p><p>three</p><p>four <svg><g/></svg></p></article>"
+    assert pages.main_text(page) == "One two\nthree\nfour"
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = ("<article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> is <object data=a><b>so</b>"
+            "</object>, <canvas>that</canvas></p><noscript><p>and this</p></noscript></article>")
+    assert pages.main_text(page) == "As x=2 is so, that\nand this"
+
+
+def test_drawings_end_before_a_block():
+    page = "<article><div>One <svg> two<p>three</p></div><p>four</p><svg><g></g></svg></article>"
+    assert pages.main_text(page) == "One\nthree\nfour"
+    page = '<article><p>One <svg class="i"> two</p><p>three</p><p>four <svg><g/></svg></p></article>'
+    assert pages.main_text(page) == "One\nthree\nfour"
+
+
+def test_names_that_only_begin_like_a_script():
+    assert pages.main_text("<article><script-note>One</script-note><p>two</p></article>") == "One\ntwo"
