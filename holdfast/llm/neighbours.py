@@ -5,21 +5,23 @@ third of the rows share can't shut its copies in among themselves. If lengths
 differ, one more component lifts every vector to the same length, which makes
 inner products comparable as nearness.
 
-* First lists: several rough partitions of the nodes by the nearest of a bounded
-  sample of pivots; oversized parts are split by hash, so a part never exceeds
-  about ``PART`` nodes. The best ``degree`` of each node's parts start its list.
+* First lists: several rough partitions of the nodes by the nearest of a sample of
+  pivots, one for every ``PART`` nodes; many pivots are searched in two levels.
+  Oversized parts are split by hash, so a part never exceeds about ``PART`` nodes.
+  The best ``degree`` of each node's parts start its list.
 * NN-descent: Spark joins bring each node's neighbours' neighbours, along edges
-  and reversed edges, to the node's home part; the best ``degree`` stay. Rounds
-  end when few edges change, or after ``rounds``.
+  and the ``REVERSED`` nearest reversed edges, to the node's home part; the best
+  ``degree`` stay. Rounds go on until no more than ``FEW`` of the edges improve.
 
 Search. Each query keeps a beam of its best nodes. A hop joins the unexpanded
-best of the beam with the graph and the vectors, for all queries at once. A
-query starts at the nearest of the pivots and, if its vector is in the index,
-at that node. What the beam ends with is scored exactly, in double precision, on
+best of the beam with the graph and the vectors, for all queries at once, until
+no more than ``FEW`` of the beams' entries are unexpanded. A query starts at the
+nearest of ``ENTRY_POINTS`` pivots and, if its vector is in the index, at that
+node. What the beam ends with is scored exactly, in double precision, on
 original vectors, and nodes are expanded to the smallest of their ids.
 
 The graph keeps vectors as half-precision numbers; they steer, they don't score.
-Only pivots reach the driver. Rows as in ``finite_vectors``; zero vectors take
+Only pivots reach the driver, one vector for about 500 nodes. Rows as in ``finite_vectors``; zero vectors take
 no part either; a shorter vector counts as padded with zeros.
 """
 
@@ -35,13 +37,14 @@ from holdfast.llm.common import finite_vectors, matrix, padded, staged, whole_gr
 
 PART = 4096
 HOME = 16_384           # nodes that are refined together, so that they share what they fetch
-MOST_PIVOTS = 2048      # of one partition; the sample they come from is bounded by it
+FLAT = 1024             # more pivots than these are searched in two levels
+ENTRY_POINTS = 2048     # pivots that queries start from
 PARTITIONS = 8
 DEGREE = 32
 REVERSED = 16
-ROUNDS = 2
-FEW = 0.02              # a round that changes less than this part of the edges is the last
-BEAM, EXPAND, HOPS = 128, 32, 4
+FEW = 0.02              # part of the edges, or of the beams' entries, that may be left to improve
+SLIGHT = 1e-6           # of vectors of length 1 at most: a rise of a score that counts as none
+BEAM, EXPAND = 128, 32
 ENTRIES = 16
 NONE = -1
 
@@ -74,27 +77,55 @@ def singles(column, width: int) -> np.ndarray:
 
 # --- first lists -----------------------------------------------------------
 
-def parted(nodes: DataFrame, width: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+class Pivots:
+    """Names each vector's nearest pivot; if they are many, the nearest in the cell of
+    the nearest of about as many pivots as the root of their number."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.cells = table, None
+        if len(table) > FLAT:
+            self.first = table[:int(np.ceil(len(table) ** 0.5))]
+            cell = np.concatenate([
+                (table[at:at + 4096] @ self.first.T).argmax(1) for at in range(0, len(table), 4096)])
+            cell[:len(self.first)] = np.arange(len(self.first))
+            self.cells = [np.flatnonzero(cell == c) for c in range(len(self.first))]
+
+    def nearest(self, v: np.ndarray) -> np.ndarray:
+        if self.cells is None:
+            return (v @ self.table.T).argmax(1)
+        out = np.empty(len(v), np.int64)
+        cell = (v @ self.first.T).argmax(1)
+        order = np.argsort(cell, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            if len(rows):
+                held = self.cells[cell[rows[0]]]
+                out[rows] = held[(v[rows] @ self.table[held].T).argmax(1)]
+        return out
+
+
+def parted(nodes: DataFrame, width: int, seed: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
     """(z, part, id, v): each node's home (z = 0) and its part in each rough
-    partition; and a bounded sample of nodes, the pivots among them."""
+    partition; and a sample of nodes, the pivots among them: ids and vectors."""
     count = nodes.count()
     sizes = [HOME] + [PART] * PARTITIONS
-    pivots = [min(MOST_PIVOTS, max(1, count // size)) for size in sizes]
-    # The smallest hashes are a sample of a fixed size.
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sum(pivots), 64)).select("v").collect()
-    table = np.array([r[0] for r in sample], np.float32).reshape(-1, width)
+    pivots = [max(1, count // size) for size in sizes]
+    # The smallest hashes are a sample of a known size.
+    sample = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sum(pivots), 64)).select("id", "v").toArrow()
+    ids = sample["id"].to_numpy()
+    table = matrix(sample["v"].combine_chunks(), width, np.float32).reshape(-1, width) if len(ids) else np.zeros((0, width), np.float32)
     ends = np.cumsum([0, *pivots])
     sets = [table[a:b] if b <= len(table) else table[:1] for a, b in zip(ends, ends[1:])]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [Pivots(chosen) for chosen in sets]
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = matrix(batch.column(1), width, np.float32)
-            for z, chosen in enumerate(sets):
+            for z, chosen in enumerate(found):
                 yield pa.record_batch({
                     "z": pa.array(np.full(len(v), z), pa.int32()),
-                    "pivot": pa.array((v @ chosen.T).argmax(1), pa.int32()),
+                    "pivot": pa.array(chosen.nearest(v), pa.int32()),
                     "id": batch.column(0), "v": halves(v),
                 })
 
@@ -104,7 +135,7 @@ def parted(nodes: DataFrame, width: int, seed: int) -> tuple[DataFrame, np.ndarr
     split = F.pmod(F.xxhash64("id", "z"), F.ceil(F.col("n") / most))
     return rough.join(found, ["z", "pivot"]).select(
         "z", F.concat_ws("-", "pivot", split).alias("part"), "id", "v"
-    ), table
+    ), (ids, table)
 
 
 def first_lists(parts: DataFrame, width: int, degree: int) -> DataFrame:
@@ -272,8 +303,12 @@ class World:
         w, s = np.take_along_axis(reach, top, 1), np.take_along_axis(s, top, 1)
         real = w != NONE
         offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]), pa.int32())
-        before = np.sort(mine, 1)
-        changed = real.sum(1) - np.array([np.isin(a, b, assume_unique=False)[r].sum() for a, b, r in zip(w, before, real)])
+        # Entries that beat the list's last; equal ones may come and go without end.
+        last = np.matmul(self.x[mine], self.x[me][:, :, None])[:, :, 0]
+        last[mine == NONE] = -np.inf
+        last = last.min(1) if mine.shape[1] >= degree else np.full(len(me), -np.inf)
+        better = real & (s > last[:, None] + SLIGHT)
+        changed = np.array([(~np.isin(a, b))[r].sum() for a, b, r in zip(w, mine, better)])
         return pa.record_batch({
             "v": own["id"].combine_chunks() if isinstance(own["id"], pa.ChunkedArray) else own["id"],
             "w": pa.ListArray.from_arrays(offsets, pa.array(self.ids[w[real]], pa.int64())),
@@ -282,22 +317,21 @@ class World:
         })
 
 
-def neighbour_graph(nodes: DataFrame, width: int, degree: int = DEGREE, rounds: int = ROUNDS,
-                    seed: int = 42) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(v, w, s) lists, (part, id, v) homes, and the pivots as entry points."""
+def neighbour_graph(nodes: DataFrame, width: int, degree: int = DEGREE,
+                    seed: int = 42) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """(v, w, s) lists, (part, id, v) homes, and the pivots (ids, vectors) as entry points."""
     parts, pivots = parted(nodes, width, seed)
     parts = staged(parts, "parts")
     homes = parts.where("z = 0").drop("z")
     graph = staged(first_lists(parts.where("z > 0"), width, degree), "graph")
-    for _ in range(rounds):
+    while True:
         after = staged(descend(graph, homes, width, degree), "graph")
         changed, edges = after.agg(
             F.coalesce(F.sum("changed"), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0))
         ).first()
         graph = after.drop("changed")
         if changed <= FEW * edges:
-            break
-    return graph, homes, pivots
+            return graph, homes, pivots
 
 
 # --- search ----------------------------------------------------------------
@@ -305,23 +339,18 @@ def neighbour_graph(nodes: DataFrame, width: int, degree: int = DEGREE, rounds:
 STATE = "part string, q bigint, x binary, b array<bigint>, s array<float>, done array<boolean>"
 
 
-def greedy_search(graph: DataFrame, homes: DataFrame, queries: DataFrame, pivots: np.ndarray, width: int,
-                  beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """(q, b): each query's beam of node ids after the hops.
+def greedy_search(graph: DataFrame, homes: DataFrame, queries: DataFrame,
+                  pivots: tuple[np.ndarray, np.ndarray], width: int,
+                  beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """(q, b): each query's beam of node ids after the last hop.
 
     ``queries``: (part, q, x, node): a part that keeps like queries together, the
     lifted vector (halves; the component lifted is 0) and a node to start at, or
     NULL.
     """
     around = staged(both_ways(graph).select(F.col("v").alias("n"), F.concat("w", "r").alias("around")), "around")
-    # The pivots are nodes; which ones, the vectors tell. A bounded list.
-    entry = homes.join(
-        queries.sparkSession.createDataFrame(
-            [(bytes(np.asarray(p, np.float16).tobytes()),) for p in pivots[:MOST_PIVOTS]], "v binary"
-        ).distinct(), "v"
-    ).select("id", "v").collect()
-    names = np.array([r["id"] for r in entry], np.int64)
-    table = np.frombuffer(b"".join(r["v"] for r in entry), np.float16).reshape(-1, width).astype(np.float32)
+    names = pivots[0][:ENTRY_POINTS]
+    table = pivots[1][:ENTRY_POINTS].astype(np.float16).astype(np.float32)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,7 +372,12 @@ def greedy_search(graph: DataFrame, homes: DataFrame, queries: DataFrame, pivots
             })
 
     state = staged(queries.select("part", "q", "x", "node").mapInArrow(start, STATE), "beam")
-    for _ in range(hops):
+    while True:
+        unexpanded, entries = state.agg(
+            F.coalesce(F.sum(F.size(F.filter("done", lambda d: ~d))), F.lit(0)), F.coalesce(F.sum(F.size("done")), F.lit(0))
+        ).first()
+        if unexpanded <= FEW * entries:
+            return state.select("q", "b")
         open_ = F.slice(F.filter(F.arrays_zip("b", "done"), lambda e: ~e["done"]), 1, expand)
         asked = state.select("part", F.explode(F.transform(open_, lambda e: e["b"])).alias("n")).distinct()
         fetched = asked.join(around, "n").select("part", "n", "around")
@@ -358,7 +392,6 @@ def greedy_search(graph: DataFrame, homes: DataFrame, queries: DataFrame, pivots
         )
         hop = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_hop(width, beam, expand), STATE)
         state = staged(hop, "beam")
-    return state.select("q", "b")
 
 
 def _hop(width: int, beam: int, expand: int):
