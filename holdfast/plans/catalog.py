@@ -33,13 +33,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 SCORED_AT = src.SCORED_AT
 RESCORED_AT = "2024-02-01 00:00:00"
 
-# Few trees, so that a query ends in seconds on one machine. The library's
-# defaults are the full sizes in constants.BOOSTING_*.
-QUICK = {"trees": 4, "depth": 3, "rate": 0.3}
-QUICK_CANDIDATES = tuple({**QUICK, **c} for c in (
-    {}, {"rate": 0.2}, {"depth": 2}, {"row_sample": 0.9, "column_sample": 0.9},
-))
-
 _memo: dict = {}
 
 
@@ -295,7 +288,7 @@ GIVEN_TREES = GivenTrees(
 def boosted(spark, sf_dir) -> models.Classifier:
     def make():
         return models.fit_boosted(
-            models.with_label(cleaned(spark, sf_dir), TABLE_ROLES), TABLE_ROLES, QUICK
+            models.with_label(cleaned(spark, sf_dir), TABLE_ROLES), TABLE_ROLES, K.BOOSTING_DEFAULT
         )
 
     return _once("boosted", spark, sf_dir, make)
@@ -304,7 +297,7 @@ def boosted(spark, sf_dir) -> models.Classifier:
 def calibrated(spark, sf_dir) -> models.Classifier:
     def make():
         return models.fit_calibrated(
-            models.with_label(cleaned(spark, sf_dir), TABLE_ROLES), TABLE_ROLES, QUICK
+            models.with_label(cleaned(spark, sf_dir), TABLE_ROLES), TABLE_ROLES, K.BOOSTING_DEFAULT
         )
 
     return _once("calibrated", spark, sf_dir, make)
@@ -328,7 +321,7 @@ def q_select_model(spark, sf_dir):
     parts = training.split_frame(cleaned(spark, sf_dir), TABLE_ROLES).persist()
     try:
         results = models.candidate_results(
-            parts.where("part = 0"), parts.where("part = 1"), TABLE_ROLES, QUICK_CANDIDATES
+            parts.where("part = 0"), parts.where("part = 1"), TABLE_ROLES, K.BOOSTING_CANDIDATES
         )
     finally:
         parts.unpersist()
@@ -336,7 +329,7 @@ def q_select_model(spark, sf_dir):
 
 
 def q_train_run(spark, sf_dir):
-    run = training.train(cleaned(spark, sf_dir), TABLE_ROLES, QUICK_CANDIDATES)
+    run = training.train(cleaned(spark, sf_dir), TABLE_ROLES, K.BOOSTING_CANDIDATES)
     return run.evaluation
 
 
