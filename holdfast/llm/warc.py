@@ -7,8 +7,9 @@ larger record gets an empty member behind it, which ends in NUL). The files are
 plain concatenated members, in any store Spark can write, with Spark's commit.
 
 Reading. A task gets a byte range of a file, looks for the gzip magic, and
-accepts a candidate only if it inflates to a WARC header. It owns the records
-that start inside its range and reads past the end to finish the last one.
+accepts a candidate only if what it inflates to starts as a WARC header, of any
+length. It owns the records that start inside its range and reads past the end to
+finish the last one. What starts as a record and is none is an error.
 
 Payloads: a NULL page counts as empty. Of rows with equal payloads of at least
 ``least_bytes`` bytes, the one with the largest id is the response, and the rest
@@ -36,7 +37,7 @@ LEAST_BYTES = 1000
 RANGE_BYTES = 16_000_000
 READ_BYTES = 1_000_000
 BATCH_BYTES = 4_000_000
-MOST_HEADER_BYTES = 1_000_000
+START = b"WARC/"
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -178,22 +179,21 @@ def _inflated(file, at: int, name: str) -> tuple[int, bytes] | None:
             return None
         read += len(data)
         try:
-            # Until the header is sure, no more than a header's worth is inflated.
-            content += inflate.decompress(data, 0 if sure else MOST_HEADER_BYTES)
+            # Until the start is sure, no more than a read's worth is inflated.
+            content += inflate.decompress(data, 0 if sure else READ_BYTES)
             if not sure:
-                if not content.startswith(b"WARC/"[:len(content)]) or len(content) < 5 and inflate.eof:
+                if not content.startswith(START[:len(content)]) or len(content) < len(START) and inflate.eof:
                     return None
-                if b"\r\n\r\n" in content:
-                    sure = True
-                elif len(content) >= MOST_HEADER_BYTES:
-                    return None
-                while sure and inflate.unconsumed_tail:
+                sure = len(content) >= len(START)
+                if sure and not inflate.eof:
                     content += inflate.decompress(inflate.unconsumed_tail)
         except zlib.error:
             if sure:
                 raise ValueError(f"{name}: the record at {at} is damaged") from None
             return None
-    return (read - len(inflate.unused_data), bytes(content)) if sure else None
+    if b"\r\n\r\n" not in content:
+        raise ValueError(f"{name}: the record at {at} has no end of its header")
+    return read - len(inflate.unused_data), bytes(content)
 
 
 def parsed(content: bytes, place: str, with_payload: bool) -> tuple:
