@@ -16,11 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: a frame that is used twice is
-    computed once, and its lineage ends at files a lost executor can't take away."""
+    computed once, and its lineage ends at files a lost executor can't take away.
+    ``by``: a column with few values that gets a folder for each."""
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

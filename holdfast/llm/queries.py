@@ -9,7 +9,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import bpe, fim, licenses, mixing, neighbours, pages, secrets, simhash, topk, toxicity, warc
+from holdfast.llm import bpe, collocations, fim, licenses, mixing, neighbours, pages, secrets, simhash, topk, toxicity, warc
 from holdfast.llm.common import staged, table
 from holdfast.session import scratch_path
 
@@ -126,6 +126,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["doc_id"])
     back = fim.restored(F.col("output"), F.col("form"))
@@ -139,6 +144,6 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     f.__name__: f for f in (
         op1_exact_top_k, op2_secret_scan, op3_source_mixing, op4_nearest_neighbours, op5_toxicity, op6_byte_bpe,
-        op7_html_extraction, op8_license_scan, op9_warc, op10_simhash, op12_fill_in_middle,
+        op7_html_extraction, op8_license_scan, op9_warc, op10_simhash, op11_collocations, op12_fill_in_middle,
     )
 }
