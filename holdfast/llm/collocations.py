@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from holdfast.llm.common import pack, quoted, slices, staged, unpack
 
-CHUNK_BYTES = 16_000_000
-OUT_ROWS = 200_000
+CHUNK_BYTES = 8_000_000
+OUT_ROWS = 100_000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 BITS_A_PHRASE = 16
 UNKNOWN = "und"
@@ -57,7 +57,7 @@ class Mining:
 
     least: int = 30
     longest: int = 4
-    sample: int = 4
+    sample: int = 8
     lowered: float = 0.6
 
     def sample_least(self) -> int:
@@ -195,12 +195,6 @@ def _added(bitmap: np.ndarray, phrases: DataFrame) -> np.ndarray:
 
 # --- counting ----------------------------------------------------------------
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first place of each distinct key, its count, and each place's number of its key."""
-    _, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return first, n, inverse
-
-
 def _marked(places: np.ndarray, flags: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size + 1, bool)
     out[places] = flags
@@ -217,32 +211,54 @@ def _counted(ids: np.ndarray, hashes: np.ndarray, lengths: Sequence[int], known:
     h, places = hashes[ids], np.flatnonzero(ids)
     width = np.int64(len(hashes))
     if 1 in lengths:
-        found, n = np.unique(ids[places], return_counts=True)
-        yield found[:, None], n
+        n = np.bincount(ids, minlength=len(hashes))
+        n[0] = 0
+        found = np.flatnonzero(n)
+        yield found[:, None], n[found]
     # h and places: phrases one word shorter, by where they start; reached: those
     # among them that the earlier pass looked at, too.
     reached = ids > 0
+    passes = _has(known, hashes)[ids[places]]
+    passed = _has(before, hashes)[ids[places]] if before is not None else None
     for length in range(2, max(lengths) + 1):
-        ok = _marked(places, _has(known, h[places]), len(ids))
+        if length > 2:
+            passes = _has(known, h[places])
+            passed = _has(before, h[places]) & reached[places] if before is not None else None
+        ok = _marked(places, passes, len(ids))
         starts = np.flatnonzero(ok[:-1] & ok[1:])
-        if before is None:
-            done = np.zeros(len(ids), bool)
-        else:
-            ok = _marked(places, _has(before, h[places]) & reached[places], len(ids))
-            done = ok[:-1] & ok[1:]
-        reached, longer = done, np.zeros_like(h)
-        longer[starts] = _longer(h[starts], hashes[ids[starts + length - 1]])
-        h, places = longer, starts
+        if passed is not None:
+            ok = _marked(places, passed, len(ids))
+            reached = ok[:-1] & ok[1:]
+        if length < max(lengths):
+            longer = np.zeros_like(h)
+            longer[starts] = _longer(h[starts], hashes[ids[starts + length - 1]])
+            h, places = longer, starts
         if length in lengths:
-            at = starts[~done[starts]]
-            keys = ids[at].astype(np.int64)
-            for w in range(1, length):
-                # Numbers of the shorter phrases instead of the phrases, so that keys fit.
-                if w > 1:
-                    keys = _distinct(keys)[2].astype(np.int64)
-                keys = keys * width + ids[at + w]
-            first, n, _ = _distinct(keys)
-            yield np.stack([ids[at[first] + w] for w in range(length)], axis=1), n
+            yield _distinct(ids, starts if passed is None else starts[~reached[starts]], length, width)
+
+
+def _distinct(ids: np.ndarray, starts: np.ndarray, length: int, width: np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases of a length that start at some places, and their counts.
+
+    A phrase's number is its first words' number and its last word in one, so that it
+    fits 64 bits at every length; sorted numbers give the words back.
+    """
+    keys, tables = ids[starts].astype(np.int64), []
+    for w in range(1, length):
+        if w > 1:
+            tables.append(np.unique(keys))
+            keys = np.searchsorted(tables[-1], keys)
+        keys = keys * width + ids[starts + w]
+    keys, n = np.unique(keys, return_counts=True)
+    columns = []
+    while True:
+        keys, last = np.divmod(keys, width)
+        columns.append(last)
+        if not tables:
+            break
+        keys = tables.pop()[keys]
+    columns.append(keys)
+    return np.stack(columns[::-1], axis=1).astype(np.uint32), n
 
 
 def counts(parts: DataFrame, lengths: Sequence[int], known: np.ndarray, before: np.ndarray | None,
@@ -273,8 +289,9 @@ def counts(parts: DataFrame, lengths: Sequence[int], known: np.ndarray, before:
                             "f": pa.array(n[at:at + OUT_ROWS], pa.int64()),
                         })
 
+    # Chunks give each phrase once, so nothing is left to combine ahead of the exchange.
     found = parts.select("langs", "words", "ids").mapInArrow(run, "lang string, phrase string, f bigint")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _failures(frequent: DataFrame, known: np.ndarray) -> DataFrame:
