@@ -9,7 +9,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import bpe, collocations, fim, licenses, mixing, neighbours, pages, secrets, simhash, topk, toxicity, warc
+from holdfast.llm import bpe, classes, collocations, fim, licenses, mixing, neighbours, pages, secrets, simhash, topk, toxicity, warc
 from holdfast.llm.common import staged, table
 from holdfast.session import scratch_path
 
@@ -141,9 +141,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    return classes.score(table(spark, sf_dir, "documents"), "doc_id", "text", train)
+
+
 LLM_QUERIES = {
     f.__name__: f for f in (
         op1_exact_top_k, op2_secret_scan, op3_source_mixing, op4_nearest_neighbours, op5_toxicity, op6_byte_bpe,
         op7_html_extraction, op8_license_scan, op9_warc, op10_simhash, op11_collocations, op12_fill_in_middle,
+        op13_class_model,
     )
 }
