@@ -4,16 +4,19 @@ Every training word belongs to one class. Exchange clustering starts from the mo
 frequent words as classes of their own and all other words in one more. In a round
 every word is held against the round's class-transition counts: its own counts are
 taken out of its class, and it goes where the likelihood of the training text gains
-most (ties: the class with the smallest number). All words move at once. The model
-then is P(word | before) = P(class | class before) P(word | class): transitions
+most (ties: the class with the smallest number). All words of a round move at once:
+first, for some rounds, those seen often enough, then once all words there are. The
+model then is P(word | before) = P(class | class before) P(word | class): transitions
 smoothed towards the classes' shares (Witten-Bell), emissions discounted, and what a
 class's discounts leave is its chance of an unknown word. Over the known words and
 one unknown word the probabilities add up to 1 after every class.
 
 Texts become chunks once: a task's words and its token ids, in a table bucketed by
-chunk. In each round a chunk sends one row for each of its words, with the word's
-neighbours by class, to the word's place; the word's new class goes back the same
-way. Only class-by-class counts reach the driver.
+chunk. One exchange of each chunk's words tells every chunk the words' training counts
+and one number for each, the place where the word is met first. In a round a chunk
+sends one row for each word that may move, with its neighbours by class, to the word's
+place; the word's new class goes back the same way. Only class-by-class counts reach
+the driver.
 
 Rows: every input row gives one output row. A NULL text counts as empty: one token,
 the end. NULL and repeated keys are rows like others. Without training rows every
@@ -24,31 +27,34 @@ gives an empty one.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from holdfast.llm.common import pack, quoted, slices, staged, unpack
 from holdfast.session import scratch_path
 
-CHUNK_BYTES = 16_000_000
-CELLS = 4_000_000
+CHUNK_BYTES = 12_000_000
+CELLS = 1_000_000
 END, MOST_CLASSES = 0, 128
+# A word's place: partition, chunk of it, word of that.
+CHUNK_BITS, LOCAL_BITS = 16, 26
 
 
 @dataclass(frozen=True)
 class Clustering:
     """``classes``: the end's own class and those of the words, 128 at most (a
-    neighbour's side and class fit one byte). ``rounds`` of exchanges."""
+    neighbour's side and class fit one byte). ``rounds`` of exchanges among the words
+    with ``least`` training occurrences come before the one of all words."""
 
     classes: int = 64
-    rounds: int = 3
+    rounds: int = 2
+    least: int = 16
 
     def __post_init__(self):
         if not 3 <= self.classes <= MOST_CLASSES:
@@ -76,7 +82,7 @@ def chunked(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = count(TaskContext.get().partitionId() << 32)
+        numbers = count(TaskContext.get().partitionId() << CHUNK_BITS)
         vocabulary, ids, keys, held, size = None, [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -116,41 +122,78 @@ def chunked(docs: DataFrame, key: str, text: str, train: Column) -> DataFrame:
 
 
 class Corpus:
-    """The chunks as a table bucketed by chunk, so that joins on it move the other side only."""
+    """The chunks, and what they know of their words, as tables bucketed by chunk:
+    joins on it move the other side only."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, train: Column):
-        spark = docs.sparkSession
         made = chunked(docs, key, text, train)
-        path = scratch_path(spark, "chunks")
-        self.spark, self.name = spark, path.rsplit("/", 1)[1].replace("-", "_")
+        self.spark, self.names = docs.sparkSession, {}
         # A partition gives a chunk or a few.
         self.buckets = max(made.rdd.getNumPartitions(), 1)
-        made.write.bucketBy(self.buckets, "chunk").option("path", path).saveAsTable(self.name)
+        self._keep(made, "chunks")
+        self._keep(self._named(), "named")
+
+    def _keep(self, rows: DataFrame, kind: str) -> None:
+        path = scratch_path(self.spark, kind)
+        self.names[kind] = path.rsplit("/", 1)[1].replace("-", "_")
+        rows.write.bucketBy(self.buckets, "chunk").option("path", path).saveAsTable(self.names[kind])
 
     def rows(self, *columns: str) -> DataFrame:
-        return self.spark.table(self.name).select("chunk", *columns)
+        return self.spark.table(self.names["chunks"]).select("chunk", *columns)
+
+    def named(self, *columns: str) -> DataFrame:
+        return self.spark.table(self.names["named"]).select("chunk", *columns)
+
+    def _named(self) -> DataFrame:
+        """(chunk, numbers, counts): by local id a word's number and its count in all training documents."""
+        words = self.rows("words", "n").select(
+            "chunk", F.posexplode(F.arrays_zip("words", "n")).alias("local", "w")
+        ).select("w.words", "w.n", (F.shiftleft("chunk", LOCAL_BITS) + F.col("local") + 1).alias("at"))
+        # A word has one row for each chunk that holds it.
+        same = Window.partitionBy("words")
+        told = words.select("at", F.min("at").over(same).alias("number"), F.sum("n").over(same).alias("total"))
+        return _gathered(told, self.buckets, {"number": "<i8", "total": "<i8"}, ["numbers", "counts"])
 
     def drop(self) -> None:
-        """The table's entry; its files are scratch."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """The tables' entries; their files are scratch."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-# --- classes of a chunk's words ----------------------------------------------
+def _gathered(rows: DataFrame, buckets: int, kinds: dict[str, str], into: Sequence[str]) -> DataFrame:
+    """(chunk, locals, ...): the rows' values by chunk, as packed arrays in the order of local ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
 
-def _with_classes(corpus: Corpus, known: DataFrame | None, *columns: str) -> DataFrame:
-    rows = corpus.rows(*columns)
-    return rows if known is None else rows.join(known.hint("shuffle_hash"), "chunk")
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            local = table.column("at").to_numpy() & ((1 << LOCAL_BITS) - 1)
+            packed = [local.astype("<u4"), *(table.column(c).to_numpy().astype(k) for c, k in kinds.items())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in packed)],
+                names=["chunk", "locals", *into],
+            )
 
+        for batch in batches:
+            chunk = batch.column("at").to_numpy() >> LOCAL_BITS
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and chunk[lo] != current:
+                    yield done()
+                    held = []
+                current = int(chunk[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
 
-def _classes(seeds: Mapping[str, int], rest: int):
-    """From a row to the classes by local id: what the last round said, or the first classes."""
-    def of(row: dict, words: Callable[[], list[str]]) -> np.ndarray:
-        if "classes" in row:
-            return np.frombuffer(row["classes"], np.uint8)
-        return np.array([END, *(seeds.get(w, rest) for w in words())], np.uint8)
+    dealt = rows.repartition(buckets, F.shiftright("at", LOCAL_BITS)).sortWithinPartitions("at")
+    return dealt.mapInArrow(run, ", ".join(["chunk bigint", "locals binary", *(f"{c} binary" for c in into)]))
 
-    return of
 
+# --- classes of a chunk's words ----------------------------------------------
 
 def _train_tokens(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Flags of the tokens that belong to training documents."""
@@ -159,69 +202,136 @@ def _train_tokens(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows one at a time; lists as Arrow arrays."""
+    """Rows one at a time; lists as Arrow arrays, packed numbers of words as numpy arrays."""
+    packed = {"numbers": "<i8", "counts": "<i8", "classes": np.uint8, "locals": "<u4", "moved": np.uint8}
     for batch in batches:
         for r in range(batch.num_rows):
-            yield {
-                name: (cell.values if isinstance(cell, pa.ListScalar) else cell.as_py())
-                for name, cell in ((n, batch.column(c)[r]) for c, n in enumerate(batch.schema.names))
-            }
+            row = {}
+            for c, name in enumerate(batch.schema.names):
+                cell = batch.column(c)[r]
+                if name in packed:
+                    row[name] = np.frombuffer(cell.as_py(), packed[name]) if cell.is_valid else None
+                else:
+                    row[name] = cell.values if isinstance(cell, pa.ListScalar) else cell.as_py()
+            yield row
+
+
+def _first_classes(corpus: Corpus, classes: int) -> DataFrame:
+    """(chunk, classes): the most frequent words in classes of their own, the others in the last."""
+    words = corpus.rows("words").join(corpus.named("numbers", "counts").hint("shuffle_hash"), "chunk")
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A chunk knows the whole count of each of its words.
+        for row in _rows(batches):
+            n = row["counts"]
+            least = np.partition(n, -classes)[-classes] if len(n) > classes else 0
+            some = np.flatnonzero((n >= least) & (n > 0))
+            yield pa.record_batch({
+                "word": row["words"].take(pa.array(some)), "number": pa.array(row["numbers"][some]), "n": pa.array(n[some]),
+            })
 
+    often = words.mapInArrow(top, "word string, number bigint, n bigint").distinct()
+    seeds = [r["number"] for r in often.orderBy(F.col("n").desc(), "word").limit(classes - 2).collect()]
+    order = np.argsort(np.array(seeds, np.int64))
+    known = np.array(seeds, np.int64)[order]
 
-def transitions(corpus: Corpus, known: DataFrame | None, of, classes: int) -> np.ndarray:
-    """Counts of class after class over all training tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, held = unpack(row["ids"]), row["held"].to_numpy(zero_copy_only=False)
-            here = of(row, lambda: row["words"].to_pylist())[ids].astype(np.int64)
-            before = np.concatenate([[END], here[:-1]])
-            n = np.bincount((before * classes + here)[_train_tokens(ids, held)], minlength=classes * classes)
-            cell = np.flatnonzero(n)
-            yield pa.record_batch({"cell": pa.array(cell, pa.int32()), "n": pa.array(n[cell], pa.int64())})
-
-    # A word without training counts is in no class and no training token is one of them.
-    needed = ["held", "ids"] + (["words"] if known is None else [])
-    rows = _with_classes(corpus, known, *needed).mapInArrow(run, "cell int, n bigint")
+            out = np.full(len(row["numbers"]) + 1, classes - 1, np.uint8)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, row["numbers"]), len(known) - 1)
+                out[1:] = np.where(known[at] == row["numbers"], order[at] + 1, classes - 1)
+            out[0] = END
+            yield pa.record_batch({"chunk": pa.array([row["chunk"]], pa.int64()), "classes": pa.array([out.tobytes()], pa.binary())})
+
+    # A chunk of empty texts has no words, and no row of counts.
+    named = corpus.rows().join(corpus.named("numbers").hint("shuffle_hash"), "chunk", "left")
+    named = named.withColumn("numbers", F.coalesce("numbers", F.lit(b"")))
+    return staged(named.mapInArrow(run, "chunk bigint, classes binary"), "classes")
+
+
+def _cells(n: np.ndarray) -> pa.RecordBatch:
+    cell = np.flatnonzero(n)
+    return pa.record_batch({"cell": pa.array(cell, pa.int32()), "n": pa.array(n[cell].astype(np.int64))})
+
+
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
     found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes * classes)
+    out = np.zeros(size)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(classes, classes)
+    return out
 
 
-def neighbours(corpus: Corpus, known: DataFrame | None, of, classes: int) -> DataFrame:
-    """(word, chunk, local, now, around): for each word of each chunk its present class
-    and pairs of bytes: a neighbour's class (plus ``classes`` if it stands before),
-    and how often, 255 at most; more counts take more pairs."""
+def transitions(corpus: Corpus, known: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class after class over all training tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words, ids = row["words"], unpack(row["ids"])
-            now = of(row, words.to_pylist)
-            here = now[ids].astype(np.int64)
-            mine = _train_tokens(ids, row["held"].to_numpy(zero_copy_only=False)) & (ids > 0)
+            ids, held = unpack(row["ids"]), row["held"].to_numpy(zero_copy_only=False)
+            here = row["classes"][ids].astype(np.int32)
+            cell = here.copy()
+            cell[1:] += here[:-1] * classes
+            yield _cells(np.bincount(cell[_train_tokens(ids, held)], minlength=classes * classes))
+
+    # A word without training counts is no training token, whatever its class.
+    rows = corpus.rows("held", "ids").join(known.hint("shuffle_hash"), "chunk")
+    return _summed(rows.mapInArrow(run, "cell int, n bigint"), classes * classes).reshape(classes, classes)
+
+
+def class_sizes(corpus: Corpus, known: DataFrame, classes: int) -> np.ndarray:
+    """Two rows: the words of each class, and those of them that occur once. A word
+    counts in the chunk that meets it first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            own = (row["numbers"] >> LOCAL_BITS == row["chunk"]) & (row["counts"] > 0)
+            cls = row["classes"][1:].astype(np.int64)
+            n = [np.bincount(cls[own & more], minlength=classes) for more in (True, row["counts"] == 1)]
+            yield _cells(np.concatenate(n))
+
+    rows = corpus.named("numbers", "counts").join(known.hint("shuffle_hash"), "chunk")
+    return _summed(rows.mapInArrow(run, "cell int, n bigint"), 2 * classes).reshape(2, classes)
+
+
+def neighbours(corpus: Corpus, known: DataFrame, classes: int, least: int) -> DataFrame:
+    """(number, at, around): for each word of each chunk with ``least`` training
+    occurrences pairs of bytes. The first has its present class; the others a
+    neighbour's class (plus ``classes`` if it stands before) and how often, 255 at
+    most; more counts take more pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * classes
+        for row in _rows(batches):
+            ids, now, n = unpack(row["ids"]), row["classes"], row["counts"]
+            moving = np.concatenate([[False], n >= least])
+            # A word's cells are numbered by its place among those that move.
+            place = (np.cumsum(moving) - 1).astype(np.uint32 if moving.sum() * width < 1 << 32 else np.int64)
+            mine = _train_tokens(ids, row["held"].to_numpy(zero_copy_only=False)) & moving[ids]
             at = np.flatnonzero(mine)
-            left = np.concatenate([[END], here[:-1]])[at]
-            own = ids[at].astype(np.int64) * (2 * classes)
-            cell, n = np.unique(np.concatenate([own + here[at + 1], own + classes + left]), return_counts=True)
+            own = place[ids[at]] * place.dtype.type(width)
+            sides = (own + now[ids[at + 1]], own + now[np.where(at > 0, ids[at - 1], 0)] + place.dtype.type(classes))
+            del mine, at, own
+            cell, n = np.unique(np.concatenate(sides), return_counts=True)
+            del sides
+            local = np.flatnonzero(moving)
+            word = (cell // width).astype(np.int64)
             pairs = -(-n // 255)
-            last = np.cumsum(pairs) - 1
-            flat = np.full((int(pairs.sum()), 2), 255, np.uint8)
-            flat[:, 0] = np.repeat(cell % (2 * classes), pairs)
-            flat[last, 1] = n - 255 * (pairs - 1)
-            sizes = np.bincount(cell // (2 * classes), weights=2 * pairs, minlength=len(words) + 1)[1:]
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            # One pair more for each word, ahead of its own.
+            ahead = np.cumsum(pairs) + word  # the last pair of each cell, with those put ahead
+            flat = np.full((int(pairs.sum()) + len(local), 2), 255, np.uint8)
+            sizes = np.bincount(word, weights=pairs, minlength=len(local)).astype(np.int64) + 1
+            tops = np.concatenate([[0], np.cumsum(sizes)])
+            body = np.ones(len(flat), bool)
+            body[tops[:-1]] = False
+            flat[body, 0] = np.repeat(cell % width, pairs)
+            flat[ahead, 1] = n - 255 * (pairs - 1)
+            flat[tops[:-1], 0] = now[local]
             around = pa.BinaryArray.from_buffers(
-                pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]
+                pa.binary(), len(local), [None, pa.py_buffer((2 * tops).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]
             )
             yield pa.record_batch({
-                "word": words, "chunk": pa.array(np.full(len(words), row["chunk"]), pa.int64()),
-                "local": pa.array(np.arange(1, len(words) + 1), pa.int32()),
-                "now": pa.array(now[1:].astype(np.int16), pa.int16()), "around": around,
+                "number": pa.array(row["numbers"][local - 1]), "at": pa.array((row["chunk"] << LOCAL_BITS) + local), "around": around,
             })
 
-    needed = ["held", "words", "ids"]
-    return _with_classes(corpus, known, *needed).mapInArrow(
-        run, "word string, chunk bigint, local int, now smallint, around binary"
-    )
+    rows = corpus.rows("held", "ids").join(corpus.named("numbers", "counts").hint("shuffle_hash"), "chunk")
+    return rows.join(known.hint("shuffle_hash"), "chunk").mapInArrow(run, "number bigint, at bigint, around binary")
 
 
 # --- exchange ----------------------------------------------------------------
@@ -272,84 +382,53 @@ def moves(around: np.ndarray, now: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 
 def _exchanged(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(chunk, local, class, n, first): each word's new class and training count, for
-    every chunk that has it; ``first`` marks one of a word's rows."""
+    """(at, moved): each word's new class, for every chunk that has it."""
     classes = len(counts)
 
     def decided(words: pa.Table) -> pa.RecordBatch:
-        word = words.column("word").combine_chunks()
-        new = np.ones(len(word), bool)
-        new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+        number = words.column("number").to_numpy()
+        new = np.concatenate([[True], number[1:] != number[:-1]])
         group = np.cumsum(new) - 1
         around = words.column("around").combine_chunks()
         offsets = np.frombuffer(around.buffers()[1], "<i4")[around.offset:around.offset + len(around) + 1]
-        data = around.buffers()[2]
-        flat = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].reshape(-1, 2) if data else np.zeros((0, 2), np.uint8)
+        flat = np.frombuffer(around.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, 2)
+        ahead = (offsets[:-1] - offsets[0]) // 2
+        weights = flat[:, 1].astype(np.float64)
+        weights[ahead] = 0
         key = np.repeat(group, np.diff(offsets) // 2) * (2 * classes) + flat[:, 0]
-        dense = np.bincount(key, weights=flat[:, 1], minlength=(group[-1] + 1) * 2 * classes).reshape(-1, 2 * classes)
-        best = moves(dense, words.column("now").to_numpy()[new], counts)
-        n = dense[:, :classes].sum(1)
-        return pa.record_batch({
-            "chunk": words.column("chunk").combine_chunks(), "local": words.column("local").combine_chunks(),
-            "class": pa.array(best[group], pa.int16()), "n": pa.array(n[group].astype(np.int64)),
-            "first": pa.array(new & (n[group] > 0)),
-        })
+        dense = np.bincount(key, weights, (group[-1] + 1) * 2 * classes).reshape(-1, 2 * classes)
+        best = moves(dense, flat[ahead, 0][new], counts)
+        return pa.record_batch({"at": words.column("at").combine_chunks(), "moved": pa.array(best[group], pa.int16())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            held = pa.Table.from_batches([batch])
-            if rest is not None:
-                held = pa.concat_tables([rest, held])
-            last = pc.equal(held.column("word"), held.column("word")[-1])
-            # Rows are sorted by word: all but the last word are complete.
-            whole = held.num_rows - pc.sum(last).as_py()
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            number = held.column("number").to_numpy()
+            # Rows are sorted: all but the last word are complete.
+            whole = int(np.searchsorted(number, number[-1], side="left"))
             if whole:
                 yield decided(held.slice(0, whole))
             rest = held.slice(whole)
-        if rest is not None and rest.num_rows:
+        if rest is not None:
             yield decided(rest)
 
-    sorted_rows = rows.repartition("word").sortWithinPartitions("word")
-    return sorted_rows.mapInArrow(run, "chunk bigint, local int, class smallint, n bigint, first boolean")
+    return rows.repartition("number").sortWithinPartitions("number").mapInArrow(run, "at bigint, moved smallint")
 
 
-def _by_chunk(rows: DataFrame, buckets: int, classes: int) -> DataFrame:
-    """(chunk, classes, counts, types, singles): what a chunk needs to know of its
-    words, by local id; and of the words it is the first to have, how many are in
-    each class and how many of those occur once."""
+def _moved(known: DataFrame, moved: DataFrame, buckets: int) -> DataFrame:
+    """The chunks' classes with some words in new ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-
-        def done() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            cls, n = rows.column("class").to_numpy(), rows.column("n").to_numpy()
-            first = rows.column("first").to_numpy()
-            lists = [np.bincount(cls[first & more], minlength=classes) for more in (n > 0, n == 1)]
-            return pa.record_batch({
-                "chunk": pa.array([current], pa.int64()),
-                "classes": pa.array([np.concatenate([[END], cls]).astype(np.uint8).tobytes()], pa.binary()),
-                "counts": pa.array([np.concatenate([[0], n]).astype("<i8").tobytes()], pa.binary()),
-                "types": pa.array([lists[0]], pa.list_(pa.int64())), "singles": pa.array([lists[1]], pa.list_(pa.int64())),
-            })
-
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if held and chunk[lo] != current:
-                    yield done()
-                    held = []
-                current = chunk[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield done()
+        for row in _rows(batches):
+            out = row["classes"].copy()
+            if row["locals"] is not None:
+                out[row["locals"]] = row["moved"]
+            yield pa.record_batch({"chunk": pa.array([row["chunk"]], pa.int64()), "classes": pa.array([out.tobytes()], pa.binary())})
 
-    schema = "chunk bigint, classes binary, counts binary, types array<bigint>, singles array<bigint>"
-    return rows.repartition(buckets, "chunk").sortWithinPartitions("chunk", "local").mapInArrow(run, schema)
+    news = _gathered(moved, buckets, {"moved": "u1"}, ["moved"])
+    return staged(known.join(news, "chunk", "left").mapInArrow(run, "chunk bigint, classes binary"), "classes")
 
 
 # --- the model ---------------------------------------------------------------
@@ -400,27 +479,15 @@ class Model:
 
 
 def fit(corpus: Corpus, clustering: Clustering) -> tuple[Model, DataFrame]:
-    """The model, and what each chunk has to know of its words."""
+    """The model, and the classes of each chunk's words."""
     classes = clustering.classes
-    words = corpus.rows("words", "n").select(F.explode(F.arrays_zip("words", "n")).alias("w")).select("w.*")
-    seen = words.groupBy("words").agg(F.sum("n").alias("n")).where("n > 0")
-    top = seen.orderBy(F.col("n").desc(), "words").limit(classes - 2).collect()
-    of = _classes({r["words"]: i + 1 for i, r in enumerate(top)}, classes - 1)
-    known = None
-    for _ in range(clustering.rounds):
-        counts = transitions(corpus, known, of, classes)
-        rows = _exchanged(neighbours(corpus, known, of, classes), counts)
-        known = staged(_by_chunk(rows, corpus.buckets, classes), "classes")
-    counts = transitions(corpus, known, of, classes)
-
-    def summed(column: str) -> np.ndarray:
-        parts = known.select(F.posexplode(column).alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n"))
-        out = np.zeros(classes)
-        for r in parts.collect():
-            out[r["class"]] = r["n"]
-        return out
-
-    types, singles = summed("types"), summed("singles")
+    known = _first_classes(corpus, classes)
+    for least in [clustering.least] * clustering.rounds + [1]:
+        counts = transitions(corpus, known, classes)
+        moved = _exchanged(neighbours(corpus, known, classes, least), counts)
+        known = _moved(known, moved, corpus.buckets)
+    counts = transitions(corpus, known, classes)
+    types, singles = class_sizes(corpus, known, classes)
     ends = counts[:, END].sum()
     types[END], singles[END] = float(ends > 0), float(ends == 1)
     return Model(counts, types, singles), known
@@ -441,10 +508,8 @@ def scored(corpus: Corpus, known: DataFrame, model: Model, key: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids = unpack(row["ids"])
-            n = np.frombuffer(row["counts"], "<i8").copy()
-            n[0] = ends
-            cls = np.frombuffer(row["classes"], np.uint8)
+            ids, cls = unpack(row["ids"]), row["classes"]
+            n = np.concatenate([[ends], row["counts"] if row["counts"] is not None else []]).astype(np.int64)
             base = np.log10((n + 1) / (tokens + types + 1))
             emission = np.zeros(len(n))
             some = n > 0
@@ -466,7 +531,8 @@ def scored(corpus: Corpus, known: DataFrame, model: Model, key: str) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _with_classes(corpus, known.select("chunk", "classes", "counts"), "keys", "held", "ids").mapInArrow(run, schema)
+    rows = corpus.rows("keys", "held", "ids").join(corpus.named("counts").hint("shuffle_hash"), "chunk", "left")
+    return rows.join(known.hint("shuffle_hash"), "chunk").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, key: str, text: str, train: Column, clustering: Clustering = Clustering()) -> DataFrame:
