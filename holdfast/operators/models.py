@@ -18,6 +18,7 @@ from holdfast import constants as K
 from holdfast.functions.cleaning import label_flag
 from holdfast.operators.design import Design, fit_design, with_inputs
 from holdfast.operators.evaluate import evaluate
+from holdfast.operators.isotonic import isotonic_steps
 from holdfast.operators.split import assign_parts, fold_quotas
 from holdfast.schema import Roles
 from holdfast.session import ensure_checkpoint_dir
@@ -129,22 +130,16 @@ def fit_logistic(df: DataFrame, roles: Roles, c: float = K.LOGISTIC_C,
 
 
 def fit_calibrator(out_of_fold: DataFrame) -> IsotonicRegressionModel:
-    """Monotone map from raw probability to observed rate.
+    """Monotone map from raw probability to observed rate, straight between blocks.
 
-    Rows of equal scores are pooled first, which leaves the fit as it is.
+    The steps are found on the executors; Spark's own fit, which ends on the driver,
+    gets the two ends of each step and has nothing left to pool.
     """
-    points = (
-        out_of_fold.groupBy(F.col("p").alias("raw_p"))
-        .agg(F.avg("y").alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        return IsotonicRegression(
-            featuresCol="raw_p", labelCol="rate", weightCol="w", predictionCol="calibrated",
-            isotonic=True,
-        ).fit(points)
-    finally:
-        points.unpersist()
+    end = F.explode(F.array_distinct(F.array("low", "high"))).alias("raw_p")
+    ends = isotonic_steps(out_of_fold).select(end, "rate", F.lit(1.0).alias("w"))
+    return IsotonicRegression(
+        featuresCol="raw_p", labelCol="rate", weightCol="w", predictionCol="calibrated", isotonic=True
+    ).fit(ends)
 
 
 def run_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:

@@ -523,6 +523,15 @@ def _evaluation() -> dict[str, str]:
     out["evaluation_table"] = stmt(
         " UNION ALL ".join(parts),
         "rooted AS (SELECT * REPLACE (ROUND(SQRT(p), 4) AS p) FROM evals)")
+    # The rate of a score: over all starts not above it the greatest, of the least
+    # average over all ends not below it.
+    out["isotonic_steps"] = stmt(
+        "SELECT MIN(p) AS low, MAX(p) AS high, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(pos) AS BIGINT) AS positives, rate "
+        "FROM (SELECT i, MAX(least) AS rate FROM ends GROUP BY i) f JOIN points USING (i) GROUP BY rate",
+        "points AS (SELECT p, COUNT(*) AS n, SUM(y) AS pos, ROW_NUMBER() OVER (ORDER BY p) AS i FROM evals GROUP BY p),\n"
+        "totals AS (SELECT *, SUM(n) OVER (ORDER BY i) AS tn, SUM(pos) OVER (ORDER BY i) AS tp FROM points),\n"
+        "ends AS (SELECT a.i AS start, b.i AS i, MIN((b.tp - a.tp + a.pos)::DOUBLE / (b.tn - a.tn + a.n)::DOUBLE) "
+        "OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM totals a JOIN totals b ON a.i <= b.i)")
     out["prefix_sum"] = stmt(
         "SELECT CAST(monthly_charges AS DOUBLE) AS monthly_charges, customers, CAST(billed AS DOUBLE) AS billed, "
         "CAST(SUM(customers) OVER w AS BIGINT) AS run_customers, CAST(SUM(billed) OVER w AS DOUBLE) AS run_billed "

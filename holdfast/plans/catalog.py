@@ -16,7 +16,7 @@ from holdfast.functions.features import add_behaviour
 from holdfast.functions.numeric import half_even
 from holdfast.functions.risk import contact_tier, lifetime_value
 from holdfast.operators import (
-    attribution, design, evaluate, keyed, models, policy, profile, reports, segments, semantic,
+    attribution, design, evaluate, isotonic, keyed, models, policy, profile, reports, segments, semantic,
     split, survival,
 )
 from holdfast.operators.given import GivenLogistic, GivenTrees
@@ -204,6 +204,11 @@ def q_calibration_curve(spark, sf_dir):
     return evaluate.calibration_curve(evaluation(spark, sf_dir), splits=())
 
 
+def q_isotonic_steps(spark, sf_dir):
+    """The calibrator's steps for the fixed scores, with ranges met in a tree."""
+    return isotonic.isotonic_steps(evaluation(spark, sf_dir), rows_per_range=50)
+
+
 def q_fn_change(spark, sf_dir):
     """Missed churners at 0.50 against those at 0.25, both from one aggregate."""
     counts = evaluate.confusion(evaluation(spark, sf_dir), {"base": 0.5, "tuned": 0.25})
@@ -431,6 +436,7 @@ QUERIES: dict[str, Query] = {
     "avg_precision": _on(evaluation, lambda d: rounded(evaluate.average_precision(d), 9)),
     "brier": _on(evaluation, lambda d: rounded(evaluate.brier(d), 9)),
     "calibration_curve": q_calibration_curve,
+    "isotonic_steps": q_isotonic_steps,
     "financial_outcome": _on(evaluation, lambda d: rounded(policy.financial_outcome(d, 0.5), 4)),
     "threshold_curve": _on(evaluation, lambda d: rounded(policy.threshold_curve(d), 4)),
     "threshold_best": _on(evaluation, lambda d: rounded(policy.best_threshold(d), 4)),
