@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: load, train, score, stream, survival, workbook.
+"""Jobs for spark-submit: load, train, score, stream, delete, publish, survival, workbook.
 
     spark-submit --py-files holdfast.zip -m holdfast load --raw DIR --root DIR
 
@@ -18,6 +18,7 @@ from holdfast.plans import lifetimes, loading, scoring, training
 from holdfast.plans.training import BOOSTED
 from holdfast.functions.cleaning import clean
 from holdfast.schema import TABLE_ROLES
+from holdfast.sources.keyed_table import BUCKETS
 from holdfast.streaming import live
 
 
@@ -28,7 +29,8 @@ def _arguments() -> argparse.ArgumentParser:
     def job(name: str, *options: str, **defaults: str) -> argparse.ArgumentParser:
         sub = jobs.add_parser(name)
         sub.add_argument("--root", required=True, help="folder of the tables")
-        for option in options:
+        sub.add_argument("--buckets", type=int, default=BUCKETS, help="of the tables, the same for all jobs")
+        for option in (*options, *defaults):
             sub.add_argument(f"--{option}", required=option not in defaults, default=defaults.get(option))
         return sub
 
@@ -36,6 +38,8 @@ def _arguments() -> argparse.ArgumentParser:
     job("train", "models", "run")
     job("score", "models", "run", "at", "export")
     job("stream", "models", "run", "at", "records", "checkpoint")
+    job("delete", "keys", "at")
+    job("publish", "database", tables="200")
     job("survival", "out")
     job("workbook", "out")
     return parser
@@ -46,7 +50,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.appName(f"holdfast {args.job}").getOrCreate()
 
     def customers():
-        return loading.customer_table(spark, args.root).read()
+        return loading.customer_table(spark, args.root, args.buckets).read()
+
+    def score_table():
+        return loading.score_table(spark, args.root, args.buckets)
 
     def cleaned():
         return clean(customers(), TABLE_ROLES, "senior_citizen")
@@ -57,25 +64,30 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return Classifier.load(spark, path, TABLE_ROLES), threshold
 
     if args.job == "load":
-        rows = loading.load_customers(spark, args.raw, args.root)
+        rows = loading.load_customers(spark, args.raw, args.root, args.buckets)
         print(f"loaded or updated {rows:,} customer rows")
     elif args.job == "train":
         training.train(cleaned(), TABLE_ROLES).save(args.models, args.run)
     elif args.job == "score":
         model, threshold = saved_model()
         rows = scoring.score_active(cleaned(), model, args.at, threshold)
-        scoring.publish_scores(rows, args.export, loading.score_table(spark, args.root)).show()
+        scoring.publish_scores(rows, args.export, score_table()).show()
     elif args.job == "stream":
         model, threshold = saved_model()
         live.start_scoring(
             live.arriving_records(spark, args.records), model,
-            loading.score_table(spark, args.root), args.at, args.checkpoint, threshold,
+            score_table(), args.at, args.checkpoint, threshold,
         ).awaitTermination()
+    elif args.job == "delete":
+        keys = spark.read.option("header", True).csv(args.keys).select("customer_id")
+        loading.delete_customers(spark, args.root, keys, args.at, args.buckets)
+    elif args.job == "publish":
+        loading.publish_tables(spark, customers(), score_table().read(), args.database, int(args.tables))
     elif args.job == "survival":
         for name, table in lifetimes.survival_analysis(customers()).items():
             table.write.mode("overwrite").parquet(f"{args.out}/{name}")
     elif args.job == "workbook":
-        loading.write_workbook(customers(), loading.score_table(spark, args.root).read(), args.out)
+        loading.write_workbook(customers(), score_table().read(), args.out)
 
 
 if __name__ == "__main__":

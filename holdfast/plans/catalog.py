@@ -23,7 +23,9 @@ from holdfast.operators.given import GivenLogistic, GivenTrees
 from holdfast.operators.ordered import running_totals
 from holdfast.operators.trees import Split
 from holdfast.plans import scoring, training
-from holdfast.plans.loading import score_table, semantic_views
+from holdfast.plans.loading import (
+    customer_table, delete_customers, publish_tables, score_table, semantic_views,
+)
 from holdfast.schema import MONEY, TABLE_ROLES
 from holdfast.session import scratch_path
 from holdfast.sources import files, subscribers as src
@@ -32,6 +34,7 @@ from holdfast.streaming import live
 Query = Callable[[SparkSession, str], DataFrame]
 SCORED_AT = src.SCORED_AT
 RESCORED_AT = "2024-02-01 00:00:00"
+QUERY_BUCKETS = 8
 
 _memo: dict = {}
 
@@ -127,22 +130,58 @@ def q_upsert_customers(spark, sf_dir):
     """Active customers arrive with a raised charge; the table holds everyone
     on a two-year contract and everyone who left."""
     c = customers(spark, sf_dir)
-    current = c.where("contract = 'Two year' or churn = 'Yes'")
+    table = customer_table(spark, scratch_path(spark, "tables"), QUERY_BUCKETS)
+    table.upsert(c.where("contract = 'Two year' or churn = 'Yes'"))
     raised = (F.col("monthly_charges") * F.lit(1.1).cast("decimal(3,1)")).cast(MONEY)
-    staged = c.where("churn = 'No'").withColumn("monthly_charges", raised)
-    return presented(keyed.merge_rows(current, staged, "customer_id"))
+    table.upsert(c.where("churn = 'No'").withColumn("monthly_charges", raised))
+    return presented(table.read())
 
 
 def q_upsert_scores(spark, sf_dir):
-    """A later run rescored monthly contracts, twice; the newest row stays."""
+    """A later run rescored monthly contracts, twice; the newest row stays, also
+    when the older of the two comes again."""
     s = scores(spark, sf_dir)
+    table = score_table(spark, scratch_path(spark, "tables"), QUERY_BUCKETS)
+    table.upsert(s)
     again = s.where("contract = 'Month-to-month'")
     first = again.withColumn("risk_level", F.lit("Low"))
     second = again.withColumns(
         {"risk_level": F.lit("High"), "scored_at": F.lit(RESCORED_AT).cast("timestamp_ntz")}
     )
-    staged = keyed.latest_per_key(first.unionByName(second), "customer_id", "scored_at")
-    return presented(keyed.merge_rows(s, staged, "customer_id"))
+    table.upsert(first.unionByName(second), on_duplicate="latest")
+    table.upsert(first, on_duplicate="latest")
+    return presented(table.read())
+
+
+def q_delete_customers(spark, sf_dir):
+    """Two-year customers are deleted with their scores; those who left come back and
+    are scored anew, and the first scores of all arrive once more."""
+    root = scratch_path(spark, "tables")
+    c, s = customers(spark, sf_dir), scores(spark, sf_dir)
+    people, table = customer_table(spark, root, QUERY_BUCKETS), score_table(spark, root, QUERY_BUCKETS)
+    people.upsert(c)
+    table.upsert(s)
+    gone = c.where("contract = 'Two year'")
+    delete_customers(spark, root, gone, RESCORED_AT, QUERY_BUCKETS)
+    back = gone.where("senior_citizen = 1")
+    people.upsert(back)
+    later = s.join(back, "customer_id", "left_semi").withColumns(
+        {"risk_level": F.lit("High"), "scored_at": F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")}
+    )
+    table.upsert(later, on_duplicate="latest")
+    table.upsert(s, on_duplicate="latest")
+    held = table.read().select("customer_id", "risk_level", "scored_at")
+    return people.read().select("customer_id", "contract").join(held, "customer_id", "full")
+
+
+def q_v1_bucketed(spark, sf_dir):
+    """The customer view over catalog tables that are bucketed alike."""
+    location = scratch_path(spark, "published")
+    database = location.rsplit("/", 1)[1].replace("-", "_")
+    views = publish_tables(
+        spark, customers(spark, sf_dir), scores(spark, sf_dir), database, QUERY_BUCKETS, location
+    )
+    return presented(views["v_customer_churn_analytics"])
 
 
 def q_constraint_report(spark, sf_dir):
@@ -355,15 +394,24 @@ def q_global_attribution(spark, sf_dir):
 
 
 def q_score_stream(spark, sf_dir):
-    """The raw records written as files, read as a stream, scored, upserted."""
+    """Dated raw records as files, read as a stream, scored and merged.
+
+    Each customer's record comes three times, shuffled over the files: as it was a
+    month earlier, and twice as it is. A second stream then replays all files.
+    """
     root = scratch_path(spark, "stream")
-    raw_records(spark, sf_dir).write.option("header", True).csv(f"{root}/in")
-    table = score_table(spark, f"{root}/tables")
-    stream = live.start_scoring(
-        live.arriving_records(spark, f"{root}/in"), GIVEN, table, SCORED_AT,
-        f"{root}/checkpoint", available_now=True,
-    )
-    stream.awaitTermination()
+    now = raw_records(spark, sf_dir).withColumn("recorded_at", F.lit(SCORED_AT).cast("timestamp_ntz"))
+    earlier = now.withColumns({
+        "tenure": F.col("tenure") + 7, "recorded_at": F.col("recorded_at") - F.expr("INTERVAL 1 MONTH"),
+    })
+    arriving = now.unionByName(now).unionByName(earlier)
+    arriving.repartition(4, F.xxhash64("customerID", "recorded_at", F.rand(7))).write.option("header", True).csv(f"{root}/in")
+    table = score_table(spark, f"{root}/tables", QUERY_BUCKETS)
+    for run in ("first", "replay"):
+        records = live.arriving_records(spark, f"{root}/in", files_per_batch=2, dated=True)
+        live.start_scoring(
+            records, GIVEN, table, SCORED_AT, f"{root}/checkpoint-{run}", available_now=True
+        ).awaitTermination()
     return presented(table.read())
 
 
@@ -406,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "preview": _on(customers, lambda d: presented(files.preview(d, "customer_id", 50))),
     "upsert_customers": q_upsert_customers,
     "upsert_scores": q_upsert_scores,
+    "delete_customers": q_delete_customers,
+    "v1_bucketed": q_v1_bucketed,
     "constraint_report": q_constraint_report,
     "cascade_scores": q_cascade,
     "wb_contract": _on_both(reports.contract_workbook),

@@ -1,4 +1,4 @@
-"""From the raw file to the customer table and its semantic views."""
+"""From the raw file to the keyed tables, the tables for reports and the semantic views."""
 
 from __future__ import annotations
 
@@ -9,30 +9,62 @@ from holdfast.operators.reports import workbook_tables
 from holdfast.operators.semantic import contract_summary, customer_view, kpis
 from holdfast.schema import CUSTOMERS, SCORES
 from holdfast.sources.files import publish_views, read_clean, save_bucketed
-from holdfast.sources.versioned import VersionedTable
+from holdfast.sources.keyed_table import BUCKETS, KeyedTable
 
 
-def customer_table(spark: SparkSession, root: str) -> VersionedTable:
-    return VersionedTable(spark, f"{root}/customers", CUSTOMERS, "customer_id")
+def customer_table(spark: SparkSession, root: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/customers", CUSTOMERS, "customer_id", buckets=buckets)
 
 
-def score_table(spark: SparkSession, root: str) -> VersionedTable:
-    return VersionedTable(spark, f"{root}/churn_scores", SCORES, "customer_id", "scored_at")
+def score_table(spark: SparkSession, root: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/churn_scores", SCORES, "customer_id", "scored_at", buckets)
 
 
-def load_customers(spark: SparkSession, raw_path: str, root: str) -> int:
+def load_customers(spark: SparkSession, raw_path: str, root: str, buckets: int = BUCKETS) -> int:
     """Clean the raw file and upsert it by customer; returns its row count."""
-    return customer_table(spark, root).upsert(to_table(read_clean(spark, raw_path)))
+    return customer_table(spark, root, buckets).upsert(to_table(read_clean(spark, raw_path)))
 
 
-def create_tables(spark: SparkSession, database: str, buckets: int = 200) -> None:
-    """Empty catalog tables for customers and scores, bucketed alike on their
-    key; tables that exist are left alone."""
+def delete_customers(spark: SparkSession, root: str, keys: DataFrame, at: str, buckets: int = BUCKETS) -> None:
+    """Remove customers and, with them, their scores up to the instant ``at``.
+
+    Scores go first: a run that stops between the two leaves no score without a
+    customer, and may be repeated.
+    """
+    score_table(spark, root, buckets).delete(keys, at)
+    customer_table(spark, root, buckets).delete(keys)
+
+
+def create_tables(spark: SparkSession, database: str, buckets: int = 200, location: str | None = None) -> None:
+    """The database, and empty tables for customers and scores, bucketed alike on
+    their key; what exists is left alone. ``location``: the folder of a new database."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
     for name, schema in (("customers", CUSTOMERS), ("churn_scores", SCORES)):
         if not spark.catalog.tableExists(f"{database}.{name}"):
             save_bucketed(spark.createDataFrame([], schema), f"{database}.{name}", "customer_id", buckets)
 
 
+def publish_tables(spark: SparkSession, customers: DataFrame, scores: DataFrame, database: str,
+                   buckets: int = 200, location: str | None = None) -> dict[str, DataFrame]:
+    """Customers, scores and the three views as catalog tables for report tools.
+
+    Customers and scores are bucketed alike on their key, so the customer view, and
+    every view on it, joins them without a shuffle. The customer view is kept
+    bucketed as well.
+    """
+    create_tables(spark, database, buckets, location)
+    save_bucketed(customers, f"{database}.customers", "customer_id", buckets)
+    save_bucketed(scores, f"{database}.churn_scores", "customer_id", buckets)
+    views = semantic_views(spark.table(f"{database}.customers"), spark.table(f"{database}.churn_scores"))
+    for name, view in views.items():
+        if "customer_id" in view.columns:
+            save_bucketed(view, f"{database}.{name}", "customer_id", buckets)
+        else:
+            view.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+    return views
+
+
 def write_workbook(customers: DataFrame, scores: DataFrame, path: str) -> None:
     for sheet, table in workbook_tables(customers, scores).items():
         table.write.mode("overwrite").parquet(f"{path}/{sheet}")

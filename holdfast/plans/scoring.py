@@ -13,16 +13,16 @@ from holdfast.operators.policy import Offer
 from holdfast.operators.reports import score_summary
 from holdfast.schema import SCORES, TABLE_ROLES, Roles
 from holdfast.sources.files import export_scores
-from holdfast.sources.versioned import VersionedTable
+from holdfast.sources.keyed_table import KeyedTable
 
 
-def score_columns(df: DataFrame, threshold: float, scored_at: str, roles: Roles = TABLE_ROLES,
+def score_columns(df: DataFrame, threshold: float, scored_at: str | Column, roles: Roles = TABLE_ROLES,
                   p: str = "p", offer: Offer = Offer(),
                   extra: dict[str, Column] | None = None) -> DataFrame:
     """The score table's columns from a frame with a probability.
 
     Levels and flag come from the unrounded probability. The instant is an
-    argument, so a repeated run writes the same rows.
+    argument or a column, so a repeated run writes the same rows.
     """
     prob, monthly = F.col(p), F.col(roles.monthly).cast("double")
     value = lifetime_value(roles.monthly, offer.months, offer.annual_rate)
@@ -56,7 +56,7 @@ def score_active(df: DataFrame, model: Classifier, scored_at: str,
     return score_columns(scored, threshold, scored_at, model.roles, offer=offer)
 
 
-def publish_scores(scores: DataFrame, export_path: str, table: VersionedTable | None = None,
+def publish_scores(scores: DataFrame, export_path: str, table: KeyedTable | None = None,
                    fmt: str = "csv") -> DataFrame:
     """Write the export, then upsert the table from it; returns the run summary.
 

@@ -62,6 +62,9 @@ RAW = T.StructType(
     ]
 )
 
+# When a raw record was taken, where a feed says so.
+RECORDED = T.StructField("recorded_at", T.TimestampNTZType())
+
 
 @dataclass(frozen=True)
 class Roles:

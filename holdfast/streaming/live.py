@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from holdfast import constants as K
@@ -10,16 +10,19 @@ from holdfast.functions.cleaning import clean
 from holdfast.functions.risk import contact_tier
 from holdfast.operators.models import Classifier
 from holdfast.plans.scoring import score_columns
-from holdfast.schema import RAW, RAW_ROLES
-from holdfast.sources.versioned import VersionedTable
-
-MOST_DELTAS = 100
+from holdfast.schema import RAW, RAW_ROLES, RECORDED
+from holdfast.sources.keyed_table import KeyedTable
+from holdfast.streaming.newest import newest_per_key
 
 
 def arriving_records(spark: SparkSession, path: str, fmt: str = "csv",
-                     files_per_batch: int = 64) -> DataFrame:
-    """A stream over a folder of raw files with the declared schema."""
-    reader = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch)
+                     files_per_batch: int = 64, dated: bool = False) -> DataFrame:
+    """A stream over a folder of raw files with the declared schema.
+
+    ``dated`` records end with the time they were taken, ``recorded_at``.
+    """
+    schema = T.StructType([*RAW.fields, RECORDED]) if dated else RAW
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
         # Columns go by the header's names, as in the batch reader.
         reader = (
@@ -29,7 +32,7 @@ def arriving_records(spark: SparkSession, path: str, fmt: str = "csv",
     return reader.format(fmt).load(path)
 
 
-def predict(records: DataFrame, model: Classifier, scored_at: str,
+def predict(records: DataFrame, model: Classifier, scored_at: str | Column,
             threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
     """Score-table rows and the contact tier, for a batch or a stream.
 
@@ -44,25 +47,26 @@ def predict(records: DataFrame, model: Classifier, scored_at: str,
     )
 
 
-def start_scoring(records: DataFrame, model: Classifier, table: VersionedTable, scored_at: str,
+def start_scoring(records: DataFrame, model: Classifier, table: KeyedTable, scored_at: str,
                   checkpoint: str, threshold: float = K.DEFAULT_THRESHOLD,
-                  available_now: bool = False, most_deltas: int = MOST_DELTAS) -> StreamingQuery:
-    """Append each micro-batch to the table's delta log.
+                  available_now: bool = False) -> StreamingQuery:
+    """Score records as they arrive and merge what is new into the table.
 
-    A replayed batch overwrites its own folder, and readers keep the newest row
-    per customer, so a restart changes nothing. A log of ``most_deltas`` folders
-    is folded into a new version; other writers of the table go on meanwhile.
+    A dated record's score carries the time of the record, others ``scored_at``.
+    Keyed state drops records that are not newer than what their customer had
+    before, so a micro-batch names only the buckets of real changes. The merge keeps
+    the newer row as well, so that a replayed batch and a second stream that starts
+    from nothing change nothing.
     """
+    dated = RECORDED.name in records.columns
+    at = F.col(RECORDED.name) if dated else scored_at
+    scored = predict(records, model, at, threshold)
+    changes = newest_per_key(scored, table.key, table.order)
+
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # The query's id stays the same over restarts of one checkpoint, and no
-        # other stream has it.
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        table.append_delta(predict(batch, model, scored_at, threshold), batch_id, query)
-        if table.open_deltas() >= most_deltas:
-            table.compact()
-            table.vacuum()
+        table.upsert(batch, on_duplicate="latest")
 
-    writer = records.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -6,12 +8,13 @@ from conftest import PEOPLE, ROWS
 from holdfast.operators.keyed import KeyConflict, constraint_report
 from holdfast.plans import catalog
 from holdfast.__main__ import main
-from holdfast.plans.loading import create_tables, customer_table, load_customers, open_views, score_table
+from holdfast.plans.loading import (
+    create_tables, customer_table, delete_customers, load_customers, open_views, publish_tables, score_table,
+)
 from holdfast.plans.scoring import publish_scores
 from holdfast.schema import CUSTOMERS, SCORES
 from holdfast.sources import files
-from holdfast.sources.versioned import VersionConflict, VersionedTable
-from holdfast.streaming import live
+from holdfast.sources.keyed_table import KeyedTable
 
 
 @pytest.fixture()
@@ -44,7 +47,6 @@ def test_load_twice_is_load_once(spark, raw_file, tmp_path):
     assert load_customers(spark, raw_file, root) == 5
     table = customer_table(spark, root)
     assert sorted(map(tuple, table.read().collect())) == first
-    assert table.version() == 2
     rows = {r.customer_id: r for r in table.read().collect()}
     assert float(rows["005-E"].total_charges) == 0
     assert rows["002-B"].senior_citizen == 1 and float(rows["003-C"].monthly_charges) == 104.8
@@ -68,14 +70,7 @@ def test_repeated_key_is_refused(spark, raw_file, tmp_path):
     twice = table.read().unionByName(table.read())
     with pytest.raises(KeyConflict):
         table.upsert(twice)
-    assert table.version() == 1 and table.read().count() == 5
-
-
-def test_unfinished_version_is_ignored(spark, raw_file, tmp_path):
-    root = str(tmp_path / "db")
-    load_customers(spark, raw_file, root)
-    (tmp_path / "db" / "customers" / "versions" / "v00000002").mkdir()
-    assert customer_table(spark, root).version() == 1
+    assert table.read().count() == 5
 
 
 def test_scores_keep_the_newest_and_the_stale(spark, sf, tmp_path):
@@ -94,26 +89,6 @@ def test_scores_keep_the_newest_and_the_stale(spark, sf, tmp_path):
     assert got.where("year(scored_at) = 2025").count() == some.count()
 
 
-def test_delta_replay_and_compaction(spark, sf, tmp_path):
-    scores = catalog.scores(spark, sf).persist()
-    table = score_table(spark, str(tmp_path / "db"))
-    table.replace(scores)
-    later = scores.where("risk_level = 'High'").withColumn(
-        "scored_at", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
-    table.append_delta(later, 0)
-    table.append_delta(later, 0)
-    # A row older than the table's own does not win.
-    table.append_delta(scores.where("risk_level = 'Low'").withColumn(
-        "scored_at", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")), 1)
-    before = sorted(map(repr, table.read().collect()))
-    assert len(before) == scores.count()
-    assert table.read().where("year(scored_at) = 2025").count() == later.count()
-    assert table.read().where("year(scored_at) = 2020").count() == 0
-    table.compact()
-    assert sorted(map(repr, table.read().collect())) == before
-    assert table.version() == 2
-
-
 def test_older_schema_reads_as_null(spark, tmp_path):
     old = spark.createDataFrame([("a", 1)], "customer_id string, tenure int")
     row = files.conform(old, SCORES).first()
@@ -202,17 +177,6 @@ def test_jobs_from_file_to_workbook(spark, raw_file, tmp_path):
     assert {r.customers for r in spark.read.parquet(f"{out}/risk_summary").collect()} == {0}
 
 
-def test_streams_keep_apart(spark, tmp_path):
-    """Batch 0 of one stream does not replace batch 0 of another."""
-    schema = "customer_id string, scored_at int"
-    kind = spark.createDataFrame([], schema).schema
-    table = VersionedTable(spark, str(tmp_path), kind, "customer_id", "scored_at")
-    table.append_delta(spark.createDataFrame([("a", 1), ("b", 1)], schema), 0, "one")
-    table.append_delta(spark.createDataFrame([("c", 1)], schema), 0, "two")
-    table.append_delta(spark.createDataFrame([("c", 2)], schema), 0, "two")
-    assert sorted(tuple(r) for r in table.read().collect()) == [("a", 1), ("b", 1), ("c", 2)]
-
-
 def test_a_repeated_run_replaces_its_record(spark, tmp_path):
     for value, run in ((7, "x"), (33, "x"), (5, "y")):
         files.write_record(spark.createDataFrame([(value,)], "v int"), str(tmp_path / "r"), run)
@@ -220,102 +184,149 @@ def test_a_repeated_run_replaces_its_record(spark, tmp_path):
     assert [r["v"] for r in files.read_record(spark, str(tmp_path / "r"), "y").collect()] == [5]
 
 
+LETTERS = "customer_id string, scored_at int, note string"
+
+
 @pytest.fixture()
-def keyed(spark, tmp_path):
-    """A table of letters with a number that says which row is newer."""
-    schema = "customer_id string, scored_at int"
-    kind = spark.createDataFrame([], schema).schema
+def letters(spark, tmp_path):
+    """A table of letters with a number that says which row is newer, in eight buckets."""
+    kind = spark.createDataFrame([], LETTERS).schema
 
-    class Keyed(VersionedTable):
-        def rows(self, *pairs):
-            return spark.createDataFrame(list(pairs), schema)
+    class Letters(KeyedTable):
+        def put(self, *rows, how="latest"):
+            return self.upsert(spark.createDataFrame(list(rows), LETTERS), how)
 
         def held(self):
             return sorted(tuple(r) for r in self.read().collect())
 
-    return Keyed(spark, str(tmp_path), kind, "customer_id", "scored_at")
-
-
-def test_a_delta_that_lands_during_a_publish_stays(keyed):
-    keyed.replace(keyed.rows(("a", 1)))
-    keyed.append_delta(keyed.rows(("b", 1)), 0, "s")
-    publish = keyed._publish
-
-    def late(rows, head, folded):
-        keyed.append_delta(keyed.rows(("c", 1)), 1, "s")
-        publish(rows, head, folded)
-
-    keyed._publish = late
-    keyed.compact()
-    assert keyed.version() == 2 and keyed.open_deltas() == 1
-    assert keyed.held() == [("a", 1), ("b", 1), ("c", 1)]
-
-
-def test_the_second_of_two_publishers_starts_again(keyed):
-    keyed.replace(keyed.rows(("a", 1)))
-    publish, others = keyed._publish, [("b", 5)]
-
-    def contested(rows, head, folded):
-        if others:
-            other = VersionedTable(keyed.spark, keyed.root, keyed.schema, keyed.key, keyed.order)
-            other.upsert(keyed.rows(others.pop()))
-        publish(rows, head, folded)
-
-    keyed._publish = contested
-    assert keyed.upsert(keyed.rows(("c", 2))) == 1
-    assert keyed.version() == 3 and keyed.held() == [("a", 1), ("b", 5), ("c", 2)]
-    with pytest.raises(VersionConflict):
-        others.append(("d", 1))
-        keyed.replace(keyed.rows(("z", 1)))
-    assert keyed.held() == [("a", 1), ("b", 5), ("c", 2), ("d", 1)]
-
-
-def test_a_batch_replayed_after_compaction_counts_once(keyed):
-    keyed.append_delta(keyed.rows(("a", 1), ("b", 1)), 0)
-    keyed.compact()
-    keyed.append_delta(keyed.rows(("a", 1), ("b", 1)), 0)
-    assert keyed.held() == [("a", 1), ("b", 1)]
-    # A new stream that counts its batches from 0 again loses nothing.
-    keyed.append_delta(keyed.rows(("c", 1), ("a", 9)), 0)
-    assert keyed.held() == [("a", 9), ("b", 1), ("c", 1)]
-
-
-def test_a_commit_without_content_is_passed_over(keyed, tmp_path):
-    keyed.replace(keyed.rows(("a", 1)))
-    (tmp_path / "commits" / "00000002").write_text("")
-    assert keyed.version() == 1 and keyed.held() == [("a", 1)]
-    keyed.upsert(keyed.rows(("b", 1)))
-    assert keyed.version() == 3 and keyed.held() == [("a", 1), ("b", 1)]
-
-
-def test_vacuum_leaves_what_kept_versions_need(keyed, tmp_path):
-    for batch in range(3):
-        keyed.append_delta(keyed.rows((f"k{batch}", 1)), batch, "s")
-        keyed.compact()
-    keyed.append_delta(keyed.rows(("k3", 1)), 3, "s")
-    before = keyed.held()
-    keyed.vacuum(keep=2)
-    keyed.vacuum(keep=2)
-    assert keyed.held() == before and keyed.version() == 3 and keyed.open_deltas() == 1
-    assert len(list((tmp_path / "versions").iterdir())) == 2
-    assert sorted(p.name for p in (tmp_path / "deltas").iterdir()) == ["s-batch-2", "s-batch-3"]
-    keyed.compact()
-    assert keyed.held() == before and keyed.open_deltas() == 0
-
-
-def test_nothing_to_compact_makes_no_version(keyed):
-    keyed.compact()
-    keyed.vacuum()
-    assert keyed.version() == 0 and keyed.held() == []
-
-
-def test_a_stream_folds_its_log(spark, sf, tmp_path):
-    records = catalog.raw_records(spark, sf).repartition(3)
-    records.write.option("header", True).csv(str(tmp_path / "in"))
-    table = score_table(spark, str(tmp_path / "db"))
-    stream = live.start_scoring(
-        live.arriving_records(spark, str(tmp_path / "in"), files_per_batch=1), catalog.GIVEN, table,
-        "2024-01-01 00:00:00", str(tmp_path / "checkpoint"), available_now=True, most_deltas=2)
-    stream.awaitTermination()
-    assert table.version() == 1 and table.open_deltas() == 1
-    assert table.read().count() == records.count()
+    return Letters(spark, str(tmp_path / "t"), kind, "customer_id", "scored_at", buckets=8)
+
+
+def _files(folder):
+    return {p.relative_to(folder).as_posix(): (p.stat().st_mtime_ns, p.stat().st_size) for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_touches_only_the_buckets_it_names(spark, tmp_path):
+    """Ten keys of two thousand: all other buckets keep their very files, and they are not read."""
+    kind = spark.createDataFrame([], "customer_id string, n int").schema
+    table = KeyedTable(spark, str(tmp_path / "t"), kind, "customer_id", buckets=64)
+    rows = spark.range(2_000).select(F.col("id").cast("string").alias("customer_id"), F.lit(1).alias("n"))
+    table.upsert(rows)
+    before = _files(tmp_path / "t")
+    batch = rows.limit(10).withColumn("n", F.lit(2))
+    named = {r[0] for r in batch.select(table._bucket()).distinct().collect()}
+    assert table.upsert(batch) == 10
+    after = _files(tmp_path / "t")
+    changed = {n.split("/")[0] for n in before.keys() ^ after.keys()} | {n.split("/")[0] for n in before.keys() & after.keys() if before[n] != after[n]}
+    assert changed == {f"bucket={b}" for b in named} and len(before) == 64
+    assert table.read().agg(F.sum("n"), F.count("*")).first() == (2_010, 2_000)
+    plan = table._rows().where(F.col("bucket").isin(sorted(named)))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
+def test_newest_row_of_batch_and_table_wins(letters):
+    assert letters.held() == []
+    letters.put(("a", 1, "x"), ("b", 5, "x"), ("a", 3, "y"))
+    letters.put(("a", 2, "late"), ("b", 6, "z"), ("c", 1, "x"))
+    before = letters.held()
+    letters.put(("a", 2, "late"), ("b", 6, "z"), ("c", 1, "x"))
+    assert letters.held() == before == [("a", 3, "y"), ("b", 6, "z"), ("c", 1, "x")]
+    assert letters.put() == 0 and letters.held() == before
+
+
+def test_refused_batches_leave_the_table(letters):
+    letters.put(("a", 1, "x"))
+    with pytest.raises(KeyConflict):
+        letters.put(("b", 1, "x"), ("b", 2, "x"), how="error")
+    with pytest.raises(KeyConflict):
+        letters.put((None, 1, "x"))
+    assert letters.held() == [("a", 1, "x")]
+
+
+def test_delete_insert_and_replay(spark, letters):
+    letters.put(("a", 1, "x"), ("b", 1, "x"), ("c", 9, "x"))
+    letters.delete(spark.createDataFrame([("a",), ("c",), ("zz",), (None,), ("a",)], "customer_id string"), 5)
+    # The last row of a bucket goes, too; a row newer than the deletion stays.
+    assert letters.held() == [("b", 1, "x"), ("c", 9, "x")]
+    letters.put(("a", 1, "x"), ("zz", 5, "x"))
+    assert letters.held() == [("b", 1, "x"), ("c", 9, "x")]
+    letters.put(("a", 6, "again"))
+    letters.delete(spark.createDataFrame([("a",)], "customer_id string"), 5)
+    assert letters.held() == [("a", 6, "again"), ("b", 1, "x"), ("c", 9, "x")]
+    with pytest.raises(ValueError):
+        letters.delete(spark.createDataFrame([("a",)], "customer_id string"))
+
+
+def test_deleted_customers_lose_their_scores(spark, sf, tmp_path):
+    root = str(tmp_path / "db")
+    people = catalog.customers(spark, sf)
+    customer_table(spark, root).upsert(people)
+    score_table(spark, root).upsert(catalog.scores(spark, sf))
+    some = score_table(spark, root).read().limit(7).select("customer_id").persist()
+    before = score_table(spark, root).read().count()
+    delete_customers(spark, root, some, "2024-06-01 00:00:00")
+    left = customer_table(spark, root).read()
+    assert left.count() == people.count() - 7 and left.join(some, "customer_id").isEmpty()
+    assert score_table(spark, root).read().count() == before - 7
+    assert customer_table(spark, root).upsert(people) == people.count()
+    assert customer_table(spark, root).read().count() == people.count()
+
+
+def test_state_lets_only_newer_records_through(spark, tmp_path):
+    """Batches in any order: each key's rows rise in time, and a repeated row is seen once."""
+    from holdfast.streaming.newest import newest_per_key
+
+    schema = "customer_id string, note string, money decimal(10,2), scored_at timestamp_ntz"
+    batches = [
+        [("a", "one", "2024-01-01 00:00:00"), ("b", "two", "2024-01-02 00:00:00"), ("a", "new", "2024-01-03 00:00:00.5")],
+        [("a", "late", "2024-01-02 00:00:00"), ("b", "two", "2024-01-02 00:00:00"), (None, "x", "2024-01-09 00:00:00")],
+        [("b", "three", "2024-01-02 00:00:01"), ("a", "new", "2024-01-03 00:00:00.5"), ("c", "x", None)],
+    ]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "customer_id string, note string, t string").select(
+            "customer_id", "note", F.lit("1.25").cast("decimal(10,2)").alias("money"), F.col("t").cast("timestamp_ntz").alias("scored_at"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        # Files are taken by their time.
+        for p in (tmp_path / f"in/{i}").iterdir():
+            os.utime(p, (1_700_000_000 + 100 * i,) * 2)
+    seen = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = newest_per_key(stream, "customer_id", "scored_at").writeStream.foreachBatch(
+        lambda batch, i: seen.append(sorted((r.customer_id, r.note) for r in batch.collect()))
+    ).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [s for s in seen if s] == [[("a", "new"), ("b", "two")], [("b", "three")]]
+
+
+def test_published_tables_join_without_a_shuffle(spark, sf, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    people, scores = catalog.customers(spark, sf), catalog.scores(spark, sf)
+    try:
+        for view in (
+            catalog.q_v1_bucketed(spark, sf),
+            publish_tables(spark, people, scores, "reports", 4, f"{tmp_path}/reports")["v_customer_churn_analytics"],
+        ):
+            plan = view._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert spark.table("reports.v_customer_churn_analytics").count() == view.count() == 150
+        assert spark.table("reports.v_churn_contract_summary").count() == 3
+        # A second run replaces the tables.
+        publish_tables(spark, people.limit(5), scores, "reports", 4)
+        assert spark.table("reports.v_churn_bi_kpis").first().total_customers == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE IF EXISTS reports CASCADE")
+
+
+def test_jobs_load_score_delete_publish(spark, raw_file, tmp_path):
+    root = str(tmp_path / "db")
+    main(["load", "--raw", raw_file, "--root", root, "--buckets", "4"], spark)
+    keys = tmp_path / "keys.csv"
+    keys.write_text("customer_id\n002-B\n")
+    main(["delete", "--root", root, "--buckets", "4", "--keys", str(keys), "--at", "2024-06-01 00:00:00"], spark)
+    try:
+        main(["publish", "--root", root, "--buckets", "4", "--database", "by_job", "--tables", "2"], spark)
+        assert spark.table("by_job.v_churn_bi_kpis").first().total_customers == 4
+        assert spark.table("by_job.churn_scores").count() == 0
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS by_job CASCADE")
