@@ -6,6 +6,7 @@ import pytest
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from holdfast.schema import RAW  # noqa: E402
 from holdfast.session import local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,22 +25,35 @@ def sf():
     return SMALL
 
 
-# The four-customer frame every feature value below was worked out for by hand.
-PEOPLE = """
-customerID gender SeniorCitizen Partner Dependents tenure PhoneService MultipleLines InternetService
-OnlineSecurity OnlineBackup DeviceProtection TechSupport StreamingTV StreamingMovies Contract
-PaperlessBilling PaymentMethod MonthlyCharges TotalCharges Churn
-""".split()
-NONE = "No internet service"
+# Customers of our own for values that can be worked out by hand: one without a phone,
+# one older with nearly everything, one without internet, one with little on fiber.
+# The column names are those of the raw file.
+PEOPLE = list(RAW.fieldNames())
+ONLINE = ("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies")
+
+
+def person(key, gender, senior, household, tenure, phone, internet, bought, contract, paperless, payment, bill, total, left):
+    """A raw record; ``bought``: the online services that say Yes."""
+    online = {c: "No internet service" if internet == "No" else "Yes" if c in bought else "No" for c in ONLINE}
+    cells = {
+        "customerID": key, "gender": gender, "SeniorCitizen": senior, "Partner": household[0], "Dependents": household[1],
+        "tenure": tenure, "PhoneService": phone[0], "MultipleLines": phone[1], "InternetService": internet, **online,
+        "Contract": contract, "PaperlessBilling": paperless, "PaymentMethod": payment, "MonthlyCharges": bill,
+        "TotalCharges": total, "Churn": left,
+    }
+    return tuple(cells[c] for c in PEOPLE)
+
+
 ROWS = [
-    ("001-A", "Female", "No", "Yes", "No", 1, "Yes", "No", "DSL", "No", "Yes", "No", "No", "No", "No",
-     "Month-to-month", "Yes", "Electronic check", 29.85, 29.85, "No"),
-    ("002-B", "Male", "Yes", "No", "No", 12, "Yes", "Yes", "Fiber optic", "Yes", "No", "Yes", "No", "Yes",
-     "Yes", "Month-to-month", "Yes", "Electronic check", 89.85, 1078.20, "Yes"),
-    ("003-C", "Male", "No", "No", "Yes", 48, "Yes", "Yes", "Fiber optic", "No", "Yes", "No", "Yes", "Yes",
-     "No", "One year", "No", "Bank transfer (automatic)", 104.80, 5030.40, "No"),
-    ("004-D", "Female", "No", "Yes", "No", 72, "Yes", "Yes", "No", NONE, NONE, NONE, NONE, NONE, NONE,
-     "Two year", "No", "Mailed check", 20.05, 1443.60, "No"),
+    person("P-10", "Male", "No", ("No", "No"), 18, ("No", "No phone service"), "DSL",
+           {"OnlineSecurity", "DeviceProtection", "TechSupport", "StreamingMovies"}, "One year", "Yes",
+           "Credit card (automatic)", 45.0, 800.0, "No"),
+    person("P-11", "Female", "Yes", ("Yes", "Yes"), 36, ("Yes", "Yes"), "Fiber optic",
+           {"DeviceProtection", "StreamingTV", "StreamingMovies"}, "Month-to-month", "No", "Electronic check", 99.5, 3500.0, "Yes"),
+    person("P-12", "Female", "No", ("No", "Yes"), 5, ("Yes", "No"), "No", set(), "Month-to-month", "Yes",
+           "Mailed check", 19.0, 90.0, "No"),
+    person("P-13", "Male", "No", ("Yes", "No"), 60, ("Yes", "No"), "Fiber optic", {"OnlineSecurity"}, "Two year", "No",
+           "Bank transfer (automatic)", 80.25, 4800.0, "No"),
 ]
 
 

@@ -24,7 +24,7 @@ def raw_file(tmp_path):
         cells = list(row)
         cells[2] = "1" if cells[2] == "Yes" else "0"
         lines.append(",".join(str(c) for c in cells))
-    new = lines[1].replace("001-A", "005-E").split(",")
+    new = lines[1].replace("P-10", "P-20").split(",")
     new[5], new[19] = "0", " "
     path = tmp_path / "raw.csv"
     path.write_text("\n".join([*lines, ",".join(new)]) + "\n")
@@ -37,7 +37,7 @@ def test_missing_file_raises(spark):
 
 
 def test_raw_read_keeps_the_text(spark, raw_file):
-    assert files.read_raw(spark, raw_file).where("customerID = '005-E'").first().TotalCharges == " "
+    assert files.read_raw(spark, raw_file).where("customerID = 'P-20'").first().TotalCharges == " "
 
 
 def test_load_twice_is_load_once(spark, raw_file, tmp_path):
@@ -48,19 +48,19 @@ def test_load_twice_is_load_once(spark, raw_file, tmp_path):
     table = customer_table(spark, root)
     assert sorted(map(tuple, table.read().collect())) == first
     rows = {r.customer_id: r for r in table.read().collect()}
-    assert float(rows["005-E"].total_charges) == 0
-    assert rows["002-B"].senior_citizen == 1 and float(rows["003-C"].monthly_charges) == 104.8
+    assert float(rows["P-20"].total_charges) == 0
+    assert rows["P-11"].senior_citizen == 1 and float(rows["P-13"].monthly_charges) == 80.25
 
 
 def test_upsert_replaces_and_keeps(spark, raw_file, tmp_path):
     root = str(tmp_path / "db")
     load_customers(spark, raw_file, root)
     table = customer_table(spark, root)
-    changed = table.read().where("customer_id = '001-A'").withColumn("tenure", F.lit(2))
-    added = table.read().where("customer_id = '004-D'").withColumn("customer_id", F.lit("009-Z"))
+    changed = table.read().where("customer_id = 'P-10'").withColumn("tenure", F.lit(2))
+    added = table.read().where("customer_id = 'P-13'").withColumn("customer_id", F.lit("P-99"))
     assert table.upsert(changed.unionByName(added)) == 2
     got = {r.customer_id: r.tenure for r in table.read().collect()}
-    assert got == {"001-A": 2, "002-B": 12, "003-C": 48, "004-D": 72, "005-E": 0, "009-Z": 72}
+    assert got == {"P-10": 2, "P-11": 36, "P-12": 5, "P-13": 60, "P-20": 0, "P-99": 60}
 
 
 def test_repeated_key_is_refused(spark, raw_file, tmp_path):
@@ -173,7 +173,7 @@ def test_jobs_from_file_to_workbook(spark, raw_file, tmp_path):
     assert spark.read.parquet(f"{out}/source_data").count() == 5
     summary = spark.read.parquet(f"{out}/contract_summary").orderBy("position").collect()
     assert [(r.contract, r.source_customers, r.scored_customers) for r in summary] == [
-        ("Month-to-month", 3, 0), ("One year", 1, 0), ("Two year", 1, 0)]
+        ("Month-to-month", 2, 0), ("One year", 2, 0), ("Two year", 1, 0)]
     assert {r.customers for r in spark.read.parquet(f"{out}/risk_summary").collect()} == {0}
 
 
@@ -322,7 +322,7 @@ def test_jobs_load_score_delete_publish(spark, raw_file, tmp_path):
     root = str(tmp_path / "db")
     main(["load", "--raw", raw_file, "--root", root, "--buckets", "4"], spark)
     keys = tmp_path / "keys.csv"
-    keys.write_text("customer_id\n002-B\n")
+    keys.write_text("customer_id\nP-11\n")
     main(["delete", "--root", root, "--buckets", "4", "--keys", str(keys), "--at", "2024-06-01 00:00:00"], spark)
     try:
         main(["publish", "--root", root, "--buckets", "4", "--database", "by_job", "--tables", "2"], spark)
