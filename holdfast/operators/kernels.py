@@ -1,4 +1,4 @@
-"""The two small numpy helpers that run inside tasks, on Arrow batches.
+"""The small numpy helpers that run inside tasks, on Arrow batches.
 
 They are pickled by value, so executors need numpy and pandas but not this
 package.
@@ -53,6 +53,27 @@ def hazard_terms(batches, k):
         yield pd.DataFrame([total], columns=names)
 
 
+def hazard_increments(batches, k):
+    """What a time's tied events add to every row at risk, over chunks of ties.
+
+    Per chunk: the hazard ``h`` and hazard times mean covariates ``hx*``; the same for
+    the tied rows themselves (``th``, ``thx*``), of which the l-th event sees the share
+    1 - l / d only; and the tie's mean covariates ``m*``.
+    """
+    for batch in batches:
+        out = []
+        for row in batch.to_dict("records"):
+            u = np.arange(row["lo"], row["hi"], dtype="float64") / row["d"]
+            inv = 1.0 / (row["run_s"] - u * row["ts"])
+            a = np.array([row[f"run_s{i}"] for i in range(k)])
+            b = np.array([row[f"ts{i}"] for i in range(k)])
+            means = (a[:, None] - b[:, None] * u) * inv
+            out.append([row["time"], inv.sum(), *(means @ inv), ((1 - u) * inv).sum(), *(means @ ((1 - u) * inv)),
+                        *(means.sum(axis=1) / row["d"])])
+        names = ["time", "h", *[f"hx{i}" for i in range(k)], "th", *[f"thx{i}" for i in range(k)], *[f"m{i}" for i in range(k)]]
+        yield pd.DataFrame(out, columns=names)
+
+
 def leaf_values(hits, shares, values):
     """Shapley values, rows by leaves by path features, of leaves of one path length k.
 

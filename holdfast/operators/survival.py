@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.operators.design import refuse_wide
-from holdfast.operators.kernels import hazard_terms
+from holdfast.operators.kernels import hazard_increments, hazard_terms
 from holdfast.operators.ordered import accumulate, running_totals, split_points
 
 Z_95 = 1.959963984540054
@@ -129,17 +129,18 @@ class HazardFit:
         self.centre = np.array([float(v or 0.0) for v in means])
         self.splits = split_points(self.rows, F.col("time")) if splits is None else splits
 
-    def _sums(self, beta: np.ndarray) -> DataFrame:
-        """Per event time: sums over the risk set (``run_*``) and over the tie (``t*``)."""
-        k = self.k
+    def _weighed(self, beta: np.ndarray) -> DataFrame:
+        """The rows, covariates centred, with their margin ``m`` and weighted risk ``e``."""
         margin = F.lit(0.0)
-        for i in range(k):
+        for i in range(self.k):
             margin = margin + F.col(f"x{i}") * float(beta[i])
-        weighed = self.rows.withColumns(
-            {f"x{i}": F.col(f"x{i}") - float(self.centre[i]) for i in range(k)}
+        return self.rows.withColumns(
+            {f"x{i}": F.col(f"x{i}") - float(self.centre[i]) for i in range(self.k)}
         ).withColumn("m", margin).withColumn("e", F.col("w") * F.exp("m"))
 
-        c = F.col
+    def _sums(self, beta: np.ndarray) -> DataFrame:
+        """Per event time: sums over the risk set (``run_*``) and over the tie (``t*``)."""
+        k, c, weighed = self.k, F.col, self._weighed(beta)
         terms = {"s": c("e")}
         terms |= {f"s{i}": c("e") * c(f"x{i}") for i in range(k)}
         terms |= {f"s{i}_{j}": c("e") * c(f"x{i}") * c(f"x{j}") for i in range(k) for j in range(i, k)}
@@ -157,19 +158,22 @@ class HazardFit:
             "d > 0"
         )
 
-    def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-likelihood, gradient and information at ``beta``."""
-        k = self.k
+    def _chunks(self, beta: np.ndarray) -> DataFrame:
+        """The event times' sums, a row for each chunk [lo, hi) of a time's tied events."""
         one = F.lit(1).cast("bigint")
         starts = F.sequence(0 * one, F.col("d") - 1, TIE_CHUNK * one)
-        table = self._sums(beta)
-        chunks = table.select("*", F.explode(starts).alias("lo")).withColumn(
+        chunks = self._sums(beta).select("*", F.explode(starts).alias("lo")).withColumn(
             "hi", F.least(F.col("lo") + TIE_CHUNK, F.col("d"))
         )
+        return chunks.repartition("time", "lo")
+
+    def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood, gradient and information at ``beta``."""
+        k = self.k
         names = ["ll", *[f"u{i}" for i in range(k)],
                  *[f"h{i}_{j}" for i in range(k) for j in range(i, k)]]
         row = (
-            chunks.repartition("time", "lo")
+            self._chunks(beta)
             .mapInPandas(lambda batches: hazard_terms(batches, k),
                          ", ".join(f"{n} double" for n in names))
             .agg(*[F.sum(n).alias(n) for n in names])
@@ -201,6 +205,75 @@ class HazardFit:
         raise RuntimeError("the hazard fit did not converge")
 
 
+    def residuals(self, beta: np.ndarray) -> DataFrame:
+        """(time, hit, x*, w, r*): each distinct row's share in the gradient.
+
+        What the events up to a row's time add to the hazard is a running sum over
+        times, joined back to the rows; a row that is itself an event of its time
+        bears Efron's lesser share of that time's ties.
+        """
+        k = self.k
+        whole = ["h", *[f"hx{i}" for i in range(k)]]
+        names = [*whole, "th", *[f"thx{i}" for i in range(k)], *[f"m{i}" for i in range(k)]]
+        kind = self.rows.schema["time"].dataType.simpleString()
+        added = (
+            self._chunks(beta)
+            .mapInPandas(lambda batches: hazard_increments(batches, k),
+                         ", ".join([f"time {kind}", *(f"{n} double" for n in names)]))
+            .groupBy("time").agg(*[F.sum(n).alias(n) for n in names])
+        )
+        times = self.rows.select("time").distinct().join(added, "time", "left").na.fill(0.0, names)
+        run = accumulate(times, "time", whole, splits=self.splits)
+        c = F.col
+        rows = self._weighed(beta).join(run, "time")
+
+        def residual(i: int) -> Column:
+            risk = F.exp("m")
+            event = c(f"x{i}") - c(f"m{i}") - risk * (
+                c(f"x{i}") * (c("run_h") - c("h") + c("th")) - (c(f"run_hx{i}") - c(f"hx{i}") + c(f"thx{i}"))
+            )
+            return F.when(c("hit"), event).otherwise(-risk * (c(f"x{i}") * c("run_h") - c(f"run_hx{i}")))
+
+        return rows.select(
+            "time", "hit", *[(c(f"x{i}") + float(self.centre[i])).alias(f"x{i}") for i in range(k)], "w",
+            *[residual(i).alias(f"r{i}") for i in range(k)],
+        )
+
+    def spread(self, beta: np.ndarray) -> np.ndarray:
+        """The sum of the residuals' outer products over all rows; one small matrix to the driver."""
+        k = self.k
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = self.residuals(beta).agg(
+            *[F.sum(F.col("w") * F.col(f"r{i}") * F.col(f"r{j}")).alias(f"v{i}_{j}") for i, j in pairs]
+        ).first()
+        out = np.zeros((k, k))
+        for i, j in pairs:
+            out[i, j] = out[j, i] = row[f"v{i}_{j}"]
+        return out
+
+
+def hazard_table(df: DataFrame, duration: str, event: str, covariates: Sequence[str], **options) -> DataFrame:
+    """One row per covariate: coefficient, hazard ratio, its model-based error, the robust
+    error from the sandwich of the residuals' spread between two inverse informations,
+    and z and two-sided p of the latter."""
+    fit = HazardFit(df, duration, event, covariates, **options)
+    try:
+        beta = fit.fit()
+        inverse = np.linalg.inv(fit.step(beta)[2])
+        robust = np.sqrt(np.diag(inverse @ fit.spread(beta) @ inverse))
+    finally:
+        fit.rows.unpersist()
+    rows = [
+        (name, float(b), math.exp(b), float(e), float(r), float(b / r) if r else None,
+         math.erfc(abs(b / r) / math.sqrt(2)) if r else None)
+        for name, b, e, r in zip(fit.names, beta, np.sqrt(np.diag(inverse)), robust)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "covariate string, coefficient double, hazard_ratio double, model_error double, "
+        "robust_error double, z double, p_value double"
+    )
+
+
 def hazard_ratios(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
                   **options) -> DataFrame:
     """One row per covariate: the factor on the hazard for one unit more."""

@@ -626,6 +626,28 @@ GAPS = """(SELECT CAST(date_diff('day', d, COALESCE(nd, last_day)) AS INT) AS ti
   FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders) a) b) s"""
 
 
+# Efron's ties one event at a time: the l-th of d tied events sees the risk set less
+# the share l / d of the tie.
+EFRON = """
+rows AS (SELECT tenure AS t, churn = 'Yes' AS hit, monthly_charges::DOUBLE AS a, (contract = 'Two year')::INT::DOUBLE AS b,
+  EXP(0.01::DOUBLE * monthly_charges::DOUBLE - 0.5::DOUBLE * (contract = 'Two year')::INT) AS e FROM subscribers),
+tied AS (SELECT t, COUNT(*) AS d, SUM(LN(e)) AS m, SUM(a) AS ga, SUM(b) AS gb, SUM(e) AS e, SUM(e * a) AS ea, SUM(e * b) AS eb,
+  SUM(e * a * a) AS eaa, SUM(e * a * b) AS eab, SUM(e * b * b) AS ebb FROM rows WHERE hit GROUP BY t),
+risk AS (SELECT k.t, SUM(r.e) AS s, SUM(r.e * a) AS sa, SUM(r.e * b) AS sb, SUM(r.e * a * a) AS saa, SUM(r.e * a * b) AS sab,
+  SUM(r.e * b * b) AS sbb FROM tied k JOIN rows r ON r.t >= k.t GROUP BY k.t),
+each AS (SELECT *, l::DOUBLE / d AS f FROM (SELECT *, UNNEST(RANGE(d)) AS l FROM tied JOIN risk USING (t)) x),
+seen AS (SELECT *, s - f * e AS z, (sa - f * ea) / (s - f * e) AS ma, (sb - f * eb) / (s - f * e) AS mb FROM each),
+more AS (SELECT t, SUM(1 / z) AS h, SUM(ma / z) AS ha, SUM(mb / z) AS hb, SUM((1 - f) / z) AS o, SUM((1 - f) * ma / z) AS oa,
+  SUM((1 - f) * mb / z) AS ob, AVG(ma) AS ma, AVG(mb) AS mb FROM seen GROUP BY t),
+felt AS (SELECT rows.*, COALESCE(own.ma, 0) AS ma, COALESCE(own.mb, 0) AS mb,
+  COALESCE((SELECT SUM(h) FROM more WHERE more.t < rows.t), 0) + COALESCE(CASE WHEN hit THEN own.o ELSE own.h END, 0) AS h,
+  COALESCE((SELECT SUM(ha) FROM more WHERE more.t < rows.t), 0) + COALESCE(CASE WHEN hit THEN own.oa ELSE own.ha END, 0) AS ha,
+  COALESCE((SELECT SUM(hb) FROM more WHERE more.t < rows.t), 0) + COALESCE(CASE WHEN hit THEN own.ob ELSE own.hb END, 0) AS hb
+  FROM rows LEFT JOIN more own ON own.t = rows.t),
+residuals AS (SELECT *, CASE WHEN hit THEN a - ma ELSE 0 END - e * (a * h - ha) AS ra,
+  CASE WHEN hit THEN b - mb ELSE 0 END - e * (b * h - hb) AS rb FROM felt)"""
+
+
 def _survival() -> dict[str, str]:
     def final(curve: str, keys: str = "") -> str:
         return f"SELECT {keys}time, at_risk, events, {rnd('survival', 9)} AS survival FROM ({curve}) c"
@@ -636,7 +658,19 @@ def _survival() -> dict[str, str]:
     reach = "1.959963984540054 * SQRT(v) / LN(survival)"
     limits = (f"CASE WHEN survival = 1 THEN 1 WHEN survival > 0 THEN {{pick}}(POW(survival, EXP(-({reach}))), "
               f"POW(survival, EXP({reach}))) END")
+    once = "(SELECT {} FROM tied)"
     return {
+        "cox_step": stmt(
+            f"SELECT {rnd(once.format('SUM(m)') + ' - SUM(LN(z))', 4)} AS log_likelihood, "
+            f"{rnd(once.format('SUM(ga)') + ' - SUM(ma)', 4)} AS u0, {rnd(once.format('SUM(gb)') + ' - SUM(mb)', 4)} AS u1, "
+            f"{rnd('SUM((saa - f * eaa) / z - ma * ma)', 4)} AS h00, {rnd('SUM((sab - f * eab) / z - ma * mb)', 4)} AS h01, "
+            f"{rnd('SUM((sbb - f * ebb) / z - mb * mb)', 4)} AS h11, "
+            + ", ".join(f"(SELECT {rnd(f'SUM({x} * {y})', 4)} FROM residuals) AS {name}"
+                        for x, y, name in (("ra", "ra", "v00"), ("ra", "rb", "v01"), ("rb", "rb", "v11")))
+            + " FROM seen", EFRON.strip()),
+        "cox_residuals": stmt(
+            "SELECT CAST(t AS INT) AS time, CAST(hit AS INT) AS event, a AS monthly_charges, CAST(b AS INT) AS two_year, COUNT(*) AS customers, "
+            f"{rnd('MIN(ra)', 6)} AS r0, {rnd('MIN(rb)', 6)} AS r1 FROM residuals GROUP BY t, hit, a, b", EFRON.strip()),
         "km_overall": stmt(final(_curve(_risk(SUBJECTS))).replace("SELECT time", "SELECT CAST(time AS INT) AS time")),
         "km_contract": stmt(final(_curve(_risk(SUBJECTS, "contract"), "contract"), "contract, ")),
         "km_reorder": stmt(final(_curve(_risk(GAPS)))),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast import constants as K
@@ -299,6 +300,39 @@ def q_cox(spark, sf_dir):
     )
 
 
+COX_AT = (0.01, -0.5)
+
+
+def _cox_given(spark, sf_dir) -> survival.HazardFit:
+    """Monthly charge and a two-year contract, to be looked at in given coefficients."""
+    c = customers(spark, sf_dir).withColumn("event", label_flag("churn"))
+    wide = c.withColumn("two_year", (F.col("contract") == K.CONTRACTS[2]).cast("int"))
+    # Ranges of months, so that running sums cross their borders.
+    return survival.HazardFit(wide, "tenure", "event", ["monthly_charges", "two_year"], splits=(20.0, 50.0))
+
+
+def q_cox_step(spark, sf_dir):
+    """Likelihood, gradient, information and the residuals' spread at given coefficients."""
+    fit = _cox_given(spark, sf_dir)
+    at = np.array(COX_AT)
+    value, gradient, info = fit.step(at)
+    spread = fit.spread(at)
+    fit.rows.unpersist()
+    numbers = {
+        "log_likelihood": value, "u0": gradient[0], "u1": gradient[1], "h00": info[0, 0], "h01": info[0, 1],
+        "h11": info[1, 1], "v00": spread[0, 0], "v01": spread[0, 1], "v11": spread[1, 1],
+    }
+    return spark.createDataFrame([tuple(round(float(v), 4) for v in numbers.values())], [*numbers])
+
+
+def q_cox_residuals(spark, sf_dir):
+    rows = _cox_given(spark, sf_dir).residuals(np.array(COX_AT))
+    return rows.select(
+        "time", F.col("hit").cast("int").alias("event"), F.col("x0").alias("monthly_charges"), F.col("x1").alias("two_year"),
+        F.col("w").alias("customers"), F.round("r0", 6).alias("r0"), F.round("r1", 6).alias("r1"),
+    ).withColumns({"monthly_charges": F.round("monthly_charges", 2), "two_year": F.round("two_year").cast("int")})
+
+
 def q_linear_attribution(spark, sf_dir):
     weights = {
         "tenure": (F.col("tenure"), -0.04),
@@ -500,6 +534,8 @@ QUERIES: dict[str, Query] = {
     "km_median": q_km_median,
     "km_reorder": q_km_reorder,
     "linear_attribution": q_linear_attribution,
+    "cox_step": q_cox_step,
+    "cox_residuals": q_cox_residuals,
     "cox_ratios": q_cox,
     "train_gbt": q_train_gbt,
     "train_lr": q_train_lr,

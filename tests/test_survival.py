@@ -108,6 +108,58 @@ def test_hazard_fit_against_brute_force(spark, subjects, monkeypatch, splits, ch
             assert efron(moved, subjects) < efron(best, subjects)
 
 
+@pytest.mark.parametrize("splits, chunk", [((), 1 << 16), ((2.0, 5.0), 3)])
+def test_residuals_are_what_leaving_a_row_out_changes(spark, subjects, monkeypatch, splits, chunk):
+    """They add up to the gradient, and a row's residual is the slope of the gradient in the row's weight."""
+    monkeypatch.setattr(survival, "TIE_CHUNK", chunk)
+    # Ten of one row, and eleven: events weigh as whole rows, so use a row that is no event.
+    spare = next(r for r in subjects if not r[1])
+    beta = np.array([0.3, -0.2])
+
+    def fitted(rows):
+        return HazardFit(spark.createDataFrame([(t, e, *map(float, x)) for t, e, x in rows],
+                         "tenure int, event int, a double, b double"), "tenure", "event", ["a", "b"], splits=splits)
+
+    fit = fitted(subjects)
+    rows = fit.residuals(beta).collect()
+    for i in range(2):
+        assert sum(r["w"] * r[f"r{i}"] for r in rows) == pytest.approx(fit.step(beta)[1][i], abs=1e-9)
+    assert {(r["time"], r["hit"], round(r["x0"], 9), round(r["x1"], 9)): r["w"] for r in rows} == {
+        (t, e == 1, *x): sum((t, e, *x) == (s, f, *y) for s, f, y in subjects) for t, e, x in subjects}
+    # Many copies of everything make one row more a small change.
+    many = 200
+    base, more = fitted(subjects * many), fitted(subjects * many + [spare])
+    change = more.step(beta)[1] - base.step(beta)[1]
+    own = next(r for r in base.residuals(beta).collect() if (r["time"], r["hit"]) == (spare[0], False)
+               and (round(r["x0"], 9), round(r["x1"], 9)) == tuple(spare[2]))
+    assert [own["r0"], own["r1"]] == pytest.approx(list(change), abs=2e-3)
+
+
+def test_robust_errors_by_hand(spark, subjects):
+    """The sandwich, from residuals made one event at a time."""
+    df = spark.createDataFrame([(t, e, *map(float, x)) for t, e, x in subjects], "tenure int, event int, a double, b double")
+    table = survival.hazard_table(df, "tenure", "event", ["a", "b"]).collect()
+    beta = np.array([r["coefficient"] for r in table])
+    risk = np.array([math.exp(beta @ x) for _, _, x in subjects])
+    x = np.array([x for _, _, x in subjects])
+    time, hit = np.array([s[0] for s in subjects]), np.array([s[1] for s in subjects]) == 1
+    residual, info = np.where(hit[:, None], x, 0.0), np.zeros((2, 2))
+    for t in sorted(set(time[hit])):
+        tie, at_risk = hit & (time == t), time >= t
+        d = tie.sum()
+        for l in range(d):
+            e = risk * (at_risk - (l / d) * tie)
+            mean = e @ x / e.sum()
+            info += (x * e[:, None]).T @ x / e.sum() - np.outer(mean, mean)
+            residual[tie] -= mean / d
+            residual -= (x - mean) * (e / e.sum())[:, None]
+    inverse = np.linalg.inv(info)
+    assert [r["model_error"] for r in table] == pytest.approx(list(np.sqrt(np.diag(inverse))), rel=1e-6)
+    want = np.sqrt(np.diag(inverse @ residual.T @ residual @ inverse))
+    assert [r["robust_error"] for r in table] == pytest.approx(list(want), rel=1e-6)
+    assert all(0 <= r["p_value"] <= 1 and r["hazard_ratio"] == pytest.approx(math.exp(r["coefficient"])) for r in table)
+
+
 def test_hazard_ratio_table(spark, sf):
     from holdfast.plans.catalog import q_cox
 
@@ -128,7 +180,7 @@ def test_survival_job_tables(spark, sf):
     from holdfast.plans.lifetimes import survival_analysis
 
     tables = survival_analysis(customers(spark, sf))
-    assert set(tables) == {"curve_overall", "curve_by_contract", "median_survival", "hazard_ratios"}
+    assert set(tables) == {"curve_overall", "curve_by_contract", "median_survival", "hazard_ratios", "hazard_errors"}
     assert tables["median_survival"].count() == 3 and tables["hazard_ratios"].count() == 5
     assert "lower" in tables["curve_overall"].columns
 
