@@ -34,7 +34,7 @@ def _arguments() -> argparse.ArgumentParser:
             sub.add_argument(f"--{option}", required=option not in defaults, default=defaults.get(option))
         return sub
 
-    job("load", "raw")
+    job("load", "raw", run="latest")
     job("train", "models", "run")
     job("score", "models", "run", "at", "export")
     job("stream", "models", "run", "at", "records", "checkpoint")
@@ -64,8 +64,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return Classifier.load(spark, path, TABLE_ROLES), threshold
 
     if args.job == "load":
-        rows = loading.load_customers(spark, args.raw, args.root, args.buckets)
-        print(f"loaded or updated {rows:,} customer rows")
+        rows = loading.load_customers(spark, args.raw, args.root, args.buckets, args.run)
+        aside = loading.quarantined(spark, args.root, args.run).count()
+        print(f"loaded or updated {rows:,} customer rows, set {aside:,} aside")
     elif args.job == "train":
         training.train(cleaned(), TABLE_ROLES).save(args.models, args.run)
     elif args.job == "score":

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.functions.cleaning import to_table
+from holdfast.functions.cleaning import clean, to_table
 from holdfast.operators.reports import workbook_tables
 from holdfast.operators.semantic import contract_summary, customer_view, kpis
-from holdfast.schema import CUSTOMERS, SCORES
-from holdfast.sources.files import publish_views, read_clean, save_bucketed
+from holdfast.schema import CUSTOMERS, RAW_ROLES, SCORES
+from holdfast.sources.files import publish_views, read_checked, save_bucketed
 from holdfast.sources.keyed_table import BUCKETS, KeyedTable
 
 
@@ -20,9 +20,22 @@ def score_table(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Keyed
     return KeyedTable(spark, f"{root}/churn_scores", SCORES, "customer_id", "scored_at", buckets)
 
 
-def load_customers(spark: SparkSession, raw_path: str, root: str, buckets: int = BUCKETS) -> int:
-    """Clean the raw file and upsert it by customer; returns its row count."""
-    return customer_table(spark, root, buckets).upsert(to_table(read_clean(spark, raw_path)))
+def load_customers(spark: SparkSession, raw_path: str, root: str, buckets: int = BUCKETS,
+                   run_id: str = "latest") -> int:
+    """Clean the raw file and upsert its sound records by customer; returns their count.
+
+    What can't be read, or names no customer, is kept under the run's id in the
+    quarantine table, in place of what an earlier run of that id left there.
+    """
+    sound, others = read_checked(spark, raw_path)
+    # By its own folder, so that a run without bad records replaces one with some.
+    others.write.mode("overwrite").parquet(f"{root}/quarantine/run_id={run_id}")
+    return customer_table(spark, root, buckets).upsert(to_table(clean(sound, RAW_ROLES)))
+
+
+def quarantined(spark: SparkSession, root: str, run_id: str = "latest") -> DataFrame:
+    """The records a load set aside."""
+    return spark.read.parquet(f"{root}/quarantine/run_id={run_id}")
 
 
 def delete_customers(spark: SparkSession, root: str, keys: DataFrame, at: str, buckets: int = BUCKETS) -> None:

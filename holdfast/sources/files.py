@@ -24,8 +24,47 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_UNREAD = "_unread"
+
+
+def read_checked(spark: SparkSession, path: str, key: str = RAW_ROLES.key) -> tuple[DataFrame, DataFrame]:
+    """The raw file's sound records, and the others with their file, reason and text.
+
+    A line with too few or too many cells, or with a cell that is no value of its
+    column, is malformed; a record without a key names nobody. Both frames are plans
+    over the same scan. Lines are split whole and cells are judged by expressions, so
+    what a query selects does not change which lines are sound.
+    """
+    texts = T.StructType([*[T.StructField(n, T.StringType()) for n in (*RAW.fieldNames(), _UNREAD)]])
+    rows = (
+        spark.read.schema(texts)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _UNREAD)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    malformed = F.col(_UNREAD).isNotNull()
+    for field in RAW.fields:
+        malformed |= F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull()
+    unnamed = F.col(key).isNull() | (F.trim(key) == "")
+    sound = rows.where(~malformed & ~unnamed).select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in RAW.fields]
+    )
+    text = F.coalesce(F.col(_UNREAD), F.to_csv(F.struct(*RAW.fieldNames())))
+    others = rows.where(malformed | unnamed).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.when(malformed, "malformed").otherwise("no key").alias("reason"), text.alias("record"),
+    )
+    return sound, others
+
+
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return clean(read_raw(spark, path), RAW_ROLES)
+    """The sound records of the raw file, cleaned."""
+    return clean(read_checked(spark, path)[0], RAW_ROLES)
 
 
 def preview(df: DataFrame, key: str, rows: int = 50) -> DataFrame:

@@ -9,7 +9,7 @@ from holdfast.operators.keyed import KeyConflict, constraint_report
 from holdfast.plans import catalog
 from holdfast.__main__ import main
 from holdfast.plans.loading import (
-    create_tables, customer_table, delete_customers, load_customers, open_views, publish_tables, score_table,
+    create_tables, customer_table, delete_customers, load_customers, open_views, publish_tables, quarantined, score_table,
 )
 from holdfast.plans.scoring import publish_scores
 from holdfast.schema import CUSTOMERS, SCORES
@@ -40,6 +40,33 @@ def test_raw_read_keeps_the_text(spark, raw_file):
     assert files.read_raw(spark, raw_file).where("customerID = 'P-20'").first().TotalCharges == " "
 
 
+def test_bad_lines_are_set_aside(spark, raw_file, tmp_path):
+    """A short line, a long one, bad numbers and a record without a key; the good ones load."""
+    with open(raw_file) as file:
+        lines = file.read().splitlines()
+    good = lines[1:]
+    word, price = good[1].replace("P-11", "P-31").split(","), good[1].replace("P-11", "P-32").split(",")
+    word[5], price[18] = "many", "9.9.9"
+    bad = ["P-30,Male", good[0].replace("P-10", "P-33") + ",extra", ",".join(word), ",".join(price)]
+    unnamed = good[2].replace("P-12", "")
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.csv").write_text("\n".join([lines[0], *good[:3], bad[0], bad[1], unnamed]) + "\n")
+    (tmp_path / "mixed" / "b.csv").write_text("\n".join([lines[0], bad[2], *good[3:], bad[3]]) + "\n")
+    root = str(tmp_path / "db")
+    for _ in range(2):
+        assert load_customers(spark, str(tmp_path / "mixed"), root, run_id="r1") == len(good)
+    aside = quarantined(spark, root, "r1").collect()
+    assert sorted(r.record for r in aside if r.reason == "malformed") == sorted(bad)
+    assert [r.record[:7] for r in aside if r.reason == "no key"] == [",Female"]
+    assert {r.source_file.rsplit("/", 1)[1] for r in aside} == {"a.csv", "b.csv"} and len(aside) == 5
+    loaded = sorted(map(tuple, customer_table(spark, root).read().collect()))
+    load_customers(spark, raw_file, str(tmp_path / "clean"))
+    assert loaded == sorted(map(tuple, customer_table(spark, str(tmp_path / "clean")).read().collect()))
+    # What is selected does not change what counts as malformed.
+    sound, others = files.read_checked(spark, str(tmp_path / "mixed"))
+    assert sound.select("gender").count() == sound.count() == len(good) and others.select("reason").count() == 5
+
+
 def test_load_twice_is_load_once(spark, raw_file, tmp_path):
     root = str(tmp_path / "db")
     assert load_customers(spark, raw_file, root) == 5
