@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
@@ -156,9 +156,10 @@ def run_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> l
 
 
 def fit_calibrated(df: DataFrame, roles: Roles, params: dict | None = None,
-                   folds: int = K.CALIBRATION_FOLDS, seed: int = K.SEED) -> Classifier:
+                   folds: int = K.CALIBRATION_FOLDS, seed: int = K.SEED,
+                   base: Classifier | None = None) -> Classifier:
     """Out-of-fold scores from stratified folds fit one calibrator; the trees
-    are refitted on all rows."""
+    are fitted on all rows, unless ``base`` has been fitted on the same rows already."""
     parted = assign_parts(df, "y", roles.key, fold_quotas(folds), seed, "fold").persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -167,28 +168,31 @@ def fit_calibrated(df: DataFrame, roles: Roles, params: dict | None = None,
             fold_model = fit_boosted(parted.where(F.col("fold") != i), roles, params, seed)
             return fold_model.raw_probability(parted.where(F.col("fold") == i)).select("y", "p")
 
-        base, *scored = run_parallel(
+        whole, *scored = run_parallel(
             df.sparkSession,
-            [lambda: fit_boosted(parted, roles, params, seed)]
+            [lambda: base or fit_boosted(parted, roles, params, seed)]
             + [lambda i=i: held_out(i) for i in range(folds)],
         )
         pooled = scored[0]
         for part in scored[1:]:
             pooled = pooled.unionByName(part)
-        base.calibrator = fit_calibrator(pooled)
-        return base
+        return replace(whole, calibrator=fit_calibrator(pooled))
     finally:
         parted.unpersist()
 
 
 def candidate_results(fit: DataFrame, valid: DataFrame, roles: Roles,
                       candidates: Iterable[dict] = K.BOOSTING_CANDIDATES,
-                      seed: int = K.SEED) -> DataFrame:
-    """Validation accuracy at 0.50 and ranking quality, one row per candidate."""
+                      seed: int = K.SEED, fitted: dict[int, Classifier] | None = None) -> DataFrame:
+    """Validation accuracy at 0.50 and ranking quality, one row per candidate.
+
+    ``fitted`` takes the candidates' models by number, for a caller that goes on with one.
+    """
     candidates = list(candidates)
+    fitted = {} if fitted is None else fitted
 
     def assess(i: int):
-        model = fit_boosted(fit, roles, candidates[i], seed)
+        model = fitted[i] = fit_boosted(fit, roles, candidates[i], seed)
         scored = model.raw_probability(valid).select("y", "p").persist(StorageLevel.MEMORY_AND_DISK)
         row = evaluate(scored, [0.5]).select("accuracy", "roc_auc").first()
         scored.unpersist()

@@ -555,6 +555,9 @@ def _evaluation() -> dict[str, str]:
         f"{' + '.join(_shapley(tree, x) for tree in GIVEN_TREES)} AS phi FROM subscribers"
         for name, x in TREE_INPUTS.items())
     out["tree_attribution"] = stmt(f"SELECT customer_id, feature, value, {rnd('phi', 9)} AS phi FROM ({shares}) q")
+    out["top_features"] = stmt(
+        f"SELECT feature, {rnd('AVG(ABS(phi))', 6)} AS mean_absolute_attribution FROM ({shares}) q GROUP BY feature "
+        "ORDER BY AVG(ABS(phi)) DESC, feature LIMIT 3")
     out["global_attribution"] = stmt(
         f"SELECT feature, {rnd('AVG(ABS(phi))', 6)} AS mean_absolute_attribution FROM ({shares}) q GROUP BY feature")
     return out

@@ -37,17 +37,6 @@ SCORED_AT = src.SCORED_AT
 RESCORED_AT = "2024-02-01 00:00:00"
 QUERY_BUCKETS = 8
 
-_memo: dict = {}
-
-
-def _once(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], object]):
-    """A fitted model is reused by the queries of one session that need it."""
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    if key not in _memo:
-        _memo[key] = make()
-    return _memo[key]
-
-
 def presented(df: DataFrame) -> DataFrame:
     """Decimals as doubles, the last step before a result leaves."""
     return df.select(
@@ -370,26 +359,9 @@ GIVEN_TREES = GivenTrees(
 
 # --- queries that fit a model ----------------------------------------------
 
-def boosted(spark, sf_dir) -> models.Classifier:
-    def make():
-        return models.fit_boosted(
-            models.with_label(cleaned(spark, sf_dir), TABLE_ROLES), TABLE_ROLES, K.BOOSTING_DEFAULT
-        )
-
-    return _once("boosted", spark, sf_dir, make)
-
-
-def calibrated(spark, sf_dir) -> models.Classifier:
-    def make():
-        return models.fit_calibrated(
-            models.with_label(cleaned(spark, sf_dir), TABLE_ROLES), TABLE_ROLES, K.BOOSTING_DEFAULT
-        )
-
-    return _once("calibrated", spark, sf_dir, make)
-
-
 def q_train_gbt(spark, sf_dir):
-    return boosted(spark, sf_dir).raw_probability(cleaned(spark, sf_dir)).select("customer_id", "p")
+    frame = models.with_label(cleaned(spark, sf_dir), TABLE_ROLES)
+    return models.fit_boosted(frame, TABLE_ROLES, K.BOOSTING_DEFAULT).raw_probability(frame).select("customer_id", "p")
 
 
 def q_train_lr(spark, sf_dir):
@@ -398,8 +370,8 @@ def q_train_lr(spark, sf_dir):
 
 
 def q_calibrate(spark, sf_dir):
-    model = calibrated(spark, sf_dir)
-    return model.probability(cleaned(spark, sf_dir)).select("customer_id", "p")
+    frame = models.with_label(cleaned(spark, sf_dir), TABLE_ROLES)
+    return models.fit_calibrated(frame, TABLE_ROLES, K.BOOSTING_DEFAULT).probability(frame).select("customer_id", "p")
 
 
 def q_select_model(spark, sf_dir):
@@ -434,6 +406,11 @@ def q_global_attribution(spark, sf_dir):
     return rounded(attribution.global_attribution(cleaned(spark, sf_dir), GIVEN_TREES), 6)
 
 
+def q_top_features(spark, sf_dir):
+    ranked = attribution.global_attribution(cleaned(spark, sf_dir), GIVEN_TREES)
+    return rounded(attribution.top_features(ranked, 3), 6)
+
+
 def q_score_stream(spark, sf_dir):
     """Dated raw records as files, read as a stream, scored and merged.
 
@@ -552,5 +529,6 @@ QUERIES: dict[str, Query] = {
     "score_batch": q_score_batch,
     "tree_attribution": q_tree_attribution,
     "global_attribution": q_global_attribution,
+    "top_features": q_top_features,
     "score_stream": q_score_stream,
 }

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast import constants as K
 from holdfast.operators.attribution import global_attribution
-from holdfast.operators.evaluate import best_candidate, evaluation_table, miss_change
+from holdfast.operators.evaluate import best_candidate, calibration_curve, evaluation_table, miss_change
 from holdfast.operators.models import (
-    Classifier, candidate_results, fit_calibrated, fit_logistic, with_label,
+    Classifier, candidate_results, fit_calibrated, fit_logistic, run_parallel, with_label,
 )
 from holdfast.operators.policy import Offer, best_threshold, policy_value
 from holdfast.operators.split import assign_parts, find_cuts, holdout_quotas
@@ -35,6 +35,7 @@ class TrainingRun:
     financial: DataFrame
     misses: DataFrame
     attribution: DataFrame
+    calibration: DataFrame
     dataset: DataFrame
 
     def save(self, path: str, run_id: str) -> None:
@@ -43,7 +44,7 @@ class TrainingRun:
         self.model.save(spark, f"{path}/models/{run_id}/{BOOSTED}")
         self.baseline.save(spark, f"{path}/models/{run_id}/{LOGISTIC}")
         for name in ("candidates", "thresholds", "evaluation", "financial", "misses",
-                     "attribution", "dataset"):
+                     "attribution", "calibration", "dataset"):
             write_record(getattr(self, name), f"{path}/{name}", run_id)
         chosen = [(name, float(value)) for name, value in sorted(self.params.items())]
         write_record(
@@ -100,7 +101,8 @@ def train(df: DataFrame, roles: Roles, candidates: Iterable[dict] = K.BOOSTING_C
         fit, valid = parts.where("part = 0"), parts.where("part = 1")
         full, test = parts.where("part < 2"), parts.where("part = 2")
 
-        results = candidate_results(fit, valid, roles, candidates, seed)
+        fitted: dict[int, Classifier] = {}
+        results = candidate_results(fit, valid, roles, candidates, seed, fitted)
         chosen = best_candidate(results).first()["candidate"]
         params = candidates[chosen]
 
@@ -108,10 +110,15 @@ def train(df: DataFrame, roles: Roles, candidates: Iterable[dict] = K.BOOSTING_C
             scored = model.probability(valid)
             return best_threshold(scored, offer, monthly=roles.monthly).first()
 
-        boosted_choice = choose(fit_calibrated(fit, roles, params, folds, seed))
-        logistic_choice = choose(fit_logistic(fit, roles))
-        model = fit_calibrated(full, roles, params, folds, seed)
-        baseline = fit_logistic(full, roles)
+        # The threshold comes from the fits on the fit part; those on the whole training
+        # part need the chosen candidate only, so all of them run side by side.
+        to_choose, model, to_choose_base, baseline = run_parallel(spark, [
+            lambda: fit_calibrated(fit, roles, params, folds, seed, fitted[chosen]),
+            lambda: fit_calibrated(full, roles, params, folds, seed),
+            lambda: fit_logistic(fit, roles),
+            lambda: fit_logistic(full, roles),
+        ])
+        boosted_choice, logistic_choice = choose(to_choose), choose(to_choose_base)
 
         columns = ["y", "p", roles.monthly]
         scored = model.probability(test).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
@@ -141,6 +148,7 @@ def train(df: DataFrame, roles: Roles, candidates: Iterable[dict] = K.BOOSTING_C
             _small(policy_value(scored, boosted_choice["threshold"], offer, monthly=roles.monthly)),
             _small(misses(evaluation)),
             _small(global_attribution(test, model)),
+            _small(calibration_curve(scored)),
             _small(dataset),
         )
         scored.unpersist()

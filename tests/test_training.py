@@ -31,6 +31,8 @@ def test_run_reports(run):
     assert money.savings_vs_do_nothing == money.retention_policy_net_value
     assert run.attribution.count() == 51
     assert run.misses.count() == 1
+    # The curve of the chosen model on the test rows.
+    assert sum(r.n for r in run.calibration.collect()) == 30
 
 
 def test_saved_run(spark, run, sf, tmp_path):
@@ -38,6 +40,7 @@ def test_saved_run(spark, run, sf, tmp_path):
     assert training.saved_threshold(spark, str(tmp_path), "r1") == run.threshold
     assert training.saved_threshold(spark, str(tmp_path), "other") == 0.5
     assert training.saved_threshold(spark, str(tmp_path / "none"), "r1") == 0.5
+    assert spark.read.parquet(f"{tmp_path}/calibration").where("run_id = 'r1'").count() == run.calibration.count()
     loaded = models.Classifier.load(spark, f"{tmp_path}/models/r1/boosted", TABLE_ROLES)
     frame = catalog.cleaned(spark, sf)
     assert (scoring.score_active(frame, loaded, AT).orderBy("customer_id").collect()
