@@ -27,6 +27,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -346,43 +347,36 @@ class Matcher:
             before[at] = last.get(pair, -1)
             last[pair] = at
         hits = {i: np.fromiter((pair in self.pairs[i] for pair in pairs), bool, len(pairs)) for i in able}
-        kept, open_ = [], [(0, len(pairs), self._all_best(before, hits, 0, len(pairs), {}))]
-        while open_:
-            low, high, best = open_.pop()
-            if not best:
+        heap = []
+        for i, hit in hits.items():
+            places = np.flatnonzero(hit)
+            need = int(np.ceil(self._bounds(self.sizes[i])[0] - 1e-9))
+            within = np.searchsorted(places, places + self.longest[i]) - np.arange(len(places))
+            heap += self._from_starts(before, hit, places[within >= need], len(pairs), i)
+        heapify(heap)
+        # Bigrams that share a word with a window taken, as ranges in order.
+        kept, gone = [], []
+        while heap:
+            _, length, first, _, i, dice = heappop(heap)
+            at = bisect_right(gone, (first, len(pairs) + 1))
+            if at and gone[at - 1][1] > first:
+                continue
+            high = gone[at][0] if at < len(gone) else len(pairs)
+            end = first - length
+            if end > high:
+                # Less room gives a start no better window, so it waits for its turn again.
+                for window in self._from_starts(before, hits[i], np.array([first]), high, i):
+                    heappush(heap, window)
                 continue
-            i = min(best, key=lambda i: (best[i][:3], self.names[i]))
-            _, size, first, dice = best[i]
-            end = first - size
             kept.append((first, end - 1, i, dice))
-            # A window that takes words [first, end] leaves bigrams without any of them.
-            for a, b in ((low, first - 1), (end + 1, high)):
-                if a < b:
-                    open_.append((a, b, self._all_best(before, hits, a, b, best)))
+            gone.insert(at, (first - 1, end + 1))
         return kept
 
-    def _all_best(self, before: np.ndarray, hits: dict[int, np.ndarray], low: int, high: int,
-                  known: dict[int, tuple]) -> dict[int, tuple]:
-        """The best window of each template among the bigrams from low to high."""
-        out = {}
-        for i, hit in hits.items():
-            if i in known and low <= known[i][2] and known[i][2] - known[i][1] <= high:
-                out[i] = known[i]  # the best of more words
-                continue
-            best = self._best_window(before, hit, low, high, self.sizes[i], self.longest[i])
-            if best:
-                out[i] = best
-        return out
-
-    def _best_window(self, before: np.ndarray, hit: np.ndarray, low: int, high: int, size: int,
-                     longest: int) -> tuple | None:
-        """(-surplus, -length, first, coefficient) of the best window for a template."""
-        places = low + np.flatnonzero(hit[low:high])
-        need = int(np.ceil(self._bounds(size)[0] - 1e-9))
-        within = np.searchsorted(places, places + longest) - np.arange(len(places))
-        starts = places[within >= need]
-        best = None
-        steps = np.arange(longest)
+    def _from_starts(self, before: np.ndarray, hit: np.ndarray, starts: np.ndarray, high: int, i: int) -> list[tuple]:
+        """(-surplus, -length, first, name, template, coefficient) of each start's best
+        window that ends before ``high``, where that reaches the least."""
+        size, found = self.sizes[i], []
+        steps = np.arange(self.longest[i])
         for at in range(0, len(starts), STARTS):
             first = starts[at:at + STARTS, None]
             where = np.minimum(first + steps, high - 1)
@@ -393,15 +387,12 @@ class Matcher:
             # Rounded, so that equal surpluses are equal; only ends on a shared bigram count.
             surplus = np.where(hit[where] & (first + steps < high), np.round(2 * n - self.least * (m + size), 9), -np.inf)
             end = surplus.shape[1] - 1 - surplus[:, ::-1].argmax(1)
-            rows = np.arange(len(end))
-            top = surplus[rows, end]
-            row = np.lexsort((first[:, 0], -end, -top))[0]
-            if top[row] >= -1e-9:
-                e = end[row]
+            top = surplus[np.arange(len(end)), end]
+            for row in np.flatnonzero(top >= -1e-9).tolist():
+                e = int(end[row])
                 dice = float(2 * n[row, e] / (m[row, e] + size))
-                key = (-float(top[row]), -int(e) - 1, int(first[row, 0]), dice)
-                best = min(best, key) if best else key
-        return best
+                found.append((-float(top[row]), -e - 1, int(first[row, 0]), self.names[i], i, dice))
+        return found
 
 
 def scan_licenses(docs: DataFrame, key: str, text: str, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,

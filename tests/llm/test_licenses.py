@@ -158,3 +158,56 @@ def test_windows_equal_brute_force():
                 got.append(round(2 * len(part & b) - 0.8 * (len(part) + len(b)), 9))
             assert max(got) == best[0]
             assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def greedy(matcher, words, low, high, forms):
+    """The best window of the words from low to high, then of those before and after it."""
+    best = None
+    for name, b, longest in forms:
+        for s in range(low, high):
+            for e in range(s + 2, min(high, s + 1 + longest) + 1):
+                part = list(zip(words[s:e], words[s + 1:e]))
+                if part[0] in b and part[-1] in b:
+                    surplus = round(2 * len(set(part) & b) - matcher.least * (len(set(part)) + len(b)), 9)
+                    key = (-surplus, s - e, s, name, e)
+                    best = min(best, key) if best else key
+    if not best or best[0] > 1e-9:
+        return []
+    _, _, s, name, e = best
+    return greedy(matcher, words, low, s, forms) + [(s, e, name)] + greedy(matcher, words, e, high, forms)
+
+
+def test_all_windows_equal_brute_force():
+    rng = np.random.default_rng(11)
+    matcher = Matcher({"A": ("alpha beta gamma delta alpha gamma",), "B": ("delta delta beta alpha beta",)})
+    forms = [(matcher.names[i], set(matcher.pairs[i]), matcher.longest[i]) for i in range(2)]
+    several = 0
+    for _ in range(150):
+        words = rng.choice("alpha beta gamma delta".split(), 30).tolist()
+        text = " ".join(words)
+        found = [(text[:s].count(" "), text[:e].count(" ") + 1, name) for s, e, name, _ in matcher.scan(text)]
+        assert found == greedy(matcher, words, 0, 30, forms)
+        several += len(found) > 1
+    assert several > 20
+
+
+def test_many_licences_in_one_text():
+    """Each start's window is worked out once, so twice the copies are about twice the work."""
+    matcher, calls = Matcher(), []
+    plain = Matcher._from_starts
+
+    def counted(self, before, hit, starts, high, i):
+        calls.append(len(starts))
+        return plain(self, before, hit, starts, high, i)
+
+    Matcher._from_starts = counted
+    try:
+        work = []
+        for copies in (20, 160):
+            calls.clear()
+            found = matcher.scan((WHOLE["MIT"] + "\n") * copies)
+            assert [f[2] for f in found] == ["MIT"] * copies
+            work.append(sum(calls))
+    finally:
+        Matcher._from_starts = plain
+    assert work[1] <= 8.5 * work[0]
