@@ -5,24 +5,29 @@ third of the rows share can't shut its copies in among themselves. If lengths
 differ, one more component lifts every vector to the same length, which makes
 inner products comparable as nearness.
 
-* First lists: several rough partitions of the nodes by the nearest of a sample of
-  pivots, one for every ``PART`` nodes; many pivots are searched in two levels.
-  Oversized parts are split by hash, so a part never exceeds about ``PART`` nodes.
-  The best ``degree`` of each node's parts start its list.
-* NN-descent: Spark joins bring each node's neighbours' neighbours, along edges
-  and the ``REVERSED`` nearest reversed edges, to the node's home part; the best
-  ``degree`` stay. Rounds go on until no more than ``FEW`` of the edges improve.
-
-Search. Each query keeps a beam of its best nodes. A hop joins the unexpanded
-best of the beam with the graph and the vectors, for all queries at once, until
-no more than ``FEW`` of the beams' entries are unexpanded. A query starts at the
-nearest of ``ENTRY_POINTS`` pivots and, if its vector is in the index, at that
-node. What the beam ends with is scored exactly, in double precision, on
-original vectors, and nodes are expanded to the smallest of their ids.
+* First lists: several rough partitions of the nodes. A part is split by the nearest
+  of its pivots, a sample of at most ``FAN`` of its own nodes, level by level until
+  parts hold about ``PART`` nodes; what is larger after the last level is split by
+  hash. Pivots meet their part's nodes in a shuffle, never on the driver. The best
+  ``degree`` of each node's parts start its list.
+* NN-descent: Spark joins bring the vectors of a node's ``NEAR`` nearest and
+  ``REVERSED`` nearest reversed neighbours together at that node. They are compared
+  there, unless both were there in an earlier round, and whatever would enter
+  another's list is sent to it. Rows are at most ``NEAR + REVERSED`` a node, whatever
+  the nodes' number. Rounds go on until no more than ``FEW`` of the edges are new.
+
+Search. Each query keeps a beam of its best nodes. A hop joins the best of the
+beam that are not yet expanded with the graph, and what they lead to with the
+vectors, for all queries at once, until no more than ``FEW`` of the beams' entries
+are unexpanded; a node is expanded once a query. A query starts at the nearest of
+``ENTRY_POINTS`` nodes and, if its vector is in the index, at that node. What the
+beam ends with is scored exactly, in double precision, on original vectors, and
+nodes are expanded to the smallest of their ids.
 
 The graph keeps vectors as half-precision numbers; they steer, they don't score.
-Only pivots reach the driver, one vector for about 500 nodes. Rows as in ``finite_vectors``; zero vectors take
-no part either; a shorter vector counts as padded with zeros.
+The driver gets the ``ENTRY_POINTS`` vectors and counts. Rows as in
+``finite_vectors``; zero vectors take no part either; a shorter vector counts as
+padded with zeros.
 """
 
 from __future__ import annotations
@@ -36,17 +41,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from holdfast.llm.common import finite_vectors, matrix, padded, staged, whole_groups
 
 PART = 4096
-HOME = 16_384           # nodes that are refined together, so that they share what they fetch
-FLAT = 1024             # more pivots than these are searched in two levels
-ENTRY_POINTS = 2048     # pivots that queries start from
+FAN = 64                # pivots that one part is split by at one level
+CHUNK = 65_536          # nodes of one part that meet its pivots in one group
+ENTRY_POINTS = 2048     # nodes that queries start from
 PARTITIONS = 8
 DEGREE = 32
-REVERSED = 16
+NEAR, REVERSED = 20, 16
 FEW = 0.02              # part of the edges, or of the beams' entries, that may be left to improve
 SLIGHT = 1e-6           # of vectors of length 1 at most: a rise of a score that counts as none
-BEAM, EXPAND = 128, 32
-ENTRIES = 16
-NONE = -1
+PAIRS = 1 << 21         # found pairs that a task holds before it merges them
+BEAM, EXPAND = 96, 16
+ENTRIES = 4
 
 
 def nodes_of(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
@@ -77,65 +82,78 @@ def singles(column, width: int) -> np.ndarray:
 
 # --- first lists -----------------------------------------------------------
 
-class Pivots:
-    """Names each vector's nearest pivot; if they are many, the nearest in the cell of
-    the nearest of about as many pivots as the root of their number."""
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.cells = table, None
-        if len(table) > FLAT:
-            self.first = table[:int(np.ceil(len(table) ** 0.5))]
-            cell = np.concatenate([
-                (table[at:at + 4096] @ self.first.T).argmax(1) for at in range(0, len(table), 4096)])
-            cell[:len(self.first)] = np.arange(len(self.first))
-            self.cells = [np.flatnonzero(cell == c) for c in range(len(self.first))]
-
-    def nearest(self, v: np.ndarray) -> np.ndarray:
-        if self.cells is None:
-            return (v @ self.table.T).argmax(1)
-        out = np.empty(len(v), np.int64)
-        cell = (v @ self.first.T).argmax(1)
-        order = np.argsort(cell, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            if len(rows):
-                held = self.cells[cell[rows[0]]]
-                out[rows] = held[(v[rows] @ self.table[held].T).argmax(1)]
-        return out
-
-
-def parted(nodes: DataFrame, width: int, seed: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(z, part, id, v): each node's home (z = 0) and its part in each rough
-    partition; and a sample of nodes, the pivots among them: ids and vectors."""
-    count = nodes.count()
-    sizes = [HOME] + [PART] * PARTITIONS
-    pivots = [max(1, count // size) for size in sizes]
-    # The smallest hashes are a sample of a known size.
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sum(pivots), 64)).select("id", "v").toArrow()
-    ids = sample["id"].to_numpy()
-    table = matrix(sample["v"].combine_chunks(), width, np.float32).reshape(-1, width) if len(ids) else np.zeros((0, width), np.float32)
-    ends = np.cumsum([0, *pivots])
-    sets = [table[a:b] if b <= len(table) else table[:1] for a, b in zip(ends, ends[1:])]
+def parted(nodes: DataFrame, width: int, seed: int) -> DataFrame:
+    """(z, part, id, v): each node's home (z = 0) and its part in each rough partition."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column(1), width, np.float32)
+                yield pa.record_batch({"id": batch.column(0), "v": halves(v)})
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS))).alias("z")
+    rows = staged(nodes.mapInArrow(packed, "id bigint, v binary"), "parts").select(
+        every, F.lit("").alias("part"), "id", "v")
+    for _ in range(_levels(nodes.count())):
+        rows = staged(_split(rows, width, seed), "parts")
+    found = rows.groupBy("z", "part").agg(F.count(F.lit(1)).alias("n"))
+    split = F.pmod(F.xxhash64("id", "z"), F.ceil(F.col("n") / PART))
+    return rows.join(found, ["z", "part"]).select("z", F.concat_ws("-", "part", split).alias("part"), "id", "v")
+
+
+def _levels(count: int) -> int:
+    """Levels until parts of ``count`` nodes in all would hold ``PART`` of them."""
+    levels, parts = 0, 1
+    while parts * PART < count:
+        levels, parts = levels + 1, parts * FAN
+    return levels
+
+
+def _split(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """Each part by the nearest of its pivots. Chunks of a part meet copies of them."""
+    sizes = rows.groupBy("z", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("pivots", F.least(F.ceil(F.col("n") / PART), F.lit(FAN)))
+    sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    order = Window.partitionBy("z", "part").orderBy(F.xxhash64("id", "z", F.lit(seed)), "id")
+    first = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FAN).join(sizes, ["z", "part"])
+    first = first.where("at <= pivots").select(
+        "z", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "at", "id", "v")
+    nodes = rows.join(sizes, ["z", "part"]).select(
+        "z", "part", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.lit(FAN + 1).alias("at"), "id", "v")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [Pivots(chosen) for chosen in sets]
+        group, pivots = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column(1), width, np.float32)
-            for z, chosen in enumerate(found):
+            at = batch.column(3).to_numpy()
+            names = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2))))
+            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for start, end in zip([0, *cuts], [*cuts, len(names)]):
+                if names[start] != group:
+                    group, pivots = names[start], np.zeros((0, width), np.float32)
+                v = singles(batch.column(5).slice(start, end - start), width)
+                leads = at[start:end] <= FAN
+                pivots = np.concatenate([pivots, v[leads]])
+                if leads.all():
+                    continue
+                best = (v[~leads] @ pivots.T).argmax(1)
+                kept = batch.slice(start, end - start).filter(pa.array(~leads))
                 yield pa.record_batch({
-                    "z": pa.array(np.full(len(v), z), pa.int32()),
-                    "pivot": pa.array(chosen.nearest(v), pa.int32()),
-                    "id": batch.column(0), "v": halves(v),
+                    "z": kept.column(0), "part": pa.array([f"{group[1]}.{b}" for b in best], pa.string()),
+                    "id": kept.column(4), "v": kept.column(5),
                 })
 
-    rough = staged(nodes.mapInArrow(assign, "z int, pivot int, id bigint, v binary"), "parts")
-    found = rough.groupBy("z", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    most = F.when(F.col("z") == 0, HOME).otherwise(PART)
-    split = F.pmod(F.xxhash64("id", "z"), F.ceil(F.col("n") / most))
-    return rough.join(found, ["z", "pivot"]).select(
-        "z", F.concat_ws("-", "pivot", split).alias("part"), "id", "v"
-    ), (ids, table)
+    keys = ["z", "part", "chunk"]
+    return first.union(nodes).repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(
+        assign, "z int, part string, id bigint, v binary")
+
+
+def entry_points(nodes: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of ``ENTRY_POINTS`` nodes, those of the smallest hashes."""
+    first = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(ENTRY_POINTS).select("id", "v").toArrow()
+    table = matrix(first["v"], width, np.float32) if len(first) else np.zeros((0, width))
+    return first["id"].to_numpy(), table.astype(np.float16).astype(np.float32)
 
 
 def first_lists(parts: DataFrame, width: int, degree: int) -> DataFrame:
@@ -158,12 +176,18 @@ def first_lists(parts: DataFrame, width: int, degree: int) -> DataFrame:
                 })
 
     found = parts.repartition("z", "part").sortWithinPartitions("z", "part").mapInArrow(within, EDGES)
-    return found.repartition("v").sortWithinPartitions("v").mapInArrow(_merge(degree), EDGES)
+    return best_of(found.withColumn("new", F.lit(True)), degree)
 
 
 EDGES = "v bigint, w array<bigint>, s array<float>"
 
 
+def best_of(rows: DataFrame, most: int) -> DataFrame:
+    """(v, w, s, new array<boolean>): of all lists of a node, the ``most`` best distinct
+    entries. ``rows``: (v, w, s, new boolean); an entry is new if all lists with it are."""
+    return rows.repartition("v").sortWithinPartitions("v").mapInArrow(_merge(most), EDGES + ", new array<boolean>")
+
+
 def lists(m: np.ndarray) -> pa.Array:
     offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
     kind = pa.int64() if m.dtype.kind == "i" else pa.float32()
@@ -171,7 +195,7 @@ def lists(m: np.ndarray) -> pa.Array:
 
 
 def _merge(degree: int):
-    """Of all lists of a node, the best distinct entries. Rows come sorted by node."""
+    """Rows come sorted by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None
@@ -194,244 +218,203 @@ def _merge(degree: int):
 def merged(batch: pa.RecordBatch, degree: int) -> pa.RecordBatch:
     sizes = pa.compute.list_value_length(batch.column(1)).to_numpy()
     v = np.repeat(batch.column(0).to_numpy(), sizes)
+    new = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(bool), sizes)
     w, s = (batch.column(c).flatten().to_numpy() for c in (1, 2))
-    order = np.lexsort((w, v))
-    v, w, s = v[order], w[order], s[order]
-    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
-    v, w, s = v[fresh], w[fresh], s[fresh]
+    return as_lists(*best_entries(v, w, s, new, degree))
+
+
+def best_entries(v: np.ndarray, w: np.ndarray, s: np.ndarray, new: np.ndarray, degree: int) -> tuple:
+    """Of the entries of each v, each w once, and of those the ``degree`` best, in order."""
+    order = np.lexsort((new, w, v))
+    v, w, s, new = v[order], w[order], s[order], new[order]
+    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])[:len(v)]
+    v, w, s, new = v[fresh], w[fresh], s[fresh], new[fresh]
     order = np.lexsort((w, -s, v))
-    v, w, s = v[order], w[order], s[order]
-    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    v, w, s, new = v[order], w[order], s[order], new[order]
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[:len(v)])
     keep = np.arange(len(v)) - np.repeat(starts, np.diff([*starts, len(v)])) < degree
-    v, w, s = v[keep], w[keep], s[keep]
-    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    return v[keep], w[keep], s[keep], new[keep]
+
+
+def as_lists(v: np.ndarray, w: np.ndarray, s: np.ndarray, new: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries in order of v as a row for each v."""
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[:len(v)])
     offsets = pa.array([*starts, len(v)], pa.int32())
-    return pa.record_batch({
+    columns = {
         "v": pa.array(v[starts], pa.int64()),
         "w": pa.ListArray.from_arrays(offsets, pa.array(w, pa.int64())),
         "s": pa.ListArray.from_arrays(offsets, pa.array(s, pa.float32())),
-    })
+    }
+    if new is not None:
+        columns["new"] = pa.ListArray.from_arrays(offsets, pa.array(new, pa.bool_()))
+    return pa.record_batch(columns)
 
 
 # --- NN-descent ------------------------------------------------------------
 
-def both_ways(graph: DataFrame, most: int = REVERSED) -> DataFrame:
-    """(v, w, r): a node's list, and the nearest of the nodes whose lists hold it."""
-    edges = graph.select("v", F.explode(F.arrays_zip("w", "s")).alias("e")).select("v", "e.w", "e.s")
+def reversed_lists(graph: DataFrame) -> DataFrame:
+    """(b, r): the nearest of the nodes whose lists hold b, with the edge's flag."""
+    edges = graph.select("v", F.explode(F.arrays_zip("w", "s", "new")).alias("e")).select("v", "e.w", "e.s", "e.new")
     order = Window.partitionBy("w").orderBy(F.desc("s"), "v")
-    back = edges.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).groupBy(
+    return edges.withColumn("at", F.row_number().over(order)).where(F.col("at") <= REVERSED).groupBy(
         F.col("w").alias("b")
-    ).agg(F.collect_list("v").alias("r"))
-    return graph.join(back, F.col("v") == F.col("b"), "left").select(
-        "v", "w", F.coalesce("r", F.array().cast("array<bigint>")).alias("r")
-    )
+    ).agg(F.collect_list(F.struct(F.col("v").alias("u"), "new")).alias("r"))
 
 
 def descend(graph: DataFrame, homes: DataFrame, width: int, degree: int) -> DataFrame:
-    """One round: (v, w, s, changed) from every neighbour's neighbours.
+    """One round: the graph with what its nodes' neighbours found in each other.
 
-    ``homes``: (part, id, v), a part and vector for each node. What a part needs,
-    lists of its nodes' neighbours and vectors of theirs, comes to it once.
+    ``homes``: (part, id, v), a part and vector for each node. Nodes of one part are
+    dealt with in one task, so that pairs that several of them find are merged there.
     """
-    around = staged(both_ways(graph).join(homes.select("part", F.col("id").alias("v")), "v"), "around")
-    near = F.explode(F.concat("w", "r")).alias("n")
-    asked = around.select("part", near).distinct()
-    fetched = asked.join(graph.select(F.col("v").alias("n"), "w"), "n").select("part", "n", "w")
-    seen = (
-        fetched.select("part", F.explode("w").alias("id")).union(around.select("part", near))
-        .union(around.select("part", "v")).distinct()
-    )
-    vectors = seen.join(homes.select("id", F.col("v").alias("x")), "id")
-    no_list, no_x = F.lit(None).cast("array<bigint>"), F.lit(None).cast("binary")
-    rows = (
-        vectors.select("part", F.lit(0).alias("kind"), "id", no_list.alias("w"), no_list.alias("r"), "x")
-        .union(fetched.select("part", F.lit(1), "n", "w", no_list, no_x))
-        .union(around.select("part", F.lit(2), "v", "w", "r", no_x))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["part"]):
-            world = World(group, width)
-            own = world.own
-            for at in range(0, len(own), 64):
-                yield world.round(own.slice(at, 64), degree)
-
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, EDGES + ", changed int")
-
-
-class World:
-    """What one part has fetched: vectors, lists by node, and its own rows."""
-
-    def __init__(self, group: pa.Table, width: int):
-        kind = group["kind"].to_numpy()
-        have = group.filter(pa.array(kind == 0))
-        ids = have["id"].to_numpy()
-        order = np.argsort(ids)
-        self.ids, self.x = ids[order], singles(have["x"], width)[order]
-        fetched = group.filter(pa.array(kind == 1))
-        self.own = group.filter(pa.array(kind == 2)).combine_chunks()
-        self.lists = np.full((len(self.ids) + 1, 1), NONE, np.int32)
-        if len(fetched):
-            rows = self.square(fetched["w"])
-            self.lists = np.full((len(self.ids) + 1, rows.shape[1]), NONE, np.int32)
-            self.lists[self.at(fetched["id"].to_numpy())] = rows
-
-    def at(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ids, ids).astype(np.int32)
-
-    def square(self, column) -> np.ndarray:
-        """Lists of ids as rows of positions, filled up with NONE (the last row of ``lists``)."""
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
-        out = np.full((len(sizes), int(sizes.max(initial=1))), NONE, np.int32)
-        out[np.arange(out.shape[1]) < sizes[:, None]] = self.at(column.flatten().to_numpy())
-        return out
-
-    def round(self, own: pa.Table, degree: int) -> pa.RecordBatch:
-        me = self.at(own["id"].to_numpy())
-        mine = self.square(own["w"])
-        around = np.concatenate([mine, self.square(own["r"])], 1)
-        reach = np.concatenate([around, self.lists[around].reshape(len(me), -1)], 1)
-        reach.sort(1)
-        reach[:, 1:][reach[:, 1:] == reach[:, :-1]] = NONE
-        reach[reach == me[:, None]] = NONE
-        s = np.matmul(self.x[reach], self.x[me][:, :, None])[:, :, 0]
-        s[reach == NONE] = -np.inf
-        k = min(degree, reach.shape[1])
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        w, s = np.take_along_axis(reach, top, 1), np.take_along_axis(s, top, 1)
-        real = w != NONE
-        offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]), pa.int32())
-        # Entries that beat the list's last; equal ones may come and go without end.
-        last = np.matmul(self.x[mine], self.x[me][:, :, None])[:, :, 0]
-        last[mine == NONE] = -np.inf
-        last = last.min(1) if mine.shape[1] >= degree else np.full(len(me), -np.inf)
-        better = real & (s > last[:, None] + SLIGHT)
-        changed = np.array([(~np.isin(a, b))[r].sum() for a, b, r in zip(w, mine, better)])
-        return pa.record_batch({
-            "v": own["id"].combine_chunks() if isinstance(own["id"], pa.ChunkedArray) else own["id"],
-            "w": pa.ListArray.from_arrays(offsets, pa.array(self.ids[w[real]], pa.int64())),
-            "s": pa.ListArray.from_arrays(offsets, pa.array(s[real], pa.float32())),
-            "changed": pa.array(changed, pa.int32()),
-        })
-
-
-def neighbour_graph(nodes: DataFrame, width: int, degree: int = DEGREE,
-                    seed: int = 42) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(v, w, s) lists, (part, id, v) homes, and the pivots (ids, vectors) as entry points."""
-    parts, pivots = parted(nodes, width, seed)
-    parts = staged(parts, "parts")
+    forth = F.slice(F.transform(F.arrays_zip("w", "new"), lambda e: F.struct(e["w"].alias("u"), e["new"])), 1, NEAR)
+    back = F.filter("r", lambda e: ~F.array_contains(F.slice("w", 1, NEAR), e["u"]))
+    around = graph.join(reversed_lists(graph), F.col("v") == F.col("b"), "left").select(
+        F.col("v").alias("id"), F.when(F.col("r").isNull(), forth).otherwise(F.concat(forth, back)).alias("members"))
+    # Members that were all there before have met.
+    around = around.where(F.exists("members", lambda e: e["new"])).join(homes.select("part", "id"), "id")
+    members = around.select("part", F.col("id").alias("m"), F.explode("members").alias("e")).select("part", "m", "e.u", "e.new")
+    least = F.when(F.size("s") < degree, F.lit(float("-inf"))).otherwise(F.element_at("s", -1)).cast("float")
+    vectors = homes.select(F.col("id").alias("u"), F.col("v").alias("x")).join(
+        graph.select(F.col("v").alias("u"), least.alias("least")), "u")
+    groups = members.join(vectors, "u").select("part", "m", "u", "new", "x", "least")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs = [], 0
+        for members in _whole_middles(batches):
+            held.append(met(members, width))
+            pairs += len(held[-1][0])
+            if pairs > PAIRS:
+                held = [best_entries(*map(np.concatenate, zip(*held)), degree)]
+                pairs = len(held[0][0])
+                if pairs > PAIRS // 2:
+                    yield as_lists(*held[0][:3])
+                    held, pairs = [], 0
+        if pairs:
+            yield as_lists(*best_entries(*map(np.concatenate, zip(*held)), degree)[:3])
+
+    found = groups.repartition("part").sortWithinPartitions("part", "m").mapInArrow(meet, EDGES)
+    return best_of(
+        graph.select("v", "w", "s", F.lit(False).alias("new")).union(found.select("*", F.lit(True))), degree)
+
+
+def _whole_middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by m, cut between values of m."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        m = batch.column(1).to_numpy()
+        other = np.flatnonzero(m != m[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def met(members: pa.RecordBatch, width: int) -> tuple:
+    """(v, w, s, new) of all w that enter v's list, by the nodes at which they meet."""
+    m, u = members.column(1).to_numpy(), members.column(2).to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    sizes = np.diff([*starts, len(m)])
+    shape = (len(starts), int(sizes.max()))
+    row = np.repeat(np.arange(len(starts)), sizes)
+    column = np.arange(len(m)) - np.repeat(starts, sizes)
+    x = np.zeros((*shape, width), np.float32)
+    x[row, column] = singles(members.column(4), width)
+    new, least = np.zeros(shape, bool), np.full(shape, np.inf, np.float32)
+    new[row, column] = members.column(3).to_numpy(zero_copy_only=False)
+    least[row, column] = members.column(5).to_numpy()
+    at = np.zeros(shape, np.int64)
+    at[row, column] = np.arange(len(m))
+    s = np.matmul(x, x.transpose(0, 2, 1))
+    enters = (s > least[:, :, None] + SLIGHT) & (new[:, :, None] | new[:, None, :])
+    enters &= (np.arange(shape[1]) < sizes[:, None])[:, None, :]
+    enters[:, np.arange(shape[1]), np.arange(shape[1])] = False
+    g, i, j = np.nonzero(enters)
+    return u[at[g, i]], u[at[g, j]], s[g, i, j], np.ones(len(g), bool)
+
+
+def neighbour_graph(nodes: DataFrame, width: int, degree: int = DEGREE, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(v, w, s, new) lists and (part, id, v) homes."""
+    parts = staged(parted(nodes, width, seed), "parts")
     homes = parts.where("z = 0").drop("z")
     graph = staged(first_lists(parts.where("z > 0"), width, degree), "graph")
     while True:
-        after = staged(descend(graph, homes, width, degree), "graph")
-        changed, edges = after.agg(
-            F.coalesce(F.sum("changed"), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0))
+        graph = staged(descend(graph, homes, width, degree), "graph")
+        new, edges = graph.agg(
+            F.coalesce(F.sum(F.size(F.filter("new", lambda e: e))), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0))
         ).first()
-        graph = after.drop("changed")
-        if changed <= FEW * edges:
-            return graph, homes, pivots
+        if new <= FEW * edges:
+            return graph, homes
 
 
 # --- search ----------------------------------------------------------------
 
-STATE = "part string, q bigint, x binary, b array<bigint>, s array<float>, done array<boolean>"
+STATE = "q bigint, x binary, b array<bigint>, s array<float>, done array<bigint>"
 
 
-def greedy_search(graph: DataFrame, homes: DataFrame, queries: DataFrame,
-                  pivots: tuple[np.ndarray, np.ndarray], width: int,
-                  beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def greedy_search(graph: DataFrame, homes: DataFrame, queries: DataFrame, entries: tuple[np.ndarray, np.ndarray],
+                  width: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(q, b): each query's beam of node ids after the last hop.
 
-    ``queries``: (part, q, x, node): a part that keeps like queries together, the
-    lifted vector (halves; the component lifted is 0) and a node to start at, or
-    NULL.
+    ``queries``: (q, x, node): the lifted vector (halves; the component lifted is 0)
+    and a node of the same vector to start at, or NULL.
     """
-    around = staged(both_ways(graph).select(F.col("v").alias("n"), F.concat("w", "r").alias("around")), "around")
-    names = pivots[0][:ENTRY_POINTS]
-    table = pivots[1][:ENTRY_POINTS].astype(np.float16).astype(np.float32)
+    back = reversed_lists(graph)
+    around = staged(graph.join(back, F.col("v") == F.col("b"), "left").select(F.col("v").alias("n"), F.array_union(
+        "w", F.coalesce(F.col("r")["u"], F.array().cast("array<bigint>"))).alias("around")), "around")
+    names, table = entries
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = singles(batch.column(2), width)
+            x = singles(batch.column(1), width)
             scores = x @ table.T
-            k = min(ENTRIES, len(names))
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            b, s = names[top].tolist(), np.take_along_axis(scores, top, 1).tolist()
-            own = batch.column(3).to_pylist()
-            b = [([n] if n is not None and n not in row else []) + row for n, row in zip(own, b)]
-            # Where a query's own node stands is unknown until it is fetched; it goes first.
-            s = [[np.inf] * (len(r) - len(t)) + t for r, t in zip(b, s)]
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :ENTRIES]
+            b, s = [], []
+            for row, own, score in zip(top, batch.column(2).to_pylist(), (x * x).sum(1)):
+                found = {**dict(zip(names[row].tolist(), scores[len(b), row].tolist())), own: float(score)}
+                found.pop(None, None)
+                b.append(sorted(found, key=lambda n: (-found[n], n)))
+                s.append([found[n] for n in b[-1]])
             yield pa.record_batch({
-                "part": batch.column(0), "q": batch.column(1), "x": batch.column(2),
-                "b": pa.array(b, pa.list_(pa.int64())), "s": pa.array(s, pa.list_(pa.float32())),
-                "done": pa.array([[False] * len(r) for r in b], pa.list_(pa.bool_())),
+                "q": batch.column(0), "x": batch.column(1), "b": pa.array(b, pa.list_(pa.int64())),
+                "s": pa.array(s, pa.list_(pa.float32())), "done": pa.array([[]] * len(b), pa.list_(pa.int64())),
             })
 
-    state = staged(queries.select("part", "q", "x", "node").mapInArrow(start, STATE), "beam")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = np.einsum("ij,ij->i", singles(batch.column(2), width), singles(batch.column(3), width))
+                w = batch.column(1).to_numpy()
+                yield pa.record_batch({"v": batch.column(0), "w": lists(w[:, None]), "s": lists(s[:, None])})
+
+    state = staged(queries.select("q", "x", "node").mapInArrow(start, STATE), "beam")
+    todo = F.array_except("b", "done")
     while True:
-        unexpanded, entries = state.agg(
-            F.coalesce(F.sum(F.size(F.filter("done", lambda d: ~d))), F.lit(0)), F.coalesce(F.sum(F.size("done")), F.lit(0))
-        ).first()
-        if unexpanded <= FEW * entries:
+        unexpanded, held = state.agg(
+            F.coalesce(F.sum(F.size(todo)), F.lit(0)), F.coalesce(F.sum(F.size("b")), F.lit(0))).first()
+        if unexpanded <= FEW * held:
             return state.select("q", "b")
-        open_ = F.slice(F.filter(F.arrays_zip("b", "done"), lambda e: ~e["done"]), 1, expand)
-        asked = state.select("part", F.explode(F.transform(open_, lambda e: e["b"])).alias("n")).distinct()
-        fetched = asked.join(around, "n").select("part", "n", "around")
-        seen = fetched.select("part", F.explode("around").alias("id")).union(asked.select("part", "n")).distinct()
-        vectors = seen.join(homes.select("id", "v"), "id")
-        no_list, no_x = F.lit(None).cast("array<bigint>"), F.lit(None).cast("binary")
-        no_s, no_done = F.lit(None).cast("array<float>"), F.lit(None).cast("array<boolean>")
-        rows = (
-            vectors.select("part", F.lit(0).alias("kind"), "id", no_list.alias("w"), no_s.alias("s"), no_done.alias("done"), F.col("v").alias("x"))
-            .union(fetched.select("part", F.lit(1), "n", "around", no_s, no_done, no_x))
-            .union(state.select("part", F.lit(2), "q", "b", "s", "done", "x"))
-        )
-        hop = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_hop(width, beam, expand), STATE)
-        state = staged(hop, "beam")
-
-
-def _hop(width: int, beam: int, expand: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["part"]):
-            world = World(group, width)
-            part = group["part"][0].as_py()
-            for at in range(0, len(world.own), 256):
-                rows = world.own.slice(at, 256).to_pylist()
-                out = [_step(world, r, beam, expand) for r in rows]
-                yield pa.record_batch({
-                    "part": pa.array([part] * len(rows), pa.string()),
-                    "q": pa.array([r["id"] for r in rows], pa.int64()),
-                    "x": pa.array([r["x"] for r in rows], pa.binary()),
-                    "b": pa.array([o[0] for o in out], pa.list_(pa.int64())),
-                    "s": pa.array([o[1] for o in out], pa.list_(pa.float32())),
-                    "done": pa.array([o[2] for o in out], pa.list_(pa.bool_())),
-                })
-
-    return run
-
-
-def _step(world: World, row: dict, beam: int, expand: int) -> tuple:
-    x = np.frombuffer(row["x"], np.float16).astype(np.float32)
-    ids, scores, done = np.array(row["w"], np.int64), np.array(row["s"], np.float32), np.array(row["done"], bool)
-    open_ = np.flatnonzero(~done)[:expand]
-    if not len(open_):
-        return row["w"], row["s"], row["done"]
-    own = open_[np.isinf(scores[open_])]
-    if len(own):
-        scores[own] = world.x[world.at(ids[own])] @ x
-    reach = np.unique(world.lists[world.at(ids[open_])])
-    reach = reach[reach != NONE]
-    done[open_] = True
-    fresh = reach[~np.isin(world.ids[reach], ids)]
-    ids = np.concatenate([ids, world.ids[fresh]])
-    scores = np.concatenate([scores, world.x[fresh] @ x])
-    done = np.concatenate([done, np.zeros(len(fresh), bool)])
-    top = np.lexsort((ids, -scores))[:beam]
-    return ids[top], scores[top], done[top]
+        open_ = state.withColumn("open", F.slice(todo, 1, expand))
+        reach = open_.select("q", F.explode("open").alias("n")).join(around, "n").groupBy("q").agg(
+            F.flatten(F.collect_list("around")).alias("reach"))
+        fresh = F.array_except(F.coalesce("reach", F.array().cast("array<bigint>")), "b")
+        hop = staged(open_.join(reach, "q", "left").select(
+            "q", "x", "b", "s", F.array_union("done", "open").alias("done"), fresh.alias("fresh")), "hop")
+        pairs = hop.select("q", "x", F.explode("fresh").alias("id")).join(homes.select("id", "v"), "id")
+        scored = pairs.select("q", "id", "x", "v").mapInArrow(score, EDGES)
+        beams = best_of(
+            hop.select("q", "b", "s", F.lit(False).alias("new")).toDF("v", "w", "s", "new")
+            .union(scored.select("*", F.lit(True))), beam)
+        state = staged(beams.select(F.col("v").alias("q"), F.col("w").alias("b"), "s").join(
+            hop.select("q", "x", "done"), "q").select("q", "x", "b", "s", "done"), "beam")
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int = 20) -> DataFrame:
@@ -440,13 +423,12 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int
     ``is_query`` is a condition on the column ``id`` of the given rows.
     """
     members, nodes, width = nodes_of(vectors, key, vector)
-    graph, homes, pivots = neighbour_graph(nodes, width)
+    graph, homes = neighbour_graph(nodes, width)
     queries = members.where(is_query)
-    # In the index, a query's vector has its node's home and half-precision form.
-    lifted = homes.select("part", F.col("id").alias("node"), F.col("v").alias("x"))
+    lifted = homes.select(F.col("id").alias("node"), F.col("v").alias("x"))
     asked = queries.select(F.col("id").alias("q"), "node").join(lifted, "node")
-    asked = asked.mapInArrow(_unlifted(width), "part string, q bigint, x binary, node bigint")
-    beams = greedy_search(graph, homes, asked, pivots, width)
+    asked = asked.mapInArrow(_unlifted(width), "q bigint, x binary, node bigint")
+    beams = greedy_search(graph, homes, asked, entry_points(nodes, width, 42), width)
     found = beams.select("q", F.explode(F.slice("b", 1, 3 * k)).alias("node"))
     found = found.union(queries.select(F.col("id"), "node")).distinct()
     # Of a node's ids, the k + 1 smallest are all that a query can return.
@@ -483,6 +465,6 @@ def _unlifted(width: int):
                 continue
             x = singles(columns["x"], width)
             x[:, -1] = 0
-            yield pa.record_batch({"part": columns["part"], "q": columns["q"], "x": halves(x), "node": columns["node"]})
+            yield pa.record_batch({"q": columns["q"], "x": halves(x), "node": columns["node"]})
 
     return run
