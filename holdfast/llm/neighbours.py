@@ -50,7 +50,7 @@ NEAR, REVERSED = 20, 16
 FEW = 0.02              # part of the edges, or of the beams' entries, that may be left to improve
 SLIGHT = 1e-6           # of vectors of length 1 at most: a rise of a score that counts as none
 PAIRS = 1 << 21         # found pairs that a task holds before it merges them
-BEAM, EXPAND = 96, 16
+BEAM, EXPAND = 96, 32
 ENTRIES = 4
 
 
