@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: load, train, score, stream, delete, publish, survival, workbook.
+"""Jobs for spark-submit: load, train, score, stream, delete, rollup, publish, survival, workbook.
 
     spark-submit --py-files holdfast.zip -m holdfast load --raw DIR --root DIR
 
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from holdfast.operators.models import Classifier
-from holdfast.plans import lifetimes, loading, scoring, training
+from holdfast.plans import lifetimes, loading, rollups, scoring, training
 from holdfast.plans.training import BOOSTED
 from holdfast.functions.cleaning import clean
 from holdfast.schema import TABLE_ROLES
@@ -39,6 +39,7 @@ def _arguments() -> argparse.ArgumentParser:
     job("score", "models", "run", "at", "export")
     job("stream", "models", "run", "at", "records", "checkpoint")
     job("delete", "keys", "at")
+    job("rollup", keys="")
     job("publish", "database", tables="200")
     job("survival", "out")
     job("workbook", "out")
@@ -63,6 +64,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         threshold = training.saved_threshold(spark, args.models, args.run)
         return Classifier.load(spark, path, TABLE_ROLES), threshold
 
+    def keys():
+        return spark.read.option("header", True).csv(args.keys).select("customer_id")
+
     if args.job == "load":
         rows = loading.load_customers(spark, args.raw, args.root, args.buckets, args.run)
         aside = loading.quarantined(spark, args.root, args.run).count()
@@ -80,8 +84,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             score_table(), args.at, args.checkpoint, threshold,
         ).awaitTermination()
     elif args.job == "delete":
-        keys = spark.read.option("header", True).csv(args.keys).select("customer_id")
-        loading.delete_customers(spark, args.root, keys, args.at, args.buckets)
+        loading.delete_customers(spark, args.root, keys(), args.at, args.buckets)
+    elif args.job == "rollup":
+        named = rollups.refresh(spark, args.root, keys() if args.keys else None, args.buckets)
+        print(f"brought {len(named):,} of {args.buckets:,} buckets up to date")
     elif args.job == "publish":
         loading.publish_tables(spark, customers(), score_table().read(), args.database, int(args.tables))
     elif args.job == "survival":

@@ -97,6 +97,17 @@ featured AS (
     FROM cleaned) q)
 """.replace("SERVICE_SUM", SERVICES)
 
+# Monthly customers who stay pay a tenth more, one-year scores are a later run's, two-year customers are gone.
+CHANGED = """
+later_view AS (
+  SELECT c.* REPLACE (CASE WHEN c.contract = 'Month-to-month' AND c.churn = 'No'
+      THEN CAST(c.monthly_charges * CAST(1.1 AS DECIMAL(3,1)) AS DECIMAL(10,2)) ELSE c.monthly_charges END AS monthly_charges),
+    s.revenue_at_risk, s.clv_at_risk, CASE WHEN s.customer_id IS NULL THEN 0 ELSE 1 END AS has_model_score,
+    CASE WHEN c.contract = 'One year' AND s.customer_id IS NOT NULL THEN 1 ELSE s.is_high_risk END AS is_high_risk,
+    CASE WHEN c.contract = 'One year' AND s.customer_id IS NOT NULL
+      THEN TIMESTAMP '2024-02-01 00:00:00' ELSE s.scored_at END AS scored_at
+  FROM subscribers c LEFT JOIN scores s ON s.customer_id = c.customer_id WHERE c.contract <> 'Two year')"""
+
 FACTOR = "26.58774208248756"
 CHURNED = "churn = 'Yes'"
 
@@ -145,6 +156,17 @@ SCORE_COLUMNS = ["customer_id", "tenure", "contract", "monthly_charges", "churn_
 EXPOSURE = (f"{money('revenue_at_risk')} AS expected_monthly_revenue_at_risk, "
             f"{money('clv_at_risk')} AS estimated_clv_at_risk")
 
+KPIS = (
+    f"SELECT {N} total_customers, {CHURNERS} churned_customers, {rate()} AS observed_churn_rate_pct, "
+    f"{money('monthly_charges', CHURNED)} AS historical_churned_monthly_charges, "
+    "COUNT(*) FILTER (WHERE has_model_score = 1) AS scored_active_customers, "
+    "COUNT(*) FILTER (WHERE is_high_risk = 1) AS high_risk_scored_customers, "
+    f"{EXPOSURE}, MAX(scored_at) AS latest_score_timestamp FROM ")
+PER_CONTRACT = (
+    f"{N} total_customers, {CHURNERS} churned_customers, {rate()} AS observed_churn_rate_pct, "
+    f"{avg('monthly_charges')} AS avg_monthly_charges, "
+    f"COUNT(*) FILTER (WHERE has_model_score = 1) AS scored_active_customers, {EXPOSURE}")
+
 
 def plain(columns, money_columns) -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in money_columns else c for c in columns)
@@ -203,16 +225,10 @@ def _reports() -> dict[str, str]:
         "v1_customer": stmt(
             f"SELECT {CUSTOMER_LIST}, tenure_band, churn_flag, has_model_score, "
             + plain(SCORE_COLUMNS[4:], SCORE_MONEY) + " FROM full_view"),
-        "v2_kpis": stmt(
-            f"SELECT {N} total_customers, {CHURNERS} churned_customers, {rate()} AS observed_churn_rate_pct, "
-            f"{money('monthly_charges', CHURNED)} AS historical_churned_monthly_charges, "
-            "COUNT(*) FILTER (WHERE has_model_score = 1) AS scored_active_customers, "
-            "COUNT(*) FILTER (WHERE is_high_risk = 1) AS high_risk_scored_customers, "
-            f"{EXPOSURE}, MAX(scored_at) AS latest_score_timestamp FROM full_view"),
-        "v3_contract": grouped(
-            "contract", f"{N} total_customers, {CHURNERS} churned_customers, {rate()} AS observed_churn_rate_pct, "
-            f"{avg('monthly_charges')} AS avg_monthly_charges, "
-            f"COUNT(*) FILTER (WHERE has_model_score = 1) AS scored_active_customers, {EXPOSURE}", "full_view"),
+        "v2_kpis": stmt(KPIS + "full_view"),
+        "v3_contract": grouped("contract", PER_CONTRACT, "full_view"),
+        "rollup_kpis": stmt(KPIS + "later_view", CHANGED),
+        "rollup_contract": grouped("contract", PER_CONTRACT, "later_view", extra=CHANGED),
         "v1_risk_breakdown": grouped("risk_level", f"{N} customers, {EXPOSURE}", "full_view"),
         "v1_tenure_band": grouped(
             "tenure_band, band_order", f"{N} customers, {share('churn_flag = 1')} AS churn_rate", "full_view"),
@@ -307,6 +323,19 @@ def _reports() -> dict[str, str]:
             nothing = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in (
                 "avg_value", "std_value", "min_value", "q1", "median", "q3", "max_value"))
             parts.append(head + f"{top} AS top_value, {most} AS top_count, {nothing} FROM subscribers")
+    sketched = []
+    for c in ("payment_method", "internet_service", "tenure", "monthly_charges", "total_charges"):
+        lo, hi = (f"{f}(CAST({c} AS DOUBLE))" if c in numeric else "CAST(NULL AS DOUBLE)" for f in ("MIN", "MAX"))
+        top = f"CAST({c} AS VARCHAR)" if not c.endswith("charges") else "CAST(NULL AS VARCHAR)"
+        sketched.append(
+            f"SELECT contract, '{c}' AS column_name, CAST(SUM(n) AS BIGINT) AS present, MAX(missing) AS missing, "
+            f"{lo} AS min_value, {hi} AS max_value, FIRST({top} ORDER BY n DESC, {top}) AS top_value, "
+            + ("MAX(n)" if not c.endswith("charges") else "CAST(NULL AS BIGINT)")
+            + f" AS top_count, 1 AS distinct_within, {'1' if c in numeric else 'CAST(NULL AS INT)'} AS ranks_within "
+            f"FROM (SELECT contract, {c}, COUNT({c}) AS n FROM subscribers GROUP BY contract, {c}) a "
+            f"JOIN (SELECT contract, COUNT(*) FILTER (WHERE {c} IS NULL) AS missing FROM subscribers GROUP BY contract) b "
+            f"USING (contract) GROUP BY contract")
+    out["sketch_profile"] = stmt(" UNION ALL ".join(sketched))
     out["profile"] = stmt(" UNION ALL ".join(parts))
     out["most_missing"] = stmt(
         f"SELECT * FROM ({' UNION ALL '.join(gaps)}) q ORDER BY missing DESC, column_name LIMIT 5")

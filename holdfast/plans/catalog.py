@@ -18,12 +18,12 @@ from holdfast.functions.numeric import half_even
 from holdfast.functions.risk import contact_tier, lifetime_value
 from holdfast.operators import (
     attribution, design, evaluate, isotonic, keyed, models, policy, profile, reports, segments, semantic,
-    split, survival,
+    sketches, split, survival,
 )
 from holdfast.operators.given import GivenLogistic, GivenTrees
 from holdfast.operators.ordered import running_totals
 from holdfast.operators.trees import Split
-from holdfast.plans import scoring, training
+from holdfast.plans import rollups, scoring, training
 from holdfast.plans.loading import (
     customer_table, delete_customers, publish_tables, score_table, semantic_views,
 )
@@ -171,6 +171,49 @@ def q_delete_customers(spark, sf_dir):
     return people.read().select("customer_id", "contract").join(held, "customer_id", "full")
 
 
+def _rolled_up(spark, sf_dir):
+    """Three upserts and a deletion, each followed by a refresh of its buckets: all
+    customers, all scores, raised charges of monthly customers who stay, and a later run
+    that flags the one-year customers; then two-year customers go."""
+    root = scratch_path(spark, "tables")
+    c, s = customers(spark, sf_dir), scores(spark, sf_dir)
+    people, table = customer_table(spark, root, QUERY_BUCKETS), score_table(spark, root, QUERY_BUCKETS)
+    people.upsert(c)
+    table.upsert(s)
+    rollups.refresh(spark, root, buckets=QUERY_BUCKETS)
+    raised = (F.col("monthly_charges") * F.lit(1.1).cast("decimal(3,1)")).cast(MONEY)
+    monthly = c.where("contract = 'Month-to-month' and churn = 'No'").withColumn("monthly_charges", raised)
+    people.upsert(monthly)
+    rollups.refresh(spark, root, monthly, QUERY_BUCKETS)
+    later = s.where("contract = 'One year'").withColumns(
+        {"is_high_risk": F.lit(1), "scored_at": F.lit(RESCORED_AT).cast("timestamp_ntz")}
+    )
+    table.upsert(later, on_duplicate="latest")
+    rollups.refresh(spark, root, later, QUERY_BUCKETS)
+    gone = c.where("contract = 'Two year'")
+    delete_customers(spark, root, gone, RESCORED_AT, QUERY_BUCKETS)
+    rollups.refresh(spark, root, gone, QUERY_BUCKETS)
+    return rollups.kept(spark, root)
+
+
+def q_sketch_profile(spark, sf_dir):
+    """Sketches of cells by contract and label, merged for each contract. Values of the
+    quantile and distinct sketches are held against their stated bounds."""
+    c = customers(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    columns = ["payment_method", "internet_service", "tenure", "monthly_charges", "total_charges"]
+    sketches.sketched(c, columns, ["contract", "churn"]).write.parquet(path)
+    found = sketches.estimates(sketches.merged(spark.read.parquet(path), ["contract"]), ["contract"])
+    # Charges have more values than a sketch of frequent ones holds exactly.
+    top = F.when(~F.col("column_name").like("%charges"), F.col("top")[0])
+    within = sketches.judged(c, found, columns, ["contract"])
+    return found.join(within, ["contract", "column_name"]).select(
+        "contract", "column_name", "present", "missing", "min_value", "max_value",
+        top["value"].alias("top_value"), top["n"].alias("top_count"),
+        *[F.col(c).cast("int").alias(c) for c in ("distinct_within", "ranks_within")],
+    )
+
+
 def q_v1_bucketed(spark, sf_dir):
     """The customer view over catalog tables that are bucketed alike."""
     location = scratch_path(spark, "published")
@@ -473,6 +516,9 @@ QUERIES: dict[str, Query] = {
     "upsert_customers": q_upsert_customers,
     "upsert_scores": q_upsert_scores,
     "delete_customers": q_delete_customers,
+    "rollup_kpis": lambda s, d: _rolled_up(s, d)["v_churn_bi_kpis"],
+    "rollup_contract": lambda s, d: _rolled_up(s, d)["v_churn_contract_summary"],
+    "sketch_profile": q_sketch_profile,
     "v1_bucketed": q_v1_bucketed,
     "constraint_report": q_constraint_report,
     "cascade_scores": q_cascade,

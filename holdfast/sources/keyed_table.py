@@ -14,6 +14,8 @@ to the table: always open it with the same one, such that a bucket is a file or
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -32,7 +34,8 @@ class KeyedTable:
         self.key, self.order, self.buckets = key, order, buckets
         self._stored = T.StructType([*schema.fields, T.StructField(_GONE, T.BooleanType())])
 
-    def _bucket(self) -> Column:
+    def bucket(self) -> Column:
+        """The bucket of a row's key."""
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int").alias(_BUCKET)
 
     def _rows(self) -> DataFrame:
@@ -45,9 +48,18 @@ class KeyedTable:
                 raise
             return self.spark.createDataFrame([], whole)
 
-    def read(self) -> DataFrame:
-        """The rows of all keys that are not deleted."""
-        return self._rows().where(~F.col(_GONE)).select(*self.schema.fieldNames())
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows of all keys that are not deleted; of some buckets, only their
+        folders are opened."""
+        rows = self._rows().where(~F.col(_GONE))
+        if buckets is not None:
+            rows = rows.where(F.col(_BUCKET).isin(list(buckets)))
+        return rows.select(*self.schema.fieldNames())
+
+    def buckets_of(self, keys: DataFrame) -> list[int]:
+        """The buckets that hold the given keys; at most as many numbers as the table has."""
+        named = keys.where(F.col(self.key).isNotNull()).select(self.bucket()).distinct()
+        return sorted(r[_BUCKET] for r in named.collect())
 
     def _newest(self, rows: DataFrame) -> DataFrame:
         """One row for each key: the newest; of equally new ones a deletion, then the greatest."""
@@ -74,7 +86,7 @@ class KeyedTable:
     def _staged(self, rows: DataFrame) -> DataFrame:
         """A batch in the shared folder: computed once, whatever reads it."""
         path = scratch_path(self.spark, "batch")
-        rows.select(*self._stored.fieldNames(), self._bucket()).write.parquet(path)
+        rows.select(*self._stored.fieldNames(), self.bucket()).write.parquet(path)
         return self.spark.read.parquet(path)
 
     def upsert(self, rows: DataFrame, on_duplicate: str = "error") -> int:

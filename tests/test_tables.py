@@ -10,6 +10,7 @@ from holdfast.plans import catalog
 from holdfast.__main__ import main
 from holdfast.plans.loading import (
     create_tables, customer_table, delete_customers, load_customers, open_views, publish_tables, quarantined, score_table,
+    semantic_views,
 )
 from holdfast.plans.scoring import publish_scores
 from holdfast.schema import CUSTOMERS, SCORES
@@ -241,7 +242,7 @@ def test_a_batch_touches_only_the_buckets_it_names(spark, tmp_path):
     table.upsert(rows)
     before = _files(tmp_path / "t")
     batch = rows.limit(10).withColumn("n", F.lit(2))
-    named = {r[0] for r in batch.select(table._bucket()).distinct().collect()}
+    named = {r[0] for r in batch.select(table.bucket()).distinct().collect()}
     assert table.upsert(batch) == 10
     after = _files(tmp_path / "t")
     changed = {n.split("/")[0] for n in before.keys() ^ after.keys()} | {n.split("/")[0] for n in before.keys() & after.keys() if before[n] != after[n]}
@@ -357,3 +358,49 @@ def test_jobs_load_score_delete_publish(spark, raw_file, tmp_path):
         assert spark.table("by_job.churn_scores").count() == 0
     finally:
         spark.sql("DROP DATABASE IF EXISTS by_job CASCADE")
+
+
+def _kept_and_recomputed(spark, root, buckets):
+    from holdfast.plans.rollups import kept
+
+    people, scores = customer_table(spark, root, buckets).read(), score_table(spark, root, buckets).read()
+    afresh = semantic_views(people, scores)
+    for name, held in kept(spark, root).items():
+        assert held.columns == afresh[name].columns
+        assert sorted(map(str, held.collect())) == sorted(map(str, afresh[name].collect())), name
+    return kept(spark, root)["v_churn_bi_kpis"].first()
+
+
+def test_rollups_follow_upserts_and_deletes(spark, sf, tmp_path):
+    """Some keys at a time, late, twice, and down to no customer: always the full recomputation."""
+    from holdfast.plans.rollups import refresh
+
+    root, buckets = str(tmp_path / "db"), 16
+    c, s = catalog.customers(spark, sf), catalog.scores(spark, sf)
+    people, scores = customer_table(spark, root, buckets), score_table(spark, root, buckets)
+    people.upsert(c)
+    assert refresh(spark, root, buckets=buckets) == list(range(buckets))
+    scores.upsert(s)
+    refresh(spark, root, s, buckets)
+    first = _kept_and_recomputed(spark, root, buckets)
+    assert first.total_customers == 150 and first.scored_active_customers == s.count()
+    some = c.orderBy("customer_id").limit(3).withColumn("monthly_charges", F.lit("7.77").cast("decimal(10,2)"))
+    before = _files(tmp_path / "db" / "rollup")
+    people.upsert(some)
+    named = refresh(spark, root, some, buckets)
+    after = _files(tmp_path / "db" / "rollup")
+    assert {n.split("/")[0] for n in before.keys() ^ after.keys()} == {f"bucket={b}" for b in named} and len(named) <= 3
+    _kept_and_recomputed(spark, root, buckets)
+    later = s.limit(9).withColumns({"is_high_risk": F.lit(1), "scored_at": F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")})
+    scores.upsert(later, on_duplicate="latest")
+    for _ in range(2):
+        refresh(spark, root, later, buckets)
+    assert str(_kept_and_recomputed(spark, root, buckets).latest_score_timestamp) == "2024-05-01 00:00:00"
+    # The newest instant goes with its customers.
+    delete_customers(spark, root, later, "2024-06-01 00:00:00", buckets)
+    refresh(spark, root, later, buckets)
+    assert str(_kept_and_recomputed(spark, root, buckets).latest_score_timestamp) == "2024-01-01 00:00:00"
+    assert refresh(spark, root, c.limit(0), buckets) == []
+    delete_customers(spark, root, c, "2024-06-01 00:00:00", buckets)
+    main(["rollup", "--root", root, "--buckets", str(buckets)], spark)
+    assert _kept_and_recomputed(spark, root, buckets).total_customers == 0
