@@ -11,13 +11,18 @@
    taken (each lies in one gap of the other). The valid classes are the host's
    template; it is no longer than two average pages.
 3. *Slots.* Whatever runs of text the template does not hold are slots. A text
-   that stands on every page of a host with ``SURE_PAGES`` or more is template
-   text. Of the slots, those inside the article (or the main element, or where a
+   that stands on every page of a host is template text once copied articles would
+   bring that about with a chance below ``CHANCE``. Of the slots, those inside the article (or the main element, or where a
    page has neither, the smallest element that holds all of the prose) are the main
    text, without navigation, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles and reader comments inside it. Prose is what stands in paragraphs,
    headings, items and the like, and any other block of more than one sign that is no link.
 
+A part is told by its element (nav, footer, form ...), its role, or a class or id that
+is a part's name as a whole. A paragraph, item or heading of such a name is a part only
+if its tag belongs to the host's template; a name that merely holds such a word is none.
+Where an article and a main element lie apart, the one with more text is taken.
+
 If a template leaves a page without any text, its pages are copies of each
 other, and the article's text stays.
 
@@ -45,7 +50,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from holdfast.llm.common import quoted, sized, slices, staged, without
 
 LEAST_PAGES = 3
-SURE_PAGES = 8
+COPIED = 0.5         # chance that a page shares a text of its article with the one before
+CHANCE = 0.01        # of a text on all pages of a host, the chance to be taken for the template's by mistake
+TEXT, NAMED = 1, 2   # kinds of tokens: a text; the tag of a text element that is named like a part
 MOST_SENT = 200_000  # hosts whose templates are sent to every task
 BATCH_BYTES = 2_000_000
 
@@ -85,6 +92,11 @@ PARTS = frozenset(
     "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promoted "
     "related replies respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split())
+# Words that say no more about a part than where or how it is set.
+SETTING = frozenset(
+    "area articles bar block bottom box button buttons card cards center col column container content entry footer form "
+    "group header heading holder icons inner item items left link links list main module outer pane panel post posts "
+    "reader readers reading right row section site slot stories strip text title top unit user wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -107,7 +119,7 @@ class Run:
 @dataclass
 class Page:
     runs: list[Run] = field(default_factory=list)
-    tags: list[tuple[str, int]] = field(default_factory=list)  # path and order
+    tags: list[tuple[str, int, bool]] = field(default_factory=list)  # path, order, text named like a part
 
 
 @dataclass
@@ -136,11 +148,22 @@ def _is_part(name: str, given: dict[str, str], within: bool) -> bool:
         return True
     if name in ("html", "body", "article", "main") and not within and "comment" not in given.get("class", ""):
         return False
-    words = re.split(r"[^a-z0-9]+", f"{given.get('class', '')} {given.get('id', '')}".lower())
-    return not PARTS.isdisjoint(words)
+    return name not in PROSE and _named(given)
+
+
+def _named(given: dict[str, str]) -> bool:
+    """A class or id that is the name of such a part and nothing else: ``comment-list``
+    is one, ``share-of-votes`` and ``related-work`` are names of their own."""
+    for name in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not PARTS.isdisjoint(words) and all(w in PARTS or w in SETTING for w in words):
+            return True
+    return False
 
 
-def parse(source: str) -> Page:
+def parse(source: str, template: frozenset[int] = frozenset()) -> Page:
+    """``template``: tokens of the host's template. A paragraph, item or heading that
+    is named like a part is one if its tag is among them."""
     page, stack, block, order, made = Page(), [_Open("", "", 0, False, False, False, False, False, False)], 0, 0, 1
     at, last = 0, {}
     while at < len(source):
@@ -184,7 +207,8 @@ def parse(source: str) -> Page:
         given = _attributes(m[4]) if m[4] and m[4].strip("/ ") else {}
         top = stack[-1]
         path = f"{top.path}/{name}" + "".join(f".{given[k]}" for k in ("class", "id") if k in given)
-        page.tags.append((path, order))
+        named = name in PROSE and _named(given)
+        page.tags.append((path, order, named))
         if name in VOID or m[4].endswith("/") and name not in BLOCK:
             continue
         if name in RAW or name in DRAWN:
@@ -196,7 +220,7 @@ def parse(source: str) -> Page:
                 at = last[name][bisect_left(last[name], (at, at))][1]
                 continue
         within = top.article or top.main
-        shut = top.shut or _is_part(name, given, within)
+        shut = top.shut or _is_part(name, given, within) or named and _key("tag", path) in template
         stack.append(_Open(
             name, path, made, shut, top.article or name == "article" and not shut,
             top.main or name == "main" or given.get("role", "").lower() == "main"
@@ -234,14 +258,14 @@ def _key(kind: str, path: str, text: str = "") -> int:
 
 
 def tokens(page: Page) -> dict[int, list[int]]:
-    """Each token's count, its first place, and whether it is text."""
+    """Each token's count, its first place, and its kind: ``TEXT``, ``NAMED`` or 0."""
     out: dict[int, list[int]] = {}
-    for path, order in page.tags:
-        out.setdefault(_key("tag", path), [0, order, 0])[0] += 1
+    for path, order, named in page.tags:
+        out.setdefault(_key("tag", path), [0, order, NAMED * named])[0] += 1
     for run in page.runs:
         text = plain(run.text)
         if text:
-            out.setdefault(_key("text", run.path, text), [0, run.order, 1])[0] += 1
+            out.setdefault(_key("text", run.path, text), [0, run.order, TEXT])[0] += 1
     return out
 
 
@@ -252,7 +276,7 @@ def host_of(url: str):
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(host, template): text tokens that the host's template holds.
+    """(host, template): text and named tag tokens that the host's template holds.
 
     ``rows``: (host, html).
     """
@@ -300,7 +324,8 @@ def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_text(pages: int, common: list[dict]) -> list[int]:
-    """The text tokens of the valid classes that stand on every page."""
+    """Of the valid classes, the tags named like a part, and the texts that stand on
+    every page, if that is no chance of copied articles."""
     classes: dict[str, list[dict]] = {}
     for token in common:
         classes.setdefault(token["vec"], []).append(token)
@@ -311,8 +336,8 @@ def template_text(pages: int, common: list[dict]) -> list[int]:
         places = sorted(t["place"] for t in members)
         if all(_nests(places, other) for other in taken):
             taken.append(places)
-            if pages >= SURE_PAGES and members[0]["pages"] == pages:
-                out += [t["token"] for t in members if t["is_text"]]
+            sure = members[0]["pages"] == pages and COPIED ** (pages - 1) < CHANCE
+            out += [t["token"] for t in members if t["is_text"] == NAMED or sure and t["is_text"] == TEXT]
     return sorted(out)
 
 
@@ -328,18 +353,25 @@ def _nests(a: list[float], b: list[float]) -> bool:
 # --- slots -----------------------------------------------------------------
 
 def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
-    page = parse(source)
+    page = parse(source, template)
     runs = [r for r in page.runs if not r.shut]
-    if any(r.article for r in runs):
-        runs = [r for r in runs if r.article]
-    elif any(r.main for r in runs):
-        runs = [r for r in runs if r.main]
+    article, main = [r for r in runs if r.article], [r for r in runs if r.main]
+    # A stub of an article outside the main element gives way to a longer main text.
+    apart = not any(r.article for r in main)
+    if article and not (apart and _signs(main) > _signs(article)):
+        runs = article
+    elif main:
+        runs = main
     else:
         runs = _prose(runs)
     slots = [r for r in runs if not template or _key("text", r.path, plain(r.text)) not in template]
     return _blocks(slots) or _blocks(runs)
 
 
+def _signs(runs: list[Run]) -> int:
+    return sum(len(plain(r.text)) for r in runs)
+
+
 def _prose(runs: list[Run]) -> list[Run]:
     """The runs in the smallest element that holds all prose."""
     signs: dict[int, int] = {}
