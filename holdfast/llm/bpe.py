@@ -10,7 +10,9 @@ Plan, three narrow steps around two exchanges:
    compressed list of numbers, not one row for each pre-token.
 2. *Distinct words.* A bucket holds every occurrence of its words over the
    whole corpus; a word is encoded when it is first seen there. A word that is
-   everywhere is one entry for each chunk, so no key grows hot.
+   everywhere is one entry for each chunk, so no key grows hot. There are as many
+   buckets as the texts have ``BUCKET_BYTES``, so what a bucket holds does not grow
+   with the corpus (beyond half a terabyte of text, buckets grow instead).
 3. *Ids back, reassembled by position.* Rows meet again by chunk; the ids of
    each word number are laid out along the positions.
 
@@ -42,7 +44,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from holdfast.llm.common import framed, pack, quoted, slices, unframed, unpack, without
 
 CHUNK_CHARS = 16_000_000
-BUCKETS = 64
+BUCKET_BYTES = 8_000_000  # of text, whose words share a bucket
+LEAST_BUCKETS, MOST_BUCKETS = 8, 65_536
 BATCH_BYTES = 4_000_000
 MOST_VOCABULARY_BYTES = 64_000_000
 ROWS = "bucket int, chunk string, kind int, data binary"
@@ -82,15 +85,16 @@ class Vocabulary:
 
 
 def encode(docs: DataFrame, text: str, vocabulary: Vocabulary, keep: Sequence[str] = (),
-           into: str = "ids", chunk_chars: int = CHUNK_CHARS, buckets: int = BUCKETS,
+           into: str = "ids", chunk_chars: int = CHUNK_CHARS, buckets: int | None = None,
            finish: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]] | None = None,
            schema: T.StructType | str | None = None) -> DataFrame:
     """``keep`` columns and the token ids of the whole text, as ``array<int>``.
 
     ``finish()`` gives a function of such batches whose result, of the given
     ``schema``, is returned in their place: what is derived from the ids then
-    needs no pass of its own.
+    needs no pass of its own. ``buckets``: by default as the bytes of the texts need.
     """
+    buckets = buckets or _buckets(docs, text)
     kept = [c for c in keep if c.lower() != into.lower()]
     slim = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)],
                        quoted(text).cast("string").alias("text"))
@@ -113,6 +117,11 @@ def encode(docs: DataFrame, text: str, vocabulary: Vocabulary, keep: Sequence[st
     return coded.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, schema or own)
 
 
+def _buckets(docs: DataFrame, text: str) -> int:
+    total, = docs.agg(F.coalesce(F.sum(F.octet_length(quoted(text).cast("string"))), F.lit(0))).first()
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)))
+
+
 def decode(encoded: DataFrame, ids: str, vocabulary: Vocabulary, into: str = "decoded") -> DataFrame:
     """All columns and the bytes of the ids, read off the token-byte table.
 

@@ -40,6 +40,18 @@ def test_bpe_round_trip(docs, vocabulary):
     assert got == sorted((str(i), tuple(encode(t or "")), (t or "").encode()) for i, t in TEXTS)
 
 
+def test_bpe_buckets_follow_the_texts(spark, docs, vocabulary, monkeypatch):
+    """More text, more buckets, the same ids."""
+    assert bpe._buckets(docs.limit(0), "text") == bpe.LEAST_BUCKETS
+    long = spark.range(40).select(F.repeat(F.lit("ab c"), 1000 * 1000).alias("text"))
+    assert bpe._buckets(long, "text") == 160_000_000 // bpe.BUCKET_BYTES
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 3)
+    assert bpe._buckets(docs, "text") > bpe.LEAST_BUCKETS
+    encode = brute.encoder().encode_ordinary
+    got = bpe.encode(docs, "text", vocabulary, keep=["doc_id"], chunk_chars=50).collect()
+    assert sorted((str(r["doc_id"]), tuple(r["ids"])) for r in got) == sorted((str(i), tuple(encode(t or ""))) for i, t in TEXTS)
+
+
 def test_bpe_empty_and_unknown(spark, docs, vocabulary):
     assert bpe.encode(docs.limit(0), "text", vocabulary, keep=["doc_id"]).collect() == []
     odd = spark.createDataFrame([(1, [10**9]), (2, None), (3, [])], "n int, ids array<int>")
