@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.session import scratch_path
 
@@ -25,10 +25,12 @@ def staged(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, purpose: str, most_rows: int) -> DataFrame:
-    """A staged frame, sent to every task if it has at most ``most_rows`` rows."""
+def sized(df: DataFrame, purpose: str, most: int, size: Column | None = None) -> DataFrame:
+    """A staged frame, sent to every task if it has at most ``most`` rows or, where
+    ``size`` gives the bytes of a row, that many bytes."""
     held = staged(df, purpose)
-    return F.broadcast(held) if held.count() <= most_rows else held
+    total, = held.agg(F.coalesce(F.sum(F.lit(1) if size is None else size), F.lit(0))).first()
+    return F.broadcast(held) if total <= most else held
 
 
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:

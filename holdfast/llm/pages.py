@@ -53,7 +53,7 @@ LEAST_PAGES = 3
 COPIED = 0.5         # chance that a page shares a text of its article with the one before
 CHANCE = 0.01        # of a text on all pages of a host, the chance to be taken for the template's by mistake
 TEXT, NAMED = 1, 2   # kinds of tokens: a text; the tag of a text element that is named like a part
-MOST_SENT = 200_000  # hosts whose templates are sent to every task
+MOST_SENT = 32_000_000  # bytes of templates that are sent to every task
 BATCH_BYTES = 2_000_000
 
 MARKUP = re.compile(
@@ -405,8 +405,8 @@ def extract(pages: DataFrame, url: str, html: str, into: str = "text") -> DataFr
         F.coalesce(quoted(html).cast("string"), F.lit("")).alias("__html"),
     )
     found = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    # A few numbers for each host, sent to the pages while the hosts are few.
-    found = sized(found, "templates", MOST_SENT)
+    # A few numbers for each host, sent to the pages while they are few in all.
+    found = sized(found, "templates", MOST_SENT, F.octet_length("host") + 8 * F.size("template") + 64)
     joined = rows.join(found, F.col("__host") == F.col("host"), "left").select(
         *numbered, F.col("template").alias("__template"), F.col("__html")
     )
