@@ -326,6 +326,46 @@ def test_state_lets_only_newer_records_through(spark, tmp_path):
     assert [s for s in seen if s] == [[("a", "new"), ("b", "two")], [("b", "three")]]
 
 
+def test_state_takes_many_keys_in_a_call(spark, tmp_path, monkeypatch):
+    """Keys that share a group stay apart, with their missing values, over chunks and batches, whole numbers exact."""
+    from holdfast.streaming import newest
+
+    monkeypatch.setattr(newest, "GROUPS", 2)
+    wide = "customer_id string, n bigint, note string, scored_at timestamp_ntz"
+    for i, offset in enumerate((0, 5, 0)):
+        # Each key twice, a day apart; of every third the number is missing.
+        rows = spark.range(0, 80).select(
+            F.concat(F.lit("k"), (F.col("id") % 40 + offset).cast("string")).alias("customer_id"),
+            F.when(F.col("id") % 3 > 0, F.lit(2**60 + 1) + F.col("id")).alias("n"), F.lit("x").alias("note"),
+            F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 40).cast("int")).cast("timestamp_ntz").alias("scored_at"))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        for p in (tmp_path / f"in/{i}").iterdir():
+            os.utime(p, (1_700_000_000 + 100 * i,) * 2)
+    seen, calls = [], spark.sparkContext.accumulator(0)
+
+    class Counted(newest._Newest):
+        def handleInputRows(self, key, rows, timers):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timers)
+
+    monkeypatch.setattr(newest, "_Newest", Counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = spark.readStream.schema(wide).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        newest.newest_per_key(stream, "customer_id", "scored_at").writeStream.foreachBatch(
+            lambda batch, i: seen.append({r.customer_id: (r.n, r.scored_at.day) for r in batch.collect()})
+        ).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    number = lambda i: 2**60 + 1 + i if i % 3 else None
+    assert seen[0] == {f"k{i}": (number(i + 40), 2) for i in range(40)}
+    # The second batch names k5 to k44; rows of one instant rank by their digest.
+    assert {f"k{i}" for i in range(40, 45)} <= set(seen[1]) <= {f"k{i}" for i in range(5, 45)}
+    # The third repeats the first.
+    assert all(not s for s in seen[2:])
+    assert 0 < calls.value <= 6
+
+
 def test_published_tables_join_without_a_shuffle(spark, sf, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     people, scores = catalog.customers(spark, sf), catalog.scores(spark, sf)
