@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from math import ceil
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
@@ -23,7 +24,10 @@ from holdfast.operators.split import assign_parts, fold_quotas
 from holdfast.schema import Roles
 from holdfast.session import ensure_checkpoint_dir
 
-PARALLEL_FITS = 4
+# Boosting is thousands of short jobs: several fits side by side fill the cores.
+PARALLEL_FITS = 8
+# Rows for which a task of a boosting job is worth starting, and the most for one.
+ROWS_PER_TASK, MOST_ROWS_PER_TASK = 40_000, 500_000
 
 
 def with_label(df: DataFrame, roles: Roles) -> DataFrame:
@@ -82,6 +86,20 @@ def _with_p(scored: DataFrame, columns: Sequence[str], p: Column) -> DataFrame:
     return scored.select(*columns, p.alias("p"))
 
 
+def spread(encoded: DataFrame) -> DataFrame:
+    """Encoded rows from the shared folder, in equal parts for the cores there are.
+
+    Boosting runs a job for each level of each tree. Each of these jobs would look
+    through all exchanges behind the rows, and have as many tasks as the last of them
+    was coalesced to: one for 90,000 customers. Few rows stay in one part, in order.
+    """
+    spark = encoded.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows, cores = encoded.count(), spark.sparkContext.defaultParallelism
+    parts = max(1, min(ceil(rows / ROWS_PER_TASK), cores), ceil(rows / MOST_ROWS_PER_TASK))
+    return (encoded.coalesce(1) if parts == 1 else encoded.repartition(parts)).checkpoint()
+
+
 def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
                 seed: int = K.SEED) -> Classifier:
     """Boosted trees on the one-hot design, uncalibrated. ``df`` has ``y``.
@@ -90,7 +108,6 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
     Hessians, and samples columns per node; see the README for the mapping.
     """
     v = {**K.BOOSTING_DEFAULT, **(params or {})}
-    ensure_checkpoint_dir(df.sparkSession)
     trees = GBTClassifier(
         labelCol="y", featuresCol="features", maxIter=v["trees"], maxDepth=v["depth"],
         stepSize=v["rate"], subsamplingRate=v["row_sample"],
@@ -99,7 +116,7 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
     )
     rows = with_inputs(df, roles)
     design = fit_design(rows, roles)
-    return Classifier(design, trees.fit(design.transform(rows).select("y", "features")))
+    return Classifier(design, trees.fit(spread(design.transform(rows).select("y", "features"))))
 
 
 def balanced_weights(df: DataFrame, y: str = "y") -> tuple[DataFrame, int]:

@@ -403,8 +403,12 @@ GIVEN_TREES = GivenTrees(
 # --- queries that fit a model ----------------------------------------------
 
 def q_train_gbt(spark, sf_dir):
-    frame = models.with_label(cleaned(spark, sf_dir), TABLE_ROLES)
-    return models.fit_boosted(frame, TABLE_ROLES, K.BOOSTING_DEFAULT).raw_probability(frame).select("customer_id", "p")
+    frame = models.with_label(cleaned(spark, sf_dir), TABLE_ROLES).persist()
+    try:
+        model = models.fit_boosted(frame, TABLE_ROLES, K.BOOSTING_DEFAULT)
+    finally:
+        frame.unpersist()
+    return model.raw_probability(frame).select("customer_id", "p")
 
 
 def q_train_lr(spark, sf_dir):

@@ -227,3 +227,26 @@ def test_calibrator_does_not_round(spark):
     near = [(0, 0.1000001)] * 50 + [(1, 0.1000003)] * 50
     fitted = models.fit_calibrator(spark.createDataFrame(near, "y int, p double"))
     assert list(fitted.predictions) == [0.0, 1.0]
+
+
+def test_boosting_gets_rows_without_exchanges_in_equal_parts(frame, monkeypatch):
+    """Its jobs, one for each level of a tree, read parts for the cores, with no plan behind them."""
+    given = []
+    fit = models.GBTClassifier.fit
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, rows: given.append(rows) or fit(self, rows))
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 40)
+    models.fit_boosted(frame, TABLE_ROLES, {**SHALLOW, "trees": 1})
+    (rows,) = given
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == frame.count() == 150 and len(sizes) == 4 and max(sizes) - min(sizes) <= 8
+    assert "Scan ExistingRDD" in rows._jdf.queryExecution().executedPlan().toString()
+    # More rows than a task takes mean more tasks than cores.
+    monkeypatch.setattr(models, "MOST_ROWS_PER_TASK", 10)
+    assert models.spread(rows).rdd.getNumPartitions() == 15
+
+
+def test_few_rows_stay_in_order_in_one_part(spark):
+    rows = spark.range(100, numPartitions=3).select((F.col("id") % 2).alias("y"), "id")
+    kept = models.spread(rows)
+    assert kept.rdd.getNumPartitions() == 1 and kept.collect() == rows.collect()
+    assert models.spread(rows.limit(0)).count() == 0
