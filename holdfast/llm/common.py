@@ -33,6 +33,13 @@ def sized(df: DataFrame, purpose: str, most: int, size: Column | None = None) ->
     return F.broadcast(held) if total <= most else held
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A side of a join that is never sent to every task. Left to itself, Spark sends
+    what it takes for small: it counts no rows that an explode adds, and takes the
+    size of packed files for that of their rows."""
+    return df.hint("merge")
+
+
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     """The columns of a frame, less those an operator is about to write."""
     gone = {n.lower() for n in names}

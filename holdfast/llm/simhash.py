@@ -8,6 +8,7 @@ fingerprints differ in at most ``distance`` bits, at least one of ``segments``
 parts differs in at most ``distance // segments`` bits, so no link is missed.
 Whole distances are verified inside the join, so only links leave it; a busy
 segment value is an ordinary skewed join key, which adaptive execution splits.
+Both sides of every join grow with the corpus, so none is ever broadcast.
 
 Components come from rounds of large-star and small-star steps over the links
 (never over pairs of copies), each round staged in the shared folder.
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from holdfast.llm.common import quoted, slices, staged, without
+from holdfast.llm.common import quoted, slices, staged, unsent, without
 
 BITS = 64
 SEED = 42
@@ -109,7 +110,7 @@ def links(prints: DataFrame, column: str = "fingerprint", distance: int = 3, seg
         F.col("fp").alias("a"), "q.seg", F.explode("q.keys").alias("key")
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    pairs = asked.join(filed, ["seg", "key"]).where((F.col("a") < F.col("b")) & near)
+    pairs = unsent(asked).join(unsent(filed), ["seg", "key"]).where((F.col("a") < F.col("b")) & near)
     return pairs.select("a", "b").distinct()
 
 
@@ -125,10 +126,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.union(current.select("v", "u")).toDF("u", "v")
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = unsent(both).join(unsent(lowest), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = unsent(large).join(unsent(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         current = staged(small, "links")
         state = current.agg(
@@ -147,12 +148,12 @@ def near_duplicates(docs: DataFrame, key: str, text: str, words: int = 3, distan
     prints = staged(fingerprints(slim, "text", words, "fp"), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("key").alias("least"))
     roots = components(links(prints, "fp", distance, segments))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+    rooted = unsent(classes).join(unsent(roots), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.join(
-        rooted.groupBy("root").agg(F.min("least").alias("component")), "root"
+    named = unsent(rooted).join(
+        unsent(rooted.groupBy("root").agg(F.min("least").alias("component"))), "root"
     ).select("fp", "component")
-    return prints.join(named, "fp").select(
+    return unsent(prints).join(unsent(named), "fp").select(
         F.col("key").alias(key), F.col("fp").alias(into[0]), F.col("component").alias(into[1])
     )
