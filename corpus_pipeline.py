@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.llm import queries as Q, secrets, simhash, toxicity
-from holdfast.llm.common import quoted, staged, table
+from holdfast.llm.common import quoted, staged, table, unsent
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = found.where("doc_id = component_id").select("doc_id")
     rest = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, T.MapType)]
     smallest = F.min_by(F.struct(*map(quoted, docs.columns)), F.struct("text", *map(quoted, rest)))
-    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(smallest.alias("row"))
+    # Both meet by id, which the rows have to do for the next step anyway.
+    chosen = unsent(docs).join(unsent(kept), "doc_id", "left_semi").groupBy("doc_id").agg(smallest.alias("row"))
     return chosen.select("row.*").unionByName(docs.where("doc_id is null"))
 
 

@@ -27,10 +27,10 @@ def staged(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
 
 def sized(df: DataFrame, purpose: str, most: int, size: Column | None = None) -> DataFrame:
     """A staged frame, sent to every task if it has at most ``most`` rows or, where
-    ``size`` gives the bytes of a row, that many bytes."""
+    ``size`` gives the bytes of a row, that many bytes; to none if it has more."""
     held = staged(df, purpose)
     total, = held.agg(F.coalesce(F.sum(F.lit(1) if size is None else size), F.lit(0))).first()
-    return F.broadcast(held) if total <= most else held
+    return F.broadcast(held) if total <= most else unsent(held)
 
 
 def unsent(df: DataFrame) -> DataFrame:

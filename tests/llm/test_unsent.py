@@ -2,7 +2,8 @@
 
 import pytest
 
-from holdfast.llm import common, simhash
+import corpus_pipeline as C
+from holdfast.llm import common, secrets, simhash
 
 DOCS = [(i, f"one two three four five six seven eight nine {i // 3} ten", "en", "s", 7) for i in range(30)]
 
@@ -27,7 +28,8 @@ def plans(monkeypatch):
         seen.append(df._jdf.queryExecution().executedPlan().toString())
         return common.staged(df, *rest)
 
-    monkeypatch.setattr(simhash, "staged", staged)
+    for module in (simhash, C):
+        monkeypatch.setattr(module, "staged", staged)
     return seen
 
 
@@ -36,3 +38,17 @@ def test_links_and_components(docs, plans):
     assert joins(found) == []
     assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
     assert found.count() == len(DOCS)
+
+
+def test_what_stays_and_what_is_masked(spark, docs, plans):
+    assert joins(C.keep_one_of_each(spark, docs, "")) == []
+    assert joins(C.mask_secrets(spark, docs, "")) == []
+    ledger = common.staged(secrets.scan_unseen(docs, "text"), "ledger")
+    assert joins(secrets.scan_unseen(docs, "text", ledger=ledger)) == []
+
+
+def test_a_frame_too_large_to_send_is_not_sent(docs):
+    slim = docs.select("doc_id", "lang")
+    assert joins(docs.join(common.sized(slim, "t", 29), "doc_id")) == []
+    assert joins(docs.join(common.sized(slim, "t", 29).where("lang = 'en'"), "doc_id", "left")) == []
+    assert joins(docs.join(common.sized(slim, "t", 30), "doc_id"))
