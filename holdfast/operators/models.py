@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast import constants as K
 from holdfast.functions.cleaning import label_flag
+from holdfast.operators import boosting
 from holdfast.operators.design import Design, fit_design, with_inputs
 from holdfast.operators.evaluate import evaluate
 from holdfast.operators.isotonic import isotonic_steps
@@ -24,10 +25,12 @@ from holdfast.operators.split import assign_parts, fold_quotas
 from holdfast.schema import Roles
 from holdfast.session import ensure_checkpoint_dir
 
-# Boosting is thousands of short jobs: several fits side by side fill the cores.
+# A boosted fit is one task, or else thousands of short jobs: several side by side fill the cores.
 PARALLEL_FITS = 8
-# Rows for which a task of a boosting job is worth starting, and the most for one.
-ROWS_PER_TASK, MOST_ROWS_PER_TASK = 40_000, 500_000
+# The most rows, and bins of them, that one task grows trees on; a task then holds some 0.5 GB.
+ROWS_PER_TASK, BINS_PER_TASK = 2_000_000, 100_000_000
+# Of more rows: those for which a part of a boosting job is worth its task, and the most for one.
+ROWS_PER_PART, MOST_ROWS_PER_TASK = 40_000, 500_000
 
 
 def with_label(df: DataFrame, roles: Roles) -> DataFrame:
@@ -89,14 +92,14 @@ def _with_p(scored: DataFrame, columns: Sequence[str], p: Column) -> DataFrame:
 def spread(encoded: DataFrame) -> DataFrame:
     """Encoded rows from the shared folder, in equal parts for the cores there are.
 
-    Boosting runs a job for each level of each tree. Each of these jobs would look
-    through all exchanges behind the rows, and have as many tasks as the last of them
-    was coalesced to: one for 90,000 customers. Few rows stay in one part, in order.
+    For more rows than one task takes, boosting runs a job for each level of each tree.
+    Each of these jobs would look through all exchanges behind the rows, and have as many
+    tasks as the last of them was coalesced to. Few rows stay in one part, in order.
     """
     spark = encoded.sparkSession
     ensure_checkpoint_dir(spark)
     rows, cores = encoded.count(), spark.sparkContext.defaultParallelism
-    parts = max(1, min(ceil(rows / ROWS_PER_TASK), cores), ceil(rows / MOST_ROWS_PER_TASK))
+    parts = max(1, min(ceil(rows / min(ROWS_PER_TASK, ROWS_PER_PART)), cores), ceil(rows / MOST_ROWS_PER_TASK))
     return (encoded.coalesce(1) if parts == 1 else encoded.repartition(parts)).checkpoint()
 
 
@@ -104,6 +107,9 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
                 seed: int = K.SEED) -> Classifier:
     """Boosted trees on the one-hot design, uncalibrated. ``df`` has ``y``.
 
+    Rows that fit a task are grown there, without a job for each level of each tree;
+    Spark's own fit over parts takes more.
+
     Spark's boosting has no L1/L2 leaf penalty, counts rows where others sum
     Hessians, and samples columns per node; see the README for the mapping.
     """
@@ -116,6 +122,9 @@ def fit_boosted(df: DataFrame, roles: Roles, params: dict | None = None,
     )
     rows = with_inputs(df, roles)
     design = fit_design(rows, roles)
+    width, n = len(design.names), rows.count()
+    if 0 < n <= ROWS_PER_TASK and n * width <= BINS_PER_TASK and trees.getMaxBins() <= boosting.MOST_BINS:
+        return Classifier(design, boosting.fit_alone(trees, rows.select("y", design.row().alias("x")), width))
     return Classifier(design, trees.fit(spread(design.transform(rows).select("y", "features"))))
 
 
@@ -180,10 +189,15 @@ def fit_calibrated(df: DataFrame, roles: Roles, params: dict | None = None,
     parted = assign_parts(df, "y", roles.key, fold_quotas(folds), seed, "fold").persist(
         StorageLevel.MEMORY_AND_DISK
     )
+    kept: list[DataFrame] = []
     try:
         def held_out(i: int):
+            """Scored once, while other folds are fitted; the calibrator passes over them thrice."""
             fold_model = fit_boosted(parted.where(F.col("fold") != i), roles, params, seed)
-            return fold_model.raw_probability(parted.where(F.col("fold") == i)).select("y", "p")
+            scores = fold_model.raw_probability(parted.where(F.col("fold") == i)).select("y", "p")
+            kept.append(scores.persist(StorageLevel.MEMORY_AND_DISK))
+            scores.count()
+            return scores
 
         whole, *scored = run_parallel(
             df.sparkSession,
@@ -195,7 +209,8 @@ def fit_calibrated(df: DataFrame, roles: Roles, params: dict | None = None,
             pooled = pooled.unionByName(part)
         return replace(whole, calibrator=fit_calibrator(pooled))
     finally:
-        parted.unpersist()
+        for frame in (parted, *kept):
+            frame.unpersist()
 
 
 def candidate_results(fit: DataFrame, valid: DataFrame, roles: Roles,
